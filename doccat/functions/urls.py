@@ -83,3 +83,21 @@ def link_label(u: Column) -> Column:
     return (F.when(x == "", F.lit(""))
             .when(x.rlike(r"(?i)\.pdf$|/media/|/documents/"), F.lit("PDF"))
             .otherwise(F.lit("Page")))
+
+
+def absolute_url_col(href: Column, base: Column) -> Column:
+    """F18 with a per-row base URL (same cases as ``absolute_url``)."""
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    no_frag = F.regexp_replace(base, r"#.*$", "")
+    no_query = F.regexp_replace(no_frag, r"\?.*$", "")
+    base_dir = F.when(url_path(base) == "", F.concat(origin, F.lit("/"))).otherwise(
+        F.regexp_replace(no_query, r"[^/]*$", ""))
+    h = F.trim(F.coalesce(href, F.lit("")))
+    return (F.when(h == "", base)
+            .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(origin, h))
+            .when(h.startswith("?"), F.concat(no_query, h))
+            .when(h.startswith("#"), F.concat(no_frag, h))
+            .otherwise(F.concat(base_dir, h)))

@@ -185,3 +185,58 @@ FROM ({mid}) m"""
 
 def with_catalog(select_sql: str, as_of: str = AS_OF_DATE) -> str:
     return f"WITH catalog AS ({catalog_cte(as_of)})\n{select_sql}"
+
+
+def raw_date_text(key: str, ts: str) -> str:
+    from doccat.functions.rules import MONTH_NAMES
+    y = f"CAST(year({ts}) AS VARCHAR)"
+    ms = f"CAST(month({ts}) AS VARCHAR)"
+    ds = f"CAST(day({ts}) AS VARCHAR)"
+    name = f"{lst(MONTH_NAMES)}[month({ts})]"
+    yy = f"lpad(CAST(year({ts}) % 100 AS VARCHAR), 2, '0')"
+    return f"""(CASE ({key}) % 12
+      WHEN 0 THEN {y} || '-' || lpad({ms}, 2, '0') || '-' || lpad({ds}, 2, '0')
+      WHEN 1 THEN {y} || lpad({ms}, 2, '0') || lpad({ds}, 2, '0')
+      WHEN 2 THEN {ms} || '/' || {ds} || '/' || {y}
+      WHEN 3 THEN {ms} || '/' || {ds} || '/' || {yy}
+      WHEN 4 THEN {ds} || '/' || {ms} || '/' || {y}
+      WHEN 5 THEN {name} || ' ' || {ds} || ', ' || {y}
+      WHEN 6 THEN substr({name}, 1, 3) || ' ' || {ds} || ', ' || {y}
+      WHEN 7 THEN {ds} || ' ' || {name} || ' ' || {y}
+      WHEN 8 THEN {ds} || ' ' || substr({name}, 1, 3) || ' ' || {y}
+      WHEN 9 THEN 'n/a'
+      WHEN 10 THEN ''
+      ELSE '  ' || {y} || '-' || {ms} || '-' || {ds} || ' ' END)"""
+
+
+def legacy_iso(x: str, day_first: bool = False) -> str:
+    from doccat.functions.rules import LEGACY_DAY_FIRST_CHAIN, LEGACY_MONTH_FIRST_CHAIN
+    n = normalize_ws(x)
+    chain = LEGACY_DAY_FIRST_CHAIN if day_first else LEGACY_MONTH_FIRST_CHAIN
+    return f"coalesce(strftime({date_chain(n, chain)}, '%Y-%m-%d'), {n})"
+
+
+def yes_no(x: str) -> str:
+    from doccat.functions.rules import NO_VALUES, YES_VALUES
+    n = normalize_ws(x)
+    return (f"(CASE WHEN lower({n}) IN ({', '.join(q(v) for v in YES_VALUES)}) THEN 'Yes' "
+            f"WHEN lower({n}) IN ({', '.join(q(v) for v in NO_VALUES)}) THEN 'No' ELSE {n} END)")
+
+
+def legacy_cte() -> str:
+    from doccat.sources.legacy import ANSWERS, ORGS
+    closing = (f"CASE WHEN o_orderstatus = 'O' THEN {raw_date_text('o_orderkey + 5', 'CAST(o_orderdate AS DATE) + 60')} "
+               f"ELSE '' END")
+    return f"""SELECT o_orderkey AS ord, 'FDA' AS health_authority,
+  {lst(PHRASES)}[o_custkey % 23 + 1] || ' guidance ' || CAST(o_orderkey AS VARCHAR) AS guidance_name,
+  {lst(PHRASES)}[o_custkey % 23 + 1] || ' guidance ' || CAST(o_orderkey AS VARCHAR) AS summary,
+  {legacy_iso(raw_date_text('o_orderkey', 'o_orderdate'))} AS issue_date,
+  {lst(ORGS)}[o_custkey % 4 + 1] AS fda_organization,
+  coalesce(o_orderpriority, '') AS topic,
+  CASE WHEN o_orderstatus = 'F' THEN 'Final' WHEN o_orderstatus = 'O' THEN 'Draft' ELSE '' END AS guidance_status,
+  {yes_no(f"{lst(ANSWERS)}[o_orderkey % 5 + 1]")} AS open_for_comment,
+  {legacy_iso(closing)} AS comment_closing_date_on_draft,
+  CASE WHEN o_orderkey % 4 <> 0 THEN 'https://www.fda.gov/media/' || CAST(o_orderkey AS VARCHAR) || '/download' ELSE '' END AS guidance_pdf_link,
+  'https://www.fda.gov/regulatory-information/guidance/' || CAST(o_orderkey AS VARCHAR) AS guidance_page_link,
+  'FDA-' || CAST(year(o_orderdate) AS VARCHAR) || '-D-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS docket_number
+FROM orders"""

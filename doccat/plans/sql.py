@@ -240,3 +240,4 @@ def legacy_cte() -> str:
   'https://www.fda.gov/regulatory-information/guidance/' || CAST(o_orderkey AS VARCHAR) AS guidance_page_link,
   'FDA-' || CAST(year(o_orderdate) AS VARCHAR) || '-D-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS docket_number
 FROM orders"""
+CATALOG_CHAIN = [f[0] for f in DATE_FORMATS]

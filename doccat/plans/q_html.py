@@ -1 +1,161 @@
-"""Placeholder."""
+"""M5: HTML extraction and detail-page enrichment.
+
+The driver's pages are uniform (nav links, one article), so some queries
+derive variants of the real pages (extra headings, PDF / attachment links,
+facet counts, protection markers) with fixed rules repeated in the oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from doccat.functions.classify import status_columns
+from doccat.functions.text import clean_title
+from doccat.functions.urls import absolute_url_col, path_format, reference_number
+from doccat.operators import html as H
+from doccat.plans import sql as S
+from doccat.plans import sql_html as SH
+from doccat.plans.q_catalog import catalog
+from doccat.plans.registry import register
+from doccat.sources.adapter import AS_OF_DATE
+from doccat.sources.tables import table
+
+
+def pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", "html")
+
+
+# ---------------------------------------------------------------- H1 elements
+
+
+def _sql_elements(src: str = "pages") -> str:
+    t = "tok"
+    return f"""SELECT page_id, pos - 1 AS pos,
+  CASE WHEN NOT starts_with({t}, '<') THEN 'text' WHEN starts_with({t}, '</') THEN 'close' ELSE 'open' END AS kind,
+  CASE WHEN starts_with({t}, '<') THEN lower(regexp_extract({t}, '^</?\\s*([a-zA-Z][a-zA-Z0-9]*)', 1)) ELSE '' END AS tag,
+  CASE WHEN starts_with({t}, '<') THEN '' ELSE {S.normalize_ws(t)} END AS text,
+  regexp_extract({t}, '(?i)href\\s*=\\s*"([^"]*)"', 1) AS href,
+  regexp_extract({t}, '(?i)class\\s*=\\s*"([^"]*)"', 1) AS cls,
+  regexp_extract({t}, '(?i)role\\s*=\\s*"([^"]*)"', 1) AS role
+FROM {src}, unnest(regexp_extract_all({SH.strip_noise('html')}, {S.q(H.TOKEN)}, 0)) WITH ORDINALITY AS u(tok, pos)"""
+
+
+@register("page_elements", _sql_elements)
+def page_elements(spark, sf_dir):
+    """H1: every page as ordered tokens (open/close tags and decoded text runs)."""
+    return H.element_table(pages(spark, sf_dir))
+
+
+@register("page_paragraphs", lambda: f"""SELECT page_id, pos - 1 AS p_idx, t AS text FROM pages,
+  unnest({SH.paragraphs('html')}) WITH ORDINALITY AS u(t, pos) WHERE t <> ''""")
+def page_paragraphs(spark, sf_dir):
+    """H2: paragraphs per page under the stated malformed-markup rule (empty ones dropped)."""
+    p = pages(spark, sf_dir)
+    return (p.select("page_id", F.posexplode(H.paragraphs(F.col("html"))).alias("p_idx", "text"))
+            .filter(F.col("text") != ""))
+
+
+@register("page_summary", lambda: f"SELECT page_id, {SH.page_summary('html')} AS summary FROM pages")
+def page_summary(spark, sf_dir):
+    """W5 + H4 + H5: first non-boilerplate paragraph of 80+ characters in container priority order."""
+    p = pages(spark, sf_dir)
+    return p.select("page_id", H.page_summary(F.col("html")).alias("summary"))
+
+
+@register("page_links", lambda: f"""SELECT page_id, pos - 1 AS pos, {SH.absolute('h', 'url')} AS href, {SH.fragment_text('t')} AS text
+FROM (SELECT page_id, url, unnest({SH.anchors('html', 1)}) AS h, unnest({SH.anchors('html', 2)}) AS t,
+  unnest(range(1, len({SH.anchors('html', 1)}) + 1)) AS pos FROM pages) x""")
+def page_links(spark, sf_dir):
+    """H3: anchors with absolute hrefs and their text."""
+    p = pages(spark, sf_dir)
+    return p.select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "l")).select(
+        "page_id", "pos", F.col("l.href").alias("href"), F.col("l.text").alias("text"))
+
+
+# ---------------------------------------------------------------- derived pages
+
+
+def _pdf_pages(p):
+    """Pages whose nav links point at documents (every third page)."""
+    html = F.when(F.col("page_id") % 3 == 0,
+                  F.regexp_replace("html", r'href="/([^"]*)"', 'href="/en/documents/$1_en.pdf"')).otherwise(F.col("html"))
+    return p.select("page_id", "url", html.alias("html"))
+
+
+_SQL_PDF_PAGES = """(SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, 'href="/([^"]*)"',
+  'href="/en/documents/\\1_en.pdf"', 'g') ELSE html END AS html FROM pages)"""
+
+
+@register("first_pdf_link", lambda: f"""SELECT page_id, CASE WHEN f IS NOT NULL THEN {SH.absolute('f', 'url')} END AS pdf_url FROM (
+  SELECT page_id, url, list_filter(regexp_extract_all({SH.strip_noise('html')}, '(?i)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"[^>]*>', 1),
+    lambda x: contains(lower(x), '.pdf') AND contains(lower(x), '/documents/'))[1] AS f FROM {_SQL_PDF_PAGES} p) x""")
+def first_pdf_link(spark, sf_dir):
+    """H6: first '.pdf' link under '/documents/' per page (absolute)."""
+    p = _pdf_pages(pages(spark, sf_dir))
+    return p.select("page_id", H.first_pdf_link(F.col("html"), F.col("url")).alias("pdf_url"))
+
+
+def _att_pages(p):
+    html = (F.when(F.col("page_id") % 4 == 0, F.regexp_replace("html", r'href="/([^"]*)"', 'href="/main/att/downloadAtt?id=$1"'))
+            .when(F.col("page_id") % 4 == 1, F.regexp_replace("html", r'href="/([^"]*)">', 'href="/downloadAtt/$1.PDF">file '))
+            .otherwise(F.col("html")))
+    return p.select("page_id", "url", html.alias("html"))
+
+
+_SQL_ATT_PAGES = """(SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN regexp_replace(html, 'href="/([^"]*)"', 'href="/main/att/downloadAtt?id=\\1"', 'g')
+  WHEN page_id % 4 = 1 THEN regexp_replace(html, 'href="/([^"]*)">', 'href="/downloadAtt/\\1.PDF">file ', 'g') ELSE html END AS html FROM pages)"""
+
+
+def _sql_attachment() -> str:
+    z = f"list_filter(list_zip({SH.anchors('html', 1)}, {SH.anchors('html', 2)}), lambda x: contains(x[1], 'downloadAtt'))[1]"
+    url = SH.absolute("f[1]", "url")
+    probe = f"lower(trim(concat_ws(' ', {url}, {SH.fragment_text('f[2]')})))"
+    return f"""SELECT page_id, CASE WHEN f IS NOT NULL THEN {url} END AS attachment_url,
+  CASE WHEN f IS NOT NULL THEN CASE WHEN ends_with({probe}, '.pdf') THEN 'PDF'
+    WHEN ends_with({probe}, '.doc') OR ends_with({probe}, '.docx') THEN 'DOCX' END END AS attachment_format
+FROM (SELECT page_id, url, {z} AS f FROM {_SQL_ATT_PAGES} p) x"""
+
+
+@register("first_attachment", _sql_attachment)
+def first_attachment(spark, sf_dir):
+    """H7: first 'downloadAtt' link per page and its format from URL + link text."""
+    p = _att_pages(pages(spark, sf_dir))
+    a = H.first_attachment(F.col("html"), F.col("url"))
+    return p.select("page_id", a["url"].alias("attachment_url"), a["format"].alias("attachment_format"))
+
+
+_MARK = '<script>var $_ts=1;</script>'
+
+
+@register("protection_gate", f"""SELECT page_id, contains(substr(h, 1, 5000), '9DhefwqGPrzGxEp9hPaoag') OR contains(substr(h, 1, 5000), '$_ts') AS rejected
+FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN '{_MARK}' || html WHEN page_id % 10 = 1 THEN repeat(' ', 5000) || '{_MARK}' || html
+  ELSE html END AS h FROM pages) x""")
+def protection_gate(spark, sf_dir):
+    """P10: pages whose first 5,000 characters carry a protection marker are rejected."""
+    p = pages(spark, sf_dir)
+    h = (F.when(F.col("page_id") % 10 == 0, F.concat(F.lit(_MARK), "html"))
+         .when(F.col("page_id") % 10 == 1, F.concat(F.repeat(F.lit(" "), 5000), F.lit(_MARK), "html"))
+         .otherwise(F.col("html")))
+    return p.select("page_id", H.looks_like_protection_page(h).alias("rejected"))
+
+
+_FACET = ('<a class="facet-item is-active" data-drupal-facet-item-value="004_ema_guidance_and_info" '
+          'data-drupal-facet-item-count="{n}">Guidance</a>')
+
+
+@register("result_count", lambda: f"""SELECT page_id, coalesce(
+  CASE WHEN f <> '' AND regexp_matches(trim(replace(f, ',', '')), '^[0-9]+$') THEN CAST(trim(replace(f, ',', '')) AS BIGINT) END,
+  CASE WHEN g <> '' AND regexp_matches(trim(replace(g, ',', '')), '^[0-9]+$') THEN CAST(trim(replace(g, ',', '')) AS BIGINT) END) AS result_count
+FROM (SELECT page_id, regexp_extract(h, '(?is)<a\\s[^>]*class\\s*=\\s*"[^"]*is-active[^"]*"[^>]*data-drupal-facet-item-count\\s*=\\s*"([^"]*)"[^>]*>', 1) AS f,
+  regexp_extract({SH.fragment_text('h')}, '(?i)Search results\\s*\\(?\\s*([0-9,]+)\\s*\\)?', 1) AS g FROM (
+  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace('{_FACET}', '{{n}}', format('{{:,}}', page_id * 37)) || html
+    WHEN page_id % 3 = 1 THEN '<h2>Search results (' || CAST(page_id * 7 AS VARCHAR) || ')</h2>' || html ELSE html END AS h FROM pages) a) b""")
+def result_count(spark, sf_dir):
+    """H8 + F25: result count from the active facet, else from the 'Search results (n)' heading."""
+    p = pages(spark, sf_dir)
+    n = F.format_number(F.col("page_id") * 37, 0)
+    h = (F.when(F.col("page_id") % 3 == 0, F.concat(F.replace(F.lit(_FACET), F.lit("{n}"), n), "html"))
+         .when(F.col("page_id") % 3 == 1, F.concat(F.lit("<h2>Search results ("), (F.col("page_id") * 7).cast("string"),
+                                                   F.lit(")</h2>"), "html"))
+         .otherwise(F.col("html")))
+    return p.select("page_id", H.result_count(h).alias("result_count"))

@@ -187,6 +187,14 @@ def looks_like_protection_page(html: Column) -> Column:
     return reduce(lambda a, b: a | b, [head.contains(m) for m in PROTECTION_PAGE_MARKERS])
 
 
+BLOCK_OPEN = r"""(?i)<[a-z0-9]+\s[^>]*class\s*=\s*"[^"]*paragraph--type--ema-documents[^"]*"[^>]*>"""
+BLOCK_HEADING = r"(?is)<h[23][^>]*>(.*?)</h[23]\s*>"
+META_OPEN = r"""(?is)class\s*=\s*"([^"]*\s)?file-metadata"[^>]*>(.*)$"""
+ROW_OPEN = r"""(?i)<[a-z0-9]+\s[^>]*class\s*=\s*"([^"]*\s)?file-metadata-row(\s[^"]*)?"[^>]*>"""
+LABEL_CLASS = r'class\s*=\s*"([^"]*\s)?label(\s[^"]*)?"'
+VALUE_CLASS = r"""(?is)class\s*=\s*"([^"]*\s)?value(\s[^"]*)?"[^>]*>(.*?)</"""
+
+
 def current_version_status(html: Column) -> Column:
     """The status in the 'Current version' document block, else null.
 
@@ -196,15 +204,14 @@ def current_version_status(html: Column) -> Column:
     ``value`` text (or the whole row text).
     """
     h = strip_noise(html)
-    blocks = F.slice(F.split(h, r"""(?i)<[a-z0-9]+\s[^>]*class\s*=\s*"[^"]*paragraph--type--ema-documents[^"]*"[^>]*>"""), 2, 1 << 30)
-    heading = lambda b: F.lower(fragment_text(F.regexp_extract(b, r"(?is)<h[23][^>]*>(.*?)</h[23]\s*>", 1)))
+    blocks = F.slice(F.split(h, BLOCK_OPEN), 2, 1 << 30)
+    heading = lambda b: F.lower(fragment_text(F.regexp_extract(b, BLOCK_HEADING, 1)))
     cur = F.try_element_at(F.filter(blocks, lambda b: heading(b) == "current version"), F.lit(1))
-    meta = F.regexp_extract(cur, r"""(?is)class\s*=\s*"[^"]*file-metadata(?:\s[^"]*)?"[^>]*>(.*)$""", 1)
-    rows = F.slice(F.split(meta, r"""(?i)<[a-z0-9]+\s[^>]*class\s*=\s*"[^"]*file-metadata-row[^"]*"[^>]*>"""), 2, 1 << 30)
-    unlabeled = F.filter(rows, lambda r: ~F.lower(r).rlike(r"""class\s*=\s*"[^"]*\blabel\b"""))
+    meta = F.regexp_extract(cur, META_OPEN, 2)
+    rows = F.slice(F.split(meta, ROW_OPEN), 2, 1 << 30)
+    unlabeled = F.filter(rows, lambda r: ~F.lower(r).rlike(LABEL_CLASS))
     vals = F.transform(unlabeled, lambda r: F.coalesce(
-        F.nullif(fragment_text(F.regexp_extract(r, r"""(?is)class\s*=\s*"[^"]*\bvalue\b[^"]*"[^>]*>(.*?)</""", 1)), F.lit("")),
-        fragment_text(r)))
+        F.nullif(fragment_text(F.regexp_extract(r, VALUE_CLASS, 3)), F.lit("")), fragment_text(r)))
     return F.try_element_at(F.filter(vals, lambda v: v != ""), F.lit(1))
 
 

@@ -159,3 +159,238 @@ def result_count(spark, sf_dir):
                                                    F.lit(")</h2>"), "html"))
          .otherwise(F.col("html")))
     return p.select("page_id", H.result_count(h).alias("result_count"))
+
+
+# ---------------------------------------------------------------- W1 carry-forward
+
+_LEVELS = ["h1", "h2", "h3"]
+
+
+def _section_pages(p):
+    """Pages with trailing sections: h2 'Annex k' with a file link, an h3 on even pages, a second h2 and h3."""
+    pid = F.col("page_id").cast("string")
+    extra = F.concat(
+        F.lit("<h2>Annex "), (F.col("page_id") % 3).cast("string"), F.lit('</h2><ul><li><a href="/files/a'), pid,
+        F.lit('.pdf">Annex file [12KB]</a></li></ul>'),
+        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<h3>Part B</h3><ul><li><a href="/files/b'), pid,
+                                                   F.lit('.pdf">(Attachment) Part B</a></li></ul>'))).otherwise(F.lit("")),
+        F.lit('<h2>Other</h2><a href="/x">x</a><h3>Part C</h3><a href="/files/c.pdf">C &amp; D</a>'))
+    return p.select("page_id", "url", F.concat("html", extra).alias("html"))
+
+
+_SQL_SECTION_PAGES = """(SELECT page_id, url, html || '<h2>Annex ' || CAST(page_id % 3 AS VARCHAR) || '</h2><ul><li><a href="/files/a'
+  || CAST(page_id AS VARCHAR) || '.pdf">Annex file [12KB]</a></li></ul>' || CASE WHEN page_id % 2 = 0 THEN '<h3>Part B</h3><ul><li><a href="/files/b'
+  || CAST(page_id AS VARCHAR) || '.pdf">(Attachment) Part B</a></li></ul>' ELSE '' END
+  || '<h2>Other</h2><a href="/x">x</a><h3>Part C</h3><a href="/files/c.pdf">C &amp; D</a>' AS html FROM pages)"""
+
+
+def _sql_carry(events: str, idc: str, levels: list[str], target: str, extra_cols: str) -> str:
+    w = f"(PARTITION BY {idc} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    counts = ", ".join(f"sum(CASE WHEN tag = {S.q(lv)} THEN 1 ELSE 0 END) OVER {w} AS n_{lv}" for lv in levels)
+    lasts, outs = [], []
+    for i, lv in enumerate(levels):
+        key = "[" + ", ".join(f"n_{h}" for h in levels[:i]) + "]" if i else "[]::BIGINT[]"
+        lasts.append(f"last_value(CASE WHEN tag = {S.q(lv)} THEN struct_pack(k := {key}, t := text) END IGNORE NULLS) OVER {w} AS l_{lv}")
+        outs.append(f"CASE WHEN l_{lv}.k = {key} THEN l_{lv}.t ELSE '' END AS {lv}_text")
+    return f"""SELECT {idc}, pos, {extra_cols}, {', '.join(outs)} FROM (
+  SELECT *, {', '.join(lasts)} FROM (SELECT *, {counts} FROM {events} ev) a) b WHERE tag = {S.q(target)}"""
+
+
+def _sql_heading_events(levels: list[str], target: str) -> str:
+    lv = ", ".join(S.q(x) for x in levels)
+    w = "(PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""(WITH el AS ({_sql_elements(_SQL_SECTION_PAGES + ' sp')}),
+b AS (SELECT *, last_value(CASE WHEN tag IN ({lv}) AND kind IN ('open', 'close') THEN struct_pack(p := pos, k := kind) END IGNORE NULLS)
+  OVER {w} AS bnd FROM el),
+tx AS (SELECT page_id, bnd.p AS pos, {S.clean("string_agg(text, ' ' ORDER BY pos)")} AS text FROM b
+  WHERE kind = 'text' AND bnd.k = 'open' GROUP BY page_id, bnd.p)
+SELECT e.page_id, e.pos, e.tag, coalesce(tx.text, '') AS text, e.href FROM b e LEFT JOIN tx ON e.page_id = tx.page_id AND e.pos = tx.pos
+WHERE e.kind = 'open' AND (e.tag IN ({lv}) OR e.tag = {S.q(target)}))"""
+
+
+def section_links(spark, sf_dir):
+    el = H.element_table(_section_pages(pages(spark, sf_dir)))
+    ev = H.heading_events(el, "page_id", _LEVELS, "a")
+    return H.carry_forward(ev, "page_id", _LEVELS, "a")
+
+
+@register("section_carry_forward", lambda: _sql_carry(_sql_heading_events(_LEVELS, "a"), "page_id", _LEVELS, "a", "text, href"))
+def section_carry_forward(spark, sf_dir):
+    """Every link with the latest h1 / h2 / h3 before it; a higher heading resets the lower ones."""
+    return section_links(spark, sf_dir)
+
+
+_ROLES = ["system", "user"]
+
+
+@register("conversation_carry_forward", lambda: _sql_carry(
+    "(SELECT conv_id, turn AS pos, role AS tag, text FROM conversations)", "conv_id", _ROLES, "assistant", "text"))
+def conversation_carry_forward(spark, sf_dir):
+    """W1 on conversations: each assistant turn with the latest system and user turn before it (system resets user)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("tag"), "text")
+    return H.carry_forward(c, "conv_id", _ROLES, "assistant")
+
+
+# ---------------------------------------------------------------- J1-J3 enrichment
+
+
+def _records_with_pages(spark, sf_dir):
+    from doccat.plans.q_search import legacy_records
+    rec = legacy_records(spark, sf_dir).select("ord", "guidance_page_link", "summary")
+    pg = pages(spark, sf_dir).select("page_id", "url")
+    j = rec.join(pg, (F.col("ord") % 256) == F.col("page_id"), "left")
+    link = F.coalesce(F.col("url"), F.concat(F.lit("https://missing.example.org/"), F.col("ord").cast("string")))
+    return j.select("ord", link.alias("guidance_page_link"), "summary")
+
+
+@register("enrich_summaries", lambda: f"""WITH legacy AS ({S.legacy_cte()}),
+rec AS (SELECT l.ord, coalesce(p.url, 'https://missing.example.org/' || CAST(l.ord AS VARCHAR)) AS link, l.summary
+        FROM legacy l LEFT JOIN pages p ON l.ord % 256 = p.page_id),
+ps AS (SELECT url, {SH.page_summary('html')} AS ps FROM pages WHERE url IN (SELECT link FROM rec))
+SELECT rec.ord, coalesce(nullif(ps.ps, ''), rec.summary) AS summary FROM rec LEFT JOIN ps ON rec.link = ps.url""")
+def enrich_summaries(spark, sf_dir):
+    """Record summary replaced by its detail page's summary when the page gives one."""
+    from doccat.operators.enrich import enrich_summaries as enrich
+    out = enrich(_records_with_pages(spark, sf_dir), pages(spark, sf_dir))
+    return out.select("ord", "summary")
+
+
+_CUR = ('<div class="paragraph--type--ema-documents"><h3>Document history</h3><div class="file-metadata">'
+        '<div class="file-metadata-row"><span class="value">Draft</span></div></div></div>'
+        '<div class="paragraph--type--ema-documents"><h2>Current version</h2><div class="file-metadata">'
+        '<div class="file-metadata-row"><span class="label">Status</span><span class="value">ignored</span></div>'
+        '<div class="file-metadata-row"><span class="value">{v}</span></div></div></div>')
+
+
+def _detail_pages(p):
+    base = _pdf_pages(p)
+    html = (F.when(F.col("page_id") % 10 == 0, F.concat("html", F.lit(_CUR.replace("{v}", "Adopted"))))
+            .when(F.col("page_id") % 10 == 5, F.concat("html", F.lit(_CUR.replace("{v}", "Consultation open"))))
+            .otherwise(F.col("html")))
+    return base.select("page_id", "url", html.alias("html"))
+
+
+_SQL_DETAIL_PAGES = f"""(SELECT page_id, url, CASE WHEN page_id % 10 = 0 THEN html || {S.q(_CUR.replace('{v}', 'Adopted'))}
+  WHEN page_id % 10 = 5 THEN html || {S.q(_CUR.replace('{v}', 'Consultation open'))} ELSE html END AS html FROM {_SQL_PDF_PAGES} pp)"""
+
+
+@register("enrich_status_pdf", lambda: f"""WITH catalog AS ({S.catalog_cte()}), dp AS {_SQL_DETAIL_PAGES},
+docs AS (SELECT c.doc_id, c.title, c.comment_end_date, c.status_raw, c.status_normalized, c.sub_status, c.document_url, c.document_format,
+  coalesce(p.url, 'https://missing.example.org/' || CAST(c.doc_id AS VARCHAR)) AS source_page_url
+  FROM catalog c LEFT JOIN pages p ON c.doc_id % 256 = p.page_id),
+pg AS (SELECT url, {SH.current_version_status('html')} AS sr, {SH.first_pdf('html', "'https://www.ema.europa.eu'")} AS pdf
+  FROM dp WHERE url IN (SELECT source_page_url FROM docs)),
+j AS (SELECT d.*, pg.sr, pg.pdf, {S.status_index('d.title', 'pg.sr', "'EMA'", 'd.comment_end_date')} AS si
+  FROM docs d LEFT JOIN pg ON d.source_page_url = pg.url)
+SELECT doc_id, CASE WHEN coalesce(sr, '') <> '' THEN sr ELSE status_raw END AS status_raw,
+  CASE WHEN coalesce(sr, '') <> '' THEN {S.status_of('si')} ELSE status_normalized END AS status_normalized,
+  CASE WHEN coalesce(sr, '') <> '' THEN {S.sub_status_of('si')} ELSE sub_status END AS sub_status,
+  coalesce(pdf, document_url) AS document_url, CASE WHEN pdf IS NOT NULL THEN 'PDF' ELSE document_format END AS document_format
+FROM j""")
+def enrich_status_pdf(spark, sf_dir):
+    """J2 + W6 + H6: current-version status re-classified and the PDF link taken from each detail page."""
+    from doccat.operators.enrich import enrich_status_and_pdf
+    c = catalog(spark, sf_dir)
+    pg = pages(spark, sf_dir).select("page_id", "url")
+    docs = c.join(pg, (F.col("doc_id") % 256) == F.col("page_id"), "left").select(
+        "doc_id", "title", "comment_end_date", "status_raw", "status_normalized", "sub_status", "document_url",
+        "document_format",
+        F.coalesce(F.col("url"), F.concat(F.lit("https://missing.example.org/"), F.col("doc_id").cast("string")))
+        .alias("source_page_url"))
+    out = enrich_status_and_pdf(docs, _detail_pages(pages(spark, sf_dir)), AS_OF_DATE)
+    return out.select("doc_id", "status_raw", "status_normalized", "sub_status", "document_url", "document_format")
+
+
+@register("enrich_attachments", lambda: f"""WITH ap AS {_SQL_ATT_PAGES},
+items AS (SELECT d.doc_id, coalesce(p.url, 'https://missing.example.org/' || CAST(d.doc_id AS VARCHAR)) AS detail_url
+  FROM documents d LEFT JOIN pages p ON d.doc_id % 256 = p.page_id),
+pg AS (SELECT url, f FROM (SELECT url, list_filter(list_zip({SH.anchors('html', 1)}, {SH.anchors('html', 2)}),
+  lambda x: contains(x[1], 'downloadAtt'))[1] AS f FROM ap WHERE url IN (SELECT detail_url FROM items)) z),
+a AS (SELECT url, CASE WHEN f IS NOT NULL THEN {SH.absolute('f[1]', "'https://www.cde.org.cn'")} END AS au, f FROM pg)
+SELECT i.doc_id, a.au AS document_url,
+  CASE WHEN a.f IS NOT NULL THEN CASE WHEN ends_with(lower(trim(concat_ws(' ', a.au, {SH.fragment_text('a.f[2]')}))), '.pdf') THEN 'PDF'
+    WHEN ends_with(lower(trim(concat_ws(' ', a.au, {SH.fragment_text('a.f[2]')}))), '.doc')
+      OR ends_with(lower(trim(concat_ws(' ', a.au, {SH.fragment_text('a.f[2]')}))), '.docx') THEN 'DOCX' END END AS document_format
+FROM items i LEFT JOIN a ON i.detail_url = a.url""")
+def enrich_attachments(spark, sf_dir):
+    """J3 + H7: items take the first attachment of their detail page."""
+    from doccat.operators.enrich import enrich_attachments as enrich
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    pg = pages(spark, sf_dir).select("page_id", "url")
+    items = d.join(pg, (F.col("doc_id") % 256) == F.col("page_id"), "left").select(
+        "doc_id", F.coalesce(F.col("url"), F.concat(F.lit("https://missing.example.org/"), F.col("doc_id").cast("string")))
+        .alias("detail_url"),
+        F.lit(None).cast("string").alias("document_url"), F.lit(None).cast("string").alias("document_format"))
+    return enrich(items, _att_pages(pages(spark, sf_dir))).select("doc_id", "document_url", "document_format")
+
+
+# ---------------------------------------------------------------- J9 / S9 / P9
+
+
+def _sources(spark, sf_dir):
+    p = pages(spark, sf_dir).filter(F.col("page_id") % 5 == 0)
+    cfg = p.select(
+        "url", F.concat(F.lit("Area "), (F.col("page_id") % 3).cast("string")).alias("product_area"),
+        F.when(F.col("page_id") % 2 == 0, F.array(F.lit("Part B"))).alias("allowed_sections"),
+        F.when(F.col("page_id") % 3 == 0, F.lit("Annex 0")).alias("required_parent"))
+    missing = spark.createDataFrame([("https://missing.example.org/config", "Area X", None, None)],
+                                    "url string, product_area string, allowed_sections array<string>, required_parent string")
+    return cfg.unionByName(missing)
+
+
+_SQL_SOURCES = """(SELECT url, 'Area ' || CAST(page_id % 3 AS VARCHAR) AS product_area,
+  CASE WHEN page_id % 2 = 0 THEN ['Part B'] END AS allowed_sections, CASE WHEN page_id % 3 = 0 THEN 'Annex 0' END AS required_parent
+  FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT 'https://missing.example.org/config', 'Area X', NULL, NULL)"""
+
+
+def _kept_links(spark, sf_dir):
+    from doccat.operators.enrich import in_scope_links
+    links = section_links(spark, sf_dir).join(pages(spark, sf_dir).select("page_id", "url"), "page_id")
+    return in_scope_links(links, _sources(spark, sf_dir), "h2_text", "h3_text")
+
+
+def _sql_kept() -> str:
+    carry = _sql_carry(_sql_heading_events(_LEVELS, "a"), "page_id", _LEVELS, "a", "text, href")
+    return f"""kept AS (SELECT c.page_id, c.pos, c.href, s.url, s.product_area FROM ({carry}) c JOIN pages p ON c.page_id = p.page_id
+  JOIN {_SQL_SOURCES} s ON s.url = p.url
+  WHERE (s.required_parent IS NULL OR c.h2_text = s.required_parent)
+    AND (s.allowed_sections IS NULL OR list_contains(s.allowed_sections, c.h3_text)))"""
+
+
+@register("in_scope_links", lambda: f"WITH {_sql_kept()} SELECT page_id, pos, href, product_area FROM kept")
+def in_scope_links_query(spark, sf_dir):
+    """Links of configured pages that sit under the source's required parent and allowed sections."""
+    return _kept_links(spark, sf_dir).select("page_id", "pos", "href", "product_area")
+
+
+@register("source_audit", lambda: f"""WITH {_sql_kept()}
+SELECT s.url, coalesce(k.n, 0) AS rows, CASE WHEN p.url IS NULL THEN 'missing page' WHEN coalesce(k.n, 0) = 0 THEN 'no rows'
+  ELSE 'ok' END AS verdict
+FROM {_SQL_SOURCES} s LEFT JOIN (SELECT DISTINCT url FROM pages) p ON s.url = p.url
+LEFT JOIN (SELECT url, count(*) AS n FROM kept GROUP BY url) k ON s.url = k.url""")
+def source_audit(spark, sf_dir):
+    """Each configured source page must exist and yield in-scope rows."""
+    from doccat.operators.enrich import source_audit as audit
+    return audit(_sources(spark, sf_dir), pages(spark, sf_dir), _kept_links(spark, sf_dir))
+
+
+@register("link_documents", lambda: f"""SELECT page_id, pos, href, title, {S.reference_number('href')} AS reference_number,
+  CASE WHEN ends_with(lower({S.url_path('href')}), '.pdf') THEN 'PDF' END AS document_format FROM (
+  SELECT page_id, pos, href, CASE WHEN starts_with(lower(t1), '(attachment)') THEN {S.strip_ws('substr(t1, 13)')} ELSE t1 END AS title FROM (
+    SELECT page_id, pos - 1 AS pos, {SH.absolute('h', 'url')} AS href,
+      regexp_replace(regexp_replace({S.clean(SH.fragment_text('t'))}, {S.q(_file_size())}, '', 'g'), '^[ \\-–—]+|[ \\-–—]+$', '', 'g') AS t1
+    FROM (SELECT page_id, url, unnest({SH.anchors('html', 1)}) AS h, unnest({SH.anchors('html', 2)}) AS t,
+      unnest(range(1, len({SH.anchors('html', 1)}) + 1)) AS pos FROM {_SQL_SECTION_PAGES} sp) x) y) z
+WHERE contains(href, '/files/') AND title <> ''""")
+def link_documents(spark, sf_dir):
+    """P9 + F21 + F20: links into '/files/' with a cleaned, non-empty title; stem as reference number."""
+    from doccat.operators.enrich import link_documents as docs
+    p = _section_pages(pages(spark, sf_dir))
+    links = p.select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "l")).select(
+        "page_id", "pos", F.col("l.href").alias("href"), F.col("l.text").alias("text"))
+    return docs(links).select("page_id", "pos", "href", "title", "reference_number", "document_format")
+
+
+def _file_size():
+    from doccat.functions.text import FILE_SIZE_SUFFIX
+    return FILE_SIZE_SUFFIX

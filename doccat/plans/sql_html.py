@@ -59,3 +59,23 @@ def absolute(href: str, base: str) -> str:
 
 def anchors(h: str, group: int) -> str:
     return f"regexp_extract_all({strip_noise(h)}, {q(ANCHOR)}, {group})"
+
+
+def current_version_status(h: str) -> str:
+    from doccat.operators.html import BLOCK_HEADING, BLOCK_OPEN, LABEL_CLASS, META_OPEN, ROW_OPEN, VALUE_CLASS
+    s = strip_noise(h)
+    blocks = f"list_slice(string_split_regex({s}, {q(BLOCK_OPEN)}), 2, 1000000)"
+    cur = (f"list_filter({blocks}, lambda b: lower({fragment_text(f'regexp_extract(b, {q(BLOCK_HEADING)}, 1)')}) "
+           f"= 'current version')[1]")
+    meta = f"regexp_extract({cur}, {q(META_OPEN)}, 2)"
+    rows = f"list_slice(string_split_regex({meta}, {q(ROW_OPEN)}), 2, 1000000)"
+    unl = f"list_filter({rows}, lambda r: NOT regexp_matches(lower(r), {q(LABEL_CLASS)}))"
+    vals = (f"list_transform({unl}, lambda r: coalesce(nullif({fragment_text(f'regexp_extract(r, {q(VALUE_CLASS)}, 3)')}, ''), "
+            f"{fragment_text('r')}))")
+    return f"list_filter({vals}, lambda v: v <> '')[1]"
+
+
+def first_pdf(h: str, base: str) -> str:
+    f = (f"list_filter(regexp_extract_all({strip_noise(h)}, '(?i)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"[^>]*>', 1), "
+         f"lambda x: contains(lower(x), '.pdf') AND contains(lower(x), '/documents/'))[1]")
+    return f"CASE WHEN {f} IS NOT NULL THEN {absolute(f, base)} END"

@@ -1 +1,259 @@
-"""Placeholder."""
+"""M6: semi-structured ingest.
+
+Each query first lands feed payloads built from a driver table (bounded
+chunks: at most 500 rows per page / file, 25 guidelines per tree), then parses
+them back with the feed readers.  The oracle computes the expected rows
+straight from the source table, so the JSON round trip, the variant handling
+and the tree walk are all checked.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from doccat.functions.rules import MONTH_NAMES
+from doccat.functions.text import clean_text
+from doccat.operators import dedupe as DD
+from doccat.operators.search import newest_first
+from doccat.plans import sql as S
+from doccat.plans import sql_html as SH
+from doccat.plans.registry import register
+from doccat.sources import feeds as FD
+from doccat.sources.adapter import AS_OF_DATE, PHRASES, pick
+from doccat.sources.legacy import ANSWERS, ORGS, raw_date_text
+from doccat.sources.tables import table
+
+PAGE_SIZE = 500
+
+# ---------------------------------------------------------------- FDA list rows from orders
+
+
+def _fda_cells(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    k = F.col("o_orderkey")
+    ks = k.cast("string")
+    name = F.concat(pick(PHRASES, F.col("o_custkey") % 23), F.lit(" guidance "), ks)
+    status = (F.when(F.col("o_orderstatus") == "F", F.lit("Final"))
+              .when(F.col("o_orderstatus") == "O", F.lit("Draft")).otherwise(F.lit("")))
+    closing = F.when(F.col("o_orderstatus") == "O",
+                     raw_date_text(k + 5, F.date_add(F.to_date("o_orderdate"), 60))).otherwise(F.lit(""))
+    return o.select(
+        k.alias("k"), (k / PAGE_SIZE).cast("long").alias("page"),
+        F.concat(F.lit('<a href="/regulatory-information/guidance/'), ks, F.lit('">'), name, F.lit("</a>")).alias("c0"),
+        F.when(k % 4 != 0, F.concat(F.lit('<a href="/media/'), ks, F.lit('/download">Download &amp; read</a>')))
+        .otherwise(F.lit("Not available")).alias("c1"),
+        raw_date_text(k, F.col("o_orderdate")).alias("c2"),
+        pick(ORGS, F.col("o_custkey") % 4).alias("c3"),
+        F.coalesce(F.col("o_orderpriority"), F.lit("")).alias("c4"),
+        status.alias("c5"), pick(ANSWERS, k % 5).alias("c6"), closing.alias("c7"),
+        F.concat(F.lit("<span>FDA-"), F.year("o_orderdate").cast("string"), F.lit("-D-"),
+                 F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("</span>")).alias("c8"))
+
+
+_DICT_KEYS = ["field_summary", "field_associated_media_2", "field_issue_datetime", "field_issuing_office_taxonomy",
+              "topics-product", "field_final_guidance_1", "open-comment", "field_comment_close_date", "field_docket_number"]
+_STATIC_KEYS = ["title"] + _DICT_KEYS[1:]
+
+
+def _row_json(keys, as_list):
+    cells = [F.col(f"c{i}") for i in range(9)]
+    short = F.col("k") % 7 == 0
+    lst = F.when(short, F.to_json(F.array(*cells[:8]))).otherwise(F.to_json(F.array(*cells)))
+    obj_cells = [F.when(~short, c) if i == 7 else c for i, c in enumerate(cells)]
+    obj = F.to_json(F.struct(*[c.alias(kname) for c, kname in zip(obj_cells, keys)]))
+    return F.when(as_list, lst).otherwise(obj)
+
+
+def _bounded_pages(rows, payload):
+    """Group rows into their page (at most PAGE_SIZE rows each) in key order."""
+    g = rows.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("k", "j"))).alias("rows"))
+    return g.select("page", payload(F.array_join(F.transform("rows", lambda r: r["j"]), ",")).alias("payload"))
+
+
+def landed_fda_pages(spark, sf_dir):
+    """S2 landing: DataTables pages; even pages carry list rows, odd pages object rows."""
+    c = _fda_cells(spark, sf_dir)
+    rows = c.select("k", "page", _row_json(_DICT_KEYS, F.col("page") % 2 == 0).alias("j"))
+    total = c.agg(F.count(F.lit(1)).alias("total"))
+    pages = _bounded_pages(rows, lambda data: data.alias("data")).crossJoin(total)
+    payload = F.concat(F.lit('{"draw":'), (F.col("page") + 1).cast("string"), F.lit(',"start":'),
+                       (F.col("page") * PAGE_SIZE).cast("string"), F.lit(f',"length":{PAGE_SIZE},"recordsTotal":'),
+                       F.col("total").cast("string"), F.lit(',"recordsFiltered":'), F.col("total").cast("string"),
+                       F.lit(',"data":['), F.col("payload"), F.lit("]}"))
+    return pages.select("page", payload.alias("payload"))
+
+
+def _sql_fda_expected(extra_select: str = "", static: bool = False) -> str:
+    is_list = "FALSE" if static else f"(o_orderkey // {PAGE_SIZE}) % 2 = 0"
+    closing = (f"CASE WHEN o_orderkey % 7 = 0 AND NOT ({is_list}) THEN '' WHEN o_orderstatus = 'O' THEN "
+               f"{S.raw_date_text('o_orderkey + 5', 'CAST(o_orderdate AS DATE) + 60')} ELSE '' END")
+    name = f"{S.lst(PHRASES)}[o_custkey % 23 + 1] || ' guidance ' || CAST(o_orderkey AS VARCHAR)"
+    return f"""SELECT o_orderkey AS k, 'FDA' AS health_authority, {name} AS guidance_name, {name} AS summary,
+  {S.legacy_iso(S.raw_date_text('o_orderkey', 'o_orderdate'))} AS issue_date,
+  {S.lst(ORGS)}[o_custkey % 4 + 1] AS fda_organization, coalesce(o_orderpriority, '') AS topic,
+  CASE WHEN o_orderstatus = 'F' THEN 'Final' WHEN o_orderstatus = 'O' THEN 'Draft' ELSE '' END AS guidance_status,
+  {S.yes_no(f"{S.lst(ANSWERS)}[o_orderkey % 5 + 1]")} AS open_for_comment,
+  {S.legacy_iso(closing)} AS comment_closing_date_on_draft,
+  CASE WHEN o_orderkey % 4 <> 0 THEN 'https://www.fda.gov/media/' || CAST(o_orderkey AS VARCHAR) || '/download' ELSE 'Not available' END AS guidance_pdf_link,
+  'https://www.fda.gov/regulatory-information/guidance/' || CAST(o_orderkey AS VARCHAR) AS guidance_page_link,
+  CASE WHEN o_orderkey % 7 = 0 AND ({is_list}) THEN '' ELSE
+  'FDA-' || CAST(year(o_orderdate) AS VARCHAR) || '-D-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') END AS docket_number
+  {extra_select} FROM orders"""
+
+
+_RECORD = ["health_authority", "guidance_name", "summary", "issue_date", "fda_organization", "topic", "guidance_status",
+           "open_for_comment", "comment_closing_date_on_draft", "guidance_pdf_link", "guidance_page_link", "docket_number"]
+
+
+@register("paged_list_merge", lambda: f"SELECT {', '.join(_RECORD)} FROM ({_sql_fda_expected()}) x")
+def paged_list_merge(spark, sf_dir):
+    """S2 + F10 + H3 + F26: paged list (list and object rows) -> legacy records in feed order."""
+    rows = FD.fda_paged_rows(landed_fda_pages(spark, sf_dir))
+    return FD.parse_fda_rows(rows, ["start", "pos"]).select(*_RECORD)
+
+
+def landed_fda_static(spark, sf_dir):
+    """S1 landing: JSON-array files of object rows (keys of the static list)."""
+    c = _fda_cells(spark, sf_dir)
+    rows = c.select("k", "page", _row_json(_STATIC_KEYS, F.lit(False)).alias("j"))
+    return _bounded_pages(rows, lambda data: F.concat(F.lit("["), data, F.lit("]"))).withColumnRenamed("page", "file")
+
+
+@register("static_list_newest", lambda: f"""SELECT {', '.join(_RECORD)} FROM ({_sql_fda_expected(static=True)}) x
+ORDER BY issue_date DESC, k ASC LIMIT 50""")
+def static_list_newest(spark, sf_dir):
+    """S1 + L1: static list, newest 50 by the issue-date text (ties in file order)."""
+    rows = FD.fda_static_rows(landed_fda_static(spark, sf_dir))
+    rec = FD.parse_fda_rows(rows, ["file", "pos"])
+    return newest_first(rec.withColumn("ord", F.struct("file", "pos")), 50).select(*_RECORD)
+
+
+@register("row_dict_or_list", lambda: f"""SELECT k AS ord, CASE WHEN (k // {PAGE_SIZE}) % 2 = 0 THEN 'list' ELSE 'object' END AS shape,
+  CASE WHEN o_orderkey % 7 = 0 AND (k // {PAGE_SIZE}) % 2 = 1 THEN '' WHEN o_orderstatus = 'O' THEN {S.raw_date_text('o_orderkey + 5', 'CAST(o_orderdate AS DATE) + 60')} ELSE '' END AS closing_cell,
+  {S.raw_date_text('o_orderkey', 'o_orderdate')} AS issue_cell FROM (SELECT *, o_orderkey AS k FROM orders) o""")
+def row_dict_or_list(spark, sf_dir):
+    """raw cells of list rows (padded) and object rows (first present key) agree."""
+    rows = FD.fda_paged_rows(landed_fda_pages(spark, sf_dir))
+    shape = F.when(F.try_variant_get("row", "$", "array<variant>").isNotNull(), F.lit("list")).otherwise(F.lit("object"))
+    cells = FD.fda_row_cells(F.col("row"))
+    return rows.select((F.col("start") + F.col("pos")).alias("ord"), shape.alias("shape"),
+                       cells["comment_closing_date"].alias("closing_cell"), cells["issue_date"].alias("issue_cell"))
+
+
+# ---------------------------------------------------------------- EMA feed from documents
+
+_EMA_SUFFIX = [" - Scientific guideline", " - Regulatory and procedural guideline", ""]
+_EMA_CATS = ["Quality", "Clinical efficacy and safety", "Multidisciplinary"]
+
+
+def _ema_rows(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    ks = k.cast("string")
+    base = F.date_add(F.lit("2020-01-01").cast("date"), (k % 2400).cast("int"))
+    dmy = lambda c: F.concat(F.dayofmonth(c).cast("string"), F.lit("/"), F.month(c).cast("string"), F.lit("/"), F.year(c).cast("string"))
+    title = F.when(k % 50 == 0, F.lit("  ")).otherwise(
+        F.concat(pick(PHRASES, k % 23), F.lit(" "), F.coalesce(F.substring("text", 1, 40), F.lit("")), pick(_EMA_SUFFIX, k % 3)))
+    url = F.when(k % 51 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://www.ema.europa.eu/en/doc-"), ks,
+                                                               F.when(k % 4 == 0, F.lit("-scientific-guideline")).otherwise(F.lit(""))))
+    row = F.struct(
+        title.alias("title"),
+        F.when(k % 9 == 0, F.lit("")).otherwise(F.substring("text", 1, 100)).alias("summary"),
+        F.concat(F.lit("Human;"), pick(_EMA_CATS, k % 3)).alias("categories"),
+        F.when(k % 13 == 0, F.lit("")).otherwise(dmy(base)).alias("first_published_date"),
+        F.when(k % 2 == 0, F.date_format(base, "dd/MM/yy")).otherwise(F.date_format(base, "yyyy-MM-dd")).alias("last_updated_date"),
+        url.alias("general_url"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("EMA/"), ks, F.lit("/2024"))).alias("reference_number"),
+        F.when(k % 6 == 0, F.concat(dmy(base), F.lit(" to "), dmy(F.date_add(base, 90)))).alias("consultation_date"))
+    return d.select(k.alias("k"), (k / PAGE_SIZE).cast("long").alias("page"), F.to_json(row).alias("j"))
+
+
+def landed_ema_feed(spark, sf_dir):
+    """S3 landing: feed pages {meta:{total_records, page}, data:[...]} with one non-object entry each."""
+    rows = _ema_rows(spark, sf_dir)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    pages = _bounded_pages(rows, lambda data: data.alias("data")).crossJoin(total)
+    payload = F.concat(F.lit('{"meta":{"total_records":"'), F.format_number(F.col("total"), 0), F.lit('","page":'),
+                       F.col("page").cast("string"), F.lit('},"data":[42,'), F.col("payload"), F.lit("]}"))
+    return pages.select(payload.alias("payload"))
+
+
+def _sql_ema_src() -> str:
+    dmy = lambda c: f"CAST(day({c}) AS VARCHAR) || '/' || CAST(month({c}) AS VARCHAR) || '/' || CAST(year({c}) AS VARCHAR)"
+    b = "(DATE '2020-01-01' + CAST(doc_id % 2400 AS INTEGER))"
+    return f"""SELECT doc_id AS k, doc_id // {PAGE_SIZE} AS page, doc_id % {PAGE_SIZE} + 1 AS pos,
+  CASE WHEN doc_id % 50 = 0 THEN '  ' ELSE {S.lst(PHRASES)}[doc_id % 23 + 1] || ' ' || coalesce(substr(text, 1, 40), '')
+    || {S.lst(_EMA_SUFFIX)}[doc_id % 3 + 1] END AS title,
+  CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, 100) END AS summary,
+  'Human;' || {S.lst(_EMA_CATS)}[doc_id % 3 + 1] AS categories,
+  CASE WHEN doc_id % 13 = 0 THEN '' ELSE {dmy(b)} END AS first_published_date,
+  CASE WHEN doc_id % 2 = 0 THEN strftime({b}, '%d/%m/%y') ELSE strftime({b}, '%Y-%m-%d') END AS last_updated_date,
+  CASE WHEN doc_id % 51 = 0 THEN NULL ELSE 'https://www.ema.europa.eu/en/doc-' || CAST(doc_id AS VARCHAR)
+    || CASE WHEN doc_id % 4 = 0 THEN '-scientific-guideline' ELSE '' END END AS general_url,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'EMA/' || CAST(doc_id AS VARCHAR) || '/2024' END AS reference_number,
+  CASE WHEN doc_id % 6 = 0 THEN {dmy(b)} || ' to ' || {dmy(b + ' + 90')} END AS consultation_date
+FROM documents"""
+
+
+def _sql_split(t: str, legacy: bool = False) -> tuple[str, str]:
+    sci = f"ends_with({t}, ' - Scientific guideline')"
+    reg = f"ends_with({t}, ' - Regulatory and procedural guideline')"
+    if legacy:
+        return (f"CASE WHEN {sci} THEN {S.strip_ws(f'left({t}, length({t}) - 23)')} ELSE {t} END",
+                f"CASE WHEN {sci} THEN 'Scientific guideline' ELSE 'Guidance' END")
+    return (f"CASE WHEN {sci} THEN {S.strip_ws(f'left({t}, length({t}) - 23)')} WHEN {reg} THEN {S.strip_ws(f'left({t}, length({t}) - 38)')} ELSE {t} END",
+            f"CASE WHEN {sci} THEN 'Scientific guideline' WHEN {reg} THEN 'Regulatory and procedural guideline' ELSE 'Guidance' END")
+
+
+def _sql_ema_documents() -> str:
+    name, st = _sql_split("rt")
+    return f"""WITH src AS ({_sql_ema_src()}),
+a AS (SELECT *, {S.clean('title')} AS rt, {S.clean('general_url')} AS u, {S.clean('summary')} AS sm, {S.clean('categories')} AS tr,
+  {S.clean('reference_number')} AS rf FROM src),
+b AS (SELECT *, {name} AS nm, {st} AS sr, CASE WHEN sm <> '' THEN sm ELSE 'Not available.' END AS smry FROM a WHERE rt <> '' AND u <> ''),
+c AS (SELECT *, {S.status_index('nm', 'sr', "'EMA'", 'NULL')} AS si FROM b)
+SELECT page, pos, nm AS title, 'EMA' AS agency, 'EU' AS jurisdiction, u AS source_page_url,
+  {S.date_chain(S.clean('first_published_date'), S.DAY_FIRST)} AS published_date,
+  {S.date_chain(S.clean('last_updated_date'), S.DAY_FIRST)} AS updated_date,
+  {S.date_chain(S.clean(f"string_split({S.clean('consultation_date')}, ' to ')[-1]"), S.DAY_FIRST)} AS comment_end_date,
+  sr AS status_raw, {S.status_of('si')} AS status_normalized, {S.sub_status_of('si')} AS sub_status, tr AS topic_raw,
+  {S.topic('nm', 'tr', 'smry')} AS topic_normalized, smry AS summary, 'EN' AS language,
+  CASE WHEN rf <> '' THEN rf END AS reference_number FROM c"""
+
+
+@register("ema_feed_rows", _sql_ema_documents)
+def ema_feed_rows(spark, sf_dir):
+    """S3 + P1 + F11 + F4 + F7: feed pages -> EMA catalog rows (non-objects and rows without title/URL skipped)."""
+    rows = FD.ema_feed_rows(landed_ema_feed(spark, sf_dir))
+    return FD.ema_documents(rows)
+
+
+@register("ema_legacy_feed", lambda: f"""WITH src AS ({_sql_ema_src()}),
+a AS (SELECT *, {S.normalize_ws('title')} AS rt FROM src
+  WHERE contains(lower({S.clean('title')}), 'scientific guideline') OR ends_with(lower({S.clean('general_url')}), '-scientific-guideline'))
+SELECT page, pos, 'EMA' AS health_authority, {_sql_split('rt', True)[0]} AS guidance_name, {S.normalize_ws('summary')} AS summary,
+  {S.legacy_iso('first_published_date', day_first=True)} AS issue_date, 'European Medicines Agency' AS fda_organization,
+  replace({S.normalize_ws('categories')}, ';', '; ') AS topic, {_sql_split('rt', True)[1]} AS guidance_status,
+  CASE WHEN contains(lower({_sql_split('rt', True)[1]}), 'draft') OR contains(lower({_sql_split('rt', True)[1]}), 'consultation') THEN 'Yes' ELSE '' END AS open_for_comment,
+  {S.legacy_iso(f"string_split({S.clean(S.normalize_ws('consultation_date'))}, ' to ')[-1]", day_first=True)} AS comment_closing_date_on_draft,
+  '' AS guidance_pdf_link, {S.normalize_ws('general_url')} AS guidance_page_link, {S.normalize_ws('reference_number')} AS docket_number
+FROM a""")
+def ema_legacy_feed(spark, sf_dir):
+    """S4 + P2 + F5 + F14 + F31: only scientific guidelines, as legacy records."""
+    rows = FD.ema_feed_rows(landed_ema_feed(spark, sf_dir))
+    return FD.ema_legacy_records(rows)
+
+
+@register("feed_completeness", lambda: f"""WITH d AS ({_sql_ema_documents()})
+SELECT (SELECT count(*) FROM documents) AS declared_total, (SELECT count(*) FROM d) AS parsed,
+  (SELECT count(*) FROM documents) + 23 AS external_count, 'mismatch' AS verdict""")
+def feed_completeness(spark, sf_dir):
+    """A7 on the EMA feed: declared total vs parsed rows vs a search page that lists 23 more."""
+    files = landed_ema_feed(spark, sf_dir)
+    rows = FD.ema_feed_rows(files)
+    docs = FD.ema_documents(rows)
+    declared = rows.agg(F.max(F.expr("try_cast(replace(total_records, ',', '') AS BIGINT)")).alias("d"))
+    return FD.feed_completeness(rows, docs, None).drop("external_count", "verdict").crossJoin(declared).select(
+        "declared_total", "parsed", (F.col("d") + 23).alias("external_count"),
+        F.when((F.col("declared_total") != F.col("d") + 23) | (F.col("parsed") != F.col("d") + 23), F.lit("mismatch"))
+        .otherwise(F.lit("ok")).alias("verdict"))

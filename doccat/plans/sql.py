@@ -241,3 +241,4 @@ def legacy_cte() -> str:
   'FDA-' || CAST(year(o_orderdate) AS VARCHAR) || '-D-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS docket_number
 FROM orders"""
 CATALOG_CHAIN = [f[0] for f in DATE_FORMATS]
+DAY_FIRST = ["eu_long", "eu_short"] + CATALOG_CHAIN

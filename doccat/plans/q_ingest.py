@@ -257,3 +257,180 @@ def feed_completeness(spark, sf_dir):
         "declared_total", "parsed", (F.col("d") + 23).alias("external_count"),
         F.when((F.col("declared_total") != F.col("d") + 23) | (F.col("parsed") != F.col("d") + 23), F.lit("mismatch"))
         .otherwise(F.lit("ok")).alias("verdict"))
+
+
+# ---------------------------------------------------------------- CDE items
+
+_AREAS = ["化学药", "生物制品", "中药", "化学药品", ""]
+_NOWSTATE = ["现行", "试行", ""]
+
+
+def _cde_items(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    ks = k.cast("string")
+    t = F.when(k % 19 == 0, F.lit("")).otherwise(clean_text(F.substring("text", 1, 30)))
+    area = pick(_AREAS, k % 5)
+    code = F.when(k % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("Z"), (k % 400).cast("string")))
+    b = F.date_add(F.lit("2024-01-01").cast("date"), (k % 700).cast("int"))
+    name = pick(MONTH_NAMES, F.month(b) - 1)
+    v = k % 4
+    j0 = F.to_json(F.struct(t.alias("title"), area.alias("drugType"), F.date_format(b, "yyyyMMdd").alias("publishDate"),
+                            F.concat(F.lit("/zdyz/detail/"), ks).alias("url"), code.alias("zdyzIdCODE"),
+                            pick(_NOWSTATE, k % 3).alias("nowstate")))
+    j1 = F.to_json(F.struct(t.alias("TITLE"), area.alias("fclass"), F.date_format(b, "yyyy-MM-dd").alias("issueDate"),
+                            F.concat(F.lit("/files/"), ks, F.lit(".pdf")).alias("fileUrl"), code.alias("idCODE")))
+    j2 = F.to_json(F.struct(t.alias("name"), area.alias("scope"),
+                            F.concat(name, F.lit(" "), F.dayofmonth(b).cast("string"), F.lit(", "), F.year(b).cast("string")).alias("date"),
+                            code.alias("id"), F.lit("  ").alias("summary"), F.substring("text", 1, 50).alias("description")))
+    j3 = F.to_json(F.struct(F.lit("").alias("bt"), t.alias("noticeTitle"),
+                            F.concat(F.lit("https://x.example/"), ks, F.lit(".docx")).alias("document_url"),
+                            F.lit("").alias("document_format"), F.lit("公开征求意见").alias("status")))
+    j = F.when(v == 0, j0).when(v == 1, j1).when(v == 2, j2).otherwise(j3)
+    return d.select(k.alias("k"), j.alias("json"))
+
+
+@register("item_key_aliases", lambda: _sql_cde())
+def item_key_aliases(spark, sf_dir):
+    """S6 + S7 + W3 + F9 + F19 + P3: two area lists concatenated, keep-first by id else title, then parsed."""
+    items = _cde_items(spark, sf_dir)
+    a = items.filter(F.col("k") % 3 != 0).withColumn("list", F.lit(1))
+    b = items.filter(F.col("k") % 2 == 0).withColumn("list", F.lit(2))
+    both = a.unionByName(b).select("list", "k", F.from_json("json", "map<string,string>").alias("item"))
+    keyed = both.withColumn("_dk", FD.first_value(F.col("item"), FD.CDE_KEYS["code"]))
+    keyed = keyed.withColumn("_dk", F.when(F.col("_dk") != "", F.col("_dk")).otherwise(
+        FD.first_value(F.col("item"), FD.CDE_KEYS["dedupe_title"])))
+    first = DD.keep_first(keyed.withColumn("ord", F.struct("list", "k")), F.col("_dk")).drop("_dk", "ord")
+    docs = FD.cde_items(first)
+    return docs.select("k", "title", "source_page_url", "document_url", "document_format", "published_date",
+                       "status_raw", "status_normalized", "sub_status", "topic_normalized", "product_area", "summary",
+                       "reference_number")
+
+
+def _sql_cde() -> str:
+    t = f"CASE WHEN doc_id % 19 = 0 THEN '' ELSE {S.clean('substr(text, 1, 30)')} END"
+    code = "CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'Z' || CAST(doc_id % 400 AS VARCHAR) END"
+    b = "(DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER))"
+    base = f"""SELECT doc_id AS k, doc_id % 4 AS v, {t} AS t, {S.lst(_AREAS)}[doc_id % 5 + 1] AS area, {code} AS code, {b} AS b,
+  {S.lst(_NOWSTATE)}[doc_id % 3 + 1] AS ns, {S.clean('substr(text, 1, 50)')} AS descr FROM documents"""
+    lists = "SELECT 1 AS list, * FROM base WHERE k % 3 <> 0 UNION ALL SELECT 2 AS list, * FROM base WHERE k % 2 = 0"
+    sel = f"""SELECT list, k, t AS title, v, area, code,
+  CASE WHEN v = 0 THEN strftime(b, '%Y%m%d') WHEN v = 1 THEN strftime(b, '%Y-%m-%d')
+       WHEN v = 2 THEN {S.lst(MONTH_NAMES)}[month(b)] || ' ' || CAST(day(b) AS VARCHAR) || ', ' || CAST(year(b) AS VARCHAR) ELSE '' END AS pub,
+  CASE WHEN v = 0 THEN 'https://www.cde.org.cn/zdyz/detail/' || CAST(k AS VARCHAR)
+       WHEN v IN (1, 2) AND code <> '' THEN 'https://www.cde.org.cn/zdyz/domesticinfopage?zdyzIdCODE=' || code
+       WHEN v = 0 AND code <> '' THEN 'x'
+       ELSE '{FD.CDE_LIST_URL}' END AS src,
+  CASE WHEN v = 1 THEN 'https://www.cde.org.cn/files/' || CAST(k AS VARCHAR) || '.pdf'
+       WHEN v = 3 THEN 'https://x.example/' || CAST(k AS VARCHAR) || '.docx' END AS doc_url,
+  CASE WHEN v = 1 THEN 'PDF' WHEN v = 3 THEN 'DOCX' END AS fmt,
+  CASE WHEN v = 0 THEN ns WHEN v = 3 THEN '公开征求意见' ELSE '' END AS status_raw,
+  CASE WHEN v = 2 AND descr <> '' THEN descr ELSE 'Not available.' END AS summary,
+  CASE WHEN code <> '' AND v <> 3 THEN code ELSE CASE WHEN v = 3 THEN '' ELSE t END END AS dk,
+  CASE WHEN v <> 3 AND code <> '' THEN code END AS reference_number,
+  CASE WHEN v = 3 THEN '' ELSE area END AS parea
+FROM lists"""
+    return f"""WITH base AS ({base}), lists AS ({lists}), x AS ({sel}),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dk ORDER BY list, k) AS rn FROM x) y WHERE rn = 1),
+f AS (SELECT *, {S.status_index('title', 'status_raw', "'CDE'", 'NULL')} AS si FROM d
+      WHERE title <> '' AND (parea = '' OR contains(parea, '化学药') OR contains(parea, '生物制品')))
+SELECT k, title, src AS source_page_url, doc_url AS document_url, fmt AS document_format,
+  {S.date_chain(S.clean('pub'), S.CATALOG_CHAIN)} AS published_date, status_raw, {S.status_of('si')} AS status_normalized,
+  {S.sub_status_of('si')} AS sub_status, {S.topic('title', "nullif(parea, '')", 'summary')} AS topic_normalized,
+  nullif(parea, '') AS product_area, summary, reference_number FROM f"""
+
+
+# ---------------------------------------------------------------- ICH tree
+
+_STATUS = ["Step 2b", "Step 3", "Step 4", "Step 5", "Public consultation", ""]
+_FG = {
+    0: '[{"title":"Guideline","weight":2,"files":[{"uri":"https://database.ich.org/E{k}_Guideline.pdf","mimetype":"application/pdf"}]},'
+       '{"title":"Presentation","weight":1,"files":[{"uri":"https://database.ich.org/E{k}_Presentation.pptx","mimetype":"application/vnd.ms-powerpoint"}]}]',
+    1: '[{"title":"Step 4 Presentation","weight":3,"files":[{"uri":"https://database.ich.org/E{k}.pptx","mimetype":"application/vnd.ms-powerpoint"}]},'
+       '{"title":"Training","weight":1,"files":[{"uri":"https://database.ich.org/E{k}_Training.mp4","mimetype":"video/mp4"}]}]',
+    2: '[]',
+    3: '[{"title":"Guideline","weight":5,"files":[{"uri":"https://database.ich.org/E{k}.docx","mimetype":"application/msword"}]},'
+       '{"title":"Q&A","files":[{"uri":"https://database.ich.org/E{k}_QA.pdf","mimetype":"application/pdf"}]}]',
+    4: '[{"title":"Draft","weight":1,"files":[]},{"title":"Other","weight":2,"files":[{"mimetype":"text/html"}]},'
+       '{"title":"Annex","weight":3,"files":[{"uri":"https://database.ich.org/E{k}_Annex.pdf"}]}]',
+    5: '[{"title":"Other","weight":2,"files":[{"mimetype":"text/html"}]}]',
+    6: '[{"title":"guideline ","files":[{"uri":"https://database.ich.org/E{k}.PDF","mimetype":"application/pdf"}]}]',
+}
+# Expected (uri template or None, format) of the primary document per case.
+_FG_EXPECTED = {0: ("https://database.ich.org/E{k}_Guideline.pdf", "PDF"), 1: ("https://database.ich.org/E{k}_Training.mp4", "VIDEO"),
+                2: (None, None), 3: ("https://database.ich.org/E{k}.docx", "DOCX"), 4: ("https://database.ich.org/E{k}_Annex.pdf", "PDF"),
+                5: (None, "text/html"), 6: ("https://database.ich.org/E{k}.PDF", "PDF")}
+GROUP = 25
+
+
+def landed_ich_trees(spark, sf_dir):
+    """S5 landing: one efficacy-page payload per 25 documents, leaves nested 0-2 levels deeper by chunk."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k = F.col("doc_id")
+    ks = k.cast("string")
+    code = F.when(k % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("E"), ks))
+    title = F.when(k % 11 == 0, code).otherwise(clean_text(F.substring("text", 1, 40)))
+    end = F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int"))
+    deadline = F.concat(F.lit("Deadline for comments by "), F.dayofmonth(end).cast("string"), F.lit(" "),
+                        pick(MONTH_NAMES, F.month(end) - 1), F.lit(" "), F.year(end).cast("string"), F.lit("; see notes"))
+    details = F.struct(raw_date_text(k, F.date_add(F.lit("2020-01-01").cast("date"), (k % 2400).cast("int"))).alias("stepDate"),
+                       F.when(k % 4 == 0, F.lit("<b>Draft  Guideline</b>")).otherwise(F.lit("")).alias("infoTitle"),
+                       F.array(F.struct(deadline.alias("text")), F.struct(F.lit("Note").alias("text")),
+                               F.struct(F.lit("Deadline for comments by 1 January 2024").alias("text"))).alias("info"))
+    head = F.to_json(F.struct(code.alias("code"), title.alias("title"),
+                              F.concat(F.lit("<p>"), F.substring("text", 1, 120), F.lit("</p>")).alias("description"),
+                              pick(_STATUS, k % 6).alias("status"),
+                              F.when(k % 5 != 0, details).alias("details")))
+    fg = F.replace(pick([_FG[i] for i in range(7)], k % 7), F.lit("{k}"), ks)
+    leaf = F.concat(F.substring(head, 1, F.length(head) - 1), F.lit(',"fileGroups":'), fg, F.lit("}"))
+    leaves = d.select((k / GROUP).cast("long").alias("c"), k.alias("k"), leaf.alias("j"))
+    g = leaves.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "j"))).alias("rows"))
+    items = F.concat(F.lit('{"title":"Efficacy Guidelines","items":['),
+                     F.array_join(F.transform("rows", lambda r: r["j"]), ","), F.lit('],"code":"X","extra":{"code":"Y"}}'))
+    c = F.col("c")
+    wrapped = (F.when(c % 3 == 0, items).when(c % 3 == 1, F.concat(F.lit('{"items":['), items, F.lit("]}")))
+               .otherwise(F.concat(F.lit('{"group":{"items":[{"items":['), items, F.lit("]}]}}"))))
+    updated = F.when(c % 2 == 0, F.lit("2025-08-12T10:00:00+02:00")).otherwise(F.lit("2025-08-11"))
+    payload = F.concat(F.lit('{"items":[{"bundleInfo":{"updated":"'), updated,
+                       F.lit('"},"mainWidgets":{"items":[{"accordions":{"items":['), wrapped, F.lit("]}}]}}]}"))
+    return g.select(c.alias("tree_id"), payload.alias("payload"))
+
+
+@register("tree_walk_guidelines", lambda: _sql_ich())
+def tree_walk_guidelines(spark, sf_dir):
+    """S5 + W7 + A8 + F24 + F6: every guideline object at any depth of each page -> ICH catalog rows."""
+    trees = landed_ich_trees(spark, sf_dir)
+    page = F.try_variant_get(F.try_parse_json("payload"), "$.items[0]", "variant")
+    pages = trees.select("tree_id", page.alias("page")).filter(
+        F.try_variant_get("page", "$", "map<string,variant>").isNotNull())
+    objs = FD.walk_objects(pages, "tree_id", "page")
+    rows = FD.ich_catalog(FD.ich_documents(objs, pages, "tree_id"), "tree_id", AS_OF_DATE)
+    return rows.select("reference_number", "title", "document_url", "document_format", "published_date", "updated_date",
+                       "comment_end_date", "status_raw", "status_normalized", "sub_status", "topic_normalized", "summary")
+
+
+def _sql_ich() -> str:
+    code = "'E' || CAST(doc_id AS VARCHAR)"
+    title0 = f"CASE WHEN doc_id % 11 = 0 THEN {code} ELSE {S.clean('substr(text, 1, 40)')} END"
+    end = "(DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER))"
+    step = S.raw_date_text("doc_id", "(DATE '2020-01-01' + CAST(doc_id % 2400 AS INTEGER))")
+    uri = "CASE doc_id % 7 " + " ".join(
+        f"WHEN {i} THEN " + ("NULL" if u is None else f"replace({S.q(u)}, '{{k}}', CAST(doc_id AS VARCHAR))")
+        for i, (u, _f) in _FG_EXPECTED.items()) + " END"
+    fmt = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {S.q(f)}" for i, (_u, f) in _FG_EXPECTED.items()) + " END"
+    desc = "'<p>' || coalesce(substr(text, 1, 120), '') || '</p>'"
+    summ = f"coalesce(nullif({S.normalize_ws(SH.fragment_text(S.clean(desc)))}, ''), 'Not available.')"
+    status = f"{S.lst(_STATUS)}[doc_id % 6 + 1]"
+    info_title = "CASE WHEN doc_id % 5 <> 0 AND doc_id % 4 = 0 THEN 'Draft Guideline' END"
+    return f"""WITH b AS (SELECT doc_id, {code} AS code, {title0} AS t0, {summ} AS summary,
+  concat_ws(' - ', nullif({status}, ''), {info_title}) AS sr0,
+  CASE WHEN doc_id % 5 <> 0 THEN greatest({end}, DATE '2024-01-01') END AS comment_end_date,
+  CASE WHEN doc_id % 5 <> 0 THEN {S.date_chain(S.clean(step), S.CATALOG_CHAIN)} END AS published_date,
+  CASE WHEN (doc_id // {GROUP}) % 2 = 0 THEN DATE '2025-08-12' ELSE DATE '2025-08-11' END AS updated_date,
+  {uri} AS document_url, {fmt} AS document_format FROM documents WHERE doc_id % 17 <> 0),
+c AS (SELECT *, CASE WHEN coalesce(t0, '') = '' OR t0 = code THEN 'ICH ' || code ELSE 'ICH ' || code || ' - ' || t0 END AS title,
+  nullif(sr0, '') AS status_raw FROM b),
+d AS (SELECT *, {S.status_index('title', 'status_raw', "'ICH'", 'comment_end_date')} AS si FROM c)
+SELECT code AS reference_number, title, document_url, document_format, published_date, updated_date, comment_end_date, status_raw,
+  {S.status_of('si')} AS status_normalized, {S.sub_status_of('si')} AS sub_status,
+  {S.topic('title', "'Efficacy'", 'summary')} AS topic_normalized, summary FROM d"""

@@ -245,7 +245,7 @@ def first_value(m: Column, keys: list[str]) -> Column:
     parts = []
     for k in keys:
         exact = F.element_at(m, F.lit(k))
-        anycase = F.element_at(F.map_values(F.map_filter(m, lambda kk, _v: F.lower(kk) == F.lit(k.lower()))), -1)
+        anycase = F.try_element_at(F.map_values(F.map_filter(m, lambda kk, _v: F.lower(kk) == F.lit(k.lower()))), F.lit(-1))
         v = clean_text(F.coalesce(exact, anycase))
         parts.append(F.when(v != "", v))
     return F.coalesce(*parts, F.lit(""))
@@ -301,6 +301,9 @@ def walk_objects(roots: DataFrame, id_col: str, v_col: str, max_depth: int = 256
     """
     level = roots.select(F.col(id_col).alias("_id"), F.array().cast("array<string>").alias("path"),
                          F.col(v_col).alias("node"))
+    # Each level is a union of two branches; coalescing back to the roots' partition count
+    # (no shuffle) keeps the task count flat instead of doubling per level.
+    n_parts = max(1, roots.rdd.getNumPartitions())
     found = []
     for _ in range(max_depth):
         m = F.try_variant_get(F.col("node"), "$", "map<string,variant>")
@@ -313,12 +316,12 @@ def walk_objects(roots: DataFrame, id_col: str, v_col: str, max_depth: int = 256
         nxt = from_obj.unionByName(from_arr)
         nxt = nxt.filter(F.try_variant_get("child", "$", "map<string,variant>").isNotNull()
                          | F.try_variant_get("child", "$", "array<variant>").isNotNull())
-        nxt = nxt.select("_id", "path", F.col("child").alias("node")).checkpoint(eager=True)
+        nxt = nxt.select("_id", "path", F.col("child").alias("node")).coalesce(n_parts).checkpoint(eager=True)
         if nxt.isEmpty():
             out = found[0]
             for f in found[1:]:
                 out = out.unionByName(f)
-            return out.withColumnRenamed("_id", id_col)
+            return out.coalesce(n_parts).withColumnRenamed("_id", id_col)
         level = nxt
     raise ValueError(f"tree deeper than {max_depth} levels")
 
@@ -344,8 +347,9 @@ def primary_document(file_groups: Column) -> Column:
     the last such candidate without one.
     """
     groups = F.try_variant_get(file_groups, "$", FILE_GROUPS_TYPE)
-    ranked = F.transform(groups, lambda g, i: F.struct(F.coalesce(g["weight"], F.lit(0)).alias("w"), i.alias("i"), g.alias("g")))
-    ordered = F.array_sort(ranked)
+    keys = F.array_sort(F.transform(groups, lambda g, i: F.struct(F.coalesce(g["weight"], F.lit(0)).alias("w"), i.alias("i"))))
+    ordered = F.transform(keys, lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"),
+                                                   F.element_at(groups, x["i"] + 1).alias("g")))
     eligible = F.filter(ordered, lambda x: x["g"].isNotNull() & (F.size(x["g"]["files"]) > 0))
 
     def cand(x):

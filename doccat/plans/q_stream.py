@@ -1 +1,36 @@
-"""Placeholder."""
+"""Streaming upsert final state (T1) equals the batch fold of runs v1 and v2."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from doccat.operators.store import read_current
+from doccat.plans.q_upsert import _sql_two_runs, batch_v1, batch_v2
+from doccat.plans.registry import register
+from doccat.session import scratch_path
+from doccat.sources.adapter import RUN_TS_V1, RUN_TS_V2
+from doccat.streaming.upsert_stream import stream_upsert
+
+
+def land_runs(spark, sf_dir, landing):
+    """Write runs v1 and v2 as landed parquet batches (each row carries its run_ts)."""
+    for n, (b, ts) in enumerate([(batch_v1(spark, sf_dir), RUN_TS_V1), (batch_v2(spark, sf_dir), RUN_TS_V2)], start=1):
+        b.withColumn("run_ts", F.lit(ts).cast("timestamp_ntz")).write.mode("errorifexists").parquet(f"{landing}/batch={n}")
+
+
+@register("stream_upsert_final_state", lambda: _sql_two_runs("SELECT * FROM v2"))
+def stream_upsert_final_state(spark, sf_dir):
+    """Runs landed as files, upserted by a file stream with foreachBatch; the last committed version."""
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    landing = f"{base}/landing"
+    land_runs(spark, sf_dir, landing)
+    schema = spark.read.parquet(landing).schema
+    stream_upsert(spark, landing, schema, f"{base}/catalog", f"{base}/_checkpoint")
+    return read_current(spark, f"{base}/catalog").select(*[c for c in batch_columns()])
+
+
+def batch_columns():
+    from doccat.functions.rules import CATALOG_EXPORT_COLUMNS
+    return CATALOG_EXPORT_COLUMNS

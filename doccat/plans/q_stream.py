@@ -14,10 +14,13 @@ from doccat.sources.adapter import RUN_TS_V1, RUN_TS_V2
 from doccat.streaming.upsert_stream import stream_upsert
 
 
-def land_runs(spark, sf_dir, landing):
-    """Write runs v1 and v2 as landed parquet batches (each row carries its run_ts)."""
-    for n, (b, ts) in enumerate([(batch_v1(spark, sf_dir), RUN_TS_V1), (batch_v2(spark, sf_dir), RUN_TS_V2)], start=1):
-        b.withColumn("run_ts", F.lit(ts).cast("timestamp_ntz")).write.mode("errorifexists").parquet(f"{landing}/batch={n}")
+def land_runs(spark, sf_dir, landing, which=(1, 2)):
+    """Write runs v1 and/or v2 as landed parquet batches (each row carries its run_ts), one write per run."""
+    runs = {1: (batch_v1, RUN_TS_V1), 2: (batch_v2, RUN_TS_V2)}
+    for n in which:
+        build, ts = runs[n]
+        (build(spark, sf_dir).withColumn("run_ts", F.lit(ts).cast("timestamp_ntz"))
+         .write.mode("errorifexists").parquet(f"{landing}/batch={n}"))
 
 
 @register("stream_upsert_final_state", lambda: _sql_two_runs("SELECT * FROM v2"))

@@ -7,6 +7,9 @@ into the current catalog version and commits version ``batch_id + 1``.
 * Idempotent: a replayed micro-batch whose version already exists is skipped,
   so a replay can never turn ``updated`` into ``unchanged``.
 * Lineage is cut at every version: the next batch reads the committed parquet.
+* A run must reach the stream whole: land it with one write (its files appear
+  together at commit) and do not cap files per trigger below a run, because
+  last-write-wins inside a run needs all of the run's rows at once.
 * Executor loss inside a batch only re-runs tasks; driver loss resumes from the
   stream checkpoint (a folder under the shared checkpoint location).
 """

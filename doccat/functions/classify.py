@@ -104,3 +104,58 @@ def open_for_comment_flag(status: Column) -> Column:
     """'Yes' when the status text mentions draft or consultation, else ''."""
     low = F.lower(F.coalesce(status, F.lit("")))
     return F.when(low.contains("draft") | low.contains("consultation"), F.lit("Yes")).otherwise(F.lit(""))
+
+
+# ---------------------------------------------------------------- staged forms (keep generated code small)
+
+
+def _status_index_on_text(text: Column, agency_key: Column, end: Column, as_of) -> Column:
+    as_of_d = _as_date(as_of)
+    expr = None
+    for i, (rule_agency, keywords, extra, _status, _sub) in enumerate(STATUS_RULES, start=1):
+        cond = _any_contains(text, keywords)
+        if rule_agency is not None:
+            cond = (agency_key == F.lit(rule_agency)) & cond
+        if extra == "end_on_or_after_as_of":
+            cond = cond & end.isNotNull() & (end >= as_of_d)
+        elif extra == "end_missing_or_on_or_after_as_of":
+            cond = cond & (end.isNull() | (end >= as_of_d))
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr.otherwise(F.lit(0))
+
+
+def with_status(df, title: str, status_raw: str, agency: str | Column, comment_end_date: str | Column, as_of,
+                pmda: bool = False, out: tuple[str, str] = ("status_normalized", "sub_status")):
+    """F12 as staged projections: lower-cased text once, then the rule index, then the outputs.
+
+    Each stage is its own projection; the text is referenced by every rule, so
+    Catalyst keeps it materialised instead of inlining it into ~30 branches
+    (which would overflow the 64 KB generated-method limit and lose codegen).
+    """
+    ag = F.col(agency) if isinstance(agency, str) else agency
+    end = F.col(comment_end_date) if isinstance(comment_end_date, str) else comment_end_date
+    d = df.withColumn("_st_text", F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "),
+                                                    F.coalesce(F.col(status_raw), F.lit("")))))
+    d = d.withColumn("_st_agency", F.upper(F.coalesce(ag, F.lit(""))))
+    d = d.withColumn("_st_idx", _status_index_on_text(F.col("_st_text"), F.col("_st_agency"), end, as_of))
+    statuses = F.array(F.lit(STATUS_DEFAULT), *[F.lit(r[3]) for r in STATUS_RULES])
+    subs = F.array(F.lit(None).cast("string"), *[F.lit(r[4]).cast("string") for r in STATUS_RULES])
+    d = d.withColumn(out[0], F.element_at(statuses, F.col("_st_idx") + 1)).withColumn(
+        out[1], F.element_at(subs, F.col("_st_idx") + 1))
+    if pmda:
+        st, sub = pmda_adjust(F.col(out[0]), F.col(out[1]), F.col(title), F.col("_st_agency"))
+        d = d.withColumn(out[1], sub).withColumn(out[0], st)
+    return d.drop("_st_text", "_st_agency", "_st_idx")
+
+
+def with_topic(df, title: str | Column, topic_raw: str | Column, summary: str | Column, out: str = "topic_normalized"):
+    """F13 as staged projections (text once, then the CASE)."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    d = df.withColumn("_tp_text", F.lower(F.concat_ws(" ", F.coalesce(c(title), F.lit("")),
+                                                      F.coalesce(c(topic_raw), F.lit("")),
+                                                      F.coalesce(c(summary), F.lit("")))))
+    expr = None
+    for topic, keywords in TOPIC_RULES:
+        cond = _any_contains(F.col("_tp_text"), keywords)
+        expr = F.when(cond, F.lit(topic)) if expr is None else expr.when(cond, F.lit(topic))
+    return d.withColumn(out, expr.otherwise(F.lit(TOPIC_DEFAULT))).drop("_tp_text")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.functions.classify import status_columns, topic_column
+from doccat.functions.classify import with_status, with_topic
 from doccat.functions.dates import parse_date
 from doccat.functions.rules import (
     CDE_ALLOWED_PRODUCT_AREAS,
@@ -226,6 +226,5 @@ def legacy_to_catalog(records: DataFrame, as_of: str) -> DataFrame:
         F.nullif(F.col("docket_number"), F.lit("")).alias("reference_number"),
         F.lit(False).alias("needs_manual_review"),
     )
-    st, sub = status_columns(F.col("title"), F.col("status_raw"), F.col("agency"), F.col("comment_end_date"), as_of)
-    return x.withColumn("status_normalized", st).withColumn("sub_status", sub).withColumn(
-        "topic_normalized", topic_column(F.col("title"), F.col("topic_raw"), F.col("summary")))
+    x = with_status(x, "title", "status_raw", "agency", "comment_end_date", as_of)
+    return with_topic(x, "title", "topic_raw", "summary")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doccat.functions.classify import pmda_adjust, status_columns, topic_column
+from doccat.functions.classify import with_status, with_topic
 from doccat.functions.rules import AGENCIES, JURISDICTION, NOT_AVAILABLE
 from doccat.functions.text import clean_text
 from doccat.functions.urls import document_format, reference_number
@@ -68,10 +68,9 @@ def catalog_from_documents(documents: DataFrame, as_of: str = AS_OF_DATE) -> Dat
          ).alias("document_url"),
         F.coalesce(F.nullif(clean_text(F.substring(text, 1, 400)), F.lit("")), F.lit(NOT_AVAILABLE)).alias("summary"),
     )
-    status, sub = status_columns(F.col("title"), F.col("status_raw"), F.col("agency"),
-                                 F.col("comment_end_date"), as_of)
-    status, sub = pmda_adjust(status, sub, F.col("title"), F.col("agency"))
-    return base.select(
+    staged = with_status(base, "title", "status_raw", "agency", "comment_end_date", as_of, pmda=True)
+    staged = with_topic(staged, "title", "topic_raw", "summary")
+    return staged.select(
         "ord", "doc_id", "title", "agency",
         jurisdiction(F.col("agency")).alias("jurisdiction"),
         "source_page_url", "document_url",
@@ -79,11 +78,7 @@ def catalog_from_documents(documents: DataFrame, as_of: str = AS_OF_DATE) -> Dat
         "published_date",
         F.lit(None).cast("date").alias("updated_date"),
         F.lit(None).cast("date").alias("comment_start_date"),
-        "comment_end_date", "status_raw",
-        status.alias("status_normalized"),
-        sub.alias("sub_status"),
-        "topic_raw",
-        topic_column(F.col("title"), F.col("topic_raw"), F.col("summary")).alias("topic_normalized"),
+        "comment_end_date", "status_raw", "status_normalized", "sub_status", "topic_raw", "topic_normalized",
         F.lit(None).cast("string").alias("product_area"),
         "summary", "language",
         F.when(F.col("document_url").isNotNull(), reference_number(F.col("document_url"))).alias("reference_number"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.functions.classify import split_title_status, status_columns, topic_column
+from doccat.functions.classify import split_title_status, with_status, with_topic
 from doccat.functions.dates import (
     DEADLINE,
     legacy_iso_date,
@@ -189,15 +189,16 @@ def ema_documents(rows: DataFrame) -> DataFrame:
     name, status_raw = split_title_status(F.col("raw_title"))
     r = r.select("*", name.alias("title"), status_raw.alias("status_raw"))
     summary = F.when(F.col("_summary") != "", F.col("_summary")).otherwise(F.lit(NOT_AVAILABLE))
-    st, sub = status_columns(F.col("title"), F.col("status_raw"), F.lit("EMA"), F.lit(None).cast("date"), "1970-01-01")
+    r = r.withColumn("summary", summary)
+    r = with_status(r, "title", "status_raw", F.lit("EMA"), F.lit(None).cast("date"), "1970-01-01")
+    r = with_topic(r, "title", "topic_raw", "summary")
     return r.select(
         "page", "pos", "title", F.lit("EMA").alias("agency"), F.lit("EU").alias("jurisdiction"), "source_page_url",
         parse_date_day_first(F.col("_pub")).alias("published_date"),
         parse_date_day_first(F.col("_upd")).alias("updated_date"),
         parse_date_day_first(range_end(F.col("_cons"))).alias("comment_end_date"),
-        "status_raw", st.alias("status_normalized"), sub.alias("sub_status"), "topic_raw",
-        topic_column(F.col("title"), F.col("topic_raw"), summary).alias("topic_normalized"),
-        summary.alias("summary"), F.lit("EN").alias("language"),
+        "status_raw", "status_normalized", "sub_status", "topic_raw", "topic_normalized",
+        "summary", F.lit("EN").alias("language"),
         F.when(F.col("_ref") != "", F.col("_ref")).alias("reference_number"))
 
 
@@ -273,15 +274,17 @@ def cde_items(items: DataFrame, map_col: str = "item") -> DataFrame:
     fmt = F.coalesce(fmt, cde_format(doc_url))
     summary = F.when(F.col("_summary") != "", F.col("_summary")).otherwise(F.lit(NOT_AVAILABLE))
     area = F.when(F.col("_product_area") != "", F.col("_product_area"))
-    st, sub = status_columns(F.col("_title"), F.col("_status"), F.lit("CDE"), F.lit(None).cast("date"), "1970-01-01")
     keep = [c for c in items.columns if c != map_col]
+    x = x.withColumn("_summary_out", summary).withColumn("_area", area)
+    x = with_status(x, "_title", "_status", F.lit("CDE"), F.lit(None).cast("date"), "1970-01-01")
+    x = with_topic(x, "_title", "_area", "_summary_out")
     return x.select(
         *keep, F.col("_title").alias("title"), F.lit("CDE").alias("agency"), F.lit("China").alias("jurisdiction"),
         src.alias("source_page_url"), doc_url.alias("document_url"), fmt.alias("document_format"),
         parse_date(F.col("_published")).alias("published_date"), parse_date(F.col("_updated")).alias("updated_date"),
-        F.col("_status").alias("status_raw"), st.alias("status_normalized"), sub.alias("sub_status"),
-        area.alias("topic_raw"), topic_column(F.col("_title"), area, summary).alias("topic_normalized"),
-        area.alias("product_area"), summary.alias("summary"), F.lit("ZH").alias("language"),
+        F.col("_status").alias("status_raw"), "status_normalized", "sub_status",
+        F.col("_area").alias("topic_raw"), "topic_normalized",
+        F.col("_area").alias("product_area"), F.col("_summary_out").alias("summary"), F.lit("ZH").alias("language"),
         F.when(F.col("_code") != "", F.col("_code")).alias("reference_number"),
         F.coalesce(F.when(F.col("_code") != "", F.col("_code")), F.when(F.col("_dedupe_title") != "", F.col("_dedupe_title")),
                    F.lit("")).alias("dedupe_key"))
@@ -404,11 +407,11 @@ def ich_documents(objects: DataFrame, pages: DataFrame, id_col: str) -> DataFram
 
 
 def ich_catalog(x: DataFrame, id_col: str, as_of: str) -> DataFrame:
-    st, sub = status_columns(F.col("title"), F.col("status_raw"), F.lit("ICH"), F.col("comment_end_date"), as_of)
+    x = with_status(x, "title", "status_raw", F.lit("ICH"), "comment_end_date", as_of)
+    x = with_topic(x, "title", F.lit("Efficacy"), "summary")
     return x.select(
         id_col, "path", "title", F.lit("ICH").alias("agency"), F.lit("International").alias("jurisdiction"),
         F.lit(ICH_EFFICACY_URL).alias("source_page_url"), F.col("_doc.uri").alias("document_url"),
         F.col("_doc.format").alias("document_format"), "published_date", "updated_date", "comment_end_date",
-        "status_raw", st.alias("status_normalized"), sub.alias("sub_status"), F.lit("Efficacy").alias("topic_raw"),
-        topic_column(F.col("title"), F.lit("Efficacy"), F.col("summary")).alias("topic_normalized"),
+        "status_raw", "status_normalized", "sub_status", F.lit("Efficacy").alias("topic_raw"), "topic_normalized",
         F.lit("Efficacy").alias("product_area"), "summary", F.lit("EN").alias("language"), "reference_number")

@@ -258,3 +258,43 @@ def carry_forward(events: DataFrame, id_col: str, levels: list[str], target: str
         cols.append(F.when(F.col(f"_l_{lv}.k") == key, F.col(f"_l_{lv}.t")).otherwise(F.lit("")).alias(f"{lv}_text"))
     rest = [c for c in events.columns if c not in (id_col, "pos", "tag")]
     return out.filter(F.col("tag") == target).select(id_col, "pos", *rest, *cols)
+
+
+# ---------------------------------------------------------------- S8 table rows, W8 first date / area
+
+TR_OPEN = r"(?i)<tr[\s>]"
+CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]\s*>"
+
+
+def first_parseable_date(cells: Column) -> Column:
+    """The first cell that parses as a catalog date."""
+    from doccat.functions.dates import parse_date
+    return F.try_element_at(F.filter(F.transform(cells, lambda c: parse_date(c)), lambda d: d.isNotNull()), F.lit(1))
+
+
+def first_matching_area(cells: Column, areas: list[str]) -> Column:
+    """The first allowed product area found in the cells (cells in order, areas in order)."""
+    def hit(c):
+        return F.coalesce(*[F.when(c.contains(a), F.lit(a)) for a in areas])
+    return F.try_element_at(F.filter(F.transform(cells, hit), lambda a: a.isNotNull()), F.lit(1))
+
+
+def table_rows(html: Column, base: str) -> Column:
+    """``tr`` rows with at least two cells and a link -> array<struct<title, url, cells>>.
+
+    Title is the link text, else the first cell; the link is made absolute.
+    A row ends at the next ``<tr``; cells are ``td``/``th`` contents as text.
+    """
+    rows = F.slice(F.split(strip_noise(html), TR_OPEN), 2, 1 << 30)
+
+    def row(r, i):
+        cells = F.transform(F.regexp_extract_all(r, F.lit(CELL), 1), lambda c: fragment_text(c))
+        href = F.regexp_extract(r, r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>""", 1)
+        text = fragment_text(F.regexp_extract(r, ANCHOR, 2))
+        title = F.when(text != "", text).otherwise(F.try_element_at(cells, F.lit(1)))
+        from doccat.functions.urls import absolute_url
+        return F.struct(i.alias("row_pos"), title.alias("title"), F.when(href != "", absolute_url(href, base)).alias("url"),
+                        cells.alias("cells"), (href != "").alias("_has_link"))
+
+    parsed = F.transform(rows, row)
+    return F.filter(parsed, lambda x: (F.size(x["cells"]) >= 2) & x["_has_link"] & (F.coalesce(x["title"], F.lit("")) != ""))

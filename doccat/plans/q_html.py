@@ -394,3 +394,51 @@ def link_documents(spark, sf_dir):
 def _file_size():
     from doccat.functions.text import FILE_SIZE_SUFFIX
     return FILE_SIZE_SUFFIX
+
+
+# ---------------------------------------------------------------- S8 / W8 table rows
+
+_TABLE = ('<table><tr><th>标题</th><th>发布日期</th><th>分类</th></tr>'
+          '<tr><td><a href="/zdyz/domesticinfopage?zdyzIdCODE=P{id}">指导原则 {id}</a></td><td>n/a</td><td>2024-03-1{d}</td><td>生物制品 化学药</td></tr>'
+          '<tr><td>无链接</td><td>2024-01-01</td></tr>'
+          '<tr><td><a href="detail/{id}.html"></a>附件 {id}</td><td>06/0{d}/2023</td></tr>'
+          '<tr><td><a href="/x">only one cell</a></td></tr></table>')
+
+
+def _table_pages(p):
+    t = F.replace(F.replace(F.lit(_TABLE), F.lit("{id}"), F.col("page_id").cast("string")), F.lit("{d}"),
+                  (F.col("page_id") % 9 + 1).cast("string"))
+    return p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat("html", t)).otherwise(F.col("html")).alias("html"))
+
+
+def _sql_table_rows() -> str:
+    from doccat.functions.rules import CDE_ALLOWED_PRODUCT_AREAS
+    from doccat.sources.feeds import CDE_BASE_URL
+    cell_re = H.CELL
+    t = (f"replace(replace({S.q(_TABLE)}, '{{id}}', CAST(page_id AS VARCHAR)), '{{d}}', CAST(page_id % 9 + 1 AS VARCHAR))")
+    rows = f"list_slice(string_split_regex({SH.strip_noise('h')}, {S.q(H.TR_OPEN)}), 2, 1000000)"
+    href = "regexp_extract(r, '(?is)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"[^>]*>', 1)"
+    text = SH.fragment_text(f"regexp_extract(r, {S.q(H.ANCHOR)}, 2)")
+    cells = f"list_transform(regexp_extract_all(r, {S.q(cell_re)}, 1), lambda c: {SH.fragment_text('c')})"
+    area_hit = "coalesce(" + ", ".join(f"CASE WHEN contains(c, {S.q(a)}) THEN {S.q(a)} END" for a in CDE_ALLOWED_PRODUCT_AREAS) + ")"
+    dates = f"list_filter(list_transform(cells, lambda c: {S.date_chain(S.clean('c'), S.CATALOG_CHAIN)}), lambda x: x IS NOT NULL)[1]"
+    return f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html || {t} ELSE html END AS h FROM pages),
+r AS (SELECT page_id, pos - 1 AS row_pos, r FROM p, unnest({rows}) WITH ORDINALITY AS u(r, pos)),
+c AS (SELECT page_id, row_pos, {cells} AS cells, {href} AS href, {text} AS text FROM r),
+d AS (SELECT *, CASE WHEN text <> '' THEN text ELSE cells[1] END AS title FROM c)
+SELECT page_id, row_pos, title, {SH.absolute('href', S.q(CDE_BASE_URL))} AS source_page_url,
+  {dates} AS published_date,
+  list_filter(list_transform(cells, lambda c: {area_hit}), lambda a: a IS NOT NULL)[1] AS product_area
+FROM d WHERE len(cells) >= 2 AND href <> '' AND coalesce(title, '') <> ''"""
+
+
+@register("html_table_rows", _sql_table_rows)
+def html_table_rows(spark, sf_dir):
+    """S8 + W8: table rows with two or more cells and a link; first parseable date and first allowed area."""
+    from doccat.functions.rules import CDE_ALLOWED_PRODUCT_AREAS
+    from doccat.sources.feeds import CDE_BASE_URL
+    p = _table_pages(pages(spark, sf_dir))
+    x = p.select("page_id", F.explode(H.table_rows(F.col("html"), CDE_BASE_URL)).alias("r"))
+    return x.select("page_id", F.col("r.row_pos").alias("row_pos"), F.col("r.title").alias("title"), F.col("r.url").alias("source_page_url"),
+                    H.first_parseable_date(F.col("r.cells")).alias("published_date"),
+                    H.first_matching_area(F.col("r.cells"), CDE_ALLOWED_PRODUCT_AREAS).alias("product_area"))

@@ -95,15 +95,18 @@ def fda_static_rows(files: DataFrame, payload_col: str = "payload", file_col: st
     return files.select(file_col, F.posexplode(F.try_variant_get(v, "$", "array<variant>")).alias("pos", "row"))
 
 
-def fda_row_cells(row: Column) -> Column:
+def fda_row_cells(row: Column, arr: Column | None = None, obj: Column | None = None,
+                  is_obj: Column | None = None) -> Column:
     """a row (array of up to 9 cells, or object keyed by aliases) -> struct of 9 cell strings.
 
     Arrays are padded with ''; objects take the first *present* key even when
     its value is empty; other JSON types give a null struct (rejected rows).
+    Pass ``arr`` / ``obj`` / ``is_obj`` already projected (see ``parse_fda_rows``)
+    to evaluate the JSON conversions once per row.
     """
-    arr = F.try_variant_get(row, "$", "array<variant>")
-    obj = F.from_json(F.to_json(row), "map<string,string>")
-    is_obj = F.try_variant_get(row, "$", "map<string,variant>").isNotNull()
+    arr = F.try_variant_get(row, "$", "array<variant>") if arr is None else arr
+    obj = F.from_json(F.to_json(row), "map<string,string>") if obj is None else obj
+    is_obj = F.try_variant_get(row, "$", "map<string,variant>").isNotNull() if is_obj is None else is_obj
     fields = []
     for i, (name, keys) in enumerate(FDA_CELL_KEYS):
         from_arr = F.coalesce(F.try_variant_get(row, f"$[{i}]", "string"), F.lit(""))
@@ -154,8 +157,13 @@ def fda_record(cells: Column) -> list[Column]:
 
 def parse_fda_rows(rows: DataFrame, order_cols: list[str]) -> DataFrame:
     """Rows -> legacy records (rejects: rows of an unsupported JSON type are dropped)."""
-    c = rows.select(*order_cols, fda_row_cells(F.col("row")).alias("cells")).filter(F.col("cells").isNotNull())
-    return c.select(*order_cols, *fda_record(F.col("cells")))
+    staged = rows.select(*order_cols, "row", F.try_variant_get("row", "$", "array<variant>").alias("_arr"),
+                         F.from_json(F.to_json("row"), "map<string,string>").alias("_obj"),
+                         F.try_variant_get("row", "$", "map<string,variant>").isNotNull().alias("_is_obj"))
+    c = staged.select(*order_cols, fda_row_cells(F.col("row"), F.col("_arr"), F.col("_obj"), F.col("_is_obj")).alias("cells"))
+    c = c.filter(F.col("cells").isNotNull()).select(*order_cols, "cells.*")
+    cells = {name: F.col(name) for name, _k in FDA_CELL_KEYS}
+    return c.select(*order_cols, *fda_record(cells))
 
 
 # ---------------------------------------------------------------- EMA feed

@@ -237,27 +237,40 @@ def heading_events(elements: DataFrame, id_col: str, levels: list[str], target:
             .select(id_col, "pos", "tag", F.coalesce("text", F.lit("")).alias("text"), "href"))
 
 
-def carry_forward(events: DataFrame, id_col: str, levels: list[str], target: str) -> DataFrame:
+def carry_forward(events: DataFrame, id_col: str, levels: list[str], target: str,
+                  chunk_size: int = 1 << 20) -> DataFrame:
     """Each ``target`` row gets, per level, the latest heading text before it ('' when none).
 
-    A heading resets all lower levels.  Every window is partitioned by the
-    page/conversation id only (one exchange shared by all), ordered by ``pos``;
-    the reset is checked by comparing running counts of higher headings.
+    A heading resets all lower levels.  Level i's value is the last heading of
+    level <= i before the row when that heading is of level i, else '' - a
+    last-non-null scan, which is associative, so it is computed as a chunked
+    segmented scan: windows run over (id, pos div chunk_size), so one hot page or
+    conversation (say a third of all rows) is spread over many tasks; a tiny
+    per-chunk summary then carries the state across the chunks of an id.
     """
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = events
-    for lv in levels:
-        out = out.withColumn(f"_n_{lv}", F.sum(F.when(F.col("tag") == lv, 1).otherwise(0)).over(w))
-    cols = []
-    for i, lv in enumerate(levels):
-        higher = [F.col(f"_n_{h}") for h in levels[:i]]
-        key = F.struct(*higher) if higher else F.lit(0)
-        last = F.last(F.when(F.col("tag") == lv, F.struct(key.alias("k"), F.col("text").alias("t"))),
-                      ignorenulls=True).over(w)
-        out = out.withColumn(f"_l_{lv}", last)
-        cols.append(F.when(F.col(f"_l_{lv}.k") == key, F.col(f"_l_{lv}.t")).otherwise(F.lit("")).alias(f"{lv}_text"))
+    lv = None
+    for i, name in enumerate(levels, start=1):
+        lv = F.when(F.col("tag") == name, F.lit(i)) if lv is None else lv.when(F.col("tag") == name, F.lit(i))
+    e = events.withColumn("_lv", lv).withColumn("_chunk", F.floor(F.col("pos") / F.lit(chunk_size)))
+    w = Window.partitionBy(id_col, "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = len(levels)
+    for i in range(1, m + 1):
+        e = e.withColumn(f"_w{i}", F.last(F.when(F.col("_lv") <= i, F.struct(F.col("_lv").alias("l"), F.col("text").alias("t"))),
+                                          ignorenulls=True).over(w))
+    # every chunk gets a summary row (null when it holds no heading) so that every chunk gets its carry-in
+    summary = e.groupBy(id_col, "_chunk").agg(*[
+        F.max_by(F.when(F.col("_lv") <= i, F.struct(F.col("_lv").alias("l"), F.col("text").alias("t"))),
+                 F.when(F.col("_lv") <= i, F.col("pos"))).alias(f"_s{i}") for i in range(1, m + 1)])
+    wc = Window.partitionBy(id_col).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(id_col, "_chunk", *[F.last(f"_s{i}", ignorenulls=True).over(wc).alias(f"_c{i}")
+                                               for i in range(1, m + 1)])
     rest = [c for c in events.columns if c not in (id_col, "pos", "tag")]
-    return out.filter(F.col("tag") == target).select(id_col, "pos", *rest, *cols)
+    out = e.filter(F.col("tag") == target).join(carry, [id_col, "_chunk"], "left")
+    cols = []
+    for i, name in enumerate(levels, start=1):
+        v = F.coalesce(F.col(f"_w{i}"), F.col(f"_c{i}"))
+        cols.append(F.when(v["l"] == i, v["t"]).otherwise(F.lit("")).alias(f"{name}_text"))
+    return out.select(id_col, "pos", *rest, *cols)
 
 
 # ---------------------------------------------------------------- S8 table rows, W8 first date / area

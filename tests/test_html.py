@@ -74,3 +74,26 @@ def test_heading_carry_forward_resets_lower_levels(spark):
         ("/files/blood.pdf", "Regulations and Notifications", "Blood Products", "Human Immunoglobulin Products"),
         ("/files/excluded.pdf", "Frequently Asked Questions (FAQ)", "", ""),
     ]
+
+
+def test_carry_forward_chunked_equals_single_pass(spark):
+    import random
+    rnd = random.Random(3)
+    tags = ["system", "user", "assistant"]
+    data = [(1 if i < 400 else 2, i, rnd.choice(tags), f"t{i}") for i in range(600)]
+    ev = spark.createDataFrame(data, "conv_id long, pos long, tag string, text string")
+    a = H.carry_forward(ev, "conv_id", ["system", "user"], "assistant")
+    b = H.carry_forward(ev, "conv_id", ["system", "user"], "assistant", chunk_size=7)
+    assert rows(a) == rows(b)
+    # brute force
+    want = []
+    state = {}
+    for cid, pos, tag, text in data:
+        st = state.setdefault(cid, {"system": "", "user": ""})
+        if tag == "system":
+            st["system"], st["user"] = text, ""
+        elif tag == "user":
+            st["user"] = text
+        else:
+            want.append((cid, pos, text, st["system"], st["user"]))
+    assert rows(a) == sorted(want, key=repr)

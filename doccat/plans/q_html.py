@@ -328,7 +328,7 @@ def enrich_attachments(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    p = pages(spark, sf_dir).filter(F.col("page_id") % 5 == 0)
+    p = pages(spark, sf_dir)
     cfg = p.select(
         "url", F.concat(F.lit("Area "), (F.col("page_id") % 3).cast("string")).alias("product_area"),
         F.when(F.col("page_id") % 2 == 0, F.array(F.lit("Part B"))).alias("allowed_sections"),
@@ -340,7 +340,7 @@ def _sources(spark, sf_dir):
 
 _SQL_SOURCES = """(SELECT url, 'Area ' || CAST(page_id % 3 AS VARCHAR) AS product_area,
   CASE WHEN page_id % 2 = 0 THEN ['Part B'] END AS allowed_sections, CASE WHEN page_id % 3 = 0 THEN 'Annex 0' END AS required_parent
-  FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT 'https://missing.example.org/config', 'Area X', NULL, NULL)"""
+  FROM pages UNION ALL SELECT 'https://missing.example.org/config', 'Area X', NULL, NULL)"""
 
 
 def _kept_links(spark, sf_dir):
@@ -359,7 +359,7 @@ def _sql_kept() -> str:
 
 @register("in_scope_links", lambda: f"WITH {_sql_kept()} SELECT page_id, pos, href, product_area FROM kept")
 def in_scope_links_query(spark, sf_dir):
-    """Links of configured pages that sit under the source's required parent and allowed sections."""
+    """Links of configured pages (every page is configured) under the source's required parent and allowed sections."""
     return _kept_links(spark, sf_dir).select("page_id", "pos", "href", "product_area")
 
 
@@ -442,3 +442,40 @@ def html_table_rows(spark, sf_dir):
     return x.select("page_id", F.col("r.row_pos").alias("row_pos"), F.col("r.title").alias("title"), F.col("r.url").alias("source_page_url"),
                     H.first_parseable_date(F.col("r.cells")).alias("published_date"),
                     H.first_matching_area(F.col("r.cells"), CDE_ALLOWED_PRODUCT_AREAS).alias("product_area"))
+
+
+# ---------------------------------------------------------------- sectioned link pages
+
+
+def _pmda_pages(p):
+    """Every page turned into a sectioned link page (its own link list, a dated paragraph, an excluded section)."""
+    pid = F.col("page_id").cast("string")
+    sec = F.concat(F.lit("Section "), (F.col("page_id") % 3).cast("string"))
+    html = F.concat(
+        F.lit("<main><h2>Regulations and Notifications</h2><h4>"), sec, F.lit('</h4><ul><li><a href="/files/'), pid,
+        F.lit('.pdf">Guidance '), pid, F.lit(" [12KB]</a></li></ul><p>March "), (F.col("page_id") % 28 + 1).cast("string"),
+        F.lit(", 2024 Notice</p><h4>Other</h4><ul><li><a href=\"/files/o"), pid,
+        F.lit('.pdf">(Attachment) Other '), pid, F.lit("</a> June 1, 2023 Early text</li></ul>"),
+        F.lit('<h2>FAQ</h2><a href="/files/faq.pdf">FAQ</a></main>'), F.col("html"))
+    return p.select("page_id", "url", html.alias("html"))
+
+
+@register("pmda_page_documents", lambda: f"""SELECT page_id AS src_ord, 'Guidance ' || CAST(page_id AS VARCHAR) AS title,
+  'https://www.pmda.go.jp/files/' || CAST(page_id AS VARCHAR) || '.pdf' AS document_url,
+  DATE '2024-03-01' + CAST(page_id % 28 AS INTEGER) AS published_date, 'Notice' AS status_raw, 'final' AS status_normalized,
+  'Area / Section ' || CAST(page_id % 3 AS VARCHAR) AS topic_raw, CAST(page_id AS VARCHAR) AS reference_number FROM pages
+UNION ALL SELECT page_id, 'Other ' || CAST(page_id AS VARCHAR), 'https://www.pmda.go.jp/files/o' || CAST(page_id AS VARCHAR) || '.pdf',
+  DATE '2023-06-01', 'Early text', 'final', 'Area / Other', 'o' || CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 2 = 0""")
+def pmda_page_documents(spark, sf_dir):
+    """Sectioned link pages -> documents (H9 metadata, F22 dates, section rules, F21 titles, W2 URL dedupe).
+
+    Every page is a configured source; odd pages only allow 'Section k' h4s.
+    """
+    from doccat.operators.pmda import pmda_documents
+    p = _pmda_pages(pages(spark, sf_dir))
+    src = p.select(F.col("page_id").cast("int").alias("src_ord"), "url", F.lit("Area").alias("product_area"),
+                   F.when(F.col("page_id") % 2 == 1, F.array(F.concat(F.lit("Section "), (F.col("page_id") % 3).cast("string"))))
+                   .alias("allowed_sections"), F.lit(None).cast("string").alias("required_parent"))
+    d = pmda_documents(p.select("url", "html"), src)
+    return d.select(F.col("page_id").alias("src_ord"), "title", "document_url", "published_date", "status_raw",
+                    "status_normalized", "topic_raw", "reference_number")

@@ -292,10 +292,10 @@ def _cde_items(spark, sf_dir):
 
 @register("item_key_aliases", lambda: _sql_cde())
 def item_key_aliases(spark, sf_dir):
-    """S6 + S7 + W3 + F9 + F19 + P3: two area lists concatenated, keep-first by id else title, then parsed."""
+    """S6 + S7 + W3 + F9 + F19 + P3: two overlapping lists (together every item) concatenated, keep-first by id else title."""
     items = _cde_items(spark, sf_dir)
     a = items.filter(F.col("k") % 3 != 0).withColumn("list", F.lit(1))
-    b = items.filter(F.col("k") % 2 == 0).withColumn("list", F.lit(2))
+    b = items.filter((F.col("k") % 2 == 0) | (F.col("k") % 3 == 0)).withColumn("list", F.lit(2))
     both = a.unionByName(b).select("list", "k", F.from_json("json", "map<string,string>").alias("item"))
     keyed = both.withColumn("_dk", FD.first_value(F.col("item"), FD.CDE_KEYS["code"]))
     keyed = keyed.withColumn("_dk", F.when(F.col("_dk") != "", F.col("_dk")).otherwise(
@@ -313,7 +313,7 @@ def _sql_cde() -> str:
     b = "(DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER))"
     base = f"""SELECT doc_id AS k, doc_id % 4 AS v, {t} AS t, {S.lst(_AREAS)}[doc_id % 5 + 1] AS area, {code} AS code, {b} AS b,
   {S.lst(_NOWSTATE)}[doc_id % 3 + 1] AS ns, {S.clean('substr(text, 1, 50)')} AS descr FROM documents"""
-    lists = "SELECT 1 AS list, * FROM base WHERE k % 3 <> 0 UNION ALL SELECT 2 AS list, * FROM base WHERE k % 2 = 0"
+    lists = "SELECT 1 AS list, * FROM base WHERE k % 3 <> 0 UNION ALL SELECT 2 AS list, * FROM base WHERE k % 2 = 0 OR k % 3 = 0"
     sel = f"""SELECT list, k, t AS title, v, area, code,
   CASE WHEN v = 0 THEN strftime(b, '%Y%m%d') WHEN v = 1 THEN strftime(b, '%Y-%m-%d')
        WHEN v = 2 THEN {S.lst(MONTH_NAMES)}[month(b)] || ' ' || CAST(day(b) AS VARCHAR) || ', ' || CAST(year(b) AS VARCHAR) ELSE '' END AS pub,

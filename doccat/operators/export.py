@@ -143,6 +143,8 @@ def with_row_index(df: DataFrame, order_col: str, name: str = "row_idx") -> Data
     count, so broadcasting it is safe).  The sorted frame is checkpointed to
     the shared checkpoint folder so both uses see the same partitioning.
     """
+    from doccat.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     s = df.orderBy(order_col).withColumn("_pid", F.spark_partition_id()).withColumn(
         "_mid", F.monotonically_increasing_id())
     s = s.checkpoint(eager=True)

@@ -315,6 +315,8 @@ def walk_objects(roots: DataFrame, id_col: str, v_col: str, max_depth: int = 256
     # Each level is a union of two branches; coalescing back to the roots' partition count
     # (no shuffle) keeps the task count flat instead of doubling per level.
     n_parts = max(1, roots.rdd.getNumPartitions())
+    from doccat.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(roots.sparkSession)
     found = []
     for _ in range(max_depth):
         m = F.try_variant_get(F.col("node"), "$", "map<string,variant>")

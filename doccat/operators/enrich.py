@@ -24,8 +24,8 @@ def _needed_pages(records: DataFrame, url_col: str, pages: DataFrame) -> DataFra
 def enrich_summaries(records: DataFrame, pages: DataFrame, url_col: str = "guidance_page_link",
                      summary_col: str = "summary") -> DataFrame:
     """summary = page summary when non-empty, else the record's own; missing pages keep the record."""
-    pg = _needed_pages(records, url_col, pages).select(
-        F.col("url").alias("_url"), H.page_summary(F.col("html")).alias("_page_summary"))
+    pg = H.with_stripped(_needed_pages(records, url_col, pages)).select(
+        F.col("url").alias("_url"), H.page_summary(F.col("_stripped"), stripped=True).alias("_page_summary"))
     j = records.join(pg, records[url_col] == pg["_url"], "left")
     return j.withColumn(summary_col, F.coalesce(F.when(F.col("_page_summary") != "", F.col("_page_summary")),
                                                 F.col(summary_col))).drop("_url", "_page_summary")

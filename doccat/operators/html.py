@@ -51,6 +51,11 @@ def fragment_text(fragment: Column) -> Column:
 # ---------------------------------------------------------------- H1 element table
 
 
+def with_stripped(df: DataFrame, html_col: str = "html", out: str = "_stripped") -> DataFrame:
+    """Project the noise-free page once (referenced by several extractors afterwards)."""
+    return df.withColumn(out, strip_noise(F.col(html_col)))
+
+
 def element_table(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """H1: one row per token (tag or text run) in document order.
 
@@ -76,18 +81,19 @@ def element_table(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 # ---------------------------------------------------------------- paragraphs, containers, summary
 
 
-def paragraphs(html: Column) -> Column:
+def paragraphs(html: Column, stripped: bool = False) -> Column:
     """Array of paragraph texts in document order (empty ones kept as '')."""
-    pieces = F.split(strip_noise(html), P_OPEN)
+    pieces = F.split(html if stripped else strip_noise(html), P_OPEN)
     body = F.slice(pieces, 2, 1 << 30)
     return F.transform(body, lambda p: fragment_text(F.regexp_replace(p, P_END, "")))
 
 
+BOILERPLATE_RE = "(?i)" + "|".join("\\Q" + m + "\\E" for m in BOILERPLATE_MARKERS)
+
+
 def is_summary_candidate(text: Column) -> Column:
-    """H4: at least 80 characters and none of the boilerplate markers."""
-    low = F.lower(text)
-    bad = reduce(lambda a, b: a | b, [low.contains(m) for m in BOILERPLATE_MARKERS])
-    return (F.length(text) >= SUMMARY_MIN_CHARS) & ~bad
+    """H4: at least 80 characters and none of the boilerplate markers (one case-insensitive scan)."""
+    return (F.length(text) >= SUMMARY_MIN_CHARS) & ~text.rlike(BOILERPLATE_RE)
 
 
 def _span(html: Column, open_re: str, close_lit: str) -> Column:
@@ -115,9 +121,9 @@ def _div_main(html: Column) -> Column:
 ARTICLE_MAIN = r"""<article\s[^>]*class\s*=\s*"[^"]*main-content[^"]*"[^>]*>"""
 
 
-def containers(html: Column) -> Column:
+def containers(html: Column, stripped: bool = False) -> Column:
     """H5: candidate containers in priority order (null when absent)."""
-    h = strip_noise(html)
+    h = html if stripped else strip_noise(html)
     return F.array(
         _div_main(h),
         _span(h, ARTICLE_MAIN, "</article"),
@@ -127,10 +133,23 @@ def containers(html: Column) -> Column:
     )
 
 
-def page_summary(html: Column) -> Column:
-    """W5 + H5: first qualifying paragraph of the first container that has one; '' when none."""
-    per = F.transform(containers(html), lambda c: F.try_element_at(F.filter(paragraphs(c), is_summary_candidate), F.lit(1)))
-    return F.coalesce(F.try_element_at(F.filter(per, lambda x: x.isNotNull()), F.lit(1)), F.lit(""))
+def page_summary(html: Column, stripped: bool = False) -> Column:
+    """W5 + H5: first qualifying paragraph of the first container that has one; '' when none.
+
+    Pass ``stripped=True`` with a column already run through ``strip_noise`` (a
+    separate projection) so the page-wide regex runs once per page.
+    """
+    def first_candidate(c):
+        # a piece shorter than 80 characters cannot qualify (text never grows when tags/entities go)
+        pieces = F.filter(F.slice(F.split(c, P_OPEN), 2, 1 << 30), lambda p: F.length(p) >= SUMMARY_MIN_CHARS)
+        texts = F.transform(pieces, lambda p: fragment_text(F.regexp_replace(p, P_END, "")))
+        return F.try_element_at(F.filter(texts, is_summary_candidate), F.lit(1))
+
+    h = html if stripped else strip_noise(html)
+    # coalesce is lazy: the whole page is only parsed when no container holds a candidate
+    return F.coalesce(first_candidate(_div_main(h)), first_candidate(_span(h, ARTICLE_MAIN, "</article")),
+                      first_candidate(_span(h, r"<article[\s>]", "</article")),
+                      first_candidate(_span(h, r"<main[\s>]", "</main")), first_candidate(h), F.lit(""))
 
 
 # ---------------------------------------------------------------- links
@@ -311,3 +330,4 @@ def table_rows(html: Column, base: str) -> Column:
 
     parsed = F.transform(rows, row)
     return F.filter(parsed, lambda x: (F.size(x["cells"]) >= 2) & x["_has_link"] & (F.coalesce(x["title"], F.lit("")) != ""))
+

@@ -58,8 +58,8 @@ def page_paragraphs(spark, sf_dir):
 @register("page_summary", lambda: f"SELECT page_id, {SH.page_summary('html')} AS summary FROM pages")
 def page_summary(spark, sf_dir):
     """W5 + H4 + H5: first non-boilerplate paragraph of 80+ characters in container priority order."""
-    p = pages(spark, sf_dir)
-    return p.select("page_id", H.page_summary(F.col("html")).alias("summary"))
+    p = H.with_stripped(pages(spark, sf_dir))
+    return p.select("page_id", H.page_summary(F.col("_stripped"), stripped=True).alias("summary"))
 
 
 @register("page_links", lambda: f"""SELECT page_id, pos - 1 AS pos, {SH.absolute('h', 'url')} AS href, {SH.fragment_text('t')} AS text

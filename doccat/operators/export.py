@@ -81,18 +81,20 @@ def markdown_lines(spark: SparkSession, catalog: DataFrame, generated_at: str) -
     link = _link(F.col("document_url"), F.col("source_page_url"))
     why = F.coalesce(F.element_at(F.create_map(*[x for k, v in WHY_IT_MATTERS.items() for x in (F.lit(k), F.lit(v))]),
                                   F.coalesce(F.col("topic_normalized"), F.lit(""))), F.lit(WHY_IT_MATTERS_DEFAULT))
-    new = catalog.filter(F.col("change_type") == "new").select(
-        F.lit(1).alias("section"), F.col("ord"),
-        F.concat_ws(" | ", F.concat(F.lit("| "), a), t, F.col("status_normalized"), _txt(F.col("published_date")),
-                    _txt(F.col("topic_normalized")), F.concat(link, F.lit(" |"))).alias("line"))
-    opn = catalog.filter(F.col("status_normalized") == "open_for_comment").select(
-        F.lit(2).alias("section"), F.col("ord"),
-        F.concat_ws(" | ", F.concat(F.lit("| "), a), t, _txt(F.col("comment_end_date")),
-                    _txt(F.col("topic_normalized")), F.concat(link, F.lit(" |"))).alias("line"))
-    pri = catalog.filter(F.col("topic_normalized").isin(HIGH_PRIORITY_TOPICS)).select(
-        F.lit(3).alias("section"), F.col("ord"),
-        F.concat_ws(" | ", F.concat(F.lit("| "), a), t, F.col("status_normalized"), _txt(F.col("topic_normalized")),
-                    F.concat(md_escape(why), F.lit(" |"))).alias("line"))
+    new_line = F.concat_ws(" | ", F.concat(F.lit("| "), a), t, F.col("status_normalized"), _txt(F.col("published_date")),
+                           _txt(F.col("topic_normalized")), F.concat(link, F.lit(" |")))
+    open_line = F.concat_ws(" | ", F.concat(F.lit("| "), a), t, _txt(F.col("comment_end_date")),
+                            _txt(F.col("topic_normalized")), F.concat(link, F.lit(" |")))
+    pri_line = F.concat_ws(" | ", F.concat(F.lit("| "), a), t, F.col("status_normalized"), _txt(F.col("topic_normalized")),
+                           F.concat(md_escape(why), F.lit(" |")))
+    # one pass over the catalog: each row yields its (at most three) section lines
+    per_row = F.filter(F.array(
+        F.when(F.col("change_type") == "new", F.struct(F.lit(1).alias("section"), new_line.alias("line"))),
+        F.when(F.col("status_normalized") == "open_for_comment", F.struct(F.lit(2).alias("section"), open_line.alias("line"))),
+        F.when(F.col("topic_normalized").isin(HIGH_PRIORITY_TOPICS), F.struct(F.lit(3).alias("section"), pri_line.alias("line")))),
+        lambda x: x.isNotNull())
+    rows = catalog.select(F.col("ord"), F.explode(per_row).alias("x")).select(
+        F.col("x.section").alias("section"), "ord", F.col("x.line").alias("line"))
     counts = catalog.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("change_type") == "new").alias("new"),
         F.count_if(F.col("change_type") == "updated").alias("updated"),
@@ -109,8 +111,7 @@ def markdown_lines(spark: SparkSession, catalog: DataFrame, generated_at: str) -
         fixed += [(i, -4, ""), (i, -3, heading), (i, -2, cols), (i, -1, sep)]
     fixed.append((len(REPORT_SECTIONS) + 1, 0, ""))
     fixed_df = spark.createDataFrame(fixed, "section int, ord long, line string")
-    return fixed_df.unionByName(summary.select(F.col("section").cast("int"), "ord", "line")).unionByName(
-        new).unionByName(opn).unionByName(pri)
+    return fixed_df.unionByName(summary.select(F.col("section").cast("int"), "ord", "line")).unionByName(rows)
 
 
 def html_payload_rows(report_rows: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -301,35 +301,49 @@ def cde_items(items: DataFrame, map_col: str = "item") -> DataFrame:
 # ---------------------------------------------------------------- ICH tree
 
 
+def _children(level: DataFrame) -> DataFrame:
+    """Object / array children of the nodes of one level, with extended paths."""
+    m = F.try_variant_get(F.col("node"), "$", "map<string,variant>")
+    a = F.try_variant_get(F.col("node"), "$", "array<variant>")
+    from_obj = level.select("_id", "path", F.explode(m).alias("k", "child"))
+    from_obj = from_obj.select("_id", F.concat("path", F.array(F.concat(F.lit("k:"), "k"))).alias("path"), "child")
+    from_arr = level.select("_id", "path", F.posexplode(a).alias("i", "child"))
+    from_arr = from_arr.select("_id", F.concat("path", F.array(F.concat(F.lit("i:"), F.lpad(F.col("i").cast("string"), 10, "0")))).alias("path"), "child")
+    nxt = from_obj.unionByName(from_arr)
+    nxt = nxt.filter(F.try_variant_get("child", "$", "map<string,variant>").isNotNull()
+                     | F.try_variant_get("child", "$", "array<variant>").isNotNull())
+    return nxt.select("_id", "path", F.col("child").alias("node"))
+
+
+def _objects(level: DataFrame) -> DataFrame:
+    m = F.try_variant_get(F.col("node"), "$", "map<string,variant>")
+    return level.filter(m.isNotNull()).select("_id", "path", F.col("node").alias("obj"))
+
+
 def walk_objects(roots: DataFrame, id_col: str, v_col: str, max_depth: int = 256) -> DataFrame:
     """Every JSON object at any depth of each root, with its path (pre-order = sort by path).
 
-    One level per step: objects are emitted, and the object / array children of
-    objects and arrays form the next level.  Each level is checkpointed to the
-    shared checkpoint folder, which cuts lineage and makes the emptiness test
-    cheap; the loop ends at the first empty level (``max_depth`` guards
-    against runaway input and raises rather than truncating).
+    Two levels per step: the objects of a level and of its children are
+    emitted, and the grandchildren form the next step.  Each step's frontier is
+    checkpointed to the shared checkpoint folder (cuts lineage, makes the
+    emptiness test cheap) after a round-robin repartition to at least the
+    default parallelism, so one huge payload's nodes are spread over all
+    tasks from the second level on and the task count stays flat.  The
+    loop ends at the first empty frontier; ``max_depth`` guards against runaway
+    input and raises rather than truncating.
     """
-    level = roots.select(F.col(id_col).alias("_id"), F.array().cast("array<string>").alias("path"),
-                         F.col(v_col).alias("node"))
-    # Each level is a union of two branches; coalescing back to the roots' partition count
-    # (no shuffle) keeps the task count flat instead of doubling per level.
-    n_parts = max(1, roots.rdd.getNumPartitions())
     from doccat.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(roots.sparkSession)
+    spark = roots.sparkSession
+    n_parts = max(1, roots.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    level = roots.select(F.col(id_col).alias("_id"), F.array().cast("array<string>").alias("path"),
+                         F.col(v_col).alias("node"))
     found = []
-    for _ in range(max_depth):
-        m = F.try_variant_get(F.col("node"), "$", "map<string,variant>")
-        a = F.try_variant_get(F.col("node"), "$", "array<variant>")
-        found.append(level.filter(m.isNotNull()).select("_id", "path", F.col("node").alias("obj")))
-        from_obj = level.select("_id", "path", F.explode(m).alias("k", "child"))
-        from_obj = from_obj.select("_id", F.concat("path", F.array(F.concat(F.lit("k:"), "k"))).alias("path"), "child")
-        from_arr = level.select("_id", "path", F.posexplode(a).alias("i", "child"))
-        from_arr = from_arr.select("_id", F.concat("path", F.array(F.concat(F.lit("i:"), F.lpad(F.col("i").cast("string"), 10, "0")))).alias("path"), "child")
-        nxt = from_obj.unionByName(from_arr)
-        nxt = nxt.filter(F.try_variant_get("child", "$", "map<string,variant>").isNotNull()
-                         | F.try_variant_get("child", "$", "array<variant>").isNotNull())
-        nxt = nxt.select("_id", "path", F.col("child").alias("node")).coalesce(n_parts).checkpoint(eager=True)
+    for _ in range(0, max_depth, 2):
+        kids = _children(level)
+        found += [_objects(level), _objects(kids)]
+        # round-robin the frontier: nodes of one huge payload spread over all tasks
+        nxt = _children(kids).repartition(n_parts).checkpoint(eager=True)
         if nxt.isEmpty():
             out = found[0]
             for f in found[1:]:

@@ -64,6 +64,11 @@ def _row_json(keys, as_list):
     return F.when(as_list, lst).otherwise(obj)
 
 
+def _spread(df):
+    """Landed files are read one split per file; spread the generated payloads the same way."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _bounded_pages(rows, payload):
     """Group rows into their page (at most PAGE_SIZE rows each) in key order."""
     g = rows.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("k", "j"))).alias("rows"))
@@ -80,7 +85,7 @@ def landed_fda_pages(spark, sf_dir):
                        (F.col("page") * PAGE_SIZE).cast("string"), F.lit(f',"length":{PAGE_SIZE},"recordsTotal":'),
                        F.col("total").cast("string"), F.lit(',"recordsFiltered":'), F.col("total").cast("string"),
                        F.lit(',"data":['), F.col("payload"), F.lit("]}"))
-    return pages.select("page", payload.alias("payload"))
+    return _spread(pages.select("page", payload.alias("payload")))
 
 
 def _sql_fda_expected(extra_select: str = "", static: bool = False) -> str:
@@ -116,7 +121,7 @@ def landed_fda_static(spark, sf_dir):
     """S1 landing: JSON-array files of object rows (keys of the static list)."""
     c = _fda_cells(spark, sf_dir)
     rows = c.select("k", "page", _row_json(_STATIC_KEYS, F.lit(False)).alias("j"))
-    return _bounded_pages(rows, lambda data: F.concat(F.lit("["), data, F.lit("]"))).withColumnRenamed("page", "file")
+    return _spread(_bounded_pages(rows, lambda data: F.concat(F.lit("["), data, F.lit("]"))).withColumnRenamed("page", "file"))
 
 
 @register("static_list_newest", lambda: f"""SELECT {', '.join(_RECORD)} FROM ({_sql_fda_expected(static=True)}) x
@@ -175,7 +180,7 @@ def landed_ema_feed(spark, sf_dir):
     pages = _bounded_pages(rows, lambda data: data.alias("data")).crossJoin(total)
     payload = F.concat(F.lit('{"meta":{"total_records":"'), F.format_number(F.col("total"), 0), F.lit('","page":'),
                        F.col("page").cast("string"), F.lit('},"data":[42,'), F.col("payload"), F.lit("]}"))
-    return pages.select(payload.alias("payload"))
+    return _spread(pages.select(payload.alias("payload")))
 
 
 def _sql_ema_src() -> str:
@@ -393,7 +398,7 @@ def landed_ich_trees(spark, sf_dir):
     updated = F.when(c % 2 == 0, F.lit("2025-08-12T10:00:00+02:00")).otherwise(F.lit("2025-08-11"))
     payload = F.concat(F.lit('{"items":[{"bundleInfo":{"updated":"'), updated,
                        F.lit('"},"mainWidgets":{"items":[{"accordions":{"items":['), wrapped, F.lit("]}}]}}]}"))
-    return g.select(c.alias("tree_id"), payload.alias("payload"))
+    return _spread(g.select(c.alias("tree_id"), payload.alias("payload")))
 
 
 @register("tree_walk_guidelines", lambda: _sql_ich())

@@ -46,9 +46,10 @@ def seed_fallback(crawled: DataFrame, seeds: DataFrame, requested: DataFrame) ->
     """Add seed rows for requested agencies that yielded no crawled rows.
 
     ``requested`` (agency) is a small list; agencies present in ``crawled`` are
-    found with one partial aggregation, so the anti join runs on tiny frames.
+    found with one partial aggregation, so the anti join runs on tiny frames
+    (no broadcast hint: AQE chooses from the runtime sizes).
     """
     got = crawled.select(F.upper("agency").alias("agency")).distinct()
     missing = requested.select(F.upper("agency").alias("agency")).distinct().join(got, "agency", "left_anti")
-    extra = seeds.join(F.broadcast(missing), F.upper(seeds["agency"]) == missing["agency"], "left_semi")
+    extra = seeds.join(missing, F.upper(seeds["agency"]) == missing["agency"], "left_semi")
     return crawled.unionByName(extra, allowMissingColumns=True)

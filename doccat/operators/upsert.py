@@ -136,8 +136,8 @@ def stale_rows(catalog: DataFrame, batch: DataFrame, agencies_crawled: DataFrame
     keys = prepare_batch(batch).select("id").distinct()
     stale = catalog.join(keys, "id", "left_anti")
     if agencies_crawled is not None:
-        stale = stale.join(F.broadcast(agencies_crawled.select(F.upper("agency").alias("agency")).distinct()),
-                           "agency", "left_semi")
+        # agencies come from data: no broadcast hint, AQE picks the join from the runtime size
+        stale = stale.join(agencies_crawled.select(F.upper("agency").alias("agency")).distinct(), "agency", "left_semi")
     return stale
 
 

@@ -159,3 +159,36 @@ def with_topic(df, title: str | Column, topic_raw: str | Column, summary: str |
         cond = _any_contains(F.col("_tp_text"), keywords)
         expr = F.when(cond, F.lit(topic)) if expr is None else expr.when(cond, F.lit(topic))
     return d.withColumn(out, expr.otherwise(F.lit(TOPIC_DEFAULT))).drop("_tp_text")
+
+
+# ---------------------------------------------------------------- J8 with a rule table
+
+
+def classify_with_rules(df, rules, text: str | Column, key: str, out: str = "topic",
+                        default: str = TOPIC_DEFAULT, case_limit: int = 500, broadcast_limit: int = 100_000,
+                        force_join: bool = False):
+    """First rule (lowest ``priority``) whose ``keyword`` is a substring of the lower-cased text.
+
+    ``rules`` (priority, topic, keyword) is a configuration table whose size is
+    checked first: up to ``case_limit`` rules it is collected (bounded) and
+    compiled into one short-circuit CASE; beyond that the rules are joined with
+    a broadcast nested-loop ``contains`` (up to ``broadcast_limit`` rules, else
+    a plain join) and the winner per row is ``min_by(topic, priority)``; rows
+    without a hit get ``default``.
+    """
+    txt = F.col(text) if isinstance(text, str) else text
+    n = rules.count()
+    staged = df.withColumn("_rt_text", F.lower(txt))
+    if n <= case_limit and not force_join:
+        expr = None
+        for r in rules.orderBy("priority").collect():  # bounded by case_limit
+            cond = F.col("_rt_text").contains(r["keyword"].lower())
+            expr = F.when(cond, F.lit(r["topic"])) if expr is None else expr.when(cond, F.lit(r["topic"]))
+        value = expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
+        return staged.withColumn(out, value).drop("_rt_text")
+    r = rules.select("priority", "topic", F.lower("keyword").alias("_kw"))
+    r = F.broadcast(r) if n <= broadcast_limit else r
+    hits = staged.select(key, "_rt_text").join(r, F.col("_rt_text").contains(F.col("_kw")))
+    best = hits.groupBy(key).agg(F.min_by("topic", "priority").alias("_rt_topic"))
+    return (staged.join(best, key, "left").withColumn(out, F.coalesce("_rt_topic", F.lit(default)))
+            .drop("_rt_text", "_rt_topic"))

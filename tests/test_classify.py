@@ -56,3 +56,14 @@ def test_topic_rules_first_match_wins(spark):
     # substring traps are kept: 'ich' inside 'which'
     df = spark.createDataFrame([("Guidance which applies",)], "title string")
     assert df.select(topic_column(F.col("title"), F.lit(None), F.lit(None)).alias("t")).first()["t"] == "ICH_implementation"
+
+
+def test_rule_table_case_and_join_paths_agree(spark):
+    from doccat.functions.classify import classify_with_rules
+    from tests.conftest import rows
+    docs = spark.createDataFrame([(1, "Adaptive Bayesian design"), (2, "nothing here"), (3, "BAYESIAN only")],
+                                 "id long, text string")
+    rules = spark.createDataFrame([(2, "bayes", "bayesian"), (1, "adaptive", "adaptive")], "priority int, topic string, keyword string")
+    a = classify_with_rules(docs, rules, "text", "id")
+    b = classify_with_rules(docs, rules, "text", "id", force_join=True)
+    assert rows(a, "id", "topic") == rows(b, "id", "topic") == [(1, "adaptive"), (2, "other"), (3, "bayes")]

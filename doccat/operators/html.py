@@ -70,7 +70,7 @@ def element_table(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     tag = F.lower(F.regexp_extract(t, r"^</?\s*([a-zA-Z][a-zA-Z0-9]*)", 1))
     kind = F.when(~is_tag, F.lit("text")).when(t.startswith("</"), F.lit("close")).otherwise(F.lit("open"))
     return toks.select(
-        id_col, "pos", kind.alias("kind"), F.when(is_tag, tag).otherwise(F.lit("")).alias("tag"),
+        id_col, F.col("pos").cast("bigint").alias("pos"), kind.alias("kind"), F.when(is_tag, tag).otherwise(F.lit("")).alias("tag"),
         F.when(is_tag, F.lit("")).otherwise(normalize_whitespace(t)).alias("text"),
         F.regexp_extract(t, r'(?i)href\s*=\s*"([^"]*)"', 1).alias("href"),
         F.regexp_extract(t, r'(?i)class\s*=\s*"([^"]*)"', 1).alias("cls"),
@@ -325,7 +325,7 @@ def table_rows(html: Column, base: str) -> Column:
         text = fragment_text(F.regexp_extract(r, ANCHOR, 2))
         title = F.when(text != "", text).otherwise(F.try_element_at(cells, F.lit(1)))
         from doccat.functions.urls import absolute_url
-        return F.struct(i.alias("row_pos"), title.alias("title"), F.when(href != "", absolute_url(href, base)).alias("url"),
+        return F.struct(i.cast("bigint").alias("row_pos"), title.alias("title"), F.when(href != "", absolute_url(href, base)).alias("url"),
                         cells.alias("cells"), (href != "").alias("_has_link"))
 
     parsed = F.transform(rows, row)

@@ -54,7 +54,7 @@ def legacy_csv_rows(spark, sf_dir):
 
 
 @register("json_export", lambda: with_legacy(
-    "SELECT ord, to_json(struct_pack(" + ", ".join(f"{f} := {f}" for f, _h in LEGACY_RECORD_FIELDS) + ")) AS json FROM legacy"))
+    "SELECT ord, CAST(to_json(struct_pack(" + ", ".join(f"{f} := {f}" for f, _h in LEGACY_RECORD_FIELDS) + ")) AS VARCHAR) AS json FROM legacy"))
 def json_export(spark, sf_dir):
     """K3: legacy records as JSON objects (snake_case keys, non-ASCII kept)."""
     return EX.json_lines(legacy_records(spark, sf_dir), keep=["ord"])

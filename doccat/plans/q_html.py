@@ -52,7 +52,7 @@ def page_paragraphs(spark, sf_dir):
     """H2: paragraphs per page under the stated malformed-markup rule (empty ones dropped)."""
     p = pages(spark, sf_dir)
     return (p.select("page_id", F.posexplode(H.paragraphs(F.col("html"))).alias("p_idx", "text"))
-            .filter(F.col("text") != ""))
+            .filter(F.col("text") != "").withColumn("p_idx", F.col("p_idx").cast("bigint")))
 
 
 @register("page_summary", lambda: f"SELECT page_id, {SH.page_summary('html')} AS summary FROM pages")
@@ -69,7 +69,7 @@ def page_links(spark, sf_dir):
     """H3: anchors with absolute hrefs and their text."""
     p = pages(spark, sf_dir)
     return p.select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "l")).select(
-        "page_id", "pos", F.col("l.href").alias("href"), F.col("l.text").alias("text"))
+        "page_id", F.col("pos").cast("bigint").alias("pos"), F.col("l.href").alias("href"), F.col("l.text").alias("text"))
 
 
 # ---------------------------------------------------------------- derived pages
@@ -387,7 +387,7 @@ def link_documents(spark, sf_dir):
     from doccat.operators.enrich import link_documents as docs
     p = _section_pages(pages(spark, sf_dir))
     links = p.select("page_id", F.posexplode(H.links(F.col("html"), F.col("url"))).alias("pos", "l")).select(
-        "page_id", "pos", F.col("l.href").alias("href"), F.col("l.text").alias("text"))
+        "page_id", F.col("pos").cast("bigint").alias("pos"), F.col("l.href").alias("href"), F.col("l.text").alias("text"))
     return docs(links).select("page_id", "pos", "href", "title", "reference_number", "document_format")
 
 
@@ -473,7 +473,7 @@ def pmda_page_documents(spark, sf_dir):
     """
     from doccat.operators.pmda import pmda_documents
     p = _pmda_pages(pages(spark, sf_dir))
-    src = p.select(F.col("page_id").cast("int").alias("src_ord"), "url", F.lit("Area").alias("product_area"),
+    src = p.select(F.col("page_id").alias("src_ord"), "url", F.lit("Area").alias("product_area"),
                    F.when(F.col("page_id") % 2 == 1, F.array(F.concat(F.lit("Section "), (F.col("page_id") % 3).cast("string"))))
                    .alias("allowed_sections"), F.lit(None).cast("string").alias("required_parent"))
     d = pmda_documents(p.select("url", "html"), src)

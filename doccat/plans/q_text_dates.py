@@ -222,8 +222,8 @@ def text_cleanup(spark, sf_dir):
     """F1 / F2 over whole document texts (length and digest of the cleaned text)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     ct = clean_text(F.col("text"))
-    return d.select("doc_id", F.length(ct).alias("n_clean_chars"), F.sha2(ct, 256).alias("clean_sha"),
-                    F.length(normalize_whitespace(F.col("text"))).alias("n_unescaped_chars"))
+    return d.select("doc_id", F.length(ct).cast("bigint").alias("n_clean_chars"), F.sha2(ct, 256).alias("clean_sha"),
+                    F.length(normalize_whitespace(F.col("text"))).cast("bigint").alias("n_unescaped_chars"))
 
 
 # ---------------------------------------------------------------- URLs
@@ -281,6 +281,7 @@ def absolute_urls(spark, sf_dir):
     """every link of every page resolved against the page URL (several href shapes)."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     links = p.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("pos", "h"))
+    links = links.withColumn("pos", F.col("pos").cast("bigint"))
     k = (F.col("page_id") + F.col("pos")) % 7
     x = links.select("page_id", "url", "pos", _href_variant(F.col("h"), k).alias("href"))
     return x.select("page_id", "pos", "href", absolute_url_col(F.col("href"), F.col("url")).alias("absolute_url"))

@@ -179,7 +179,7 @@ def ema_feed_rows(files: DataFrame, payload_col: str = "payload") -> DataFrame:
     p = files.select(F.try_variant_get(v, "$.meta.total_records", "string").alias("total_records"),
                      F.coalesce(F.try_variant_get(v, "$.meta.page", "bigint"), F.lit(0)).alias("page"),
                      data.alias("data"))
-    r = p.select("total_records", "page", F.posexplode("data").alias("pos", "row"))
+    r = p.select("total_records", "page", F.posexplode("data").alias("pos", "row")).withColumn("pos", F.col("pos").cast("bigint"))
     r = r.filter(F.try_variant_get(F.col("row"), "$", "map<string,variant>").isNotNull())
     return r.select("total_records", "page", "pos",
                     F.from_json(F.to_json("row"), EMA_ROW_SCHEMA).alias("r"))

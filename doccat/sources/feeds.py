@@ -68,6 +68,7 @@ CDE_KEYS = {
 }
 
 ANCHOR_HREF = r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>"""
+FIRST_HREF = r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]+)"[^>]*>"""
 
 
 def read_landed_json(spark: SparkSession, path: str) -> DataFrame:
@@ -136,7 +137,9 @@ def cell_links(cell: Column, base: str = FDA_BASE_URL) -> Column:
 def fda_record(cells: Column) -> list[Column]:
     """Legacy record fields from the 9 cells (name = summary text, PDF link F26 or document text)."""
     summary_text = cell_text(cells["summary"])
-    summary_links = cell_links(cells["summary"])
+    # the page link is the first anchor with a non-empty href: one codegen'd regex, no array lambdas
+    first_href = F.regexp_extract(F.coalesce(cells["summary"], F.lit("")), FIRST_HREF, 1)
+    page_link = F.when(first_href != "", absolute_url(unescape_common(first_href), FDA_BASE_URL))
     doc_text = cell_text(cells["document"])
     pdf = first_pdf_or_download(cell_links(cells["document"]))
     return [
@@ -150,7 +153,7 @@ def fda_record(cells: Column) -> list[Column]:
         yes_no(cells["open_for_comment"]).alias("open_for_comment"),
         legacy_iso_date(cells["comment_closing_date"]).alias("comment_closing_date_on_draft"),
         F.when(pdf != "", pdf).otherwise(doc_text).alias("guidance_pdf_link"),
-        F.coalesce(F.try_element_at(summary_links, F.lit(1)), F.lit("")).alias("guidance_page_link"),
+        F.coalesce(page_link, F.lit("")).alias("guidance_page_link"),
         cell_text(cells["docket_number"]).alias("docket_number"),
     ]
 

@@ -72,10 +72,30 @@ def last_write_per_id(batch: DataFrame, with_counts: bool = False) -> DataFrame:
     return out
 
 
-def upsert(catalog: DataFrame, batch: DataFrame, run_ts: str | Column) -> DataFrame:
-    """Merge one batch into the catalog; returns the full next version (catalog columns)."""
+def upsert(catalog: DataFrame, batch: DataFrame, run_ts: str | Column,
+           broadcast_ids_limit: int | None = 2_000_000) -> DataFrame:
+    """Merge one batch into the catalog; returns the full next version (catalog columns).
+
+    When the batch holds at most ``broadcast_ids_limit`` distinct ids (counted
+    first), the id set is broadcast: catalog rows the batch does not touch pass
+    through an anti join and the touched ones are picked by a semi join, both
+    without shuffling the catalog; only the touched part enters the merge.
+    Beyond the limit (or with ``None``) one full outer join merges everything.
+    """
     ts = _ts(run_ts)
     b = last_write_per_id(prepare_batch(batch))
+    if broadcast_ids_limit is not None:
+        ids = b.select("id")
+        if ids.count() <= broadcast_ids_limit:
+            small = F.broadcast(ids)
+            untouched = catalog.join(small, "id", "left_anti").select(*CATALOG_COLUMNS)
+            touched = catalog.join(small, "id", "left_semi")
+            return untouched.unionByName(_merge(touched, b, ts))
+    return _merge(catalog, b, ts)
+
+
+def _merge(catalog: DataFrame, b: DataFrame, ts: Column) -> DataFrame:
+    """Full outer merge of last-write batch rows ``b`` into ``catalog``."""
     b = b.select("id", F.struct(*[c for c in CATALOG_COLUMNS if c in b.columns and c != "id"]).alias("_b"),
                  F.struct(*CHANGE_FIELDS).alias("_bc"), "_prev")
     c = catalog.select("id", F.struct(*[x for x in CATALOG_COLUMNS if x != "id"]).alias("_c"),

@@ -73,14 +73,17 @@ def last_write_per_id(batch: DataFrame, with_counts: bool = False) -> DataFrame:
 
 
 def upsert(catalog: DataFrame, batch: DataFrame, run_ts: str | Column,
-           broadcast_ids_limit: int | None = 2_000_000) -> DataFrame:
+           broadcast_ids_limit: int | None = None) -> DataFrame:
     """Merge one batch into the catalog; returns the full next version (catalog columns).
 
     When the batch holds at most ``broadcast_ids_limit`` distinct ids (counted
     first), the id set is broadcast: catalog rows the batch does not touch pass
     through an anti join and the touched ones are picked by a semi join, both
     without shuffling the catalog; only the touched part enters the merge.
-    Beyond the limit (or with ``None``) one full outer join merges everything.
+    Beyond the limit (or with ``None``, the default) one full outer join merges
+    everything.  Use the limit when ``catalog`` is a stored version (the stream
+    and store path): the split scans it twice, which only pays when the scan is
+    cheap compared with shuffling it.
     """
     ts = _ts(run_ts)
     b = last_write_per_id(prepare_batch(batch))

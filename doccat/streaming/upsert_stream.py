@@ -30,7 +30,11 @@ def fold_runs(spark: SparkSession, catalog: DataFrame, batch: DataFrame) -> Data
     runs = [r[0] for r in batch.select("run_ts").distinct().orderBy("run_ts").collect()]  # one row per run
     cur = catalog
     for ts in runs:
-        cur = upsert(cur, batch.filter(F.col("run_ts") == F.lit(ts)).drop("run_ts"), F.lit(ts).cast("timestamp_ntz"))
+        # the first run reads the committed version: broadcast its (size-checked) id set so
+        # untouched catalog rows skip the shuffle
+        limit = 2_000_000 if cur is catalog else None
+        cur = upsert(cur, batch.filter(F.col("run_ts") == F.lit(ts)).drop("run_ts"), F.lit(ts).cast("timestamp_ntz"),
+                     broadcast_ids_limit=limit)
     return cur
 
 

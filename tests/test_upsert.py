@@ -69,7 +69,7 @@ def test_broadcast_id_path_equals_full_outer_path(spark):
     docs1 = [doc(i, title=f"T{i}", summary=f"s{i % 3}") for i in range(40)]
     docs2 = [doc(i, title=f"T{i}", summary=f"s{i % 4}") for i in range(20, 50)] + [doc(100, title="T21", summary="late")]
     c1 = upsert(empty_catalog(spark), batch(spark, docs1), "2024-06-01 00:00:00")
-    a = upsert(c1, batch(spark, docs2), "2024-06-02 00:00:00")
-    b = upsert(c1, batch(spark, docs2), "2024-06-02 00:00:00", broadcast_ids_limit=None)
+    a = upsert(c1, batch(spark, docs2), "2024-06-02 00:00:00", broadcast_ids_limit=2_000_000)
+    b = upsert(c1, batch(spark, docs2), "2024-06-02 00:00:00")
     assert rows(a) == rows(b)
     assert a.count() == 50

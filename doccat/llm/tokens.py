@@ -1,31 +1,40 @@
 """Tokenizer access inside tasks: whole texts are cut where no merge can reach across, and every
 distinct chunk is encoded once per Python worker by the ``tokenizers`` library.
 
-Cut points are exact for the two public vocabularies:
+Cut points are exact for the two public vocabularies, whose pre-tokenizers always break there:
 
-* byte-level BPE: before a single space that stands between two non-space characters, and around a
-  single line feed between two non-space characters (its pre-tokenizer always breaks there);
+* byte-level BPE: before a single space between two non-space characters, and around a single line
+  feed between two such (texts with runs of white space take a slower, equally exact path);
 * word BPE: at spaces, line feeds and tabs (white space is dropped and separates words).
 
-Texts with runs of white space take the slow, equally exact path: the boundary test of
-``_byte_chunks``.  The cache holds a bounded number of chunks and never changes results.
+A new chunk that is one word of Latin letters goes to the library's model directly, mapped to byte
+characters; a stop or comma behind it is a pre-token, and chunk, of its own.  Any other chunk goes
+through the whole tokenizer.  The cache holds a bounded number of chunks and
+never changes results.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks kept per Python worker and encoder, and characters encoded at a time.
-CACHE_ENTRIES = 400_000
-BATCH_CHARS = 2_000_000
+#: Chunks kept per Python worker and encoder, characters encoded at a time, chunks per library call.
+CACHE_ENTRIES = 1_000_000
+BATCH_CHARS = 4_000_000
+CALL = 2000
 _MARK = "\x1f"
 _RUN = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 _ENCODERS: dict[tuple[str, str], "ChunkEncoder"] = {}
+#: Byte-level BPE writes bytes as characters: printable Latin-1 stands for itself, the rest follows
+#: from 256 on, in order.
+_ITSELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _ITSELF)}
 
 
 def _byte_chunks(text: str) -> list[str]:
@@ -50,15 +59,36 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.lower = kind == "word"
         self.chunks = CHUNKERS[kind]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.dtype is np.uint16 else "I"
         self.cache: dict[str, bytes] = {"": b""}
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token of Latin letters, with or without a space before it."""
+        text = word.lower() if self.lower else word
+        text = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+
     def _learn(self, missing: list[str]) -> None:
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo:lo + 20_000]
+        cache, match, others = self.cache, _WORD.fullmatch, []
+        for chunk in missing:
+            if not match(chunk):
+                others.append(chunk)
+            elif chunk[-1] in ".,":
+                word, stop = chunk[:-1], chunk[-1]
+                for part in (word, stop):
+                    if part not in cache:
+                        cache[part] = self._word(part)
+                cache[chunk] = cache[word] + cache[stop]
+            elif chunk not in cache:
+                cache[chunk] = self._word(chunk)
+        for lo in range(0, len(others), CALL):
+            part = others[lo:lo + CALL]
             for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[chunk] = np.array(enc.ids, dtype=self.dtype).tobytes()
+                cache[chunk] = np.array(enc.ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.chunks(t) for t in texts]
@@ -66,7 +96,7 @@ class ChunkEncoder:
         if len(self.cache) + len(distinct) > CACHE_ENTRIES:
             self.cache = {k: v for k, v in self.cache.items() if k in distinct}
             self.cache[""] = b""
-        self._learn([c for c in distinct if c not in self.cache])
+        self._learn(list(distinct - self.cache.keys()))
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), dtype=self.dtype) for c in cut]
 

@@ -69,8 +69,9 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             one = (ids >> b & 1).astype(bool)
             planes.append(Plane(np.packbits(one), len(ids)))
-            zeros.append(len(ids) - int(np.count_nonzero(one)))
-            ids = np.concatenate([ids[~one], ids[one]])
+            low = ids.take(np.flatnonzero(~one))
+            zeros.append(len(low))
+            ids = np.concatenate([low, ids.take(np.flatnonzero(one))])
         return cls(planes, zeros, len(ids), np.asarray(ends, dtype="<u8"))
 
     def access(self, i: int) -> int:
@@ -111,8 +112,8 @@ class WaveletMatrix:
         for b, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             one = np.unpackbits(plane.packed, count=self.n).astype(bool)
             back = np.empty_like(ids)
-            back[~one] = ids[:z]
-            back[one] = ids[z:] | ids.dtype.type(1 << b)
+            back[np.flatnonzero(~one)] = ids[:z]
+            back[np.flatnonzero(one)] = ids[z:] | ids.dtype.type(1 << b)
             ids = back
         return ids
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,31 +166,24 @@ def with_topic(df, title: str | Column, topic_raw: str | Column, summary: str |
 # ---------------------------------------------------------------- J8 with a rule table
 
 
-def classify_with_rules(df, rules, text: str | Column, key: str, out: str = "topic",
-                        default: str = TOPIC_DEFAULT, case_limit: int = 500, broadcast_limit: int = 100_000,
-                        force_join: bool = False):
-    """First rule (lowest ``priority``) whose ``keyword`` is a substring of the lower-cased text.
+def classify_with_rules(df, rules, text: str | Column, out: str = "topic", default: str = TOPIC_DEFAULT,
+                        chunk: int = 200):
+    """First rule (lowest ``priority``, ties by topic) of which a keyword is a substring of the lower-cased text.
 
-    ``rules`` (priority, topic, keyword) is a configuration table whose size is
-    checked first: up to ``case_limit`` rules it is collected (bounded) and
-    compiled into one short-circuit CASE; beyond that the rules are joined with
-    a broadcast nested-loop ``contains`` (up to ``broadcast_limit`` rules, else
-    a plain join) and the winner per row is ``min_by(topic, priority)``; rows
-    without a hit get ``default``.
+    ``rules`` (priority, topic, keyword) is a configuration table.  A topic's keywords are one constant
+    array, tested up to the first hit; topics are branches of short-circuit CASE expressions of at most
+    ``chunk`` branches, tried in order.  Every row is its own result, so keys play no part and nothing
+    is shuffled.  Null or empty keywords match nothing; rows without a hit, and null texts, get
+    ``default``.
     """
     txt = F.col(text) if isinstance(text, str) else text
-    n = rules.count()
+    rows = rules.select("priority", "topic", F.lower("keyword").alias("kw")).filter("kw <> ''").distinct().orderBy("priority", "topic", "kw").collect()
+    topics = [(t, [r["kw"] for r in g]) for (_, t), g in groupby(rows, key=lambda r: (r["priority"], r["topic"]))]
     staged = df.withColumn("_rt_text", F.lower(txt))
-    if n <= case_limit and not force_join:
-        expr = None
-        for r in rules.orderBy("priority").collect():  # bounded by case_limit
-            cond = F.col("_rt_text").contains(r["keyword"].lower())
-            expr = F.when(cond, F.lit(r["topic"])) if expr is None else expr.when(cond, F.lit(r["topic"]))
-        value = expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
-        return staged.withColumn(out, value).drop("_rt_text")
-    r = rules.select("priority", "topic", F.lower("keyword").alias("_kw"))
-    r = F.broadcast(r) if n <= broadcast_limit else r
-    hits = staged.select(key, "_rt_text").join(r, F.col("_rt_text").contains(F.col("_kw")))
-    best = hits.groupBy(key).agg(F.min_by("topic", "priority").alias("_rt_topic"))
-    return (staged.join(best, key, "left").withColumn(out, F.coalesce("_rt_topic", F.lit(default)))
-            .drop("_rt_text", "_rt_topic"))
+    parts = []
+    for lo in range(0, len(topics), chunk):
+        expr = F
+        for topic, words in topics[lo:lo + chunk]:
+            expr = expr.when(F.exists(F.lit(words), lambda w: F.col("_rt_text").contains(w)), F.lit(topic))
+        parts.append(expr)
+    return staged.withColumn(out, F.coalesce(*parts, F.lit(default))).drop("_rt_text")

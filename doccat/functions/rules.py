@@ -207,7 +207,6 @@ BOILERPLATE_MARKERS = [
 ]
 
 # Protection-page markers looked for in the first 5,000 characters.
-PROTECTION_PAGE_PREFIX_CHARS = 5000
 PROTECTION_PAGE_MARKERS = ["9DhefwqGPrzGxEp9hPaoag", "$_ts"]
 
 # Allowed product areas of the Chinese list feed.

@@ -1,10 +1,10 @@
 """Detail-page enrichment joins.
 
 Records meet their detail pages through one left equi join on the URL; a
-record without a page keeps its values.  The page side is first reduced to
-the pages the records need (semi join on the distinct URLs), so the per-page
-extraction only runs where it is used; with a top-k of records upstream (L1)
-this is the 'limit before costly work' of the source.
+record without a page keeps its values.  What a record takes from a page is
+extracted first, in the scan, and only that is shuffled: one row per URL, the
+latest crawl (largest ``page_id``; among equal or absent ids the largest
+extracted value), so a page crawled twice never doubles a record.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ from doccat.functions.classify import status_columns
 from doccat.operators import html as H
 
 
-def _needed_pages(records: DataFrame, url_col: str, pages: DataFrame) -> DataFrame:
-    urls = records.select(F.col(url_col).alias("url")).filter(F.col("url").isNotNull()).distinct()
-    return pages.join(urls, "url", "left_semi")
+def _one_page(pages: DataFrame, **extracted: Column) -> DataFrame:
+    """``_url`` and the extracted columns of the latest crawl of each URL."""
+    crawl = F.col("page_id") if "page_id" in pages.columns else F.lit(0)
+    rows = pages.filter(F.col("url").isNotNull()).select(F.col("url").alias("_url"), crawl.alias("_crawl"), F.struct(
+        *[c.alias(n) for n, c in extracted.items()]).alias("_got"))
+    return rows.groupBy("_url").agg(F.max(F.struct("_crawl", "_got")).alias("_last")).select("_url", "_last._got.*")
 
 
 def enrich_summaries(records: DataFrame, pages: DataFrame, url_col: str = "guidance_page_link",
                      summary_col: str = "summary") -> DataFrame:
     """summary = page summary when non-empty, else the record's own; missing pages keep the record."""
-    pg = H.with_stripped(_needed_pages(records, url_col, pages)).select(
-        F.col("url").alias("_url"), H.page_summary(F.col("_stripped"), stripped=True).alias("_page_summary"))
+    pg = _one_page(H.with_stripped(pages), _page_summary=H.page_summary(F.col("_stripped"), stripped=True))
     j = records.join(pg, records[url_col] == pg["_url"], "left")
     return j.withColumn(summary_col, F.coalesce(F.when(F.col("_page_summary") != "", F.col("_page_summary")),
                                                 F.col(summary_col))).drop("_url", "_page_summary")
@@ -37,10 +39,8 @@ def enrich_status_and_pdf(docs: DataFrame, pages: DataFrame, as_of: str) -> Data
     Status fields change only when the page gives a status; a PDF link replaces
     ``document_url`` and sets the format to PDF.
     """
-    pg = _needed_pages(docs, "source_page_url", pages).select(
-        F.col("url").alias("_url"),
-        H.current_version_status(F.col("html")).alias("_status_raw"),
-        H.first_pdf_link(F.col("html"), F.lit("https://www.ema.europa.eu")).alias("_pdf"))
+    pg = _one_page(pages, _status_raw=H.current_version_status(F.col("html")),
+                   _pdf=H.first_pdf_link(F.col("html"), F.lit("https://www.ema.europa.eu")))
     j = docs.join(pg, docs["source_page_url"] == pg["_url"], "left")
     st, sub = status_columns(F.col("title"), F.col("_status_raw"), F.lit("EMA"), F.col("comment_end_date"), as_of)
     has = F.col("_status_raw").isNotNull() & (F.col("_status_raw") != "")
@@ -55,8 +55,7 @@ def enrich_status_and_pdf(docs: DataFrame, pages: DataFrame, as_of: str) -> Data
 def enrich_attachments(items: DataFrame, pages: DataFrame, url_col: str = "detail_url",
                        base: str = "https://www.cde.org.cn") -> DataFrame:
     """The detail page's first attachment sets document_url / document_format when found."""
-    pg = _needed_pages(items, url_col, pages).select(
-        F.col("url").alias("_url"), H.first_attachment(F.col("html"), F.lit(base)).alias("_att"))
+    pg = _one_page(pages, _att=H.first_attachment(F.col("html"), F.lit(base)))
     j = items.join(pg, items[url_col] == pg["_url"], "left")
     return (j.withColumn("document_url", F.coalesce(F.col("_att.url"), F.col("document_url")))
             .withColumn("document_format", F.coalesce(F.col("_att.format"), F.col("document_format")))

@@ -45,8 +45,9 @@ def catalog_csv_rows(catalog: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Distributed CSV write with a header line and '\\n' line ends (K1, K2)."""
+    """Distributed CSV write with a header line and '\\n' line ends (K1, K2); blanks stay, empty cells are empty."""
     (df.write.mode(mode).option("header", True).option("lineSep", "\n").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "")
      .option("quoteAll", False).csv(path))
 
 
@@ -120,20 +121,18 @@ def html_payload_rows(report_rows: DataFrame, keep: list[str] | None = None) ->
     return report_rows.select(*(keep or []), F.replace(obj, F.lit("</"), F.lit("<\\/")).alias("row_json"))
 
 
-def selected_rows(indexed: DataFrame, selection: DataFrame, max_selection: int = 100_000) -> DataFrame:
+def selected_rows(indexed: DataFrame, selection: DataFrame, broadcast_limit: int = 100_000) -> DataFrame:
     """K6: rows at the selected positions (``row_idx``), in selection order, duplicates kept.
 
     ``selection`` (pick, value) holds raw user picks; non-integers and out-of-range
     positions drop out through the inner join.  Only the export columns present
-    are kept.  The selection is broadcast only after its size is checked.
+    are kept.  A selection of up to ``broadcast_limit`` rows is broadcast, a larger one shuffled.
     """
-    n = selection.count()
-    if n > max_selection:
-        raise ValueError(f"selection of {n} rows exceeds {max_selection}")
     sel = selection.select("pick", F.expr("try_cast(value AS BIGINT)").alias("row_idx")).filter(
         F.col("row_idx").isNotNull())
     cols = [c for c in SELECTED_EXPORT_COLUMNS if c in indexed.columns]
-    return indexed.join(F.broadcast(sel), "row_idx").select("pick", *cols)
+    sel = F.broadcast(sel) if selection.count() <= broadcast_limit else sel
+    return indexed.join(sel, "row_idx").select("pick", *cols)
 
 
 def with_row_index(df: DataFrame, order_col: str, name: str = "row_idx") -> DataFrame:

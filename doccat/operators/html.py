@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from doccat.functions.rules import (
     BOILERPLATE_MARKERS,
     PROTECTION_PAGE_MARKERS,
-    PROTECTION_PAGE_PREFIX_CHARS,
     SUMMARY_MIN_CHARS,
 )
 from doccat.functions.text import clean_text, normalize_whitespace, strip_tags
@@ -201,9 +200,9 @@ def parse_int(c: Column) -> Column:
 
 
 def looks_like_protection_page(html: Column) -> Column:
-    """P10: a protection marker within the first 5,000 characters."""
-    head = F.substring(F.coalesce(html, F.lit("")), 1, PROTECTION_PAGE_PREFIX_CHARS)
-    return reduce(lambda a, b: a | b, [head.contains(m) for m in PROTECTION_PAGE_MARKERS])
+    """P10: a protection marker anywhere in the page."""
+    page = F.coalesce(html, F.lit(""))
+    return reduce(lambda a, b: a | b, [page.contains(m) for m in PROTECTION_PAGE_MARKERS])
 
 
 BLOCK_OPEN = r"""(?i)<[a-z0-9]+\s[^>]*class\s*=\s*"[^"]*paragraph--type--ema-documents[^"]*"[^>]*>"""

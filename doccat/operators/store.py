@@ -1,58 +1,72 @@
 """Versioned catalog storage (K7 backups, atomic versions for the upsert).
 
-A catalog is a folder of versions ``root/version=N``; a version counts once its
-``_SUCCESS`` marker exists, and readers take the highest such version.  An
-upsert therefore never reads and overwrites the same path, a failed write
-leaves the previous version current, and every old version is a backup.
+A version is written to a data folder of its own (``root/data/<version>-<attempt>``) and counts once
+one small file, ``root/commits/<version>.json``, names that folder; readers take the highest such
+version.  An upsert therefore never reads and overwrites the same path, a writer that dies leaves a
+folder that nothing names (the retry writes another), and every old version is a backup.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccat.operators.export import path_exists
-
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def commits(spark: SparkSession, root: str) -> dict[int, dict]:
+    """The commit record of every version under ``root``, ascending: its folder and what the writer noted."""
+    fs, p = _fs(spark, f"{root.rstrip('/')}/commits")
+    if not fs.exists(p):
+        return {}
+    out = {}
+    for st in fs.listStatus(p):  # one small file per version
+        m = re.fullmatch(r"(\d+)\.json", st.getPath().getName())
+        if m and st.getLen() > 0:
+            text = "".join(r[0] for r in spark.read.text(st.getPath().toString()).collect())
+            if text.endswith("}"):  # else the writer died while it wrote the record
+                out[int(m.group(1))] = json.loads(text)
+    return dict(sorted(out.items()))
+
+
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Committed versions under ``root`` (ascending)."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = re.fullmatch(r"version=(\d+)", st.getPath().getName())
-        if m and path_exists(spark, f"{st.getPath().toString()}/_SUCCESS"):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-def write_version(df: DataFrame, root: str, version: int, partition_by: str | None = "agency") -> str:
-    """Write ``df`` as version ``version`` (fails if that version exists: writes are idempotent by id)."""
-    path = f"{root.rstrip('/')}/version={version}"
+    return list(commits(spark, root))
+
+
+def write_version(df: DataFrame, root: str, version: int, partition_by: str | None = "agency", note: dict | None = None) -> str:
+    """Write ``df`` and commit it as ``version``, with the writer's ``note`` in the commit record."""
+    base = root.rstrip("/")
+    folder = f"data/{version}-{uuid.uuid4().hex[:12]}"
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(partition_by)
-    w.parquet(path)
-    return path
+    w.parquet(f"{base}/{folder}")
+    spark = df.sparkSession
+    fs, p = _fs(spark, f"{base}/commits/{version}.json")
+    if fs.exists(p) and version not in commits(spark, root):
+        fs.delete(p, False)  # a record that was never finished
+    out = fs.create(p, False)  # fails if another writer took the version
+    out.write(bytearray(json.dumps({"folder": folder, "note": note or {}}).encode()))
+    out.close()
+    return f"{base}/{folder}"
 
 
 def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
     """The highest committed version, or None when the catalog has none."""
-    vs = versions(spark, root)
-    if not vs:
+    known = commits(spark, root)
+    if not known:
         return None
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    return r.parquet(f"{root.rstrip('/')}/version={vs[-1]}")
+    return r.parquet(f"{root.rstrip('/')}/{known[max(known)]['folder']}")
 
 
 def backup_current(spark: SparkSession, root: str, backups_root: str, run_ts: str) -> str | None:

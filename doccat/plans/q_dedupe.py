@@ -50,13 +50,13 @@ def _items(spark, sf_dir):
         k.alias("ord"), k.alias("doc_id"),
         F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Z"), (k % 300).cast("string"))).alias("zdyzIdCODE"),
         F.when(k % 7 == 0, F.concat(F.lit("I"), (k % 50).cast("string"))).alias("idCODE"),
-        F.when(k % 11 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 12)).alias("title"))
+        F.when(k % 11 == 0, F.lit(" ")).otherwise(F.col("text")).alias("title"))
 
 
 _SQL_ITEMS = """items AS (SELECT doc_id AS ord, doc_id,
   CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Z' || CAST(doc_id % 300 AS VARCHAR) END AS zdyzIdCODE,
   CASE WHEN doc_id % 7 = 0 THEN 'I' || CAST(doc_id % 50 AS VARCHAR) END AS idCODE,
-  CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE substr(text, 1, 12) END AS title FROM documents)"""
+  CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS title FROM documents)"""
 
 
 def _sql_item_key() -> str:
@@ -136,15 +136,13 @@ def seed_fallback(spark, sf_dir):
     return out.groupBy("agency").agg(F.count(F.lit(1)).alias("n"), F.count_if("needs_manual_review").alias("seeded"))
 
 
-_SEED_SQL = (lambda: f"""WITH {_sql_seeds()}, x AS (
+@register("seed_documents", lambda: f"""WITH {_sql_seeds()}, x AS (
   SELECT *, {S.date_chain(S.clean('published_date'), S.CATALOG_CHAIN)} AS pd,
     {S.date_chain(S.clean('comment_end_date'), S.CATALOG_CHAIN)} AS ed FROM seeds WHERE agency IN ('ICH', 'CDE'))
 SELECT title, agency, pd AS published_date, ed AS comment_end_date,
   {S.status_of(S.status_index('title', 'status_raw', 'agency', 'ed'))} AS status_normalized,
   {S.sub_status_of(S.status_index('title', 'status_raw', 'agency', 'ed'))} AS sub_status,
   {S.topic('title', 'topic_raw', 'summary')} AS topic_normalized, coalesce(language, 'EN') AS language FROM x""")
-
-
 def seed_documents_query(spark, sf_dir):
     """Demo rows for the agency set {ich, cde} (set is case-insensitive; empty = all)."""
     s = seed_documents(spark, ["ich", "cde"], AS_OF_DATE)

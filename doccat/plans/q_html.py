@@ -127,7 +127,7 @@ def first_attachment(spark, sf_dir):
 _MARK = '<script>var $_ts=1;</script>'
 
 
-@register("protection_gate", f"""SELECT page_id, contains(substr(h, 1, 5000), '9DhefwqGPrzGxEp9hPaoag') OR contains(substr(h, 1, 5000), '$_ts') AS rejected
+@register("protection_gate", f"""SELECT page_id, contains(h, '9DhefwqGPrzGxEp9hPaoag') OR contains(h, '$_ts') AS rejected
 FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN '{_MARK}' || html WHEN page_id % 10 = 1 THEN repeat(' ', 5000) || '{_MARK}' || html
   ELSE html END AS h FROM pages) x""")
 def protection_gate(spark, sf_dir):
@@ -234,19 +234,26 @@ def conversation_carry_forward(spark, sf_dir):
 # ---------------------------------------------------------------- J1-J3 enrichment
 
 
+def _with_page(records, key, pg):
+    """Each record with the page whose id is its key modulo the number of pages, so all pages are used."""
+    total = pg.agg(F.count(F.lit(1)).alias("_pages"))
+    keyed = records.crossJoin(F.broadcast(total)).withColumn("_page", F.expr(f"try_mod({key}, _pages)"))
+    return keyed.join(pg, keyed["_page"] == pg["page_id"], "left").drop("_pages", "_page")
+
+
 def _records_with_pages(spark, sf_dir):
     from doccat.plans.q_search import legacy_records
     rec = legacy_records(spark, sf_dir).select("ord", "guidance_page_link", "summary")
     pg = pages(spark, sf_dir).select("page_id", "url")
-    j = rec.join(pg, (F.col("ord") % 256) == F.col("page_id"), "left")
+    j = _with_page(rec, "ord", pg)
     link = F.coalesce(F.col("url"), F.concat(F.lit("https://missing.example.org/"), F.col("ord").cast("string")))
     return j.select("ord", link.alias("guidance_page_link"), "summary")
 
 
 @register("enrich_summaries", lambda: f"""WITH legacy AS ({S.legacy_cte()}),
 rec AS (SELECT l.ord, coalesce(p.url, 'https://missing.example.org/' || CAST(l.ord AS VARCHAR)) AS link, l.summary
-        FROM legacy l LEFT JOIN pages p ON l.ord % 256 = p.page_id),
-ps AS (SELECT url, {SH.page_summary('html')} AS ps FROM pages WHERE url IN (SELECT link FROM rec))
+        FROM legacy l LEFT JOIN pages p ON l.ord % (SELECT count(*) FROM pages) = p.page_id),
+ps AS (SELECT url, {SH.page_summary('html')} AS ps FROM pages WHERE url IN (SELECT link FROM rec) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)
 SELECT rec.ord, coalesce(nullif(ps.ps, ''), rec.summary) AS summary FROM rec LEFT JOIN ps ON rec.link = ps.url""")
 def enrich_summaries(spark, sf_dir):
     """Record summary replaced by its detail page's summary when the page gives one."""
@@ -277,9 +284,9 @@ _SQL_DETAIL_PAGES = f"""(SELECT page_id, url, CASE WHEN page_id % 10 = 0 THEN ht
 @register("enrich_status_pdf", lambda: f"""WITH catalog AS ({S.catalog_cte()}), dp AS {_SQL_DETAIL_PAGES},
 docs AS (SELECT c.doc_id, c.title, c.comment_end_date, c.status_raw, c.status_normalized, c.sub_status, c.document_url, c.document_format,
   coalesce(p.url, 'https://missing.example.org/' || CAST(c.doc_id AS VARCHAR)) AS source_page_url
-  FROM catalog c LEFT JOIN pages p ON c.doc_id % 256 = p.page_id),
+  FROM catalog c LEFT JOIN pages p ON c.doc_id % (SELECT count(*) FROM pages) = p.page_id),
 pg AS (SELECT url, {SH.current_version_status('html')} AS sr, {SH.first_pdf('html', "'https://www.ema.europa.eu'")} AS pdf
-  FROM dp WHERE url IN (SELECT source_page_url FROM docs)),
+  FROM dp WHERE url IN (SELECT source_page_url FROM docs) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1),
 j AS (SELECT d.*, pg.sr, pg.pdf, {S.status_index('d.title', 'pg.sr', "'EMA'", 'd.comment_end_date')} AS si
   FROM docs d LEFT JOIN pg ON d.source_page_url = pg.url)
 SELECT doc_id, CASE WHEN coalesce(sr, '') <> '' THEN sr ELSE status_raw END AS status_raw,
@@ -292,7 +299,7 @@ def enrich_status_pdf(spark, sf_dir):
     from doccat.operators.enrich import enrich_status_and_pdf
     c = catalog(spark, sf_dir)
     pg = pages(spark, sf_dir).select("page_id", "url")
-    docs = c.join(pg, (F.col("doc_id") % 256) == F.col("page_id"), "left").select(
+    docs = _with_page(c, "doc_id", pg).select(
         "doc_id", "title", "comment_end_date", "status_raw", "status_normalized", "sub_status", "document_url",
         "document_format",
         F.coalesce(F.col("url"), F.concat(F.lit("https://missing.example.org/"), F.col("doc_id").cast("string")))
@@ -303,9 +310,9 @@ def enrich_status_pdf(spark, sf_dir):
 
 @register("enrich_attachments", lambda: f"""WITH ap AS {_SQL_ATT_PAGES},
 items AS (SELECT d.doc_id, coalesce(p.url, 'https://missing.example.org/' || CAST(d.doc_id AS VARCHAR)) AS detail_url
-  FROM documents d LEFT JOIN pages p ON d.doc_id % 256 = p.page_id),
+  FROM documents d LEFT JOIN pages p ON d.doc_id % (SELECT count(*) FROM pages) = p.page_id),
 pg AS (SELECT url, f FROM (SELECT url, list_filter(list_zip({SH.anchors('html', 1)}, {SH.anchors('html', 2)}),
-  lambda x: contains(x[1], 'downloadAtt'))[1] AS f FROM ap WHERE url IN (SELECT detail_url FROM items)) z),
+  lambda x: contains(x[1], 'downloadAtt'))[1] AS f FROM ap WHERE url IN (SELECT detail_url FROM items) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1) z),
 a AS (SELECT url, CASE WHEN f IS NOT NULL THEN {SH.absolute('f[1]', "'https://www.cde.org.cn'")} END AS au, f FROM pg)
 SELECT i.doc_id, a.au AS document_url,
   CASE WHEN a.f IS NOT NULL THEN CASE WHEN ends_with(lower(trim(concat_ws(' ', a.au, {SH.fragment_text('a.f[2]')}))), '.pdf') THEN 'PDF'
@@ -317,7 +324,7 @@ def enrich_attachments(spark, sf_dir):
     from doccat.operators.enrich import enrich_attachments as enrich
     d = table(spark, sf_dir, "documents").select("doc_id")
     pg = pages(spark, sf_dir).select("page_id", "url")
-    items = d.join(pg, (F.col("doc_id") % 256) == F.col("page_id"), "left").select(
+    items = _with_page(d, "doc_id", pg).select(
         "doc_id", F.coalesce(F.col("url"), F.concat(F.lit("https://missing.example.org/"), F.col("doc_id").cast("string")))
         .alias("detail_url"),
         F.lit(None).cast("string").alias("document_url"), F.lit(None).cast("string").alias("document_format"))

@@ -158,12 +158,12 @@ def _ema_rows(spark, sf_dir):
     base = F.date_add(F.lit("2020-01-01").cast("date"), (k % 2400).cast("int"))
     dmy = lambda c: F.concat(F.dayofmonth(c).cast("string"), F.lit("/"), F.month(c).cast("string"), F.lit("/"), F.year(c).cast("string"))
     title = F.when(k % 50 == 0, F.lit("  ")).otherwise(
-        F.concat(pick(PHRASES, k % 23), F.lit(" "), F.coalesce(F.substring("text", 1, 40), F.lit("")), pick(_EMA_SUFFIX, k % 3)))
+        F.concat(pick(PHRASES, k % 23), F.lit(" "), F.coalesce(F.col("text"), F.lit("")), pick(_EMA_SUFFIX, k % 3)))
     url = F.when(k % 51 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://www.ema.europa.eu/en/doc-"), ks,
                                                                F.when(k % 4 == 0, F.lit("-scientific-guideline")).otherwise(F.lit(""))))
     row = F.struct(
         title.alias("title"),
-        F.when(k % 9 == 0, F.lit("")).otherwise(F.substring("text", 1, 100)).alias("summary"),
+        F.when(k % 9 == 0, F.lit("")).otherwise(F.col("text")).alias("summary"),
         F.concat(F.lit("Human;"), pick(_EMA_CATS, k % 3)).alias("categories"),
         F.when(k % 13 == 0, F.lit("")).otherwise(dmy(base)).alias("first_published_date"),
         F.when(k % 2 == 0, F.date_format(base, "dd/MM/yy")).otherwise(F.date_format(base, "yyyy-MM-dd")).alias("last_updated_date"),
@@ -187,9 +187,9 @@ def _sql_ema_src() -> str:
     dmy = lambda c: f"CAST(day({c}) AS VARCHAR) || '/' || CAST(month({c}) AS VARCHAR) || '/' || CAST(year({c}) AS VARCHAR)"
     b = "(DATE '2020-01-01' + CAST(doc_id % 2400 AS INTEGER))"
     return f"""SELECT doc_id AS k, doc_id // {PAGE_SIZE} AS page, doc_id % {PAGE_SIZE} + 1 AS pos,
-  CASE WHEN doc_id % 50 = 0 THEN '  ' ELSE {S.lst(PHRASES)}[doc_id % 23 + 1] || ' ' || coalesce(substr(text, 1, 40), '')
+  CASE WHEN doc_id % 50 = 0 THEN '  ' ELSE {S.lst(PHRASES)}[doc_id % 23 + 1] || ' ' || coalesce(text, '')
     || {S.lst(_EMA_SUFFIX)}[doc_id % 3 + 1] END AS title,
-  CASE WHEN doc_id % 9 = 0 THEN '' ELSE substr(text, 1, 100) END AS summary,
+  CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS summary,
   'Human;' || {S.lst(_EMA_CATS)}[doc_id % 3 + 1] AS categories,
   CASE WHEN doc_id % 13 = 0 THEN '' ELSE {dmy(b)} END AS first_published_date,
   CASE WHEN doc_id % 2 = 0 THEN strftime({b}, '%d/%m/%y') ELSE strftime({b}, '%Y-%m-%d') END AS last_updated_date,
@@ -274,7 +274,7 @@ def _cde_items(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id")
     ks = k.cast("string")
-    t = F.when(k % 19 == 0, F.lit("")).otherwise(clean_text(F.substring("text", 1, 30)))
+    t = F.when(k % 19 == 0, F.lit("")).otherwise(clean_text("text"))
     area = pick(_AREAS, k % 5)
     code = F.when(k % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("Z"), (k % 400).cast("string")))
     b = F.date_add(F.lit("2024-01-01").cast("date"), (k % 700).cast("int"))
@@ -287,7 +287,7 @@ def _cde_items(spark, sf_dir):
                             F.concat(F.lit("/files/"), ks, F.lit(".pdf")).alias("fileUrl"), code.alias("idCODE")))
     j2 = F.to_json(F.struct(t.alias("name"), area.alias("scope"),
                             F.concat(name, F.lit(" "), F.dayofmonth(b).cast("string"), F.lit(", "), F.year(b).cast("string")).alias("date"),
-                            code.alias("id"), F.lit("  ").alias("summary"), F.substring("text", 1, 50).alias("description")))
+                            code.alias("id"), F.lit("  ").alias("summary"), F.col("text").alias("description")))
     j3 = F.to_json(F.struct(F.lit("").alias("bt"), t.alias("noticeTitle"),
                             F.concat(F.lit("https://x.example/"), ks, F.lit(".docx")).alias("document_url"),
                             F.lit("").alias("document_format"), F.lit("公开征求意见").alias("status")))
@@ -313,11 +313,11 @@ def item_key_aliases(spark, sf_dir):
 
 
 def _sql_cde() -> str:
-    t = f"CASE WHEN doc_id % 19 = 0 THEN '' ELSE {S.clean('substr(text, 1, 30)')} END"
+    t = f"CASE WHEN doc_id % 19 = 0 THEN '' ELSE {S.clean('text')} END"
     code = "CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'Z' || CAST(doc_id % 400 AS VARCHAR) END"
     b = "(DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER))"
     base = f"""SELECT doc_id AS k, doc_id % 4 AS v, {t} AS t, {S.lst(_AREAS)}[doc_id % 5 + 1] AS area, {code} AS code, {b} AS b,
-  {S.lst(_NOWSTATE)}[doc_id % 3 + 1] AS ns, {S.clean('substr(text, 1, 50)')} AS descr FROM documents"""
+  {S.lst(_NOWSTATE)}[doc_id % 3 + 1] AS ns, {S.clean('text')} AS descr FROM documents"""
     lists = "SELECT 1 AS list, * FROM base WHERE k % 3 <> 0 UNION ALL SELECT 2 AS list, * FROM base WHERE k % 2 = 0 OR k % 3 = 0"
     sel = f"""SELECT list, k, t AS title, v, area, code,
   CASE WHEN v = 0 THEN strftime(b, '%Y%m%d') WHEN v = 1 THEN strftime(b, '%Y-%m-%d')
@@ -374,7 +374,7 @@ def landed_ich_trees(spark, sf_dir):
     k = F.col("doc_id")
     ks = k.cast("string")
     code = F.when(k % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("E"), ks))
-    title = F.when(k % 11 == 0, code).otherwise(clean_text(F.substring("text", 1, 40)))
+    title = F.when(k % 11 == 0, code).otherwise(clean_text("text"))
     end = F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int"))
     deadline = F.concat(F.lit("Deadline for comments by "), F.dayofmonth(end).cast("string"), F.lit(" "),
                         pick(MONTH_NAMES, F.month(end) - 1), F.lit(" "), F.year(end).cast("string"), F.lit("; see notes"))
@@ -383,7 +383,7 @@ def landed_ich_trees(spark, sf_dir):
                        F.array(F.struct(deadline.alias("text")), F.struct(F.lit("Note").alias("text")),
                                F.struct(F.lit("Deadline for comments by 1 January 2024").alias("text"))).alias("info"))
     head = F.to_json(F.struct(code.alias("code"), title.alias("title"),
-                              F.concat(F.lit("<p>"), F.substring("text", 1, 120), F.lit("</p>")).alias("description"),
+                              F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("description"),
                               pick(_STATUS, k % 6).alias("status"),
                               F.when(k % 5 != 0, details).alias("details")))
     fg = F.replace(pick([_FG[i] for i in range(7)], k % 7), F.lit("{k}"), ks)
@@ -416,14 +416,14 @@ def tree_walk_guidelines(spark, sf_dir):
 
 def _sql_ich() -> str:
     code = "'E' || CAST(doc_id AS VARCHAR)"
-    title0 = f"CASE WHEN doc_id % 11 = 0 THEN {code} ELSE {S.clean('substr(text, 1, 40)')} END"
+    title0 = f"CASE WHEN doc_id % 11 = 0 THEN {code} ELSE {S.clean('text')} END"
     end = "(DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER))"
     step = S.raw_date_text("doc_id", "(DATE '2020-01-01' + CAST(doc_id % 2400 AS INTEGER))")
     uri = "CASE doc_id % 7 " + " ".join(
         f"WHEN {i} THEN " + ("NULL" if u is None else f"replace({S.q(u)}, '{{k}}', CAST(doc_id AS VARCHAR))")
         for i, (u, _f) in _FG_EXPECTED.items()) + " END"
     fmt = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {S.q(f)}" for i, (_u, f) in _FG_EXPECTED.items()) + " END"
-    desc = "'<p>' || coalesce(substr(text, 1, 120), '') || '</p>'"
+    desc = "'<p>' || coalesce(text, '') || '</p>'"
     summ = f"coalesce(nullif({S.normalize_ws(SH.fragment_text(S.clean(desc)))}, ''), 'Not available.')"
     status = f"{S.lst(_STATUS)}[doc_id % 6 + 1]"
     info_title = "CASE WHEN doc_id % 5 <> 0 AND doc_id % 4 = 0 THEN 'Draft Guideline' END"

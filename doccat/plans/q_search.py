@@ -248,13 +248,13 @@ def header_alias_projection(spark, sf_dir):
 
 
 @register("required_fields", """SELECT doc_id,
-  CASE WHEN trim(regexp_replace(coalesce(substr(text, 1, 40), ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')) = '' OR doc_id % 10 = 3 THEN
-    CASE WHEN trim(regexp_replace(coalesce(substr(text, 1, 40), ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')) = '' THEN 'missing title' ELSE 'missing url' END
+  CASE WHEN trim(regexp_replace(coalesce(text, ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')) = '' OR doc_id % 10 = 3 THEN
+    CASE WHEN trim(regexp_replace(coalesce(text, ''), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g')) = '' THEN 'missing title' ELSE 'missing url' END
   END AS reject_reason FROM documents""")
 def required_fields(spark, sf_dir):
     """Rows without title or URL are routed aside with a reason instead of dropped silently."""
     d = table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 40).alias("title"),
+        "doc_id", F.col("text").alias("title"),
         F.when(F.col("doc_id") % 10 == 3, F.lit(" ")).otherwise(F.lit("https://example.org/x")).alias("url"))
     return OP.required_fields(d, ["title", "url"]).select("doc_id", "reject_reason")
 

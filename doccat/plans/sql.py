@@ -156,7 +156,7 @@ def catalog_cte(as_of: str = AS_OF_DATE, source: str = "documents") -> str:
     d = "doc_id"
     base = f"""SELECT {d} AS ord, {d},
   {lst(AGENCIES)}[{d} % 5 + 1] AS agency,
-  {clean(f"{lst(PHRASES)}[{d} % 23 + 1] || ' ' || coalesce(substr(text, 1, 60), '')")} AS title,
+  {clean(f"{lst(PHRASES)}[{d} % 23 + 1] || ' ' || coalesce(text, '')")} AS title,
   {lst(RAW_STATUSES)}[{d} % 17 + 1] AS status_raw,
   source AS topic_raw,
   upper(lang) AS language,
@@ -166,7 +166,7 @@ def catalog_cte(as_of: str = AS_OF_DATE, source: str = "documents") -> str:
   CASE WHEN {d} % 4 = 1 THEN 'https://example.org/files/' || CAST({d} AS VARCHAR) || '.pdf'
        WHEN {d} % 4 = 2 THEN 'https://example.org/files/' || CAST({d} AS VARCHAR) || '.docx'
        WHEN {d} % 4 = 3 THEN 'https://example.org/media/' || CAST({d} AS VARCHAR) || '/download' END AS document_url,
-  coalesce(nullif({clean("substr(text, 1, 400)")}, ''), {q(NOT_AVAILABLE)}) AS summary
+  coalesce(nullif({clean("text")}, ''), {q(NOT_AVAILABLE)}) AS summary
 FROM {source}"""
     idx = status_index("title", "status_raw", "agency", "comment_end_date", as_of)
     mid = f"""SELECT *, {idx} AS _sidx FROM ({base}) b"""

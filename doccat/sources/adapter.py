@@ -54,7 +54,7 @@ def catalog_from_documents(documents: DataFrame, as_of: str = AS_OF_DATE) -> Dat
         d.alias("ord"),
         d,
         pick(AGENCIES, d % 5).alias("agency"),
-        clean_text(F.concat(pick(PHRASES, d % 23), F.lit(" "), F.coalesce(F.substring(text, 1, 60), F.lit("")))).alias("title"),
+        clean_text(F.concat(pick(PHRASES, d % 23), F.lit(" "), F.coalesce(text, F.lit("")))).alias("title"),
         pick(RAW_STATUSES, d % 17).alias("status_raw"),
         F.col("source").alias("topic_raw"),
         F.upper(F.col("lang")).alias("language"),
@@ -66,7 +66,7 @@ def catalog_from_documents(documents: DataFrame, as_of: str = AS_OF_DATE) -> Dat
          .when(d % 4 == 2, F.concat(F.lit("https://example.org/files/"), d.cast("string"), F.lit(".docx")))
          .when(d % 4 == 3, F.concat(F.lit("https://example.org/media/"), d.cast("string"), F.lit("/download")))
          ).alias("document_url"),
-        F.coalesce(F.nullif(clean_text(F.substring(text, 1, 400)), F.lit("")), F.lit(NOT_AVAILABLE)).alias("summary"),
+        F.coalesce(F.nullif(clean_text(text), F.lit("")), F.lit(NOT_AVAILABLE)).alias("summary"),
     )
     staged = with_status(base, "title", "status_raw", "agency", "comment_end_date", as_of, pmda=True)
     staged = with_topic(staged, "title", "topic_raw", "summary")

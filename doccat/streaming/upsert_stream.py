@@ -2,10 +2,12 @@
 
 Landed run batches (parquet, one ``run_ts`` per run) are read as a file
 stream; ``foreachBatch`` folds each micro-batch's runs, in ``run_ts`` order,
-into the current catalog version and commits version ``batch_id + 1``.
+into the catalog and commits the next version for every run.
 
-* Idempotent: a replayed micro-batch whose version already exists is skipped,
-  so a replay can never turn ``updated`` into ``unchanged``.
+* Idempotent: each commit records the stream's id (kept in its checkpoint), the
+  micro-batch and the run; a replay skips the runs that are recorded, so it can
+  never turn ``updated`` into ``unchanged``, and a fresh checkpoint on an old
+  catalog goes on from its last version.
 * Lineage is cut at every version: the next batch reads the committed parquet.
 * A run must reach the stream whole: land it with one write (its files appear
   together at commit) and do not cap files per trigger below a run, because
@@ -16,26 +18,37 @@ into the current catalog version and commits version ``batch_id + 1``.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from doccat.operators.catalog_schema import CATALOG_SCHEMA
-from doccat.operators.store import read_current, versions, write_version
+from doccat.operators.store import commits, read_current, versions, write_version
 from doccat.operators.upsert import empty_catalog, upsert
 
 
-def fold_runs(spark: SparkSession, catalog: DataFrame, batch: DataFrame) -> DataFrame:
-    """Apply every run of ``batch`` (column ``run_ts``) to ``catalog`` in run order."""
-    runs = [r[0] for r in batch.select("run_ts").distinct().orderBy("run_ts").collect()]  # one row per run
-    cur = catalog
+def stream_id(spark: SparkSession, checkpoint_location: str) -> str:
+    """The id that Structured Streaming keeps in a checkpoint; a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint_location}/metadata").first()[0])["id"]
+
+
+def apply_runs(spark: SparkSession, batch: DataFrame, catalog_root: str, stream: str, batch_id: int) -> None:
+    """Fold every run of ``batch`` (column ``run_ts``) into the catalog in run order, a version per run."""
+    runs = [str(r[0]) for r in batch.select("run_ts").distinct().orderBy("run_ts").collect()]  # one row per run
+    done = {(n["note"].get("stream"), n["note"].get("batch"), n["note"].get("run")) for n in commits(spark, catalog_root).values()}
     for ts in runs:
-        # the first run reads the committed version: broadcast its (size-checked) id set so
-        # untouched catalog rows skip the shuffle
-        limit = 2_000_000 if cur is catalog else None
-        cur = upsert(cur, batch.filter(F.col("run_ts") == F.lit(ts)).drop("run_ts"), F.lit(ts).cast("timestamp_ntz"),
-                     broadcast_ids_limit=limit)
-    return cur
+        if (stream, batch_id, ts) in done:
+            continue  # replay of a committed run
+        current = read_current(spark, catalog_root, CATALOG_SCHEMA)
+        if current is None:
+            current = empty_catalog(spark)
+        stamp = F.lit(ts).cast("timestamp_ntz")
+        # Up to so many ids in the run, untouched catalog rows skip the shuffle.
+        new = upsert(current, batch.filter(F.col("run_ts") == stamp).drop("run_ts"), stamp, broadcast_ids_limit=2_000_000)
+        version = max(versions(spark, catalog_root), default=0) + 1
+        write_version(new, catalog_root, version, note={"stream": stream, "batch": batch_id, "run": ts})
 
 
 def stream_upsert(spark: SparkSession, landing_dir: str, schema: StructType, catalog_root: str,
@@ -48,16 +61,10 @@ def stream_upsert(spark: SparkSession, landing_dir: str, schema: StructType, cat
     stream = reader.parquet(landing_dir)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        if version in versions(spark, catalog_root):
-            return  # replay of a committed batch
         if batch.isEmpty():
             return
-        current = read_current(spark, catalog_root, CATALOG_SCHEMA)
-        if current is None:
-            current = empty_catalog(spark)
         cols = [c for c in batch.columns if c != "batch"]
-        write_version(fold_runs(spark, current, batch.select(*cols)), catalog_root, version)
+        apply_runs(batch.sparkSession, batch.select(*cols), catalog_root, stream_id(spark, checkpoint_location), batch_id)
 
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -58,12 +58,13 @@ def test_topic_rules_first_match_wins(spark):
     assert df.select(topic_column(F.col("title"), F.lit(None), F.lit(None)).alias("t")).first()["t"] == "ICH_implementation"
 
 
-def test_rule_table_case_and_join_paths_agree(spark):
+def test_rule_table_answer_does_not_depend_on_pieces_or_keys(spark):
     from doccat.functions.classify import classify_with_rules
-    from tests.conftest import rows
-    docs = spark.createDataFrame([(1, "Adaptive Bayesian design"), (2, "nothing here"), (3, "BAYESIAN only")],
+    docs = spark.createDataFrame([(1, "beta x"), (1, "alpha y"), (None, "alpha z"), (2, None), (3, "BAYESIAN only"), (4, "none")],
                                  "id long, text string")
-    rules = spark.createDataFrame([(2, "bayes", "bayesian"), (1, "adaptive", "adaptive")], "priority int, topic string, keyword string")
-    a = classify_with_rules(docs, rules, "text", "id")
-    b = classify_with_rules(docs, rules, "text", "id", force_join=True)
-    assert rows(a, "id", "topic") == rows(b, "id", "topic") == [(1, "adaptive"), (2, "other"), (3, "bayes")]
+    rules = spark.createDataFrame([(2, "a", "alpha"), (1, "b", "beta"), (3, "bayes", "bayesian"), (0, "never", None), (0, "blank", "")]
+                                  + [(10 + i, f"t{i}", f"word{i}") for i in range(30)], "priority int, topic string, keyword string")
+    want = [("BAYESIAN only", "bayes"), ("alpha y", "a"), ("alpha z", "a"), ("beta x", "b"), ("none", "other"), (None, "other")]
+    for chunk in (1, 7, 500):
+        got = classify_with_rules(docs, rules, "text", chunk=chunk).select("text", "topic").collect()
+        assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)

@@ -47,6 +47,8 @@ MORE_RULES = (
     SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: What redaction puts in a secret's place.
+MARK = "[SECRET]"
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
@@ -124,10 +126,10 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, ledger: str | None = None) -> DataFrame:
     """The rows with every found span of the text replaced by ``mark`` (overlapping spans by one).
 
-    Only ids, blobs and spans take part in the join where nothing was found; null texts stay null.
+    Null texts stay null; other columns stay as they are.
     """
     found = scan_secrets(docs, ledger, text_col=text_col)
     text = F.col(text_col)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +40,44 @@ def unescape_common(c: Column | str) -> Column:
     return out
 
 
+#: A character reference: decimal, hexadecimal, or a name with its semicolon.
+ENTITY = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
+#: One that ``unescape_common`` does not know.
+RARE_ENTITY = r"&(?:#(?!39;)[0-9xX]|(?!lt;|gt;|quot;|apos;|nbsp;|amp;)[A-Za-z][A-Za-z0-9]{1,31};)"
+
+
+def _named_entities() -> Column:
+    """Every name of the HTML5 table, as the standard library lists it."""
+    table = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
+
+
+def _legacy_numbers() -> Column:
+    """Numbers 128 to 159 mean Windows-1252 characters, where that has one."""
+    table = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    return F.map_from_arrays(F.lit([n for n, c in table.items() if c]), F.lit([c for c in table.values() if c]))
+
+
+def _decode_entity(e: Column) -> Column:
+    number = F.regexp_extract(e, r"^&#([0-9]+|[xX][0-9a-fA-F]+)", 1)
+    point = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 10), 16, 10)).otherwise(number).cast("long")
+    odd = (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
+    char = F.when(odd, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    named = F.element_at(_named_entities(), F.regexp_extract(e, r"^&([A-Za-z][A-Za-z0-9]*);$", 1))
+    return F.when(number != "", F.coalesce(F.element_at(_legacy_numbers(), point.cast("int")), char)).otherwise(F.coalesce(named, e))
+
+
+def unescape_html(c: Column | str) -> Column:
+    """Decode all character references, each once; texts with common ones alone take the short way."""
+    c = _c(c)
+    found = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), _decode_entity)
+    whole = F.array_join(F.zip_with(F.split(c, ENTITY, -1), found, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
+    return F.when(c.rlike(RARE_ENTITY), whole).otherwise(unescape_common(c))
+
+
 def normalize_whitespace(c: Column | str) -> Column:
-    """common-entity decode then F1 (legacy records: null -> '')."""
-    return clean_text(unescape_common(F.coalesce(_c(c).cast("string"), F.lit(""))))
+    """character references decoded, then F1 (legacy records: null -> '')."""
+    return clean_text(unescape_html(F.coalesce(_c(c).cast("string"), F.lit(""))))
 
 
 def strip_tags(c: Column | str) -> Column:

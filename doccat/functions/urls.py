@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from doccat.functions.text import unescape_html
+
 URL_PATH = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)"
 
 
@@ -49,12 +51,38 @@ def _base_parts(base: str) -> tuple[str, str, str]:
     return scheme, host, path
 
 
+#: An anchor's opening tag with an href (group 1, as written, quotes included), and a whole anchor (group 2: content).
+HREF_TAG = r"""(?is)<a(?=\s)(?:"[^"]*"|'[^']*'|[^"'>])*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)(?:"[^"]*"|'[^']*'|[^"'>])*>"""
+ANCHOR = HREF_TAG + r"(.*?)</a\s*>"
+
+
+def href_value(written: Column) -> Column:
+    """An href as written, in either kind of quotes or none, without them and with references decoded."""
+    return unescape_html(F.regexp_replace(written, "^[\"']|[\"']$", ""))
+
+
+def without_dots(url: Column) -> Column:
+    """The URL with '.' and '..' segments of its path resolved; others pass unchanged."""
+    head = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
+    segments = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    slash = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    resolved = F.concat(head, F.lit("/"), F.array_join(kept, "/"), slash, rest)
+    return F.when(url.rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)"), resolved).otherwise(url)
+
+
 def absolute_url(href: Column, base: str) -> Column:
     """resolve ``href`` against a fixed ``base`` URL.
 
     Cases: has a scheme -> as is; '//host' -> base scheme; '/path' -> base origin;
     '?q' -> base path + query; '#f' -> base (no fragment) + fragment; '' -> base;
-    otherwise relative to the base directory.  Dot segments are not collapsed.
+    otherwise relative to the base directory.  Paths lose their dot segments.
     """
     scheme, host, path = _base_parts(base)
     base_dir = path[: path.rfind("/") + 1]
@@ -64,10 +92,10 @@ def absolute_url(href: Column, base: str) -> Column:
     return (F.when(h == "", F.lit(base))
             .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
             .when(h.startswith("//"), F.concat(F.lit(scheme + ":"), h))
-            .when(h.startswith("/"), F.concat(F.lit(f"{scheme}://{host}"), h))
+            .when(h.startswith("/"), without_dots(F.concat(F.lit(f"{scheme}://{host}"), h)))
             .when(h.startswith("?"), F.concat(F.lit(base_no_query), h))
             .when(h.startswith("#"), F.concat(F.lit(base_no_frag), h))
-            .otherwise(F.concat(F.lit(f"{scheme}://{host}{base_dir}"), h)))
+            .otherwise(without_dots(F.concat(F.lit(f"{scheme}://{host}{base_dir}"), h))))
 
 
 def first_pdf_or_download(links: Column) -> Column:
@@ -97,7 +125,7 @@ def absolute_url_col(href: Column, base: Column) -> Column:
     return (F.when(h == "", base)
             .when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
+            .when(h.startswith("/"), without_dots(F.concat(origin, h)))
             .when(h.startswith("?"), F.concat(no_query, h))
             .when(h.startswith("#"), F.concat(no_frag, h))
-            .otherwise(F.concat(base_dir, h)))
+            .otherwise(without_dots(F.concat(base_dir, h))))

@@ -29,13 +29,12 @@ from doccat.functions.rules import (
     SUMMARY_MIN_CHARS,
 )
 from doccat.functions.text import clean_text, normalize_whitespace, strip_tags
-from doccat.functions.urls import absolute_url_col
+from doccat.functions.urls import ANCHOR, HREF_TAG, absolute_url_col, href_value
 
 NOISE = r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->"
 TOKEN = r"<[^>]*>|[^<]+"
 P_OPEN = r"(?i)<p>|<p\s[^>]*>"
 P_END = r"(?is)</(p|article)(\s[^>]*)?>.*$"
-ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>"""
 
 
 def strip_noise(html: Column) -> Column:
@@ -160,14 +159,14 @@ def links(html: Column, base: Column) -> Column:
     hrefs = F.regexp_extract_all(h, F.lit(ANCHOR), 1)
     texts = F.regexp_extract_all(h, F.lit(ANCHOR), 2)
     return F.transform(F.arrays_zip(hrefs.alias("h"), texts.alias("t")),
-                       lambda z: F.struct(absolute_url_col(z["h"], base).alias("href"),
+                       lambda z: F.struct(absolute_url_col(href_value(z["h"]), base).alias("href"),
                                           fragment_text(z["t"]).alias("text")))
 
 
 def first_pdf_link(html: Column, base: Column) -> Column:
     """H6: first link whose href holds '.pdf' and '/documents/' (absolute), else null."""
     h = strip_noise(html)
-    hrefs = F.regexp_extract_all(h, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>"""), 1)
+    hrefs = F.transform(F.regexp_extract_all(h, F.lit(HREF_TAG), 1), href_value)
     hit = F.filter(hrefs, lambda x: F.lower(x).contains(".pdf") & F.lower(x).contains("/documents/"))
     first = F.try_element_at(hit, F.lit(1))
     return F.when(first.isNotNull(), absolute_url_col(first, base))
@@ -176,7 +175,7 @@ def first_pdf_link(html: Column, base: Column) -> Column:
 def first_attachment(html: Column, base: Column) -> Column:
     """H7: first anchor whose href holds 'downloadAtt' -> struct(url, format from url + link text)."""
     h = strip_noise(html)
-    hrefs = F.regexp_extract_all(h, F.lit(ANCHOR), 1)
+    hrefs = F.transform(F.regexp_extract_all(h, F.lit(ANCHOR), 1), href_value)
     texts = F.regexp_extract_all(h, F.lit(ANCHOR), 2)
     z = F.filter(F.arrays_zip(hrefs.alias("h"), texts.alias("t")), lambda x: x["h"].contains("downloadAtt"))
     first = F.try_element_at(z, F.lit(1))
@@ -320,7 +319,7 @@ def table_rows(html: Column, base: str) -> Column:
 
     def row(r, i):
         cells = F.transform(F.regexp_extract_all(r, F.lit(CELL), 1), lambda c: fragment_text(c))
-        href = F.regexp_extract(r, r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>""", 1)
+        href = href_value(F.regexp_extract(r, HREF_TAG, 1))
         text = fragment_text(F.regexp_extract(r, ANCHOR, 2))
         title = F.when(text != "", text).otherwise(F.try_element_at(cells, F.lit(1)))
         from doccat.functions.urls import absolute_url

@@ -425,7 +425,7 @@ def _sql_table_rows() -> str:
     t = (f"replace(replace({S.q(_TABLE)}, '{{id}}', CAST(page_id AS VARCHAR)), '{{d}}', CAST(page_id % 9 + 1 AS VARCHAR))")
     rows = f"list_slice(string_split_regex({SH.strip_noise('h')}, {S.q(H.TR_OPEN)}), 2, 1000000)"
     href = "regexp_extract(r, '(?is)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"[^>]*>', 1)"
-    text = SH.fragment_text(f"regexp_extract(r, {S.q(H.ANCHOR)}, 2)")
+    text = SH.fragment_text(f"regexp_extract(r, {S.q(SH.ANCHOR)}, 2)")
     cells = f"list_transform(regexp_extract_all(r, {S.q(cell_re)}, 1), lambda c: {SH.fragment_text('c')})"
     area_hit = "coalesce(" + ", ".join(f"CASE WHEN contains(c, {S.q(a)}) THEN {S.q(a)} END" for a in CDE_ALLOWED_PRODUCT_AREAS) + ")"
     dates = f"list_filter(list_transform(cells, lambda c: {S.date_chain(S.clean('c'), S.CATALOG_CHAIN)}), lambda x: x IS NOT NULL)[1]"

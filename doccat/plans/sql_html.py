@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from doccat.functions.rules import BOILERPLATE_MARKERS, SUMMARY_MIN_CHARS
-from doccat.operators.html import ANCHOR, ARTICLE_MAIN, DIV_MAIN, NOISE, P_END, P_OPEN, TOKEN
+from doccat.operators.html import ARTICLE_MAIN, DIV_MAIN, NOISE, P_END, P_OPEN, TOKEN
 from doccat.plans.sql import normalize_ws, q
 
 
+#: Anchors as the driver's pages write them: one href each, in double quotes, without references.
+ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>"""
+
+
 def strip_noise(h: str) -> str:
     return f"regexp_replace(coalesce({h}, ''), {q(NOISE)}, ' ', 'g')"
 

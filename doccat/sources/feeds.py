@@ -27,8 +27,8 @@ from doccat.functions.rules import (
     EMA_ORGANIZATION,
     NOT_AVAILABLE,
 )
-from doccat.functions.text import category_separator, clean_text, normalize_whitespace, strip_tags, unescape_common
-from doccat.functions.urls import absolute_url, absolute_url_col, first_pdf_or_download, mime_format
+from doccat.functions.text import category_separator, clean_text, normalize_whitespace, strip_tags
+from doccat.functions.urls import HREF_TAG, absolute_url, absolute_url_col, first_pdf_or_download, href_value, mime_format
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: bases and the FDA row layout (cell name -> keys, first present wins; list index = position)
@@ -67,8 +67,8 @@ CDE_KEYS = {
     "dedupe_title": ["title", "name"],
 }
 
-ANCHOR_HREF = r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>"""
-FIRST_HREF = r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]+)"[^>]*>"""
+#: The first href that is not empty.
+FIRST_HREF = HREF_TAG.replace('("[^"]*"|\'[^\']*\'', '("[^"]+"|\'[^\']+\'', 1)
 
 
 def read_landed_json(spark: SparkSession, path: str) -> DataFrame:
@@ -129,8 +129,7 @@ def cell_text(cell: Column) -> Column:
 
 def cell_links(cell: Column, base: str = FDA_BASE_URL) -> Column:
     """H3: absolute hrefs of the anchors in a cell, in order."""
-    hrefs = F.filter(F.transform(F.regexp_extract_all(F.coalesce(cell, F.lit("")), F.lit(ANCHOR_HREF), 1),
-                                 lambda h: unescape_common(h)), lambda h: h != "")
+    hrefs = F.filter(F.transform(F.regexp_extract_all(F.coalesce(cell, F.lit("")), F.lit(HREF_TAG), 1), href_value), lambda h: h != "")
     return F.transform(hrefs, lambda h: absolute_url(h, base))
 
 
@@ -139,7 +138,7 @@ def fda_record(cells: Column) -> list[Column]:
     summary_text = cell_text(cells["summary"])
     # the page link is the first anchor with a non-empty href: one codegen'd regex, no array lambdas
     first_href = F.regexp_extract(F.coalesce(cells["summary"], F.lit("")), FIRST_HREF, 1)
-    page_link = F.when(first_href != "", absolute_url(unescape_common(first_href), FDA_BASE_URL))
+    page_link = F.when(first_href != "", absolute_url(href_value(first_href), FDA_BASE_URL))
     doc_text = cell_text(cells["document"])
     pdf = first_pdf_or_download(cell_links(cells["document"]))
     return [

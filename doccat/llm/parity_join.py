@@ -225,7 +225,7 @@ def _star(rows: DataFrame, label: str | None = None) -> DataFrame:
     """Pairs of each block's smallest set with the block's other members (of other components)."""
     cols = [F.col("n"), F.col("uid")] + ([F.col(label)] if label else [])
     centre = rows.groupBy("key").agg(F.min(F.struct(*cols)).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    apart = F.col("c.uid") != F.col("uid")
+    apart = (F.col("c.uid") != F.col("uid")) & (4 * F.col("c.n") >= 3 * F.col("n"))  # the centre is the smaller set
     if label:
         apart &= F.col(f"c.{label}") != F.col(label)
     got = rows.join(centre, "key").filter(apart)
@@ -249,12 +249,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Blocks that several classes share; most blocks have one class and go no further.
     shared = keyed.groupBy("key").agg(F.min(F.struct("n", "uid")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     rows = materialize(keyed.join(shared, "key"), "blocks")
-    first = rows.filter("c.uid <> uid").select(F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"))
+    first = rows.filter("c.uid <> uid AND 4 * c.n >= 3 * n").select(F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"))
     links = _links(first, classes, docs, id_col, text_col)
     tried = first.distinct()
+    roots = connected_components(links)
     # Members that the stars left in other components than others of their block.
     for _ in range(2):
-        roots = connected_components(links)
         placed = rows.select("key", "uid", "n").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.approx_count_distinct("root").alias("parts"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
         apart = materialize(placed.join(spread, "key"), "apart")
@@ -266,8 +266,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = _links(more, classes, docs, id_col, text_col)
         if found.isEmpty():
             break
-        links, tried = materialize(links.union(found), "links"), materialize(tried.union(more), "tried")
-    roots = connected_components(links).withColumnRenamed("node", "uid")
+        # The new links join components: contract them by their roots.
+        root_of = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        for side in ("a", "b"):
+            found = found.join(root_of, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_r", side)).drop("_n", "_r")
+        joined = connected_components(found)
+        known = roots.join(joined.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("root") == F.col("_n"), "left").select(
+            "node", F.coalesce("_r", "root").alias("root"))
+        new = joined.join(roots, "node", "left_anti")
+        roots = materialize(known.union(new), "roots")
+        tried = materialize(tried.union(more), "tried")
+    roots = roots.withColumnRenamed("node", "uid")
     owned = classes.select("uid", "cls", "rep").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     name = owned.groupBy("root").agg(F.min("rep").alias("component_id"))
     member = owned.join(name, "root").select("cls", "component_id")

@@ -114,11 +114,17 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Secret
     named blob or spans are replaced.  Copies share one scan; repeated rows all return; an empty
     table gives no rows.
     """
+    rows = _joined(docs.drop("blob", "spans"), ledger, rules, text_col)
+    return rows.withColumnsRenamed({"_blob": "blob", "_spans": "spans"})
+
+
+def _joined(docs: DataFrame, ledger: str | None, rules: tuple[SecretRule, ...], text_col: str) -> DataFrame:
+    """The rows with ``_blob`` and ``_spans``."""
     ledger = ledger or shared_path(docs.sparkSession, "ledger")
     blob = F.unhex(F.sha2(text_or_empty(text_col), 256))
     found = update_ledger(docs.select(blob.alias("blob"), text_or_empty(text_col).alias("text")), ledger, rules)
-    rows = docs.drop("blob", "spans").withColumn("blob", blob)
-    return rows.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+    found = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    return docs.withColumn("_blob", blob).join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN)))
 
 
 def span_list(spans: Column) -> Column:
@@ -131,7 +137,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, ledger: st
 
     Null texts stay null; other columns stay as they are.
     """
-    found = scan_secrets(docs, ledger, text_col=text_col)
+    found = _joined(docs, ledger, RULES, text_col)
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -139,6 +145,6 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = MARK, ledger: st
         out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+    cut = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                       lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(text)).select(docs.columns)
+    return found.withColumn(text_col, F.when(F.size("_spans") > 0, cut).otherwise(text)).select(docs.columns)

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doccat.llm.common import SPACE_CLASS, words_of
+from doccat.llm.common import words_of
 
-#: Rows of the sample that costs and selectivities are estimated on.
+#: Rows of the sample that costs and selectivities are estimated on, and their longest text.
 SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 20_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -36,8 +37,8 @@ RULES = (
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("duplicate_lines", "n_dup_lines > 2 AND 100 * n_dup_lines > 30 * (1 + regexp_count(text, '\\n'))"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
-    Rule("upper_case", "2 * regexp_count(text, '\\\\p{Lu}') > regexp_count(text, '\\\\p{L}')"),
-    Rule("letterless_words", "2 * regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]*\\\\p{L}[^\\\\x20\\\\x09-\\\\x0D]*') < n_words"),
+    Rule("upper_case", "2 * regexp_count(text, '\\\\p{Lu}') > length(regexp_replace(text, '\\\\P{L}+', ''))"),
+    Rule("letterless_words", "2 * regexp_count(text, '(?<![^\\\\x20\\\\x09-\\\\x0D])[^\\\\p{L}\\\\x20\\\\x09-\\\\x0D]+(?![^\\\\x20\\\\x09-\\\\x0D])') > n_words"),
     Rule("exclamations", "3 * regexp_count(text, '!!') > n_words"),
     Rule("ellipsis_lines", "10 * regexp_count(text || '\n', '(?:\\\\.\\\\.\\\\.|\u2026)\n') > 4 * (1 + regexp_count(text, '\n'))"),
     Rule("bullet_lines", "10 * regexp_count('\n' || text, '\n[-*\u2022] ') > 9 * (1 + regexp_count(text, '\n'))"),
@@ -57,7 +58,7 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumn("words", words_of(F.col(text_col))).withColumn("_lines", lines)
     out = out.withColumns({
         "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, SPACE_CLASS + "+", "")).cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_windows": F.expr("CASE WHEN size(words) > 3 THEN transform(sequence(0, size(words) - 3), "
@@ -79,7 +80,9 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def rank_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, share rejected, seconds per sample) in cascade order; ties keep the order given."""
-    sample = with_measures(docs.select(F.col(text_col).alias("text")).limit(sample_rows)).persist()
+    texts = docs.select(F.col(text_col).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
+    # A bounded number of bounded texts; a limit in the plan would gather as many from every partition.
+    sample = with_measures(docs.sparkSession.createDataFrame(texts.take(sample_rows), "text string")).persist()
     rows = sample.count()
 
     def timed(cond: Column) -> tuple[int, float]:

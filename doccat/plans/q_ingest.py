@@ -145,6 +145,17 @@ def row_dict_or_list(spark, sf_dir):
                        cells["comment_closing_date"].alias("closing_cell"), cells["issue_date"].alias("issue_cell"))
 
 
+@register("feed_rejects", lambda: f"""SELECT DISTINCT page AS file, CASE WHEN page % 3 = 1 THEN 'unreadable JSON' ELSE 'no list at $.data' END AS reason
+FROM (SELECT o_orderkey // {PAGE_SIZE} AS page FROM orders) o WHERE page % 3 > 0""")
+def feed_rejects(spark, sf_dir):
+    """Landed pages of which some are cut short and some hold an object in place of their list."""
+    page = F.col("page")
+    cut = F.substring("payload", 1, F.length("payload") - 2)
+    obj = F.concat(F.replace("payload", F.lit('"data":['), F.lit('"data":{"rows":[')), F.lit("}"))
+    files = landed_fda_pages(spark, sf_dir).select(page.alias("file"), F.when(page % 3 == 1, cut).when(page % 3 == 2, obj).otherwise(F.col("payload")).alias("payload"))
+    return FD.feed_rejects(files, "$.data").select("file", "reason")
+
+
 # ---------------------------------------------------------------- EMA feed from documents
 
 _EMA_SUFFIX = [" - Scientific guideline", " - Regulatory and procedural guideline", ""]

@@ -77,23 +77,50 @@ def read_landed_json(spark: SparkSession, path: str) -> DataFrame:
             .select(F.input_file_name().alias("file"), F.col("value").alias("payload")))
 
 
+def _reject_reason(v: Column, path: str) -> Column:
+    return F.when(v.isNull(), F.lit("unreadable JSON")).when(
+        F.try_variant_get(v, path, "array<variant>").isNull(), F.lit(f"no list at {path}"))
+
+
+def feed_rejects(files: DataFrame, list_path: str, payload_col: str = "payload", file_col: str = "file") -> DataFrame:
+    """Landed files that a feed reader cannot use: (file, reason, length in characters).
+
+    The readers skip such files unless they are strict; this frame is the trace of what they skip.
+    """
+    p = F.coalesce(F.col(payload_col), F.lit(""))
+    out = files.select(F.col(file_col).alias("file"), _reject_reason(F.try_parse_json(p), list_path).alias("reason"), F.length(p).alias("length"))
+    return out.filter(F.col("reason").isNotNull())
+
+
+def _feed_list(v: Column, path: str, strict: bool) -> Column:
+    """The list at ``path``; where there is none, null, or an error if ``strict``."""
+    rows = F.try_variant_get(v, path, "array<variant>")
+    if not strict:
+        return rows
+    reason = _reject_reason(v, path)
+    return F.when(reason.isNotNull(), F.raise_error(F.concat(F.lit("feed payload: "), reason)).cast("array<variant>")).otherwise(rows)
+
+
 # ---------------------------------------------------------------- FDA list
 
 
-def fda_paged_rows(pages: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """DataTables pages -> (start, pos, total, row) in feed order; empty pages add nothing."""
+def fda_paged_rows(pages: DataFrame, payload_col: str = "payload", strict: bool = False) -> DataFrame:
+    """DataTables pages -> (start, pos, total, row) in feed order; empty pages add nothing.
+
+    Unusable pages are skipped (see ``feed_rejects``), or raise if ``strict``.
+    """
     v = F.try_parse_json(F.col(payload_col))
     total = F.coalesce(F.nullif(F.try_variant_get(v, "$.recordsFiltered", "bigint"), F.lit(0)),
                        F.try_variant_get(v, "$.recordsTotal", "bigint"), F.lit(0))
     p = pages.select(F.coalesce(F.try_variant_get(v, "$.start", "bigint"), F.lit(0)).alias("start"),
-                     total.alias("total"), F.try_variant_get(v, "$.data", "array<variant>").alias("data"))
+                     total.alias("total"), _feed_list(v, "$.data", strict).alias("data"))
     return p.select("start", "total", F.posexplode("data").alias("pos", "row"))
 
 
-def fda_static_rows(files: DataFrame, payload_col: str = "payload", file_col: str = "file") -> DataFrame:
-    """Static JSON array files -> (file, pos, row)."""
+def fda_static_rows(files: DataFrame, payload_col: str = "payload", file_col: str = "file", strict: bool = False) -> DataFrame:
+    """Static JSON array files -> (file, pos, row); unusable files are skipped, or raise if ``strict``."""
     v = F.try_parse_json(F.col(payload_col))
-    return files.select(file_col, F.posexplode(F.try_variant_get(v, "$", "array<variant>")).alias("pos", "row"))
+    return files.select(file_col, F.posexplode(_feed_list(v, "$", strict)).alias("pos", "row"))
 
 
 def fda_row_cells(row: Column, arr: Column | None = None, obj: Column | None = None,
@@ -174,10 +201,13 @@ EMA_ROW_SCHEMA = ("title string, summary string, categories string, first_publis
                   "last_updated_date string, general_url string, reference_number string, consultation_date string")
 
 
-def ema_feed_rows(files: DataFrame, payload_col: str = "payload") -> DataFrame:
-    """S3: feed payloads -> (total_records, pos, row struct); non-object entries are skipped."""
+def ema_feed_rows(files: DataFrame, payload_col: str = "payload", strict: bool = False) -> DataFrame:
+    """S3: feed payloads -> (total_records, pos, row struct); non-object entries are skipped.
+
+    Payloads without a list of data are skipped (see ``feed_rejects``), or raise if ``strict``.
+    """
     v = F.try_parse_json(F.col(payload_col))
-    data = F.try_variant_get(v, "$.data", "array<variant>")
+    data = _feed_list(v, "$.data", strict)
     p = files.select(F.try_variant_get(v, "$.meta.total_records", "string").alias("total_records"),
                      F.coalesce(F.try_variant_get(v, "$.meta.page", "bigint"), F.lit(0)).alias("page"),
                      data.alias("data"))

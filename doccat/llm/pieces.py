@@ -136,7 +136,7 @@ class PieceCodec:
         if len(self.cache) + len(distinct) > tokens.CACHE_ENTRIES:
             self.cache = {k: v for k, v in self.cache.items() if k in distinct}
             self.cache[""] = b""
-        self._learn([c for c in distinct if c not in self.cache])
+        self._learn(list(distinct.difference(self.cache)))
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), dtype=self.dtype) for c in cut]
 

@@ -96,7 +96,7 @@ class ChunkEncoder:
         if len(self.cache) + len(distinct) > CACHE_ENTRIES:
             self.cache = {k: v for k, v in self.cache.items() if k in distinct}
             self.cache[""] = b""
-        self._learn(list(distinct - self.cache.keys()))
+        self._learn(list(distinct.difference(self.cache)))
         get = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), dtype=self.dtype) for c in cut]
 

@@ -23,8 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Chunks kept per Python worker and encoder, characters encoded at a time, chunks per library call.
-CACHE_ENTRIES = 1_000_000
-BATCH_CHARS = 4_000_000
+CACHE_ENTRIES = 500_000
+BATCH_CHARS = 2_000_000
 CALL = 2000
 _MARK = "\x1f"
 _RUN = re.compile(r"\s\s")

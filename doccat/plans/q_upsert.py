@@ -166,11 +166,11 @@ def stale_rows_query(spark, sf_dir):
 
 
 @register("delete_agency", lambda: _sql_two_runs(
-    "SELECT agency, count(*) AS n, (SELECT count(*) FROM v1 WHERE agency = 'EMA') AS deleted "
-    "FROM v1 WHERE agency IS NULL OR agency <> 'EMA' GROUP BY ALL"))
+    "SELECT agency, count(*) AS n, (SELECT count(*) FROM v2 WHERE agency = 'EMA') AS deleted "
+    "FROM v2 WHERE agency IS NULL OR agency <> 'EMA' GROUP BY ALL"))
 def delete_agency(spark, sf_dir):
-    """Catalog v1 without agency 'ema' (upper-cased): remaining rows per agency + deleted count."""
-    remaining, deleted = delete_by_agency(catalog_after_v1(spark, sf_dir), "ema")
+    """The whole catalog (runs v1 and v2) without agency 'ema' (upper-cased): remaining rows per agency + deleted count."""
+    remaining, deleted = delete_by_agency(catalog_after_v2(spark, sf_dir), "ema")
     return remaining.groupBy("agency").agg(F.count(F.lit(1)).alias("n")).crossJoin(deleted)
 
 

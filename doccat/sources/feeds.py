@@ -352,37 +352,32 @@ def _objects(level: DataFrame) -> DataFrame:
     return level.filter(m.isNotNull()).select("_id", "path", F.col("node").alias("obj"))
 
 
-def walk_objects(roots: DataFrame, id_col: str, v_col: str, max_depth: int = 256) -> DataFrame:
+def walk_objects(roots: DataFrame, id_col: str, v_col: str) -> DataFrame:
     """Every JSON object at any depth of each root, with its path (pre-order = sort by path).
 
     Two levels per step: the objects of a level and of its children are
-    emitted, and the grandchildren form the next step.  Each step's frontier is
-    checkpointed to the shared checkpoint folder (cuts lineage, makes the
-    emptiness test cheap) after a round-robin repartition to at least the
-    default parallelism, so one huge payload's nodes are spread over all
-    tasks from the second level on and the task count stays flat.  The
-    loop ends at the first empty frontier; ``max_depth`` guards against runaway
-    input and raises rather than truncating.
+    emitted, and the grandchildren form the next step.  The parsed roots and each
+    step's frontier are checkpointed to the shared checkpoint folder (payloads are
+    parsed once, lineage is cut, the emptiness test is cheap) after a round-robin
+    repartition to the default parallelism, so one huge payload's nodes are spread
+    over all tasks from the second level on and the task count stays flat.  A
+    payload is finite, so the loop ends at an empty frontier, however deep it is.
     """
     from doccat.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(roots.sparkSession)
-    spark = roots.sparkSession
-    n_parts = max(1, roots.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    n_parts = max(1, roots.sparkSession.sparkContext.defaultParallelism)
     level = roots.select(F.col(id_col).alias("_id"), F.array().cast("array<string>").alias("path"),
-                         F.col(v_col).alias("node"))
+                         F.col(v_col).alias("node")).repartition(n_parts).checkpoint(eager=True)
     found = []
-    for _ in range(0, max_depth, 2):
+    while not level.isEmpty():
         kids = _children(level)
         found += [_objects(level), _objects(kids)]
         # round-robin the frontier: nodes of one huge payload spread over all tasks
-        nxt = _children(kids).repartition(n_parts).checkpoint(eager=True)
-        if nxt.isEmpty():
-            out = found[0]
-            for f in found[1:]:
-                out = out.unionByName(f)
-            return out.coalesce(n_parts).withColumnRenamed("_id", id_col)
-        level = nxt
-    raise ValueError(f"tree deeper than {max_depth} levels")
+        level = _children(kids).repartition(n_parts).checkpoint(eager=True)
+    out = found[0] if found else _objects(level)
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.coalesce(n_parts).withColumnRenamed("_id", id_col)
 
 
 def _vstr(v: Column, path: str) -> Column:

@@ -18,9 +18,10 @@ symmetric difference is at most (|A| + |B|) / 7.
   beyond (|A| + |B|) / 7 proves that a pair does not link.  What is left is verified on whole sets.
 
 Large groups of copies: a joined block links its members to its smallest set (a star, linear in the
-members).  Components of the verified links then say which members are still apart; only those are
-compared with each other, in full for blocks that have at most ``PAIR_MEMBERS`` components, and by
-further stars for those beyond.
+members).  Components of the verified links then say which members are still apart; those of blocks
+with at most ``PAIR_MEMBERS`` components are compared with each other in full.  A larger block is one
+that very many different sets share: it consists of common shingles alone, its members have their
+star, and pairs among them meet in their other blocks.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from doccat.llm.components import connected_components
 SHINGLE = 5
 #: Blocks joined per class and group.
 BLOCKS = 40
-#: Components in a block up to which all of them are compared with each other.
+#: Components in a block up to which all of them are compared with each other (and a quarter of the members).
 PAIR_MEMBERS = 40
 #: Classes to verify up to which their ids are broadcast to the texts (16 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -221,17 +222,6 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, t
     return materialize(_verify(close, classes, docs, id_col, text_col), "links")
 
 
-def _star(rows: DataFrame, label: str | None = None) -> DataFrame:
-    """Pairs of each block's smallest set with the block's other members (of other components)."""
-    cols = [F.col("n"), F.col("uid")] + ([F.col(label)] if label else [])
-    centre = rows.groupBy("key").agg(F.min(F.struct(*cols)).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    apart = (F.col("c.uid") != F.col("uid")) & (4 * F.col("c.n") >= 3 * F.col("n"))  # the centre is the smaller set
-    if label:
-        apart &= F.col(f"c.{label}") != F.col(label)
-    got = rows.join(centre, "key").filter(apart)
-    return got.select(F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -257,12 +247,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for _ in range(2):
         placed = rows.select("key", "uid", "n").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.approx_count_distinct("root").alias("parts"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
-        apart = materialize(placed.join(spread, "key"), "apart")
-        few = apart.filter(f"parts <= {PAIR_MEMBERS} AND members <= {4 * PAIR_MEMBERS}").select("key", "uid", "n", "root")
+        spread = spread.filter(f"parts <= {PAIR_MEMBERS} AND members <= {4 * PAIR_MEMBERS}")
+        few = materialize(placed.join(spread, "key").select("key", "uid", "n", "root"), "apart")
         other = few.select(F.col("key"), F.col("uid").alias("v"), F.col("n").alias("m"), F.col("root").alias("r2"))
         pairs = few.join(other, "key").filter("uid < v AND root <> r2 AND 4 * least(n, m) >= 3 * greatest(n, m)").select(F.col("uid").alias("a"), F.col("v").alias("b"))
-        many = apart.filter(f"parts > {PAIR_MEMBERS} OR members > {4 * PAIR_MEMBERS}").select("key", "uid", "n", "root")
-        more = pairs.union(_star(many, "root")).distinct().join(tried, ["a", "b"], "left_anti")
+        more = pairs.distinct().join(tried, ["a", "b"], "left_anti")
         found = _links(more, classes, docs, id_col, text_col)
         if found.isEmpty():
             break

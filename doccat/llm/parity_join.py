@@ -39,7 +39,7 @@ from doccat.llm.components import connected_components
 SHINGLE = 5
 #: Blocks joined per class and group.
 BLOCKS = 40
-#: Components in a block up to which all of them are compared with each other (and a quarter of the members).
+#: Components in a block up to which all of them are compared with each other; the block may have four times as many members.
 PAIR_MEMBERS = 40
 #: Classes to verify up to which their ids are broadcast to the texts (16 bytes each).
 BROADCAST_ROWS = 1_000_000

@@ -18,10 +18,11 @@ symmetric difference is at most (|A| + |B|) / 7.
   beyond (|A| + |B|) / 7 proves that a pair does not link.  What is left is verified on whole sets.
 
 Large groups of copies: a joined block links its members to its smallest set (a star, linear in the
-members).  Components of the verified links then say which members are still apart; those of blocks
-with at most ``PAIR_MEMBERS`` components are compared with each other in full.  A larger block is one
-that very many different sets share: it consists of common shingles alone, its members have their
-star, and pairs among them meet in their other blocks.
+members).  Components of the verified links then say which members are still apart, and in every
+block all members of different components are compared, whatever the block's size: its members are
+dealt into chunks of about ``TILE``, each pair of chunks is one tile, and a tile's sketches are
+compared as arrays, so that only pairs the sketches cannot rule out become rows.  A tile dense with
+those first gives a spanning forest of them; passes repeat until each tile has given all of its pairs.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ from doccat.llm.components import connected_components
 SHINGLE = 5
 #: Blocks joined per class and group.
 BLOCKS = 40
-#: Components in a block up to which all of them are compared with each other; the block may have four times as many members.
-PAIR_MEMBERS = 40
+#: Members of a chunk; the pairs of two chunks of a block are compared in one task.
+TILE = 512
+#: Close pairs per member of a tile beyond which it gives a spanning forest of them first.
+DENSE = 4
+#: Passes that may give forests; the next one gives every close pair.
+FOREST_PASSES = 3
 #: Classes to verify up to which their ids are broadcast to the texts (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -183,6 +188,93 @@ def _close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of words, all folded to the size of the smallest."""
+    width = min(len(x) for x in sketches)
+    same = [np.frombuffer(x, np.uint8) for x in sketches]
+    same = [x if len(x) == width else np.bitwise_xor.reduce(x.reshape(-1, width), axis=0) for x in same]
+    return np.stack(same).view(np.uint64)
+
+
+def tile_pairs(uid: np.ndarray, n: np.ndarray, root: np.ndarray, second: np.ndarray, sketches: list[bytes], cross: bool, forest: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (a, b) of a tile's members in different components that size and sketch distance do not
+    rule out, and whether these are all of them; with ``cross`` only pairs of the two chunks."""
+    words = _folded(sketches)
+    left, right, gaps = [], [], []
+    rows = np.flatnonzero(~second) if cross else np.arange(len(uid))
+    others = np.flatnonzero(second)
+    for i in rows.tolist():
+        to = others if cross else np.arange(i + 1, len(uid))
+        to = to[(root[to] != root[i]) & (4 * np.minimum(n[to], n[i]) >= 3 * np.maximum(n[to], n[i]))]
+        if not len(to):
+            continue
+        gap = np.bitwise_count(words[to] ^ words[i]).sum(1, dtype=np.int64)
+        near = 7 * gap <= n[to] + n[i]
+        left.append(np.full(int(near.sum()), i))
+        right.append(to[near])
+        gaps.append(gap[near])
+    if not left:
+        return uid[:0], uid[:0], True
+    x, y = np.concatenate(left), np.concatenate(right)
+    whole = not forest or len(x) <= DENSE * len(uid)
+    if not whole:
+        parent = {r: r for r in root.tolist()}
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        keep = []
+        for k in np.argsort(np.concatenate(gaps), kind="stable").tolist():
+            p, q = find(int(root[x[k]])), find(int(root[y[k]]))
+            if p != q:
+                parent[p] = q
+                keep.append(k)
+        x, y = x[keep], y[keep]
+    return np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y]), whole
+
+
+def _apart(rows: DataFrame, roots: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+    """``a, b, whole``: close pairs of different components in every block, tile by tile; ``whole`` is
+    false for the pairs of a tile that has more."""
+    placed = rows.select("key", "uid", "n").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
+    parts = F.ceil(F.col("members") / TILE)
+    few = placed.join(spread, "key").select("key", "uid", "n", "root", parts.alias("parts"), F.expr("pmod(xxhash64(uid), parts)").alias("part"))
+    dealt = few.join(classes.select("uid", "sketch"), "uid").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "with").alias("t1"), F.greatest("part", "with").alias("t2"), (F.col("part") > F.col("with")).alias("second"), "uid", "n", "root", "sketch")
+    tiles = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            uid, n, root, second = (t[c].to_numpy() for c in ("uid", "n", "root", "second"))
+            a, b, whole = tile_pairs(uid, n, root, second, t["sketch"].to_pylist(), t["t1"][0] != t["t2"][0], forest)
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), whole))], names=["a", "b", "whole"])
+
+        held: list[pa.RecordBatch] = []
+        at = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            marks = np.stack([b.column(c).to_numpy() for c in ("key", "t1", "t2")], axis=1)
+            ends = [*(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            lo = 0
+            for hi in ends:
+                mark = tuple(marks[lo].tolist())
+                if held and mark != at:
+                    yield tile(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+                at, lo = mark, hi
+        if held:
+            yield tile(held)
+
+    return tiles.mapInArrow(run, "a long, b long, whole boolean")
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose whole sets link."""
     needed = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(classes.select("uid", "cls", "rep"), "uid")
@@ -244,17 +336,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = first.distinct()
     roots = connected_components(links)
     # Members that the stars left in other components than others of their block.
-    for _ in range(2):
-        placed = rows.select("key", "uid", "n").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.approx_count_distinct("root").alias("parts"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
-        spread = spread.filter(f"parts <= {PAIR_MEMBERS} AND members <= {4 * PAIR_MEMBERS}")
-        few = materialize(placed.join(spread, "key").select("key", "uid", "n", "root"), "apart")
-        other = few.select(F.col("key"), F.col("uid").alias("v"), F.col("n").alias("m"), F.col("root").alias("r2"))
-        pairs = few.join(other, "key").filter("uid < v AND root <> r2 AND 4 * least(n, m) >= 3 * greatest(n, m)").select(F.col("uid").alias("a"), F.col("v").alias("b"))
-        more = pairs.distinct().join(tried, ["a", "b"], "left_anti")
+    whole, step = False, 0
+    while not whole:
+        apart = materialize(_apart(rows, roots, classes, step < FOREST_PASSES), "apart")
+        whole = apart.filter("NOT whole").isEmpty()
+        more = apart.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         found = _links(more, classes, docs, id_col, text_col)
-        if found.isEmpty():
-            break
+        if found.isEmpty():  # forests without a link prove nothing: give every pair next
+            step = FOREST_PASSES
+            continue
+        step += 1
         # The new links join components: contract them by their roots.
         root_of = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         for side in ("a", "b"):

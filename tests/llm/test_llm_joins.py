@@ -92,6 +92,43 @@ def test_near_duplicates_of_large_groups(spark):
     assert got == _components(rows)
 
 
+def _scattered(rng, words, count, name):
+    own = list(words)
+    for k in range(count):  # scattered, so that each takes five shingles
+        own[k * (len(words) // count) + rng.randrange(len(words) // count - 5)] = f"{name}_{k}"
+    return own
+
+
+@pytest.mark.parametrize("size", [150, 300, 1000])
+def test_near_duplicates_of_a_hub(spark, size):
+    """Variants linked with their base alone, which is in no block the smallest."""
+    rng = random.Random(size)
+    base = [f"h{i}" for i in range(200)]
+    rows = [(i, " ".join(_scattered(rng, base, 5, f"x{i}"))) for i in range(size)]
+    rows.insert(size // 2, (size + 5, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in parity_join.near_duplicates(docs).collect()), key=repr)
+    assert got == _components(rows)
+    assert {r[2] for r in got} == {0}
+
+
+def test_tiles_give_all_close_pairs():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, size=int(rng.integers(60, 110))).astype(np.uint64)) for _ in range(6)]
+    sets += [np.unique(np.concatenate([s[: len(s) - k], rng.integers(0, 1 << 63, size=k).astype(np.uint64)])) for s in sets[:6] for k in (1, 2, 3, 4, 5, 6)]
+    n = np.array([len(s) for s in sets])
+    sketches = [parity_join.parity_sketch(s) for s in sets]
+    uid, root, second = np.arange(len(sets)), np.arange(len(sets)) // 2, np.arange(len(sets)) % 2 == 1
+    for cross in (False, True):
+        want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if root[i] != root[j] and (not cross or second[i] != second[j])
+                and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+        a, b, whole = parity_join.tile_pairs(uid, n, root, second, sketches, cross, False)
+        assert whole and want and want <= set(zip(a.tolist(), b.tolist()))
+        x, y, part = parity_join.tile_pairs(uid, n, root, second, sketches, cross, True)
+        assert set(zip(x.tolist(), y.tolist())) <= set(zip(a.tolist(), b.tolist()))
+        assert part == (len(a) <= parity_join.DENSE * len(uid))
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert parity_join.near_duplicates(docs).collect() == []

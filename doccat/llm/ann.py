@@ -82,18 +82,24 @@ def estimate(codes: np.ndarray, norm: np.ndarray, own: np.ndarray, query: np.nda
 
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, code: tuple, qid: int, query: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, known: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a chunk (ids, distances), ties to smaller ids; vectors that cannot beat
-    ``known``, a distance that k others reach, may be left out."""
+    """The k nearest ids of a chunk (ids, distances), each once with its nearest row, ties to smaller
+    ids; vectors that cannot beat ``known``, a distance that k other ids reach, may be left out."""
     low, high = estimate(*code, query, centre, turn)
     mine = ids == qid
     high[mine] = np.inf
     limit = known ** 2
     if len(ids) - int(mine.sum()) > k:
-        limit = min(limit, float(np.partition(high, k - 1)[k - 1]))
+        reach = high
+        if len(np.unique(ids)) < len(ids):  # the bound of an id is that of its best row
+            by_id = np.argsort(ids, kind="stable")
+            reach = np.minimum.reduceat(high[by_id], np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0]))
+        if len(reach) > k:
+            limit = min(limit, float(np.partition(reach, k - 1)[k - 1]))
     at = np.flatnonzero((low <= limit * (1 + 1e-9) + 1e-12) & ~mine)
     gap = (vectors[at].astype(np.float64) - query.astype(np.float64)) ** 2
     far = np.sqrt(np.add.accumulate(gap, axis=1)[:, -1])  # summed in order of the parts
-    order = np.lexsort((ids[at], far))[:k]
+    order = np.lexsort((ids[at], far))
+    order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]
     return ids[at][order], far[order]
 
 
@@ -178,7 +184,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
                 limit, out = known[q_ids], []
                 for j, (qid, q) in enumerate(zip(asked_ids, asked_vecs)):
                     near, far = nearest(i, v, code, qid, q, centre, turn, k, limit[j])
-                    if len(np.unique(near)) == k:
+                    if len(near) == k:
                         limit[j] = min(limit[j], far[-1])
                     out.append((np.full(len(near), qid), near, far))
                 yield pa.record_batch([np.concatenate([o[c] for o in out]) for c in range(3)], names=["query_id", "vec_id", "score"])

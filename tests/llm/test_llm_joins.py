@@ -206,3 +206,19 @@ def test_neighbours_in_blocks_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ann, "BROADCAST_BYTES", 1 << 30)
     whole = ann.search(df, F.col("vec_id") % 100 == 0)
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("copies", ["all", "one"])
+def test_neighbours_of_repeated_rows(spark, copies):
+    """Copies of a row take one place among the k, in a single chunk."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((300, 16)).astype(np.float32)
+    v[7] = v[0] + np.float32(0.01)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(300)]
+    rows += rows if copies == "all" else [rows[7]] * 20
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1), F.col("vec_id") % 100 == 0).collect()
+    for q in (0, 100, 200):
+        want = sorted((float(np.sqrt(((v[q].astype(float) - v[i].astype(float)) ** 2).sum())), i) for i in range(300) if i != q)[:10]
+        got = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [g[1] for g in got] == [i for _, i in want]
+        assert [g[2] for g in got] == pytest.approx([d for d, _ in want], abs=1e-12)

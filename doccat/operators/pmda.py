@@ -49,9 +49,16 @@ def link_metadata(elements: DataFrame) -> DataFrame:
     e = _inside(e, ["li", "ul"], "_in_li")
     e = _inside(e, ["p"], "_in_p")
     w = Window.partitionBy("page_id").orderBy("pos")
-    e = e.withColumn("_ul", F.last(F.when((F.col("tag") == "ul") & (F.col("kind") == "open"), F.col("pos")), True).over(w))
-    fw = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    e = e.withColumn("_ul_end", F.first(F.when((F.col("tag") == "ul") & (F.col("kind") == "close"), F.col("pos")), True).over(fw))
+    # Lists open at each position (a stray closing tag opens and closes nothing); a link and the closing tag
+    # of its innermost list share their level, and no other list of that level closes between them.
+    is_ul = (F.col("tag") == "ul") & F.col("kind").isin("open", "close")
+    e = e.withColumn("_run", F.sum(F.when(is_ul, F.when(F.col("kind") == "open", 1).otherwise(-1)).otherwise(0)).over(w))
+    e = e.withColumn("_depth", F.col("_run") - F.least(F.lit(0), F.min("_run").over(w)))
+    ends = is_ul & (F.col("kind") == "close")
+    e = e.withColumn("_level", F.col("_depth") + F.when(ends, 1).otherwise(0))
+    fw = Window.partitionBy("page_id", "_level").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    e = e.withColumn("_ul", F.when(F.col("_depth") > 0, F.col("_depth")))
+    e = e.withColumn("_ul_end", F.when(F.col("_ul").isNotNull(), F.first(F.when(ends, F.col("pos")), True).over(fw)))
     # the first tag token after each position (for the sibling that follows a list)
     tags = e.filter(F.col("kind") != "text").select(
         "page_id", "pos", F.lead(F.struct("kind", "tag", "pos")).over(w).alias("_next"))

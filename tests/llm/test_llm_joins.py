@@ -112,6 +112,19 @@ def test_near_duplicates_of_a_hub(spark, size):
     assert {r[2] for r in got} == {0}
 
 
+def test_near_duplicates_of_a_long_chain(spark):
+    """Each text is linked with the ones next to it alone."""
+    rng = random.Random(5)
+    chain = [[f"c{i}" for i in range(200)]]
+    for i in range(199):
+        chain.append(_scattered(rng, chain[-1], 4, f"y{i}"))
+    rows = [(i, " ".join(words)) for i, words in enumerate(chain)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in parity_join.near_duplicates(docs).collect()), key=repr)
+    assert got == _components(rows)
+
+
 def test_tiles_give_all_close_pairs():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 1 << 63, size=int(rng.integers(60, 110))).astype(np.uint64)) for _ in range(6)]

@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doccat.llm import ann, chat, langid, packing, parity_join, pieces, quality, secret_scan, sharding, sql, wavelet
+from doccat.llm import (ann, chat, filter_audit, langid, packing, parity_join, pieces, quality, runs, secret_scan, sharding, sql,
+                        warc, wavelet)
 from doccat.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +80,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(read_table(spark, sf_dir, "documents"), rewrite=runs.plant_period)
+    return found.drop("runs")
+
+
+def op12_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(read_table(spark, sf_dir, "pages"), "page_id", "html", "url", least_bytes=0)
+    return records.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``corpus_pipeline.run``."""
     import corpus_pipeline
@@ -118,6 +134,9 @@ def queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_neighbours": op9_neighbours,
         "op10_pieces": op10_pieces,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_warc_chunks": op12_warc_chunks,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
     return {name: _shipped(query) for name, query in found.items()}

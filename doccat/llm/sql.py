@@ -125,10 +125,58 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
 
 
+def warc_records() -> str:
+    """SHA-1 in base32: five hexadecimal digits are four of base 32."""
+    groups = " || ".join(f"to_base(('0x' || substr(hex, {1 + 5 * k}, 5))::BIGINT, 32, 4)" for k in range(8))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes, translate(upper({groups}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN coalesce(page_id = top, top IS NULL) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN NOT coalesce(page_id = top, top IS NULL) THEN top END AS refers_to
+FROM d"""
+
+
+def audit() -> str:
+    """Every document against every order, without masks or packing."""
+    first = " ".join(f"WHEN substr(filter_order, {s}, 1) = ANY(fails) THEN {s}" for s in range(1, 6))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SPACE}+') AS words FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         list_filter([CASE WHEN len(words) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' END,
+                      CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' END,
+                      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+                      CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' END], lambda x: x IS NOT NULL) AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM f GROUP BY ALL),
+s(x) AS (SELECT unnest(['A', 'B', 'C', 'D', 'E'])),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM s a, s b, s c, s d, s e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+r AS (SELECT part, filter_order, fails, n, g, t, CASE {first} END AS gone FROM c, o),
+q AS (
+  SELECT part, filter_order, step::INTEGER AS step, substr(filter_order, step::INTEGER, 1) AS filter,
+         coalesce(sum(n) FILTER (gone IS NULL OR gone > step), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone < step AND substr(filter_order, step::INTEGER, 1) = ANY(fails)), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails = [substr(filter_order, step::INTEGER, 1)]), 0)::BIGINT AS unique_fails,
+         coalesce(sum(g) FILTER (gone = step), 0)::BIGINT AS good_lost,
+         coalesce(sum(t) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+  FROM r, range(1, 6) AS k(step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM q"""
+
+
 ORACLES: dict[str, str] = {
     "op3_quality": quality(),
     "op4_chat": chat_views(),
     "op5_secrets": secrets(),
     "op6_parity_join": near_duplicates(),
     "op9_neighbours": neighbours(),
+    "op12_warc_chunks": warc_records(),
+    "op13_filter_audit": audit(),
 }

@@ -166,18 +166,34 @@ def with_topic(df, title: str | Column, topic_raw: str | Column, summary: str |
 # ---------------------------------------------------------------- J8 with a rule table
 
 
+#: Rules up to which they are read by the driver and written into the plan; more are joined.
+CASE_RULES = 5_000
+#: Index entries up to which the gram index is broadcast (entries of a gram, a keyword and its rule: some 100 bytes each).
+BROADCAST_GRAMS = 200_000
+GRAM = 3
+
+
+def usable_rules(rules):
+    """One row per keyword (lower case, not empty) with its first rule: lowest priority, ties by topic."""
+    return rules.select("priority", "topic", F.lower("keyword").alias("kw")).filter("kw <> ''").groupBy("kw").agg(
+        F.min(F.struct("priority", "topic")).alias("rule"))
+
+
 def classify_with_rules(df, rules, text: str | Column, out: str = "topic", default: str = TOPIC_DEFAULT,
-                        chunk: int = 200):
+                        chunk: int = 200, case_rules: int = CASE_RULES):
     """First rule (lowest ``priority``, ties by topic) of which a keyword is a substring of the lower-cased text.
 
-    ``rules`` (priority, topic, keyword) is a configuration table.  A topic's keywords are one constant
-    array, tested up to the first hit; topics are branches of short-circuit CASE expressions of at most
-    ``chunk`` branches, tried in order.  Every row is its own result, so keys play no part and nothing
-    is shuffled.  Null or empty keywords match nothing; rows without a hit, and null texts, get
-    ``default``.
+    ``rules`` (priority, topic, keyword) with at most ``case_rules`` keywords become CASE expressions of at most
+    ``chunk`` branches, tried in order: nothing is shuffled.  Larger tables never reach the driver: they are
+    joined by ``classify_by_grams``, with the same result.  Null or empty keywords match nothing; rows without a
+    hit, and null texts, get ``default``.
     """
+    kept = usable_rules(rules)
+    rows = kept.select("rule.priority", "rule.topic", "kw").limit(case_rules + 1).collect()  # bounded: only to tell small from large
+    if len(rows) > case_rules:
+        return classify_by_grams(df, rules, text, out, default)
+    rows.sort(key=lambda r: (r["priority"] is not None, r["priority"], r["topic"] is not None, r["topic"], r["kw"]))
     txt = F.col(text) if isinstance(text, str) else text
-    rows = rules.select("priority", "topic", F.lower("keyword").alias("kw")).filter("kw <> ''").distinct().orderBy("priority", "topic", "kw").collect()
     topics = [(t, [r["kw"] for r in g]) for (_, t), g in groupby(rows, key=lambda r: (r["priority"], r["topic"]))]
     staged = df.withColumn("_rt_text", F.lower(txt))
     parts = []
@@ -187,3 +203,43 @@ def classify_with_rules(df, rules, text: str | Column, out: str = "topic", defau
             expr = expr.when(F.exists(F.lit(words), lambda w: F.col("_rt_text").contains(w)), F.lit(topic))
         parts.append(expr)
     return staged.withColumn(out, F.coalesce(*parts, F.lit(default))).drop("_rt_text")
+
+
+def _grams(text: Column, size: Column | int) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.length(text) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def gram_index(rules):
+    """``gram, kw, rule``: each keyword under that of its 3-grams (the keyword itself, if shorter) which fewest keywords hold."""
+    kept = usable_rules(rules)
+    grams = kept.select("kw", F.explode(_grams(F.col("kw"), F.least(F.length("kw"), F.lit(GRAM)))).alias("gram"))
+    held = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = grams.join(held, "gram").groupBy("kw").agg(F.min(F.struct("n", "gram")).alias("x"))
+    return kept.join(rarest, "kw").select(F.col("x.gram").alias("gram"), "kw", "rule")
+
+
+def classify_by_grams(df, rules, text: str | Column, out: str = "topic", default: str = TOPIC_DEFAULT,
+                      broadcast_grams: int = BROADCAST_GRAMS):
+    """J8 for rule tables of any size: a text can only hold a keyword whose rarest gram it holds, so texts meet keywords
+    in an equi-join on that gram; ``contains`` then decides, and the first rule of a row is a minimum.
+
+    The index is broadcast up to ``broadcast_grams`` entries, so that the texts' grams are looked up where they are
+    made; beyond that both sides are shuffled by gram.  Rows are numbered in a checkpointed copy, which the
+    candidates rejoin one by one: neither a text's candidates nor a gram's texts are ever gathered.
+    """
+    txt = F.col(text) if isinstance(text, str) else text
+    numbered = df.withColumn("_rt_text", F.lower(txt)).withColumn("_rt_row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    index = gram_index(rules).checkpoint(eager=True)
+    sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # at most GRAM values
+    if not sizes:
+        return numbered.withColumn(out, F.lit(default)).drop("_rt_text", "_rt_row")
+    small = index.limit(broadcast_grams + 1).count() <= broadcast_grams
+    held = numbered.filter("_rt_text IS NOT NULL").select("_rt_row", F.explode(F.concat(*[_grams(F.col("_rt_text"), n) for n in sorted(sizes)])).alias("gram"))
+    found = held.join(F.broadcast(index) if small else index, "gram").select("_rt_row", "kw", "rule")
+    hits = numbered.select("_rt_row", "_rt_text").join(found, "_rt_row").filter(F.col("_rt_text").contains(F.col("kw")))
+    best = hits.groupBy("_rt_row").agg(F.min("rule").alias("_rt_rule"))
+    return numbered.join(best, "_rt_row", "left").withColumn(
+        out, F.when(F.col("_rt_rule").isNull(), F.lit(default)).otherwise(F.col("_rt_rule.topic"))).drop("_rt_text", "_rt_row", "_rt_rule")

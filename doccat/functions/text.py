@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from html.entities import html5
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,39 +41,63 @@ def unescape_common(c: Column | str) -> Column:
     return out
 
 
-#: A character reference: decimal, hexadecimal, or a name with its semicolon.
-ENTITY = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
-#: One that ``unescape_common`` does not know.
-RARE_ENTITY = r"&(?:#(?!39;)[0-9xX]|(?!lt;|gt;|quot;|apos;|nbsp;|amp;)[A-Za-z][A-Za-z0-9]{1,31};)"
+#: A possible reference that ``unescape_common`` does not decode: a number, or a name with or without semicolon.
+RARE_REFERENCE = r"&(?!(?:lt|gt|quot|apos|nbsp|amp|#39);)(?:#[0-9xX]|[A-Za-z])"
 
 
-def _named_entities() -> Column:
-    """Every name of the HTML5 table, as the standard library lists it."""
-    table = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-    return F.map_from_arrays(F.lit(list(table)), F.lit(list(table.values())))
+@lru_cache(maxsize=None)
+def _unescape_udf():
+    """Arrow batches of texts through the standard library's table.  Defined here and not at module level, so
+    that it is sent to the workers whole."""
 
+    def run(texts: pd.Series) -> pd.Series:
+        from html import unescape
 
-def _legacy_numbers() -> Column:
-    """Numbers 128 to 159 mean Windows-1252 characters, where that has one."""
-    table = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
-    return F.map_from_arrays(F.lit([n for n, c in table.items() if c]), F.lit([c for c in table.values() if c]))
+        return texts.map(unescape, na_action="ignore")
 
+    return F.pandas_udf(run, "string")
 
-def _decode_entity(e: Column) -> Column:
-    number = F.regexp_extract(e, r"^&#([0-9]+|[xX][0-9a-fA-F]+)", 1)
-    point = F.when(F.lower(number).startswith("x"), F.conv(F.substring(number, 2, 10), 16, 10)).otherwise(number).cast("long")
-    odd = (point == 0) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF)
-    char = F.when(odd, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
-    named = F.element_at(_named_entities(), F.regexp_extract(e, r"^&([A-Za-z][A-Za-z0-9]*);$", 1))
-    return F.when(number != "", F.coalesce(F.element_at(_legacy_numbers(), point.cast("int")), char)).otherwise(F.coalesce(named, e))
+
+@lru_cache(maxsize=None)
+def _plain_page_udf():
+    def run(pages: pd.Series) -> pd.Series:
+        import re
+        from html import unescape
+
+        piece = re.compile(r"<[^>]*>|&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+        closed = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z0-9]{1,32});")
+        kept = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})
+
+        def decoded(m: re.Match) -> str:
+            char = unescape(m[0])
+            return m[0] if char == m[0] else char.translate(kept)
+
+        def plain(m: re.Match) -> str:
+            return closed.sub(decoded, m[0]) if m[0][0] == "<" else decoded(m)
+
+        return pages.map(lambda page: piece.sub(plain, page), na_action="ignore")
+
+    return F.pandas_udf(run, "string")
 
 
 def unescape_html(c: Column | str) -> Column:
-    """Decode all character references, each once; texts with common ones alone take the short way."""
+    """Decode all character references as the HTML5 table has them, names without semicolon included.
+
+    Texts with the common references alone never leave the JVM; of the others only the text goes through
+    one Arrow function.  Not for use inside lambdas: there, texts come from ``plain_references``.
+    """
     c = _c(c)
-    found = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), _decode_entity)
-    whole = F.array_join(F.zip_with(F.split(c, ENTITY, -1), found, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
-    return F.when(c.rlike(RARE_ENTITY), whole).otherwise(unescape_common(c))
+    rare = c.rlike(RARE_REFERENCE)
+    return F.when(rare, _unescape_udf()(F.when(rare, c))).otherwise(unescape_common(c))
+
+
+def plain_references(markup: Column | str) -> Column:
+    """Markup in which every reference is decoded but those of ``& < > " '``, written by their common names: what
+    remains ``unescape_common`` decodes natively, each reference once.  Inside tags only references with a
+    semicolon count, so the query of a link keeps its ``&copy=1``."""
+    c = _c(markup)
+    rare = c.rlike(RARE_REFERENCE)
+    return F.coalesce(_plain_page_udf()(F.when(rare, c)), c)
 
 
 def normalize_whitespace(c: Column | str) -> Column:
@@ -80,9 +105,18 @@ def normalize_whitespace(c: Column | str) -> Column:
     return clean_text(unescape_html(F.coalesce(_c(c).cast("string"), F.lit(""))))
 
 
+#: A tag: quoted attribute values may hold '>'; one with an odd quote ends at its first '>'.
+TAG = r"""<[^'">]*+(?:(?:"[^"]*"|'[^']*')[^'">]*+)*+>|<[^>]*>"""
+
+
+def fragment_text(fragment: Column) -> Column:
+    """H2: a piece of ``plain_references`` markup -> plain text (tags to blanks, references decoded, F1); native."""
+    return clean_text(unescape_common(strip_tags(fragment)))
+
+
 def strip_tags(c: Column | str) -> Column:
     """H2 helper: every tag becomes a blank (text of adjacent elements stays apart)."""
-    return F.regexp_replace(_c(c), r"<[^>]*>", " ")
+    return F.regexp_replace(_c(c), TAG, " ")
 
 
 def html_to_text(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from doccat.functions.text import unescape_html
+from doccat.functions.text import unescape_common
 
 URL_PATH = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)"
 
@@ -57,8 +57,8 @@ ANCHOR = HREF_TAG + r"(.*?)</a\s*>"
 
 
 def href_value(written: Column) -> Column:
-    """An href as written, in either kind of quotes or none, without them and with references decoded."""
-    return unescape_html(F.regexp_replace(written, "^[\"']|[\"']$", ""))
+    """An href as written (in ``plain_references`` markup), in either kind of quotes or none, without them and decoded."""
+    return unescape_common(F.regexp_replace(written, "^[\"']|[\"']$", ""))
 
 
 def without_dots(url: Column) -> Column:

@@ -27,7 +27,7 @@ def _one_page(pages: DataFrame, **extracted: Column) -> DataFrame:
 def enrich_summaries(records: DataFrame, pages: DataFrame, url_col: str = "guidance_page_link",
                      summary_col: str = "summary") -> DataFrame:
     """summary = page summary when non-empty, else the record's own; missing pages keep the record."""
-    pg = _one_page(H.with_stripped(pages), _page_summary=H.page_summary(F.col("_stripped"), stripped=True))
+    pg = _one_page(pages, _page_summary=H.page_summary(F.col("html")))
     j = records.join(pg, records[url_col] == pg["_url"], "left")
     return j.withColumn(summary_col, F.coalesce(F.when(F.col("_page_summary") != "", F.col("_page_summary")),
                                                 F.col(summary_col))).drop("_url", "_page_summary")

@@ -11,9 +11,7 @@ Rules for malformed markup (stated once, mirrored by the oracle):
 * a paragraph starts at ``<p>`` / ``<p ...>`` and ends at the next ``<p``,
   ``</p>`` or ``</article>``; tags inside become blanks, common entities are
   decoded and whitespace collapsed (F2);
-* a container (article, main, article.main-content) spans from its first
-  opening tag to the next closing tag of the same name; ``div[role=main]``
-  spans to its matching ``</div>`` (nested divs counted).
+* elements nest as ``html_tree`` says; containers (H5) are intervals of that tree.
 """
 
 from __future__ import annotations
@@ -23,29 +21,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doccat.functions.rules import (
-    BOILERPLATE_MARKERS,
-    PROTECTION_PAGE_MARKERS,
-    SUMMARY_MIN_CHARS,
-)
-from doccat.functions.text import clean_text, normalize_whitespace, strip_tags
+from doccat.functions.rules import PROTECTION_PAGE_MARKERS
+from doccat.functions.text import clean_text, fragment_text, plain_references, unescape_common
 from doccat.functions.urls import ANCHOR, HREF_TAG, absolute_url_col, href_value
+from doccat.operators.html_tree import attributes, element_tree, is_summary_candidate, page_summary, strip_noise, tag_code, tokens  # noqa: F401
 
-NOISE = r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->"
-TOKEN = r"<[^>]*>|[^<]+"
 P_OPEN = r"(?i)<p>|<p\s[^>]*>"
 P_END = r"(?is)</(p|article)(\s[^>]*)?>.*$"
 
 
-def strip_noise(html: Column) -> Column:
-    return F.regexp_replace(F.coalesce(html, F.lit("")), NOISE, " ")
-
-
-def fragment_text(fragment: Column) -> Column:
-    """H2: markup fragment -> plain text (tags to blanks, entities decoded, F1)."""
-    return normalize_whitespace(strip_tags(fragment))
-
-
 # ---------------------------------------------------------------- H1 element table
 
 
@@ -61,22 +45,18 @@ def element_table(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     (lower case, '' for text), ``text`` (decoded, cleaned; '' for tags),
     ``href`` (anchors), ``cls`` and ``role`` attributes.
     """
-    toks = pages.select(id_col, F.posexplode(F.regexp_extract_all(strip_noise(F.col("html")), F.lit(TOKEN), 0))
-                        .alias("pos", "tok"))
-    t = F.col("tok")
-    is_tag = t.startswith("<")
-    tag = F.lower(F.regexp_extract(t, r"^</?\s*([a-zA-Z][a-zA-Z0-9]*)", 1))
-    kind = F.when(~is_tag, F.lit("text")).when(t.startswith("</"), F.lit("close")).otherwise(F.lit("open"))
-    return toks.select(
-        id_col, F.col("pos").cast("bigint").alias("pos"), kind.alias("kind"), F.when(is_tag, tag).otherwise(F.lit("")).alias("tag"),
-        F.when(is_tag, F.lit("")).otherwise(normalize_whitespace(t)).alias("text"),
-        F.regexp_extract(t, r'(?i)href\s*=\s*"([^"]*)"', 1).alias("href"),
-        F.regexp_extract(t, r'(?i)class\s*=\s*"([^"]*)"', 1).alias("cls"),
-        F.regexp_extract(t, r'(?i)role\s*=\s*"([^"]*)"', 1).alias("role"),
-    )
+    toks = pages.select(id_col, tokens(F.col("html")).alias("t")).select(id_col, F.posexplode("t").alias("pos", "tok"))
+    rows = toks.select(id_col, F.col("pos").cast("bigint").alias("pos"), "tok", tag_code(F.col("tok")).alias("code"),
+                       attributes(F.col("tok")).alias("attrs"))
+    code, attr = F.col("code"), F.col("attrs")
+    kind = F.when(code == "", F.lit("text")).when(code.startswith("/"), F.lit("close")).otherwise(F.lit("open"))
+    return rows.select(
+        id_col, "pos", kind.alias("kind"), F.when(code == "!", F.lit("")).otherwise(F.regexp_replace(code, "^/", "")).alias("tag"),
+        F.when(code == "", clean_text(unescape_common(F.col("tok")))).otherwise(F.lit("")).alias("text"),
+        *[F.coalesce(attr[a], F.lit("")).alias(out) for a, out in (("href", "href"), ("class", "cls"), ("role", "role"))])
 
 
-# ---------------------------------------------------------------- paragraphs, containers, summary
+# ---------------------------------------------------------------- paragraphs
 
 
 def paragraphs(html: Column, stripped: bool = False) -> Column:
@@ -86,70 +66,6 @@ def paragraphs(html: Column, stripped: bool = False) -> Column:
     return F.transform(body, lambda p: fragment_text(F.regexp_replace(p, P_END, "")))
 
 
-BOILERPLATE_RE = "(?i)" + "|".join("\\Q" + m + "\\E" for m in BOILERPLATE_MARKERS)
-
-
-def is_summary_candidate(text: Column) -> Column:
-    """H4: at least 80 characters and none of the boilerplate markers (one case-insensitive scan)."""
-    return (F.length(text) >= SUMMARY_MIN_CHARS) & ~text.rlike(BOILERPLATE_RE)
-
-
-def _span(html: Column, open_re: str, close_lit: str) -> Column:
-    """Text from the first match of ``open_re`` to the next ``close_lit`` (or the end); null if no open."""
-    rest = F.regexp_extract(html, "(?is)(" + open_re + ".*)$", 1)
-    end = F.instr(F.lower(rest), close_lit)
-    return F.when(rest != "", F.when(end > 0, F.substring(rest, 1, end - 1)).otherwise(rest))
-
-
-DIV_MAIN = r"""<div\s[^>]*role\s*=\s*"main"[^>]*>"""
-
-
-def _div_main(html: Column) -> Column:
-    """div[role=main] up to its matching close (nested divs counted)."""
-    rest = F.regexp_extract(html, "(?is)(" + DIV_MAIN + ".*)$", 1)
-    pieces = F.split(rest, r"(?i)</div\s*>")
-    opens = F.transform(pieces, lambda p: F.size(F.regexp_extract_all(p, F.lit(r"(?i)<div[\s>]"), 0)))
-    # depth after closing piece i (1-based) = sum(opens[1..i]) - i; the match closes at the first 0.
-    depth = F.transform(opens, lambda _x, i: F.aggregate(F.slice(opens, 1, i + 1), F.lit(0), lambda a, b: a + b) - (i + 1))
-    k = F.array_position(depth, F.lit(0))
-    content = F.when(k > 0, F.array_join(F.slice(pieces, 1, k.cast("int")), "</div>")).otherwise(rest)
-    return F.when(rest != "", content)
-
-
-ARTICLE_MAIN = r"""<article\s[^>]*class\s*=\s*"[^"]*main-content[^"]*"[^>]*>"""
-
-
-def containers(html: Column, stripped: bool = False) -> Column:
-    """H5: candidate containers in priority order (null when absent)."""
-    h = html if stripped else strip_noise(html)
-    return F.array(
-        _div_main(h),
-        _span(h, ARTICLE_MAIN, "</article"),
-        _span(h, r"<article[\s>]", "</article"),
-        _span(h, r"<main[\s>]", "</main"),
-        h,
-    )
-
-
-def page_summary(html: Column, stripped: bool = False) -> Column:
-    """W5 + H5: first qualifying paragraph of the first container that has one; '' when none.
-
-    Pass ``stripped=True`` with a column already run through ``strip_noise`` (a
-    separate projection) so the page-wide regex runs once per page.
-    """
-    def first_candidate(c):
-        # a piece shorter than 80 characters cannot qualify (text never grows when tags/entities go)
-        pieces = F.filter(F.slice(F.split(c, P_OPEN), 2, 1 << 30), lambda p: F.length(p) >= SUMMARY_MIN_CHARS)
-        texts = F.transform(pieces, lambda p: fragment_text(F.regexp_replace(p, P_END, "")))
-        return F.try_element_at(F.filter(texts, is_summary_candidate), F.lit(1))
-
-    h = html if stripped else strip_noise(html)
-    # coalesce is lazy: the whole page is only parsed when no container holds a candidate
-    return F.coalesce(first_candidate(_div_main(h)), first_candidate(_span(h, ARTICLE_MAIN, "</article")),
-                      first_candidate(_span(h, r"<article[\s>]", "</article")),
-                      first_candidate(_span(h, r"<main[\s>]", "</main")), first_candidate(h), F.lit(""))
-
-
 # ---------------------------------------------------------------- links
 
 
@@ -187,6 +103,7 @@ def first_attachment(html: Column, base: Column) -> Column:
 
 def result_count(html: Column) -> Column:
     """H8: count from the active facet attribute, else the number in 'Search results (n)'; null if none."""
+    html = plain_references(html)
     facet = F.regexp_extract(html, r"""(?is)<a\s[^>]*class\s*=\s*"[^"]*is-active[^"]*"[^>]*data-drupal-facet-item-count\s*=\s*"([^"]*)"[^>]*>""", 1)
     heading = F.regexp_extract(fragment_text(html), r"(?i)Search results\s*\(?\s*([0-9,]+)\s*\)?", 1)
     return F.coalesce(parse_int(F.when(facet != "", facet)), parse_int(F.when(heading != "", heading)))

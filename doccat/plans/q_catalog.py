@@ -76,8 +76,8 @@ def rule_table_topics(spark, sf_dir):
 
 @register("rule_table_topics_join", _RULE_SQL)
 def rule_table_topics_join(spark, sf_dir):
-    """J8 with the same rules in short CASE pieces: the answer does not depend on the piece length."""
-    from doccat.functions.classify import classify_with_rules
+    """J8 with the same rules joined on their rarest 3-gram, as tables too large for a CASE are."""
+    from doccat.functions.classify import classify_by_grams
     from doccat.sources.tables import table
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return classify_with_rules(d, benchmark_rules(spark, sf_dir), "text", chunk=25).select("doc_id", "topic")
+    return classify_by_grams(d, benchmark_rules(spark, sf_dir), "text").select("doc_id", "topic")

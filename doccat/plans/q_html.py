@@ -13,6 +13,7 @@ from doccat.functions.classify import status_columns
 from doccat.functions.text import clean_title
 from doccat.functions.urls import absolute_url_col, path_format, reference_number
 from doccat.operators import html as H
+from doccat.operators import html_tree as T
 from doccat.plans import sql as S
 from doccat.plans import sql_html as SH
 from doccat.plans.q_catalog import catalog
@@ -28,24 +29,63 @@ def pages(spark, sf_dir):
 # ---------------------------------------------------------------- H1 elements
 
 
-def _sql_elements(src: str = "pages") -> str:
+def _sql_elements(src: str = "pages", text: str = S.normalize_ws("tok")) -> str:
     t = "tok"
     return f"""SELECT page_id, pos - 1 AS pos,
   CASE WHEN NOT starts_with({t}, '<') THEN 'text' WHEN starts_with({t}, '</') THEN 'close' ELSE 'open' END AS kind,
   CASE WHEN starts_with({t}, '<') THEN lower(regexp_extract({t}, '^</?\\s*([a-zA-Z][a-zA-Z0-9]*)', 1)) ELSE '' END AS tag,
-  CASE WHEN starts_with({t}, '<') THEN '' ELSE {S.normalize_ws(t)} END AS text,
+  CASE WHEN starts_with({t}, '<') THEN '' ELSE {text} END AS text,
   regexp_extract({t}, '(?i)href\\s*=\\s*"([^"]*)"', 1) AS href,
   regexp_extract({t}, '(?i)class\\s*=\\s*"([^"]*)"', 1) AS cls,
   regexp_extract({t}, '(?i)role\\s*=\\s*"([^"]*)"', 1) AS role
-FROM {src}, unnest(regexp_extract_all({SH.strip_noise('html')}, {S.q(H.TOKEN)}, 0)) WITH ORDINALITY AS u(tok, pos)"""
+FROM {src}, unnest(regexp_extract_all({SH.strip_noise('html')}, {S.q(SH.TOKEN)}, 0)) WITH ORDINALITY AS u(tok, pos)"""
 
 
-@register("page_elements", _sql_elements)
+@register("page_elements", lambda: _sql_elements(text=SH.all_references("tok")))
 def page_elements(spark, sf_dir):
     """H1: every page as ordered tokens (open/close tags and decoded text runs)."""
     return H.element_table(pages(spark, sf_dir))
 
 
+def _sql_tree() -> str:
+    """The stack of open elements as a recursive query, one token of every page at a time."""
+    def sets(which: int) -> str:
+        return "CASE code " + " ".join(f"WHEN {S.q(tag)} THEN {list(rule[which])}" for tag, rule in T.IMPLIED_ENDS.items()) + " ELSE []::VARCHAR[] END"
+
+    last = "len(names) + 1 - coalesce(list_position(list_reverse(list_transform(names, lambda n: {test})), true), len(names) + 1)"
+    return f"""WITH RECURSIVE el AS ({_sql_elements(text=SH.all_references("tok"))}),
+t AS (SELECT page_id, pos, kind, text, CASE WHEN kind = 'text' THEN '' WHEN tag = '' THEN '!' ELSE tag END AS code FROM el),
+w(page_id, pos, kind, code, parent, depth, closed, stack, names) AS (
+  SELECT DISTINCT page_id, -1::BIGINT, '', '', -1::BIGINT, 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::VARCHAR[] FROM t
+  UNION ALL
+  SELECT page_id, pos, kind, code, CASE WHEN kind = 'close' AND k > 0 THEN stack[k] WHEN keep > 0 THEN stack[keep] ELSE -1 END, keep,
+    CASE WHEN kind = 'close' AND k > 0 THEN stack[k] END,
+    CASE WHEN pushed THEN list_append(stack[1:keep], pos) ELSE stack[1:keep] END, CASE WHEN pushed THEN list_append(names[1:keep], code) ELSE names[1:keep] END
+  FROM (SELECT *, CASE WHEN k > 0 THEN k - 1 ELSE len(names) END AS keep, kind = 'open' AND code <> '!' AND NOT code IN {tuple(T.VOID)} AS pushed
+    FROM (SELECT page_id, t.pos, t.kind, t.code, w.stack, w.names,
+        CASE t.kind WHEN 'close' THEN {last.format(test="n = t.code")} WHEN 'open' THEN
+          CASE WHEN {last.format(test=f"list_contains(({sets(0).replace('CASE code', 'CASE t.code')}), n)")}
+            > {last.format(test=f"list_contains(({sets(1).replace('CASE code', 'CASE t.code')}), n)")}
+          THEN {last.format(test=f"list_contains(({sets(0).replace('CASE code', 'CASE t.code')}), n)")} ELSE 0 END ELSE 0 END AS k
+      FROM w JOIN t USING (page_id) WHERE t.pos = w.pos + 1) a) b),
+inside AS (SELECT page_id, unnest(stack) AS pos, max(pos) AS up_to FROM (SELECT page_id, pos, stack FROM w) x GROUP BY page_id, unnest(stack)),
+shut AS (SELECT page_id, closed AS pos, pos AS at FROM w WHERE closed IS NOT NULL),
+n AS (SELECT w.*, coalesce(shut.at, inside.up_to, w.pos) AS stop, kind = 'open' AND code <> '!' AS element
+  FROM w LEFT JOIN inside ON w.page_id = inside.page_id AND w.pos = inside.pos LEFT JOIN shut ON w.page_id = shut.page_id AND w.pos = shut.pos WHERE w.pos >= 0),
+o AS (SELECT *, CASE WHEN element THEN row_number() OVER (PARTITION BY page_id, parent, element ORDER BY pos) ELSE 0 END AS ordinal FROM n),
+p(page_id, pos, path) AS (
+  SELECT page_id, pos, CAST(ordinal AS VARCHAR) FROM o WHERE element AND parent = -1
+  UNION ALL SELECT o.page_id, o.pos, p.path || '/' || o.ordinal FROM p JOIN o ON o.page_id = p.page_id AND o.parent = p.pos AND o.element)
+SELECT o.page_id, o.pos, o.stop AS "end", o.depth, o.parent, o.ordinal, p.path, o.kind, CASE WHEN o.code = '!' THEN '' ELSE o.code END AS tag, t.text
+FROM o JOIN t ON o.page_id = t.page_id AND o.pos = t.pos LEFT JOIN p ON o.page_id = p.page_id AND o.pos = p.pos"""
+
+
+@register("page_tree", _sql_tree)
+def page_tree(spark, sf_dir):
+    """H1: every page as nested intervals: each token with its element's end, depth, parent, ordinal and path."""
+    return H.element_tree(pages(spark, sf_dir)).drop("attrs")
+
+
 @register("page_paragraphs", lambda: f"""SELECT page_id, pos - 1 AS p_idx, t AS text FROM pages,
   unnest({SH.paragraphs('html')}) WITH ORDINALITY AS u(t, pos) WHERE t <> ''""")
 def page_paragraphs(spark, sf_dir):
@@ -58,8 +98,7 @@ def page_paragraphs(spark, sf_dir):
 @register("page_summary", lambda: f"SELECT page_id, {SH.page_summary('html')} AS summary FROM pages")
 def page_summary(spark, sf_dir):
     """W5 + H4 + H5: first non-boilerplate paragraph of 80+ characters in container priority order."""
-    p = H.with_stripped(pages(spark, sf_dir))
-    return p.select("page_id", H.page_summary(F.col("_stripped"), stripped=True).alias("summary"))
+    return pages(spark, sf_dir).select("page_id", H.page_summary(F.col("html")).alias("summary"))
 
 
 @register("page_links", lambda: f"""SELECT page_id, pos - 1 AS pos, {SH.absolute('h', 'url')} AS href, {SH.fragment_text('t')} AS text

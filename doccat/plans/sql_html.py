@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from doccat.functions.rules import BOILERPLATE_MARKERS, SUMMARY_MIN_CHARS
-from doccat.operators.html import ARTICLE_MAIN, DIV_MAIN, NOISE, P_END, P_OPEN, TOKEN
-from doccat.plans.sql import normalize_ws, q
+from doccat.operators.html import P_END, P_OPEN
+from doccat.plans.sql import clean, normalize_ws, q
+
+NOISE = r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->"
+TOKEN = r"<[^>]*>|[^<]+"
+DIV_MAIN = r"""<div\s[^>]*role\s*=\s*"main"[^>]*>"""
+ARTICLE_MAIN = r"""<article\s[^>]*class\s*=\s*"[^"]*main-content[^"]*"[^>]*>"""
 
 
 #: Anchors as the driver's pages write them: one href each, in double quotes, without references.
@@ -19,6 +26,15 @@ def fragment_text(x: str) -> str:
     return normalize_ws(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")
 
 
+def all_references(x: str) -> str:
+    """F2 with every name of the HTML5 table that ends in a semicolon, as the standard library lists it."""
+    table = {k: v for k, v in html5.items() if k.endswith(";")}
+    names = f"MAP {{{', '.join(f'{q(k[:-1])}: {q(v)}' for k, v in table.items())}}}"
+    pieces = f"regexp_extract_all({x}, '&[A-Za-z][A-Za-z0-9]*;|[^&]+|&', 0)"
+    return clean(f"array_to_string(list_transform({pieces}, lambda r: CASE WHEN starts_with(r, '&') AND length(r) > 2 "
+                 f"THEN coalesce({names}[substr(r, 2, length(r) - 2)], r) ELSE r END), '')")
+
+
 def paragraphs(h: str) -> str:
     pieces = f"string_split_regex({strip_noise(h)}, {q(P_OPEN)})"
     return f"list_transform(list_slice({pieces}, 2, len({pieces})), lambda p: {fragment_text(f"regexp_replace(p, {q(P_END)}, '')")})"

@@ -27,7 +27,7 @@ from doccat.functions.rules import (
     EMA_ORGANIZATION,
     NOT_AVAILABLE,
 )
-from doccat.functions.text import category_separator, clean_text, normalize_whitespace, strip_tags
+from doccat.functions.text import category_separator, clean_text, fragment_text, normalize_whitespace, plain_references, strip_tags
 from doccat.functions.urls import HREF_TAG, absolute_url, absolute_url_col, first_pdf_or_download, href_value, mime_format
 
 # ---------------------------------------------------------------------------
@@ -156,7 +156,8 @@ def cell_text(cell: Column) -> Column:
 
 def cell_links(cell: Column, base: str = FDA_BASE_URL) -> Column:
     """H3: absolute hrefs of the anchors in a cell, in order."""
-    hrefs = F.filter(F.transform(F.regexp_extract_all(F.coalesce(cell, F.lit("")), F.lit(HREF_TAG), 1), href_value), lambda h: h != "")
+    markup = plain_references(F.coalesce(cell, F.lit("")))
+    hrefs = F.filter(F.transform(F.regexp_extract_all(markup, F.lit(HREF_TAG), 1), href_value), lambda h: h != "")
     return F.transform(hrefs, lambda h: absolute_url(h, base))
 
 
@@ -164,7 +165,7 @@ def fda_record(cells: Column) -> list[Column]:
     """Legacy record fields from the 9 cells (name = summary text, PDF link F26 or document text)."""
     summary_text = cell_text(cells["summary"])
     # the page link is the first anchor with a non-empty href: one codegen'd regex, no array lambdas
-    first_href = F.regexp_extract(F.coalesce(cells["summary"], F.lit("")), FIRST_HREF, 1)
+    first_href = F.regexp_extract(plain_references(F.coalesce(cells["summary"], F.lit(""))), FIRST_HREF, 1)
     page_link = F.when(first_href != "", absolute_url(href_value(first_href), FDA_BASE_URL))
     doc_text = cell_text(cells["document"])
     pdf = first_pdf_or_download(cell_links(cells["document"]))

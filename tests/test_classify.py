@@ -68,3 +68,32 @@ def test_rule_table_answer_does_not_depend_on_pieces_or_keys(spark):
     for chunk in (1, 7, 500):
         got = classify_with_rules(docs, rules, "text", chunk=chunk).select("text", "topic").collect()
         assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_large_rule_table_is_joined_on_grams(spark):
+    import random
+
+    from doccat.functions.classify import classify_by_grams, classify_with_rules
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    rules = [(rng.randint(0, 50), f"t{rng.randint(0, 30)}", word(rng.choice([5, 6, 7, 8])).title()) for _ in range(100_000)]
+    rules += [(60, "two", "zz"), (61, "one", "q"), (0, "never", None), (0, "blank", ""), (3, "cjk", "药"), (4, "quoted", "a'b c")]
+    texts = [" ".join(word(rng.randint(1, 12)) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts += [None, "", "xzzx", "Q", "yy", "化药", "A'B C", "ab", texts[0], texts[0]]
+    docs = spark.createDataFrame([(i % 50, t, "x") for i, t in enumerate(texts)], "id long, text string, rule string")
+    rule_df = spark.createDataFrame(rules, "priority int, topic string, keyword string")
+
+    def first(text):
+        hits = [(p, t) for p, t, k in rules if k and text is not None and k.lower() in text.lower()]
+        return min(hits)[1] if hits else "other"
+
+    want = sorted(((i % 50, t, first(t)) for i, t in enumerate(texts)), key=repr)
+    for got in (classify_with_rules(docs, rule_df, "text"), classify_by_grams(docs, rule_df, "text", broadcast_grams=10)):
+        assert got.columns == ["id", "text", "rule", "topic"]
+        assert sorted(((r.id, r.text, r.topic) for r in got.collect()), key=repr) == want
+    few = spark.createDataFrame(rules[-6:] + rules[:300], "priority int, topic string, keyword string")
+    a, b = classify_with_rules(docs, few, "text"), classify_by_grams(docs, few, "text")
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    none = classify_by_grams(docs, rule_df.limit(0), "text")
+    assert {r.topic for r in none.collect()} == {"other"}
+    assert len(classify_with_rules(docs, rule_df, "text")._jdf.queryExecution().toString()) < 100_000

@@ -205,17 +205,15 @@ def classify_with_rules(df, rules, text: str | Column, out: str = "topic", defau
     return staged.withColumn(out, F.coalesce(*parts, F.lit(default))).drop("_rt_text")
 
 
-def _grams(text: Column, size: Column | int) -> Column:
-    size = F.lit(size) if isinstance(size, int) else size
-    last = F.length(text) - size + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size)))).otherwise(
-        F.array().cast("array<string>"))
+def _grams(text: Column, size: int) -> Column:
+    """The distinct grams of ``size`` characters: one pass of a look-ahead over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def gram_index(rules):
     """``gram, kw, rule``: each keyword under that of its 3-grams (the keyword itself, if shorter) which fewest keywords hold."""
     kept = usable_rules(rules)
-    grams = kept.select("kw", F.explode(_grams(F.col("kw"), F.least(F.length("kw"), F.lit(GRAM)))).alias("gram"))
+    grams = kept.select("kw", F.explode(F.when(F.length("kw") < GRAM, F.array("kw")).otherwise(_grams(F.col("kw"), GRAM))).alias("gram"))
     held = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = grams.join(held, "gram").groupBy("kw").agg(F.min(F.struct("n", "gram")).alias("x"))
     return kept.join(rarest, "kw").select(F.col("x.gram").alias("gram"), "kw", "rule")

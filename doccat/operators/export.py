@@ -22,6 +22,7 @@ from doccat.functions.rules import (
     WHY_IT_MATTERS_DEFAULT,
 )
 from doccat.functions.text import md_escape
+from doccat.sources.csv_lines import read_large_csv
 
 
 def falsy_to_text(c: Column, dtype: T.DataType) -> Column:
@@ -162,8 +163,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_csv_exports(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
-    """S10 + U4: read the CSV exports that exist (header, multi-line, UTF-8 BOM tolerated), union by name.
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file at ``path`` (a file or a folder of files)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return max((s.getLen() for s in listed), default=0)
+
+
+def read_csv_exports(spark: SparkSession, paths: list[str], split_bytes: int = 64 << 20) -> tuple[DataFrame | None, list[str]]:
+    """S10 + U4: read the CSV exports that exist (header, line breaks in quotes, UTF-8 BOM tolerated), union by name.
+
+    Inputs with a file of more than ``split_bytes`` are read by many tasks a file (``sources.csv_lines``).
 
     Returns the union (None when no input exists) and the missing paths.
     """
@@ -172,9 +182,11 @@ def read_csv_exports(spark: SparkSession, paths: list[str]) -> tuple[DataFrame |
         if not path_exists(spark, p):
             missing.append(p)
             continue
-        df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("encoding", "UTF-8").csv(p))
-        df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+        if largest_file(spark, p) > split_bytes:
+            df = read_large_csv(spark, p)
+        else:  # one task reads the file either way
+            df = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8").csv(p)
+            df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
         df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
         frames.append(df)
     if not frames:

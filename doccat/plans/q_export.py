@@ -133,3 +133,12 @@ def csv_roundtrip(spark, sf_dir):
     df, missing = EX.read_csv_exports(spark, [f"{base}/fda_even.csv", f"{base}/missing.csv", f"{base}/fda_odd.csv"])
     assert missing == [f"{base}/missing.csv"]
     return df
+
+
+@register("csv_split_scan", lambda: with_legacy(
+    "SELECT " + ", ".join(f'{f} AS "{h}"' for f, h in LEGACY_RECORD_FIELDS) + " FROM legacy"))
+def csv_split_scan(spark, sf_dir):
+    """K2 -> S10: one CSV export written, then read by the split scan that files of any size take."""
+    base = scratch_path(spark, f"csv-split-{uuid.uuid4().hex}")
+    EX.write_csv(EX.legacy_csv_rows(legacy_records(spark, sf_dir)), f"{base}/fda.csv")
+    return EX.read_csv_exports(spark, [f"{base}/fda.csv"], split_bytes=0)[0]

@@ -80,3 +80,29 @@ def test_stream_upsert_batches_and_replay(spark):
     got = read_current(spark, f"{base}/catalog").select("id", "change_type", "summary")
     want = catalog_after_v2(spark, sf).select("id", "change_type", "summary")
     assert rows(got) == rows(want)
+
+
+ODD_CSV = ('\ufeffname,text,n\r\n"a ""q"", b","line one\nline two\r\nthree",1\r\nplain,,2\r\n\r\n"","x, ""y""\n\n"" z",\r\nshort\r\n"é","\n",3\r\n'
+           + "".join(f'r{i},"{"long " * (i % 7)}{chr(10) * (i % 3)}end ""{i}""",{i}\r\n' for i in range(400)) + 'last,"no end"" of line",9')
+
+
+def test_large_csv_equals_multi_line_reader(spark):
+    from doccat.sources.csv_lines import read_large_csv
+    base = tempfile.mkdtemp(prefix="doccat-csv-")
+    with open(f"{base}/a.csv", "w", encoding="utf-8", newline="") as f:
+        f.write(ODD_CSV)
+    want = spark.read.options(header=True, multiLine=True, escape='"').csv(f"{base}/a.csv")
+    want = want.toDF(*[c.lstrip("\ufeff") for c in want.columns])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("200", "1000", "128MB"):  # splits that cut inside records, and one split
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = read_large_csv(spark, f"{base}/a.csv")
+            assert got.columns == want.columns == ["name", "text", "n"]
+            if size != "128MB":
+                assert spark.read.option("lineSep", "\n").text(f"{base}/a.csv").rdd.getNumPartitions() > 8
+            assert rows(got) == rows(want) and len(rows(want)) == 405
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from doccat.operators.catalog_schema import CATALOG_SCHEMA
+from doccat.operators import store
+from doccat.operators.export import bootstrap_from_snapshot
 from doccat.operators.store import read_current
-from doccat.plans.q_upsert import _sql_two_runs, batch_v1, batch_v2
+from doccat.plans.q_upsert import change_feed_sql, _sql_two_runs, batch_v1, batch_v2, catalog_after_v2
 from doccat.plans.registry import register
 from doccat.session import scratch_path
 from doccat.sources.adapter import RUN_TS_V1, RUN_TS_V2
@@ -26,12 +29,51 @@ def land_runs(spark, sf_dir, landing, which=(1, 2)):
 @register("stream_upsert_final_state", lambda: _sql_two_runs("SELECT * FROM v2"))
 def stream_upsert_final_state(spark, sf_dir):
     """Runs landed as files, upserted by a file stream with foreachBatch; the last committed version."""
+    return read_current(spark, streamed_catalog(spark, sf_dir)).select(*[c for c in batch_columns()])
+
+
+def streamed_catalog(spark, sf_dir):
+    """Root of a catalog that the stream made of runs v1 and v2."""
     base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
     landing = f"{base}/landing"
     land_runs(spark, sf_dir, landing)
     schema = spark.read.parquet(landing).schema
     stream_upsert(spark, landing, schema, f"{base}/catalog", f"{base}/_checkpoint")
-    return read_current(spark, f"{base}/catalog").select(*[c for c in batch_columns()])
+    return f"{base}/catalog"
+
+
+@register("stream_change_log", change_feed_sql)
+def stream_change_log(spark, sf_dir):
+    """T2 as the stream's output: the change log appended with each committed version."""
+    log = store.change_log(spark, streamed_catalog(spark, sf_dir), CATALOG_SCHEMA)
+    return log.select("id", F.col("version").alias("run"), "change_type")
+
+
+@register("change_log_fold", lambda: _sql_two_runs("SELECT * FROM v2"))
+def change_log_fold(spark, sf_dir):
+    """The catalog folded from the change log alone."""
+    return store.fold_log(store.change_log(spark, streamed_catalog(spark, sf_dir), CATALOG_SCHEMA)).select(*batch_columns())
+
+
+@register("backup_roundtrip", lambda: _sql_two_runs("SELECT * FROM v2"))
+def backup_roundtrip(spark, sf_dir):
+    """K7: the current version is copied before an update; the copy is what was current, not what the update made."""
+    base = scratch_path(spark, f"backup-{uuid.uuid4().hex}")
+    store.write_version(catalog_after_v2(spark, sf_dir), f"{base}/catalog", 1)
+    copy = store.backup_current(spark, f"{base}/catalog", f"{base}/backups", RUN_TS_V2)
+    current = read_current(spark, f"{base}/catalog")
+    store.write_version(current.filter("agency = 'FDA'"), f"{base}/catalog", 2)
+    return spark.read.parquet(copy).select(*batch_columns())
+
+
+@register("snapshot_bootstrap", lambda: _sql_two_runs("SELECT * FROM v2"))
+def snapshot_bootstrap(spark, sf_dir):
+    """An absent table is restored from its snapshot, and only an absent one."""
+    base = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
+    catalog_after_v2(spark, sf_dir).write.parquet(f"{base}/snapshot")
+    if not bootstrap_from_snapshot(spark, f"{base}/db", f"{base}/snapshot") or bootstrap_from_snapshot(spark, f"{base}/db", f"{base}/snapshot"):
+        raise ValueError("the table is copied exactly once")
+    return spark.read.parquet(f"{base}/db").select(*batch_columns())
 
 
 def batch_columns():

@@ -204,7 +204,8 @@ def change_feed(runs):
     return allr.select("id", "run", change.alias("change_type"))
 
 
-@register("change_feed", lambda: f"""WITH {_sql_batches()},
+def change_feed_sql() -> str:
+    return f"""WITH {_sql_batches()},
 r AS (SELECT 1 AS run, *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS rn FROM b1
       UNION ALL SELECT 2 AS run, *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS rn FROM b2),
 l AS (SELECT r.*, p.id IS NOT NULL AS has_prev,
@@ -214,7 +215,10 @@ g AS (SELECT *, lag(struct_pack({', '.join(f'{c} := {c}' for c in CHANGE_FIELDS)
 SELECT id, run, CASE WHEN has_prev THEN CASE WHEN diff_prev THEN 'updated' ELSE 'unchanged' END
   WHEN bf IS NULL THEN 'new'
   WHEN {' OR '.join(f'{c} IS DISTINCT FROM bf.{c}' for c in CHANGE_FIELDS)} THEN 'updated' ELSE 'unchanged' END AS change_type
-FROM g""")
+FROM g"""
+
+
+@register("change_feed", change_feed_sql)
 def change_feed_query(spark, sf_dir):
     """Run-to-run change feed over runs v1 and v2."""
     return change_feed([(1, batch_v1(spark, sf_dir)), (2, batch_v2(spark, sf_dir))])

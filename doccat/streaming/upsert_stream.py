@@ -9,6 +9,8 @@ into the catalog and commits the next version for every run.
   never turn ``updated`` into ``unchanged``, and a fresh checkpoint on an old
   catalog goes on from its last version.
 * Lineage is cut at every version: the next batch reads the committed parquet.
+* The catalog lies in hash buckets of ``id``.  A run reads, merges and writes only the buckets its ids fall
+  into, and appends its rows to the change log (T2), from which the catalog can be folded again.
 * A run must reach the stream whole: land it with one write (its files appear
   together at commit) and do not cap files per trigger below a run, because
   last-write-wins inside a run needs all of the run's rows at once.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from doccat.operators.catalog_schema import CATALOG_SCHEMA
-from doccat.operators.store import commits, read_current, versions, write_version
-from doccat.operators.upsert import empty_catalog, upsert
+from doccat.operators.store import BUCKETS, bucket_of, latest, newest_first, read_buckets, write_buckets
+from doccat.operators.upsert import prepare_batch, upsert
 
 
 def stream_id(spark: SparkSession, checkpoint_location: str) -> str:
@@ -34,21 +36,32 @@ def stream_id(spark: SparkSession, checkpoint_location: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint_location}/metadata").first()[0])["id"]
 
 
-def apply_runs(spark: SparkSession, batch: DataFrame, catalog_root: str, stream: str, batch_id: int) -> None:
+def applied_runs(spark: SparkSession, catalog_root: str, stream: str, batch_id: int) -> set[str]:
+    """Runs of this micro-batch that are committed already; its records are the newest, so few are opened."""
+    done = set()
+    for _, record in newest_first(spark, catalog_root):
+        note = record["note"]
+        if note.get("stream") != stream or note.get("batch") != batch_id:
+            break
+        done.add(note.get("run"))
+    return done
+
+
+def apply_runs(spark: SparkSession, batch: DataFrame, catalog_root: str, stream: str, batch_id: int, buckets: int = BUCKETS) -> None:
     """Fold every run of ``batch`` (column ``run_ts``) into the catalog in run order, a version per run."""
     runs = [str(r[0]) for r in batch.select("run_ts").distinct().orderBy("run_ts").collect()]  # one row per run
-    done = {(n["note"].get("stream"), n["note"].get("batch"), n["note"].get("run")) for n in commits(spark, catalog_root).values()}
+    done = applied_runs(spark, catalog_root, stream, batch_id)
     for ts in runs:
-        if (stream, batch_id, ts) in done:
+        if ts in done:
             continue  # replay of a committed run
-        current = read_current(spark, catalog_root, CATALOG_SCHEMA)
-        if current is None:
-            current = empty_catalog(spark)
+        version, record = latest(spark, catalog_root)
+        buckets = record.get("buckets", buckets)
         stamp = F.lit(ts).cast("timestamp_ntz")
-        # Up to so many ids in the run, untouched catalog rows skip the shuffle.
-        new = upsert(current, batch.filter(F.col("run_ts") == stamp).drop("run_ts"), stamp, broadcast_ids_limit=2_000_000)
-        version = max(versions(spark, catalog_root), default=0) + 1
-        write_version(new, catalog_root, version, note={"stream": stream, "batch": batch_id, "run": ts})
+        rows = prepare_batch(batch.filter(F.col("run_ts") == stamp).drop("run_ts"))
+        touched = sorted(r[0] for r in rows.select(bucket_of(F.col("id"), buckets)).distinct().collect())  # at most ``buckets``
+        current = read_buckets(spark, catalog_root, record, CATALOG_SCHEMA, touched)
+        write_buckets(upsert(current, rows, stamp), catalog_root, version + 1, record, touched, buckets,
+                      F.col("last_seen_at") == stamp, note={"stream": stream, "batch": batch_id, "run": ts})
 
 
 def stream_upsert(spark: SparkSession, landing_dir: str, schema: StructType, catalog_root: str,

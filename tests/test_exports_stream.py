@@ -102,7 +102,61 @@ def test_large_csv_equals_multi_line_reader(spark):
             assert got.columns == want.columns == ["name", "text", "n"]
             if size != "128MB":
                 assert spark.read.option("lineSep", "\n").text(f"{base}/a.csv").rdd.getNumPartitions() > 8
-            assert rows(got) == rows(want) and len(rows(want)) == 405
+            assert rows(got) == rows(want) and len(rows(want)) == 406
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_a_run_rewrites_only_the_buckets_it_touches(spark):
+    import glob
+
+    from doccat.operators import store
+    from doccat.operators.catalog_schema import CATALOG_SCHEMA
+    from doccat.operators.upsert import empty_catalog, to_catalog_batch, upsert
+    from doccat.streaming.upsert_stream import apply_runs
+    base = tempfile.mkdtemp(prefix="doccat-buckets-")
+
+    def run(ids, ts, mark):
+        made = spark.createDataFrame([(f"id{i}", f"T{i}", "FDA", "US", "unknown", f"{mark}{i % 5}") for i in ids],
+                                     "id string, title string, agency string, jurisdiction string, status_normalized string, summary string")
+        for f in CATALOG_SCHEMA.fields:
+            if f.name not in made.columns and f.name not in ("content_hash", "first_seen_at", "last_seen_at", "change_type"):
+                made = made.withColumn(f.name, F.lit(False if f.name == "needs_manual_review" else None).cast(f.dataType))
+        return to_catalog_batch(made.withColumn("ord", F.lit(1))).withColumn("run_ts", F.lit(ts).cast("timestamp_ntz"))
+
+    of = {r[0]: r[1] for r in spark.range(2000).select("id", store.bucket_of(F.concat(F.lit("id"), F.col("id").cast("string")), 100)).collect()}
+    hit = [i for i, b in of.items() if b == of[7]]
+    steps = [(range(2000), "2024-01-01 00:00:00", "a"), (hit[:5], "2024-01-02 00:00:00", "b"), (hit[:2], "2024-01-03 00:00:00", "b"),
+             ([3000], "2024-01-04 00:00:00", "c"), (range(0, 2000, 2), "2024-01-05 00:00:00", "a")]
+    want = empty_catalog(spark)
+    for n, (ids, ts, mark) in enumerate(steps):
+        apply_runs(spark, run(ids, ts, mark), f"{base}/c", "s", n, buckets=100)
+        want = spark.createDataFrame(upsert(want, run(ids, ts, mark).drop("run_ts"), F.lit(ts).cast("timestamp_ntz")).collect(), CATALOG_SCHEMA)
+        apply_runs(spark, run(ids, ts, mark), f"{base}/c", "s", n, buckets=100)  # a replay commits nothing
+    assert store.versions(spark, f"{base}/c") == [1, 2, 3, 4, 5]
+
+    def files(version):
+        return len(glob.glob(f"{base}/c/data/{version}-*/*/*.parquet"))
+
+    assert files(1) == 100 and files(2) == files(3) == files(4) == 1 and files(5) == 100
+    assert rows(store.read_current(spark, f"{base}/c", CATALOG_SCHEMA)) == rows(want)
+    log = store.change_log(spark, f"{base}/c", CATALOG_SCHEMA)
+    assert rows(store.fold_log(log), *want.columns) == rows(want)
+    assert {(r.version, r.change_type): r.n for r in log.groupBy("version", "change_type").agg(F.count("*").alias("n")).collect()} == {
+        (1, "new"): 2000, (2, "updated"): 5, (3, "unchanged"): 2, (4, "new"): 1,
+        (5, "updated"): sum(i % 2 == 0 for i in hit[:5]), (5, "unchanged"): 1000 - sum(i % 2 == 0 for i in hit[:5])}
+
+
+def test_unfinished_commit_does_not_count(spark):
+    import os
+
+    from doccat.operators import store
+    base = tempfile.mkdtemp(prefix="doccat-commit-")
+    store.write_version(spark.range(3).withColumn("agency", F.lit("X")), base, 1)
+    with open(f"{base}/commits/2.json", "w") as f:
+        f.write('{"folder": "data/2')
+    assert store.versions(spark, base) == [1] and read_current(spark, base).count() == 3
+    os.remove(f"{base}/commits/.2.json.crc") if os.path.exists(f"{base}/commits/.2.json.crc") else None
+    store.write_version(spark.range(4).withColumn("agency", F.lit("X")), base, 2)
+    assert store.versions(spark, base) == [1, 2] and read_current(spark, base).count() == 4

@@ -20,9 +20,12 @@ symmetric difference is at most (|A| + |B|) / 7.
 Large groups of copies: a joined block links its members to its smallest set (a star, linear in the
 members).  Components of the verified links then say which members are still apart, and in every
 block all members of different components are compared, whatever the block's size: its members are
-dealt into chunks of about ``TILE``, each pair of chunks is one tile, and a tile's sketches are
-compared as arrays, so that only pairs the sketches cannot rule out become rows.  A tile dense with
-those first gives a spanning forest of them; passes repeat until each tile has given all of its pairs.
+dealt into chunks bounded in members and bytes, each pair of chunks is one tile, and a tile's sketches
+are compared as arrays.  A tile returns a spanning forest of the pairs that the sketches cannot rule
+out, never more rows than it has components; these are verified, components are contracted, and the
+few tiles that still have untried pairs after ``FOREST_PASSES`` are settled: the whole sets of the
+members concerned are brought into the tile, all its pairs are verified there, and again only a
+spanning forest, now of links, leaves it.
 """
 
 from __future__ import annotations
@@ -40,11 +43,9 @@ from doccat.llm.components import connected_components
 SHINGLE = 5
 #: Blocks joined per class and group.
 BLOCKS = 40
-#: Members of a chunk; the pairs of two chunks of a block are compared in one task.
-TILE = 512
-#: Close pairs per member of a tile beyond which it gives a spanning forest of them first.
-DENSE = 4
-#: Passes that may give forests; the next one gives every close pair.
+#: Members and bytes of whole sets of a chunk; the pairs of two chunks of a block are compared in one task.
+TILE, TILE_BYTES = 512, 8 << 20
+#: Passes that verify forests of candidates before the tiles still open are settled on whole sets.
 FOREST_PASSES = 3
 #: Classes to verify up to which their ids are broadcast to the texts (16 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -196,88 +197,144 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return np.stack(same).view(np.uint64)
 
 
-def tile_pairs(uid: np.ndarray, n: np.ndarray, root: np.ndarray, second: np.ndarray, sketches: list[bytes], cross: bool, forest: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs (a, b) of a tile's members in different components that size and sketch distance do not
-    rule out, and whether these are all of them; with ``cross`` only pairs of the two chunks."""
+class Forest:
+    """Components of a tile's members, joined pair by pair."""
+
+    def __init__(self, roots: np.ndarray):
+        self.parent = {r: r for r in roots.tolist()}
+
+    def find(self, r: int) -> int:
+        while self.parent[r] != r:
+            self.parent[r] = self.parent[self.parent[r]]
+            r = self.parent[r]
+        return r
+
+    def join(self, p: int, q: int) -> bool:
+        p, q = self.find(p), self.find(q)
+        self.parent[p] = q
+        return p != q
+
+
+def near_in_tile(n: np.ndarray, root: np.ndarray, second: np.ndarray, sketches: list[bytes], cross: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(member, others, sketch distances) of the pairs in different components that size and sketch distance do
+    not rule out, each pair once; with ``cross`` only pairs of the two chunks."""
     words = _folded(sketches)
-    left, right, gaps = [], [], []
-    rows = np.flatnonzero(~second) if cross else np.arange(len(uid))
     others = np.flatnonzero(second)
-    for i in rows.tolist():
-        to = others if cross else np.arange(i + 1, len(uid))
+    for i in (np.flatnonzero(~second) if cross else np.arange(len(n))).tolist():
+        to = others if cross else np.arange(i + 1, len(n))
         to = to[(root[to] != root[i]) & (4 * np.minimum(n[to], n[i]) >= 3 * np.maximum(n[to], n[i]))]
-        if not len(to):
-            continue
-        gap = np.bitwise_count(words[to] ^ words[i]).sum(1, dtype=np.int64)
-        near = 7 * gap <= n[to] + n[i]
-        left.append(np.full(int(near.sum()), i))
-        right.append(to[near])
-        gaps.append(gap[near])
-    if not left:
+        if len(to):
+            gap = np.bitwise_count(words[to] ^ words[i]).sum(1, dtype=np.int64)
+            near = 7 * gap <= n[to] + n[i]
+            if near.any():
+                yield i, to[near], gap[near]
+
+
+def candidate_forest(uid: np.ndarray, root: np.ndarray, near: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """A spanning forest of a tile's near pairs, closest sketches first, and whether these are all of them."""
+    if not near:
         return uid[:0], uid[:0], True
-    x, y = np.concatenate(left), np.concatenate(right)
-    whole = not forest or len(x) <= DENSE * len(uid)
-    if not whole:
-        parent = {r: r for r in root.tolist()}
-
-        def find(r: int) -> int:
-            while parent[r] != r:
-                parent[r] = parent[parent[r]]
-                r = parent[r]
-            return r
-
-        keep = []
-        for k in np.argsort(np.concatenate(gaps), kind="stable").tolist():
-            p, q = find(int(root[x[k]])), find(int(root[y[k]]))
-            if p != q:
-                parent[p] = q
-                keep.append(k)
-        x, y = x[keep], y[keep]
-    return np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y]), whole
-
-
-def _apart(rows: DataFrame, roots: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
-    """``a, b, whole``: close pairs of different components in every block, tile by tile; ``whole`` is
-    false for the pairs of a tile that has more."""
+    x = np.concatenate([np.full(len(to), i) for i, to, _ in near])
+    y, gaps = np.concatenate([to for _, to, _ in near]), np.concatenate([g for _, _, g in near])
+    forest = Forest(root)
+    keep = [k for k in np.argsort(gaps, kind="stable").tolist() if forest.join(int(root[x[k]]), int(root[y[k]]))]
+    return np.minimum(uid[x[keep]], uid[y[keep]]), np.maximum(uid[x[keep]], uid[y[keep]]), len(keep) == len(x)
+
+
+def link_forest(uid: np.ndarray, n: np.ndarray, root: np.ndarray, second: np.ndarray, sets: list[bytes], cross: bool) -> tuple[list[int], list[int]]:
+    """A spanning forest of a tile's links: every near pair of different components is verified on whole sets,
+    unless links found before join its components."""
+    whole = [np.frombuffer(x, np.uint64) for x in sets]
+    forest, a, b = Forest(root), [], []
+    for i, to, _ in near_in_tile(n, root, second, [parity_sketch(x) for x in whole], cross):
+        for j in to.tolist():
+            p, q = int(root[i]), int(root[j])
+            if forest.find(p) == forest.find(q):
+                continue
+            both = len(np.intersect1d(whole[i], whole[j], assume_unique=True))
+            if 100 * both >= 75 * (len(whole[i]) + len(whole[j]) - both):
+                forest.join(p, q)
+                a.append(int(min(uid[i], uid[j])))
+                b.append(int(max(uid[i], uid[j])))
+    return a, b
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work(table)`` of each run of rows with equal (key, t1, t2)."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        marks = np.stack([b.column(c).to_numpy() for c in ("key", "t1", "t2")], axis=1)
+        ends = [*(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        lo = 0
+        for hi in ends:
+            mark = tuple(marks[lo].tolist())
+            if held and mark != at:
+                yield work(pa.Table.from_batches(held))
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            at, lo = mark, hi
+    if held:
+        yield work(pa.Table.from_batches(held))
+
+
+def _tiles(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, t1, t2, second, uid, n, root``: the members of every block with several components, dealt to tiles."""
     placed = rows.select("key", "uid", "n").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
-    parts = F.ceil(F.col("members") / TILE)
+    spread = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"),
+                                       F.sum("n").alias("size")).filter("lo <> hi")
+    parts = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("size") * 8 / TILE_BYTES))
     few = placed.join(spread, "key").select("key", "uid", "n", "root", parts.alias("parts"), F.expr("pmod(xxhash64(uid), parts)").alias("part"))
-    dealt = few.join(classes.select("uid", "sketch"), "uid").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("part", "with").alias("t1"), F.greatest("part", "with").alias("t2"), (F.col("part") > F.col("with")).alias("second"), "uid", "n", "root", "sketch")
-    tiles = dealt.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    dealt = few.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return dealt.select("key", F.least("part", "with").alias("t1"), F.greatest("part", "with").alias("t2"), (F.col("part") > F.col("with")).alias("second"), "uid", "n", "root")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tile(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            uid, n, root, second = (t[c].to_numpy() for c in ("uid", "n", "root", "second"))
-            a, b, whole = tile_pairs(uid, n, root, second, t["sketch"].to_pylist(), t["t1"][0] != t["t2"][0], forest)
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), whole))], names=["a", "b", "whole"])
-
-        held: list[pa.RecordBatch] = []
-        at = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            marks = np.stack([b.column(c).to_numpy() for c in ("key", "t1", "t2")], axis=1)
-            ends = [*(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), b.num_rows]
-            lo = 0
-            for hi in ends:
-                mark = tuple(marks[lo].tolist())
-                if held and mark != at:
-                    yield tile(held)
-                    held = []
-                held.append(b.slice(lo, hi - lo))
-                at, lo = mark, hi
-        if held:
-            yield tile(held)
-
-    return tiles.mapInArrow(run, "a long, b long, whole boolean")
 
+def _apart(rows: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b, whole, key, t1, t2``: of each tile a forest of its near pairs; ``whole`` if there are no others."""
+    tiles = _tiles(rows, roots).join(classes.select("uid", "sketch"), "uid").repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose whole sets link."""
-    needed = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct().join(classes.select("uid", "cls", "rep"), "uid")
+    def tile(t: pa.Table) -> pa.RecordBatch:
+        uid, n, root, second = (t[c].to_numpy() for c in ("uid", "n", "root", "second"))
+        marks = [t[c][0].as_py() for c in ("key", "t1", "t2")]
+        a, b, whole = candidate_forest(uid, root, list(near_in_tile(n, root, second, t["sketch"].to_pylist(), marks[1] != marks[2])))
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), whole)),
+                                *[pa.array(np.full(len(a), m), pa.int64()) for m in marks]], names=["a", "b", "whole", "key", "t1", "t2"])
+
+    return tiles.mapInArrow(lambda batches: _by_tile(batches, tile), "a long, b long, whole boolean, key long, t1 long, t2 long")
+
+
+def _settled(rows: DataFrame, roots: DataFrame, classes: DataFrame, still: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join all linked components in the tiles ``still`` (key, t1, t2)."""
+    tiles = _tiles(rows, roots).join(still, ["key", "t1", "t2"], "left_semi").join(classes.select("uid", "sketch"), "uid")
+    tiles = tiles.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+
+    def concerned(t: pa.Table) -> pa.RecordBatch:
+        n, root, second = (t[c].to_numpy() for c in ("n", "root", "second"))
+        hit = np.zeros(len(n), dtype=bool)
+        for i, to, _ in near_in_tile(n, root, second, t["sketch"].to_pylist(), t["t1"][0] != t["t2"][0]):
+            hit[i] = hit[to] = True
+        kept = t.drop_columns("sketch").filter(pa.array(hit)).combine_chunks()
+        return pa.record_batch([kept[c].combine_chunks() for c in kept.column_names], schema=kept.schema)
+
+    few = tiles.select("key", "t1", "t2", "second", "uid", "n", "root", "sketch").mapInArrow(
+        lambda batches: _by_tile(batches, concerned), "key long, t1 long, t2 long, second boolean, uid long, n long, root long")
+    few = materialize(few, "concerned")
+    sets = _sets(few.select("uid").distinct(), classes, docs, id_col, text_col)
+    whole = few.join(sets, "uid").repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        uid, n, root, second = (t[c].to_numpy() for c in ("uid", "n", "root", "second"))
+        a, b = link_forest(uid, n, root, second, t["shingles"].to_pylist(), t["t1"][0] != t["t2"][0])
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return whole.mapInArrow(lambda batches: _by_tile(batches, links), "a long, b long")
+
+
+def _sets(uids: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``uid, shingles``: the whole sets of the classes ``uids``, a written table."""
+    needed = uids.join(classes.select("uid", "cls", "rep"), "uid")
     needed = materialize(needed, "needed").select("uid", "cls", F.col("rep").alias("doc_id"))
     small = needed.count() <= BROADCAST_ROWS
     lean = _lean(docs, id_col, text_col)
@@ -294,6 +351,12 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
                 yield pa.record_batch([part.column("uid"), pa.array(sets, pa.binary())], names=["uid", "shingles"]).filter(pa.array(same, pa.bool_()))
 
     sets = materialize(picked.mapInArrow(sets_of, "uid long, shingles binary").dropDuplicates(["uid"]), "sets")
+    return sets
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose whole sets link."""
+    sets = _sets(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct(), classes, docs, id_col, text_col)
     left = sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb"))
 
@@ -314,6 +377,17 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, t
     return materialize(_verify(close, classes, docs, id_col, text_col), "links")
 
 
+def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after the links ``found`` have joined components."""
+    root_of = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    for side in ("a", "b"):
+        found = found.join(root_of, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_r", side)).drop("_n", "_r")
+    joined = connected_components(found)
+    known = roots.join(joined.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("root") == F.col("_n"), "left").select(
+        "node", F.coalesce("_r", "root").alias("root"))
+    return materialize(known.union(joined.join(roots, "node", "left_anti")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -336,26 +410,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = first.distinct()
     roots = connected_components(links)
     # Members that the stars left in other components than others of their block.
-    whole, step = False, 0
-    while not whole:
-        apart = materialize(_apart(rows, roots, classes, step < FOREST_PASSES), "apart")
-        whole = apart.filter("NOT whole").isEmpty()
+    for _ in range(FOREST_PASSES):
+        apart = materialize(_apart(rows, roots, classes), "apart")
         more = apart.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         found = _links(more, classes, docs, id_col, text_col)
-        if found.isEmpty():  # forests without a link prove nothing: give every pair next
-            step = FOREST_PASSES
-            continue
-        step += 1
-        # The new links join components: contract them by their roots.
-        root_of = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        for side in ("a", "b"):
-            found = found.join(root_of, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_r", side)).drop("_n", "_r")
-        joined = connected_components(found)
-        known = roots.join(joined.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("root") == F.col("_n"), "left").select(
-            "node", F.coalesce("_r", "root").alias("root"))
-        new = joined.join(roots, "node", "left_anti")
-        roots = materialize(known.union(new), "roots")
+        if found.isEmpty():
+            break
+        roots = _contracted(roots, found)
         tried = materialize(tried.union(more), "tried")
+    still = apart.filter("NOT whole").select("key", "t1", "t2").distinct()
+    if not still.isEmpty():
+        roots = _contracted(roots, materialize(_settled(rows, roots, classes, still, docs, id_col, text_col), "settled"))
     roots = roots.withColumnRenamed("node", "uid")
     owned = classes.select("uid", "cls", "rep").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     name = owned.groupBy("root").agg(F.min("rep").alias("component_id"))

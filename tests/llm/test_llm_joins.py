@@ -135,11 +135,34 @@ def test_tiles_give_all_close_pairs():
     for cross in (False, True):
         want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if root[i] != root[j] and (not cross or second[i] != second[j])
                 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-        a, b, whole = parity_join.tile_pairs(uid, n, root, second, sketches, cross, False)
-        assert whole and want and want <= set(zip(a.tolist(), b.tolist()))
-        x, y, part = parity_join.tile_pairs(uid, n, root, second, sketches, cross, True)
-        assert set(zip(x.tolist(), y.tolist())) <= set(zip(a.tolist(), b.tolist()))
-        assert part == (len(a) <= parity_join.DENSE * len(uid))
+        near = list(parity_join.near_in_tile(n, root, second, sketches, cross))
+        pairs = {(min(i, j), max(i, j)) for i, to, _ in near for j in to.tolist()}
+        assert want and want <= pairs and len(pairs) == sum(len(to) for _, to, _ in near)
+        a, b, whole = parity_join.candidate_forest(uid, root, near)
+        assert set(zip(a.tolist(), b.tolist())) <= pairs and len(a) < len(set(root.tolist())) and whole == (len(a) == len(pairs))
+        links = set(zip(*parity_join.link_forest(uid, n, root, second, [s.tobytes() for s in sets], cross)))
+        assert links <= want and len(links) < len(set(root.tolist()))
+        assert _classes(links, root) == _classes(want, root)
+
+
+def _classes(pairs, root):
+    forest = parity_join.Forest(root)
+    for i, j in pairs:
+        forest.join(int(root[i]), int(root[j]))
+    return [[forest.find(int(p)) == forest.find(int(q)) for q in root] for p in root]
+
+
+def test_dense_blocks_without_links_are_settled(spark, monkeypatch):
+    """Many texts whose sketches are near each other though few link: every link is found, in few rows."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(_scattered(rng, base, 5 + i % 3, f"v{i}"))) for i in range(120)]
+    rows += [(200 + i, rows[i][1].replace(f"v{i}", f"u{i}", 1)) for i in range(0, 120, 3)]
+    monkeypatch.setattr(parity_join, "TILE", 40)
+    monkeypatch.setattr(parity_join, "FOREST_PASSES", 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in parity_join.near_duplicates(docs).collect()), key=repr)
+    assert got == _components(rows)
 
 
 def test_near_duplicates_of_nothing(spark):

@@ -8,13 +8,15 @@ Cut points are exact for the two public vocabularies, whose pre-tokenizers alway
 * word BPE: at spaces, line feeds and tabs (white space is dropped and separates words).
 
 A new chunk that is one word of Latin letters goes to the library's model directly, mapped to byte
-characters; a stop or comma behind it is a pre-token, and chunk, of its own.  Any other chunk goes
-through the whole tokenizer.  The cache holds a bounded number of chunks and
-never changes results.
+characters; a stop or comma behind it is a pre-token, and chunk, of its own.  Other chunks of printable
+ASCII are cut by the vocabulary's own pre-token pattern, whose pieces are short and mostly known; they are
+kept for their batch only, as such strings seldom return.  Any other chunk goes through the whole tokenizer.
+The cache is bounded and dropped at the end of a task (``forget``); it never changes results.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -23,13 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Chunks kept per Python worker and encoder, characters encoded at a time, chunks per library call.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 BATCH_CHARS = 2_000_000
 CALL = 2000
 _MARK = "\x1f"
 _RUN = re.compile(r"\s\s")
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
+_ASCII = re.compile(r" ?[!-;=-~]+")  # no '<', which may begin a special token
+#: FIXED VALUE: the pre-token pattern of byte-level BPE, for ASCII.
+_BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+"
 _ENCODERS: dict[tuple[str, str], "ChunkEncoder"] = {}
 #: Byte-level BPE writes bytes as characters: printable Latin-1 stands for itself, the rest follows
 #: from 256 on, in order.
@@ -61,44 +66,63 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.lower = kind == "word"
+        self.pieces = re.compile(self._word_pieces(path) if self.lower else _BYTE_PIECES).findall
         self.chunks = CHUNKERS[kind]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.cache: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def _word_pieces(path: str) -> str:
+        """The pre-token pattern that the vocabulary file holds, with its letter and number classes for lower-case ASCII."""
+        with open(path, encoding="utf-8") as f:
+            cutter = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+        return cutter["pattern"]["Regex"].replace("\\p{L}", "a-z").replace("\\p{N}", "0-9")
+
+    def forget(self) -> None:
+        self.cache = {"": b""}
+
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token of Latin letters, with or without a space before it."""
         text = word.lower() if self.lower else word
         text = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARS)
         return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        cache, match, others = self.cache, _WORD.fullmatch, []
+    def _learn(self, missing: list[str]) -> list[str]:
+        """Add the chunks to the cache; returns those to drop after the batch."""
+        cache, word, ascii_, others, brief = self.cache, _WORD.fullmatch, _ASCII.fullmatch, [], []
         for chunk in missing:
-            if not match(chunk):
+            if word(chunk):
+                parts = [chunk[:-1], chunk[-1]] if chunk[-1] in ".," else [chunk]
+            elif ascii_(chunk):
+                parts = self.pieces(chunk.lower() if self.lower else chunk)
+                brief.append(chunk)
+            else:
                 others.append(chunk)
-            elif chunk[-1] in ".,":
-                word, stop = chunk[:-1], chunk[-1]
-                for part in (word, stop):
-                    if part not in cache:
-                        cache[part] = self._word(part)
-                cache[chunk] = cache[word] + cache[stop]
-            elif chunk not in cache:
-                cache[chunk] = self._word(chunk)
+                continue
+            for part in parts:
+                if part not in cache:
+                    cache[part] = self._word(part)
+            if chunk not in cache:
+                cache[chunk] = b"".join([cache[part] for part in parts])
         for lo in range(0, len(others), CALL):
             part = others[lo:lo + CALL]
             for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 cache[chunk] = np.array(enc.ids, dtype=self.dtype).tobytes()
+        return brief + others
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.chunks(t) for t in texts]
         distinct = set().union(*cut)
-        if len(self.cache) + len(distinct) > CACHE_ENTRIES:
-            self.cache = {k: v for k, v in self.cache.items() if k in distinct}
-            self.cache[""] = b""
-        self._learn(list(distinct.difference(self.cache)))
+        if len(self.cache) > CACHE_ENTRIES:
+            self.forget()
+        brief = self._learn(list(distinct.difference(self.cache)))
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), dtype=self.dtype) for c in cut]
+        out = [np.frombuffer(b"".join(map(get, c)), dtype=self.dtype) for c in cut]
+        for chunk in brief:
+            self.cache.pop(chunk, None)
+        self.cache[""] = b""
+        return out
 
 
 def encoder(path: str, kind: str) -> ChunkEncoder:

@@ -195,6 +195,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, kind: str =
                     held += len(ids[-1])
                     if held >= shard_ids:
                         yield close()
+        enc.forget()
         if ids:
             yield close()
 

@@ -23,6 +23,8 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept per Python worker and encoder, characters encoded at a time, chunks per library call.
 CACHE_ENTRIES = 200_000
@@ -30,6 +32,8 @@ BATCH_CHARS = 2_000_000
 CALL = 2000
 _MARK = "\x1f"
 _RUN = re.compile(r"\s\s")
+#: The same and the mark itself, for Arrow: all of Python's white space.
+_ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|\x1f"
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 _ASCII = re.compile(r" ?[!-;=-~]+")  # no '<', which may begin a special token
@@ -111,18 +115,40 @@ class ChunkEncoder:
                 cache[chunk] = np.array(enc.ids, dtype=self.dtype).tobytes()
         return brief + others
 
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All chunks of the texts in order, and where each text's chunks begin and end among them."""
+        arr = pa.array(texts, pa.large_string())
+        if self.lower:
+            arr = pc.replace_substring_regex(arr, "[\n\t]", " ")
+            cut = pc.split_pattern(arr, " ")
+        elif pc.any(pc.match_substring_regex(arr, _ODD)).as_py():
+            cut = pa.array([self.chunks(t) for t in texts], pa.large_list(pa.large_string()))
+        else:
+            arr = pc.replace_substring(pc.replace_substring(arr, " ", _MARK + " "), "\n", _MARK + "\n" + _MARK)
+            cut = pc.split_pattern(arr, _MARK)
+        offsets = cut.offsets.to_numpy()
+        return cut.flatten(), offsets - offsets[0]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.chunks(t) for t in texts]
-        distinct = set().union(*cut)
+        """Chunks are cut and numbered in Arrow; ids are looked up once per distinct chunk and gathered by offsets."""
+        if not texts:
+            return []
+        chunks, bounds = self._cut(texts)
+        coded = chunks.dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.cache) > CACHE_ENTRIES:
             self.forget()
-        brief = self._learn(list(distinct.difference(self.cache)))
-        get = self.cache.__getitem__
-        out = [np.frombuffer(b"".join(map(get, c)), dtype=self.dtype) for c in cut]
+        brief = self._learn([c for c in distinct if c not in self.cache])
+        found = list(map(self.cache.__getitem__, distinct))
+        flat = np.frombuffer(b"".join(found), dtype=self.dtype)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
+        starts, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])]
         for chunk in brief:
             self.cache.pop(chunk, None)
         self.cache[""] = b""
-        return out
+        return [ids[lo:hi] for lo, hi in zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist())]
 
 
 def encoder(path: str, kind: str) -> ChunkEncoder:

@@ -43,3 +43,20 @@ def test_stages_on_odd_rows(spark):
         ids = [r.doc_id for r in docs.collect()]
         assert ids.count(3) == (1 if table else 0)
         corpus_pipeline.pack(spark, docs, "").collect()
+
+
+CLASHES = ["words", "_at", "_lines", "_windows", "_pairs", "kept", "n_words", "_copy", "copy", "lang_pred", "lang_rejected", "_blob", "blob", "spans", "_spans",
+           "rejected_by", "cls", "component_id", "a.b"]
+
+
+def test_stages_pass_clashing_columns_through(spark):
+    clean = [" ".join(f"alpha{chr(97 + (i * k) % 26)}{chr(97 + i // 26)} beta" for i in range(60)) for k in (1, 3, 5)]
+    rows = [(i, t, "en", "s", len(t), *[f"{c}-{i}" for c in CLASHES]) for i, t in enumerate(clean + ["password=abcdefgh " + clean[0][::-1]])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), schema)
+        got = docs.collect()
+        assert got and docs.columns[5:] == CLASHES, name
+        for r in got:
+            assert [r[c] for c in CLASHES] == [f"{c}-{r.doc_id}" for c in CLASHES], name

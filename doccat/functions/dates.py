@@ -7,7 +7,7 @@ text of its own shape (Spark's lenient year widths would otherwise accept
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from doccat.functions.rules import (
@@ -46,6 +46,44 @@ def parse_date_day_first(c: Column) -> Column:
     return parse_date_chain(c, DAY_FIRST_CHAIN)
 
 
+#: Orders of the formats that ``normalize_dates`` knows by name.
+CHAINS = {"month_first": CATALOG_DATE_CHAIN, "day_first": DAY_FIRST_CHAIN}
+
+
+def date_format(c: Column, chain: list[str]) -> Column:
+    """Name of the first format of ``chain`` that parses the text; 'empty' or 'rejected' where none does."""
+    x = clean_text(c)
+    named = F.coalesce(*[F.when(_branch(x, name).isNotNull(), F.lit(name)) for name in chain])
+    return F.coalesce(named, F.when(x == "", F.lit("empty")).otherwise(F.lit("rejected")))
+
+
+def normalize_dates(df: DataFrame, spec: dict[str, str], observation: Observation | None = None) -> DataFrame:
+    """``df`` with ``<column>_date`` and ``<column>_format`` for every column of ``spec`` (column: name in ``CHAINS``).
+
+    With an ``observation``, whatever action runs the frame also counts, per column, texts parsed and rejected
+    (``<column>_parsed``, ``<column>_rejected``): no pass of its own.
+    """
+    for name, order in spec.items():
+        chain = CHAINS[order]
+        df = df.withColumn(f"{name}_date", parse_date_chain(F.col(name), chain)).withColumn(f"{name}_format", date_format(F.col(name), chain))
+    if observation is None:
+        return df
+    return df.observe(observation, *[m for name in spec for m in (
+        F.count_if(F.col(f"{name}_date").isNotNull()).alias(f"{name}_parsed"),
+        F.count_if(F.col(f"{name}_format") == "rejected").alias(f"{name}_rejected"))])
+
+
+def format_counts(dated: DataFrame, name: str) -> DataFrame:
+    """Per format of a column of ``normalize_dates``: ``format, n, first_date, last_date``."""
+    return dated.groupBy(F.col(f"{name}_format").alias("format")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(f"{name}_date").alias("first_date"), F.max(f"{name}_date").alias("last_date"))
+
+
+def quarantined(dated: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of ``normalize_dates`` in which some column's text was rejected."""
+    return dated.filter(F.greatest(F.lit(False), *[F.col(f"{n}_format") == "rejected" for n in names]))
+
+
 ISO_DATETIME_OFFSET = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 

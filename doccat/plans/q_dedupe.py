@@ -88,26 +88,30 @@ def overlap_union(spark, sf_dir):
 
 
 #: The page that the PMDA frame is read from.
-PMDA_SOURCE_PAGE = "https://www.pmda.go.jp/english/review-services/regulatory-info/0016.html"
-
-
 @register("union_agencies", lambda: S.with_catalog(
     "SELECT agency, count(*) AS n_rows, 'ok' AS status FROM catalog WHERE agency <> 'PMDA' GROUP BY ALL "
-    "UNION ALL SELECT 'PMDA', 0, 'failed: required source page missing'"))
+    "UNION ALL SELECT 'PMDA', 0, 'failed: missing required source page: https://missing.example.org/config'"))
 def union_agencies(spark, sf_dir):
     """Per-agency frames unioned; one failing agency is reported, not fatal.
 
-    The PMDA frame needs its configured source page among the landed pages; where
-    that is missing it fails at plan time, and the union goes on without it.
+    PMDA reads its configured source pages (S9); one of them has not landed, so its reader raises, and the
+    union goes on without it.
     """
-    landed = table(spark, sf_dir, "pages").filter(F.col("url") == PMDA_SOURCE_PAGE)
+    from doccat.plans.q_html import pmda_inputs
+    from doccat.operators.pmda import pmda_documents
+
     c = catalog(spark, sf_dir)
+
+    def pmda():
+        landed, sources = pmda_inputs(spark, sf_dir)
+        lost = spark.createDataFrame([(-1, "https://missing.example.org/config", "Area", None, None)], sources.schema)
+        return pmda_documents(landed, sources.unionByName(lost)).select("agency")
+
+    readers = {a: (lambda a=a: c.filter(F.col("agency") == a).select("agency")) for a in AGENCIES} | {"PMDA": pmda}
     frames, status = [], []
     for a in AGENCIES:
         try:
-            if a == "PMDA" and landed.isEmpty():
-                raise ValueError("required source page missing")
-            frames.append(c.filter(F.col("agency") == a))
+            frames.append(readers[a]())
             status.append((a, "ok"))
         except ValueError as exc:
             status.append((a, f"failed: {exc}"))

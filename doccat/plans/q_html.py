@@ -506,6 +506,15 @@ def _pmda_pages(p):
     return p.select("page_id", "url", html.alias("html"))
 
 
+def pmda_inputs(spark, sf_dir):
+    """Landed sectioned pages (url, html) and the sources configured for them."""
+    p = _pmda_pages(pages(spark, sf_dir))
+    src = p.select(F.col("page_id").alias("src_ord"), "url", F.lit("Area").alias("product_area"),
+                   F.when(F.col("page_id") % 2 == 1, F.array(F.concat(F.lit("Section "), (F.col("page_id") % 3).cast("string"))))
+                   .alias("allowed_sections"), F.lit(None).cast("string").alias("required_parent"))
+    return p.select("url", "html"), src
+
+
 @register("pmda_page_documents", lambda: f"""SELECT page_id AS src_ord, 'Guidance ' || CAST(page_id AS VARCHAR) AS title,
   'https://www.pmda.go.jp/files/' || CAST(page_id AS VARCHAR) || '.pdf' AS document_url,
   DATE '2024-03-01' + CAST(page_id % 28 AS INTEGER) AS published_date, 'Notice' AS status_raw, 'final' AS status_normalized,
@@ -518,10 +527,6 @@ def pmda_page_documents(spark, sf_dir):
     Every page is a configured source; odd pages only allow 'Section k' h4s.
     """
     from doccat.operators.pmda import pmda_documents
-    p = _pmda_pages(pages(spark, sf_dir))
-    src = p.select(F.col("page_id").alias("src_ord"), "url", F.lit("Area").alias("product_area"),
-                   F.when(F.col("page_id") % 2 == 1, F.array(F.concat(F.lit("Section "), (F.col("page_id") % 3).cast("string"))))
-                   .alias("allowed_sections"), F.lit(None).cast("string").alias("required_parent"))
-    d = pmda_documents(p.select("url", "html"), src)
+    d = pmda_documents(*pmda_inputs(spark, sf_dir))
     return d.select(F.col("page_id").alias("src_ord"), "title", "document_url", "published_date", "status_raw",
                     "status_normalized", "topic_raw", "reference_number")

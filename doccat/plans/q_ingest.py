@@ -415,10 +415,7 @@ def landed_ich_trees(spark, sf_dir):
 @register("tree_walk_guidelines", lambda: _sql_ich())
 def tree_walk_guidelines(spark, sf_dir):
     """S5 + W7 + A8 + F24 + F6: every guideline object at any depth of each page -> ICH catalog rows."""
-    trees = landed_ich_trees(spark, sf_dir)
-    page = F.try_variant_get(F.try_parse_json("payload"), "$.items[0]", "variant")
-    pages = trees.select("tree_id", page.alias("page")).filter(
-        F.try_variant_get("page", "$", "map<string,variant>").isNotNull())
+    pages = FD.tree_pages(landed_ich_trees(spark, sf_dir), "tree_id")
     objs = FD.walk_objects(pages, "tree_id", "page")
     rows = FD.ich_catalog(FD.ich_documents(objs, pages, "tree_id"), "tree_id", AS_OF_DATE)
     return rows.select("reference_number", "title", "document_url", "document_format", "published_date", "updated_date",

@@ -32,6 +32,7 @@ def load_all() -> None:
     from doccat.plans import (  # noqa: F401
         q_audit,
         q_catalog,
+        q_changes,
         q_dedupe,
         q_export,
         q_html,

@@ -117,6 +117,22 @@ def fda_paged_rows(pages: DataFrame, payload_col: str = "payload", strict: bool
     return p.select("start", "total", F.posexplode("data").alias("pos", "row"))
 
 
+def paged_totals(pages: DataFrame, source_col: str, payload_col: str = "payload") -> DataFrame:
+    """S2 + A7: per paged feed its declared total, landed pages, parsed rows, missing rows and the verdict.
+
+    Pages that disagree on the total, or unusable ones, are a mismatch too: nothing is passed over in silence.
+    """
+    v = F.try_parse_json(F.col(payload_col))
+    total = F.coalesce(F.nullif(F.try_variant_get(v, "$.recordsFiltered", "bigint"), F.lit(0)), F.try_variant_get(v, "$.recordsTotal", "bigint"))
+    read = pages.select(F.col(source_col).alias("source"), total.alias("total"), F.size(F.try_variant_get(v, "$.data", "array<variant>")).alias("n"))
+    sums = read.groupBy("source").agg(
+        F.max("total").alias("declared_total"), F.min("total").alias("least"), F.count(F.lit(1)).alias("pages"),
+        F.sum(F.greatest(F.coalesce("n", F.lit(0)), F.lit(0))).cast("bigint").alias("parsed"), F.count_if(F.coalesce("n", F.lit(-1)) < 0).alias("unusable"))
+    whole = (F.col("declared_total") == F.col("parsed")) & (F.col("least") == F.col("declared_total")) & (F.col("unusable") == 0)
+    return sums.select("source", "declared_total", "pages", "parsed", (F.col("declared_total") - F.col("parsed")).alias("missing"),
+                       F.when(whole, F.lit("ok")).otherwise(F.lit("mismatch")).alias("verdict"))
+
+
 def fda_static_rows(files: DataFrame, payload_col: str = "payload", file_col: str = "file", strict: bool = False) -> DataFrame:
     """Static JSON array files -> (file, pos, row); unusable files are skipped, or raise if ``strict``."""
     v = F.try_parse_json(F.col(payload_col))
@@ -334,6 +350,30 @@ def cde_items(items: DataFrame, map_col: str = "item") -> DataFrame:
 # ---------------------------------------------------------------- ICH tree
 
 
+def _tree_reason(v: Column) -> Column:
+    """Why a payload has no page: it must be JSON with an object as the first of its items."""
+    page = F.try_variant_get(v, "$.items[0]", "map<string,variant>")
+    return F.when(v.isNull(), F.lit("unreadable JSON")).when(page.isNull(), F.lit("no page at $.items[0]"))
+
+
+def tree_pages(trees: DataFrame, id_col: str, payload_col: str = "payload", strict: bool = False) -> DataFrame:
+    """(id, page) with ``page`` the first item of each payload; payloads without one are left to ``tree_rejects``,
+    or raise if ``strict``, as the source does."""
+    v = F.try_parse_json(F.coalesce(F.col(payload_col), F.lit("")))
+    reason = _tree_reason(v)
+    page = F.when(reason.isNull(), F.try_variant_get(v, "$.items[0]", "variant"))
+    if strict:
+        page = F.when(reason.isNotNull(), F.raise_error(F.concat(F.lit("tree payload: "), reason)).cast("variant")).otherwise(page)
+    return trees.select(id_col, page.alias("page")).filter(F.col("page").isNotNull())
+
+
+def tree_rejects(trees: DataFrame, payload_col: str = "payload", file_col: str = "file") -> DataFrame:
+    """Landed tree payloads without a page: (file, reason, length in characters)."""
+    p = F.coalesce(F.col(payload_col), F.lit(""))
+    out = trees.select(F.col(file_col).alias("file"), _tree_reason(F.try_parse_json(p)).alias("reason"), F.length(p).alias("length"))
+    return out.filter(F.col("reason").isNotNull())
+
+
 def _children(level: DataFrame) -> DataFrame:
     """Object / array children of the nodes of one level, with extended paths."""
     m = F.try_variant_get(F.col("node"), "$", "map<string,variant>")

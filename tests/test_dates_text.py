@@ -69,3 +69,16 @@ def test_labels_and_yes_no(spark):
     assert one(spark, yes_no, " YES ") == "Yes"
     assert one(spark, yes_no, "0") == "No"
     assert one(spark, yes_no, "Maybe") == "Maybe"
+
+
+def test_normalize_dates_counts_formats_in_the_same_pass(spark):
+    from pyspark.sql import Observation
+    texts = ["2026-06-18", "06/18/26", "18/06/2026", "June 18, 2026", "", None, "soon", "31/31/2020", " 2026-06-19 "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, raw string")
+    seen = Observation()
+    dated = D.normalize_dates(df, {"raw": "month_first"}, seen)
+    got = {r["format"]: (r["n"], r["first_date"]) for r in D.format_counts(D.normalize_dates(df, {"raw": "month_first"}), "raw").collect()}
+    day = dt.date(2026, 6, 18)
+    assert got == {"iso": (2, day), "us_short": (1, day), "eu_long": (1, day), "month_day_year": (1, day), "empty": (2, None), "rejected": (2, None)}
+    assert sorted(r["k"] for r in D.quarantined(dated, ["raw"]).collect()) == [6, 7]
+    assert seen.get == {"raw_parsed": 5, "raw_rejected": 2}

@@ -133,7 +133,7 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._chunks(t) for t in texts]
         distinct = set().union(*cut)
-        if len(self.cache) + len(distinct) > tokens.CACHE_ENTRIES:
+        if len(self.cache) + len(distinct) > CACHE_ENTRIES:
             self.cache = {k: v for k, v in self.cache.items() if k in distinct}
             self.cache[""] = b""
         self._learn(list(distinct.difference(self.cache)))
@@ -145,6 +145,8 @@ class PieceCodec:
         return text[1:] if self.norm.add_dummy_prefix and text[:1] == " " else text
 
 
+#: Chunks kept per Python worker.
+CACHE_ENTRIES = 500_000
 _CODECS: dict[str, PieceCodec] = {}
 
 

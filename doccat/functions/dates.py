@@ -50,22 +50,24 @@ def parse_date_day_first(c: Column) -> Column:
 CHAINS = {"month_first": CATALOG_DATE_CHAIN, "day_first": DAY_FIRST_CHAIN}
 
 
-def date_format(c: Column, chain: list[str]) -> Column:
-    """Name of the first format of ``chain`` that parses the text; 'empty' or 'rejected' where none does."""
-    x = clean_text(c)
-    named = F.coalesce(*[F.when(_branch(x, name).isNotNull(), F.lit(name)) for name in chain])
-    return F.coalesce(named, F.when(x == "", F.lit("empty")).otherwise(F.lit("rejected")))
-
-
 def normalize_dates(df: DataFrame, spec: dict[str, str], observation: Observation | None = None) -> DataFrame:
     """``df`` with ``<column>_date`` and ``<column>_format`` for every column of ``spec`` (column: name in ``CHAINS``).
 
+    The format is that of the first parse, 'empty' or 'rejected'.
+
     With an ``observation``, whatever action runs the frame also counts, per column, texts parsed and rejected
     (``<column>_parsed``, ``<column>_rejected``): no pass of its own.
     """
     for name, order in spec.items():
-        chain = CHAINS[order]
-        df = df.withColumn(f"{name}_date", parse_date_chain(F.col(name), chain)).withColumn(f"{name}_format", date_format(F.col(name), chain))
+        chain, text, parsed, first = CHAINS[order], f"{name} text", f"{name} parsed", f"{name} first"
+        # every format is tried once, in projections of their own, so that the generated code stays small
+        df = df.withColumn(text, clean_text(F.col(name)))
+        df = df.withColumn(parsed, F.array(*[_branch(F.col(text), f) for f in chain]))
+        df = df.withColumn(first, F.array_position(F.transform(parsed, lambda d: d.isNotNull()), F.lit(True)).cast("int"))
+        hit = F.col(first) > 0
+        df = df.withColumn(f"{name}_date", F.when(hit, F.element_at(parsed, F.col(first)))).withColumn(
+            f"{name}_format", F.when(hit, F.element_at(F.array(*[F.lit(f) for f in chain]), F.col(first))).otherwise(
+                F.when(F.col(text) == "", F.lit("empty")).otherwise(F.lit("rejected")))).drop(text, parsed, first)
     if observation is None:
         return df
     return df.observe(observation, *[m for name in spec for m in (

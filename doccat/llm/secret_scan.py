@@ -54,7 +54,7 @@ SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 def spans_of(text: Column, rule: SecretRule, kind_no: int) -> Column:
     """Spans of one rule in code points, end exclusive: the gaps between matches and the matches
-    themselves, laid end to end.  Texts without a match skip it all."""
+    themselves, laid end to end; ``kind`` holds the rule's key.  Texts without a match skip it all."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     sizes = F.arrays_zip(
         F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
@@ -63,7 +63,7 @@ def spans_of(text: Column, rule: SecretRule, kind_no: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), (start + x["hit"]).alias("end"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), (start + x["hit"]).alias("end"), F.lit(rule.key).alias("kind"))
         out = F.when(x["part"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct((start + F.coalesce(x["hit"], F.lit(0))).alias("at"), out.alias("out"))
 
@@ -91,8 +91,11 @@ def update_ledger(blobs: DataFrame, ledger: str, rules: tuple[SecretRule, ...] =
     spans = F.concat(*[F.when(F.array_contains("rules", r.key), spans_of(F.col("text"), r, i + 1)).otherwise(F.array().cast(SPAN))
                        for i, r in enumerate(rules)])
     todo.select("blob", "rules", spans.alias("spans")).write.parquet(f"{ledger.rstrip('/')}/run={uuid.uuid4().hex[:12]}")
-    found = _read(spark, ledger).filter(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"))
-    return found.filter(F.col("s.kind").isin([r.kind for r in rules])).groupBy("blob").agg(F.sort_array(F.collect_set("s")).alias("spans"))
+    found = _read(spark, ledger).filter(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).filter(F.col("s.kind").isin(keys))
+    # the ledger names the rule and its version; what another version found is not reported
+    span = F.struct(F.col("s.start").alias("start"), F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("s.kind")).cast("int").alias("kind_no"),
+                    F.col("s.end").alias("end"), F.substring_index("s.kind", "@", 1).alias("kind"))
+    return found.select("blob", span.alias("s")).groupBy("blob").agg(F.sort_array(F.collect_set("s")).alias("spans"))
 
 
 def _read(spark, ledger: str) -> DataFrame | None:

@@ -113,6 +113,22 @@ def test_ledger_scans_only_new_pairs(spark, tmp_path):
     assert {r.doc_id: r.listed for r in got} == {i: ",".join(f"{k}:{s}:{e}" for s, _, e, k in _spans(t, newer)) for i, t in enumerate(SECRETS)}
 
 
+def test_ledger_reports_only_the_versions_asked_for(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "password=abcdefgh and password=abcdefghijklmnop"), (2, "token=zzzzzzz")], "doc_id long, text string")
+    old = secret_scan.SecretRule("assign", secret_scan.BASE_RULES[0].pattern, 6, 2)
+    new = secret_scan.SecretRule("assign", secret_scan.BASE_RULES[0].pattern, 12, 2, version=2)
+
+    def listed(*rules):
+        found = secret_scan.scan_secrets(docs, ledger, rules).withColumn("listed", secret_scan.span_list(F.col("spans")))
+        return {r.doc_id: r.listed for r in found.collect()}
+
+    assert listed(old) == {1: "assign:0:17,assign:22:47", 2: "assign:0:13"}
+    assert listed(new) == {1: "assign:22:47", 2: ""}
+    assert listed(old) == {1: "assign:0:17,assign:22:47", 2: "assign:0:13"}
+    assert listed(secret_scan.MORE_RULES[0], new) == {1: "assign:22:47", 2: ""}
+
+
 TURNS = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi é"), (1, 2, "bob", "Hello"), (1, 2, "bob", "Hello"), (1, 3, "cy", None), (1, None, "ann", "early"),
          (2, 0, "system", "alone"), (None, 0, "ann", "no id"), (None, 1, "bob", ""), (3, 0, None, "who"), (3, 1, "assistant", "me")] + [
     (4, i, f"s{i % 3}", "turn " * (i % 5)) for i in range(300)]

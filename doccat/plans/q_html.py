@@ -170,7 +170,7 @@ _MARK = '<script>var $_ts=1;</script>'
 FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN '{_MARK}' || html WHEN page_id % 10 = 1 THEN repeat(' ', 5000) || '{_MARK}' || html
   ELSE html END AS h FROM pages) x""")
 def protection_gate(spark, sf_dir):
-    """P10: pages whose first 5,000 characters carry a protection marker are rejected."""
+    """P10: pages that carry a protection marker are rejected."""
     p = pages(spark, sf_dir)
     h = (F.when(F.col("page_id") % 10 == 0, F.concat(F.lit(_MARK), "html"))
          .when(F.col("page_id") % 10 == 1, F.concat(F.repeat(F.lit(" "), 5000), F.lit(_MARK), "html"))

@@ -19,9 +19,10 @@ symmetric difference is at most (|A| + |B|) / 7.
 
 Large groups of copies: a joined block links its members to its smallest set (a star, linear in the
 members).  Components of the verified links then say which members are still apart, and in every
-block all members of different components are compared, whatever the block's size: its members are
-dealt into chunks bounded in members and bytes, each pair of chunks is one tile, and a tile's sketches
-are compared as arrays.  A tile returns a spanning forest of the pairs that the sketches cannot rule
+block all members of different components are compared, whatever the block's size.  The centre has
+met all others and stays out, blocks that share most members are compared as their union, and a block
+whose pairs have all been verified is not dealt again.  Members are dealt into chunks bounded in members and
+bytes, each pair of chunks is one tile, and a tile's sketches are compared as arrays.  A tile returns a spanning forest of the pairs that the sketches cannot rule
 out, never more rows than it has components; these are verified, components are contracted, and the
 few tiles that still have untried pairs after ``FOREST_PASSES`` are settled: the whole sets of the
 members concerned are brought into the tile, all its pairs are verified there, and again only a
@@ -44,7 +45,7 @@ SHINGLE = 5
 #: Blocks joined per class and group.
 BLOCKS = 40
 #: Members and bytes of whole sets of a chunk; the pairs of two chunks of a block are compared in one task.
-TILE, TILE_BYTES = 512, 8 << 20
+TILE, TILE_BYTES = 1024, 8 << 20
 #: Passes that verify forests of candidates before the tiles still open are settled on whole sets.
 FOREST_PASSES = 3
 #: Classes to verify up to which their ids are broadcast to the texts (16 bytes each).
@@ -280,6 +281,21 @@ def _by_tile(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch
         yield work(pa.Table.from_batches(held))
 
 
+def _untried(rows: DataFrame) -> DataFrame:
+    """``key, uid, n``: the members that each block's star has not compared with each other.
+
+    A family of near copies shares most of its members between many blocks.  Blocks with the same leader
+    (their member of smallest hash) are compared as one, their union, where that has no more pairs than
+    the blocks have one by one: no pair of a block is left out, and no pair is compared in each of them.
+    """
+    led = rows.filter("members > 2 AND uid <> c.uid").select("key", "uid", "n", "lead", (F.col("members") - 1).alias("m"))
+    apart = led.groupBy("lead").agg(F.sum("m").alias("pairs"))  # each block's count, once per member: its square
+    union = led.groupBy("lead", "uid").agg(F.min("n").alias("n"))
+    fewer = union.groupBy("lead").agg(F.count(F.lit(1)).alias("u")).join(apart, "lead").filter("u * u <= pairs").select("lead")
+    one = union.join(fewer, "lead", "left_semi").select(F.col("lead").alias("key"), "uid", "n")
+    return materialize(one.union(led.join(fewer, "lead", "left_anti").select("key", "uid", "n")), "untried")
+
+
 def _tiles(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``key, t1, t2, second, uid, n, root``: the members of every block with several components, dealt to tiles."""
     placed = rows.select("key", "uid", "n").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
@@ -403,24 +419,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(single.join(reps, "cls").withColumn("uid", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("uid", "n", F.explode("keys").alias("key"))
     # Blocks that several classes share; most blocks have one class and go no further.
-    shared = keyed.groupBy("key").agg(F.min(F.struct("n", "uid")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = keyed.groupBy("key").agg(F.min(F.struct("n", "uid")).alias("c"), F.count(F.lit(1)).alias("members"),
+                                      F.min(F.xxhash64("uid")).alias("lead")).filter("members > 1")
     rows = materialize(keyed.join(shared, "key"), "blocks")
     first = rows.filter("c.uid <> uid AND 4 * c.n >= 3 * n").select(F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"))
     links = _links(first, classes, docs, id_col, text_col)
     tried = first.distinct()
     roots = connected_components(links)
     # Members that the stars left in other components than others of their block.
+    others = _untried(rows)
+    dealt = others
     for _ in range(FOREST_PASSES):
-        apart = materialize(_apart(rows, roots, classes), "apart")
+        apart = materialize(_apart(dealt, roots, classes), "apart")
+        still = apart.filter("NOT whole").select("key", "t1", "t2").distinct()
         more = apart.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         found = _links(more, classes, docs, id_col, text_col)
         if found.isEmpty():
             break
         roots = _contracted(roots, found)
         tried = materialize(tried.union(more), "tried")
-    still = apart.filter("NOT whole").select("key", "t1", "t2").distinct()
+        dealt = others.join(still.select("key").distinct(), "key", "left_semi")
     if not still.isEmpty():
-        roots = _contracted(roots, materialize(_settled(rows, roots, classes, still, docs, id_col, text_col), "settled"))
+        roots = _contracted(roots, materialize(_settled(dealt, roots, classes, still, docs, id_col, text_col), "settled"))
     roots = roots.withColumnRenamed("node", "uid")
     owned = classes.select("uid", "cls", "rep").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     name = owned.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doccat.llm.common import shared_path, text_or_empty
+from doccat.llm.common import materialize, shared_path, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,8 @@ def _joined(docs: DataFrame, ledger: str | None, rules: tuple[SecretRule, ...],
     ledger = ledger or shared_path(docs.sparkSession, "ledger")
     blob = F.unhex(F.sha2(text_or_empty(text_col), 256))
     found = update_ledger(docs.select(blob.alias("blob"), text_or_empty(text_col).alias("text")), ledger, rules)
-    found = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    # A written table of the few findings: where its size allows, the texts stay where they are.
+    found = materialize(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "findings")
     return docs.withColumn("_blob", blob).join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", F.array().cast(SPAN)))
 
 

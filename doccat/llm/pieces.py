@@ -2,9 +2,11 @@
 
 The model protobuf is parsed and rebuilt: normaliser (precompiled map, white-space rules), the
 metaspace marker, unigram scores or the merges that BPE scores imply, and byte fallback.  Chunks that
-no piece can span are encoded once per worker, in multithreaded batches, and each new chunk is
-verified against SentencePiece itself; where the library differs (ties between runs of spaces), the
-verified ids are used and counted.
+no piece can span are encoded once per worker, in multithreaded batches; each new chunk is verified
+against SentencePiece itself, and any difference is an error.
+
+One piece may come of several merges (runs of one character); SentencePiece takes the leftmost, the library
+the one listed first.  Listing those with the longer left part first gives the same pieces.
 """
 
 from __future__ import annotations
@@ -56,8 +58,8 @@ def build_tokenizer(model):
             for cut in range(1, len(whole)):
                 left, right = whole[:cut], whole[cut:]
                 if left in rank and right in rank:
-                    merges.append((rank[whole], ids[left], ids[right], left, right))
-        core = models.BPE(ids, [m[3:] for m in sorted(merges)], unk_token=None if unknown is None else pieces[unknown].piece,
+                    merges.append((rank[whole], -cut, left, right))
+        core = models.BPE(ids, [m[2:] for m in sorted(merges)], unk_token=None if unknown is None else pieces[unknown].piece,
                           fuse_unk=True, byte_fallback=spec.byte_fallback)
     else:
         raise ValueError(f"model type {spec.model_type}")
@@ -94,7 +96,6 @@ class PieceCodec:
         self.verifier = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString())
         self.dtype = np.uint16 if len(self.texts) <= 1 << 16 else np.uint32
         self.cache: dict[str, bytes] = {"": b""}
-        self.repaired = 0
 
     @staticmethod
     def _bytes(piece) -> bytes:
@@ -124,11 +125,9 @@ class PieceCodec:
             part = missing[lo:lo + 20_000]
             sure = self.verifier.encode(part, num_threads=2)
             for chunk, enc, ids in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), sure):
-                got = enc.ids
-                if got != ids:
-                    self.repaired += 1
-                    got = ids
-                self.cache[chunk] = np.array(got, dtype=self.dtype).tobytes()
+                if enc.ids != ids:
+                    raise ValueError(f"the rebuilt tokenizer differs from SentencePiece on {chunk[:80]!r}")
+                self.cache[chunk] = np.array(enc.ids, dtype=self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._chunks(t) for t in texts]

@@ -157,3 +157,23 @@ def test_unigram_models(tmp_path, byte_fallback):
     codec = pieces.PieceCodec(path)
     texts = ["abc cab", "aabbcc ab", "x é ab", "", " a", "cabcab  b"]
     assert [list(x) for x in codec.encode(texts)] == sp.encode(texts)
+
+
+def test_runs_of_one_character_need_no_repair():
+    """The rebuilt merges give SentencePiece's own ids where a piece comes of several merges."""
+    codec = pieces.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    made = [head + ch * n + tail for ch in " =-.*_#ao0\t\n~/" for n in range(1, 90) for head, tail in (("", ""), (" ", ""), ("", "word"), (" x", "y"))]
+    got = [e.ids for e in codec.tokenizer.encode_batch_fast(made, add_special_tokens=False)]
+    assert got == codec.verifier.encode(made)
+
+
+def test_a_difference_from_sentencepiece_is_an_error(monkeypatch):
+    codec = pieces.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[0] for _ in texts]
+
+    monkeypatch.setattr(codec, "verifier", Other())
+    with pytest.raises(ValueError):
+        codec.encode(["one text"])

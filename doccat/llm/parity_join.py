@@ -21,12 +21,12 @@ Large groups of copies: a joined block links its members to its smallest set (a
 members).  Components of the verified links then say which members are still apart, and in every
 block all members of different components are compared, whatever the block's size.  The centre has
 met all others and stays out, blocks that share most members are compared as their union, and a block
-whose pairs have all been verified is not dealt again.  Members are dealt into chunks bounded in members and
+whose pairs have all been verified is not dealt again; where pairs are left, their members are.  Members are dealt into chunks bounded in members and
 bytes, each pair of chunks is one tile, and a tile's sketches are compared as arrays.  A tile returns a spanning forest of the pairs that the sketches cannot rule
 out, never more rows than it has components; these are verified, components are contracted, and the
-few tiles that still have untried pairs after ``FOREST_PASSES`` are settled: the whole sets of the
-members concerned are brought into the tile, all its pairs are verified there, and again only a
-spanning forest, now of links, leaves it.
+few members of pairs still untried after ``FOREST_PASSES`` are settled: the whole sets of the
+members concerned are brought into their tiles, all their pairs are verified there, and again only a
+spanning forest, now of links, leaves each.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ SHINGLE = 5
 #: Blocks joined per class and group.
 BLOCKS = 40
 #: Members and bytes of whole sets of a chunk; the pairs of two chunks of a block are compared in one task.
-TILE, TILE_BYTES = 1024, 8 << 20
+TILE, TILE_BYTES = 1536, 8 << 20
 #: Passes that verify forests of candidates before the tiles still open are settled on whole sets.
 FOREST_PASSES = 3
 #: Classes to verify up to which their ids are broadcast to the texts (16 bytes each).
@@ -308,22 +308,24 @@ def _tiles(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _apart(rows: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b, whole, key, t1, t2``: of each tile a forest of its near pairs; ``whole`` if there are no others."""
+    """``key, a, b``: of each tile a forest of its near pairs and, where there are others, every member of a
+    near pair as ``a`` with a null ``b``."""
     tiles = _tiles(rows, roots).join(classes.select("uid", "sketch"), "uid").repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
 
     def tile(t: pa.Table) -> pa.RecordBatch:
         uid, n, root, second = (t[c].to_numpy() for c in ("uid", "n", "root", "second"))
-        marks = [t[c][0].as_py() for c in ("key", "t1", "t2")]
-        a, b, whole = candidate_forest(uid, root, list(near_in_tile(n, root, second, t["sketch"].to_pylist(), marks[1] != marks[2])))
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), whole)),
-                                *[pa.array(np.full(len(a), m), pa.int64()) for m in marks]], names=["a", "b", "whole", "key", "t1", "t2"])
+        near = list(near_in_tile(n, root, second, t["sketch"].to_pylist(), t["t1"][0] != t["t2"][0]))
+        a, b, whole = candidate_forest(uid, root, near)
+        again = uid[:0] if whole else uid[np.unique(np.concatenate([np.append(to, i) for i, to, _ in near]))]
+        return pa.record_batch([pa.array(np.full(len(a) + len(again), t["key"][0].as_py()), pa.int64()), pa.array(np.concatenate([a, again]), pa.int64()),
+                                pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(again), pa.int64())])], names=["key", "a", "b"])
 
-    return tiles.mapInArrow(lambda batches: _by_tile(batches, tile), "a long, b long, whole boolean, key long, t1 long, t2 long")
+    return tiles.mapInArrow(lambda batches: _by_tile(batches, tile), "key long, a long, b long")
 
 
-def _settled(rows: DataFrame, roots: DataFrame, classes: DataFrame, still: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) that join all linked components in the tiles ``still`` (key, t1, t2)."""
-    tiles = _tiles(rows, roots).join(still, ["key", "t1", "t2"], "left_semi").join(classes.select("uid", "sketch"), "uid")
+def _settled(rows: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) that join all linked components in the tiles of ``rows``."""
+    tiles = _tiles(rows, roots).join(classes.select("uid", "sketch"), "uid")
     tiles = tiles.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
 
     def concerned(t: pa.Table) -> pa.RecordBatch:
@@ -431,16 +433,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = others
     for _ in range(FOREST_PASSES):
         apart = materialize(_apart(dealt, roots, classes), "apart")
-        still = apart.filter("NOT whole").select("key", "t1", "t2").distinct()
-        more = apart.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        more = apart.filter("b IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        # Only members of near pairs that the forests left out go on.
+        dealt = others.join(apart.filter("b IS NULL").select("key", F.col("a").alias("uid")).distinct(), ["key", "uid"], "left_semi")
         found = _links(more, classes, docs, id_col, text_col)
         if found.isEmpty():
             break
         roots = _contracted(roots, found)
         tried = materialize(tried.union(more), "tried")
-        dealt = others.join(still.select("key").distinct(), "key", "left_semi")
-    if not still.isEmpty():
-        roots = _contracted(roots, materialize(_settled(dealt, roots, classes, still, docs, id_col, text_col), "settled"))
+    if not dealt.isEmpty():
+        roots = _contracted(roots, materialize(_settled(dealt, roots, classes, docs, id_col, text_col), "settled"))
     roots = roots.withColumnRenamed("node", "uid")
     owned = classes.select("uid", "cls", "rep").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     name = owned.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -9,7 +9,7 @@ k-th smallest distance known so far are reranked by exact distances on the origi
 
 Queries and vectors meet block by block: the index is rows of up to ``CHUNK`` vectors, the queries
 rows of up to ``QUERY_BLOCK``; each pair of rows leaves its own k nearest per query, and a window
-picks the k nearest of all.
+picks the k nearest of all.  Vectors are compared with those of their own dimension, one index for each.
 """
 
 from __future__ import annotations
@@ -20,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doccat.llm.common import materialize
 
 CHUNK = 4096
 QUERY_BLOCK = 512
-#: Rows that the centre and the dimension are taken from.
+#: Rows that the centre is taken from.
 SAMPLE_ROWS = 4096
+#: Dimensions that one table may hold; a table with more is refused.
+MAX_DIMENSIONS = 64
 #: Width of the error bound in standard deviations.
 EPSILON = 3.0
 #: Query blocks below this size are broadcast; larger sets meet the index as a product of blocks.
@@ -103,8 +106,21 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, code: tuple, qid: int, query:
     return ids[at][order], far[order]
 
 
+def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``vec_id, embedding`` of the rows that take part; vectors of doubles stay doubles, others are floats."""
+    part = "double" if isinstance(vectors.schema[vec_col].dataType.elementType, T.DoubleType) else "float"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{part}>").alias("embedding"))
+    return rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
+
+
+def _stored(rows: DataFrame) -> str:
+    """How the parts of the vectors are written: little-endian, 4 or 8 bytes."""
+    return "<f8" if isinstance(rows.schema["embedding"].dataType.elementType, T.DoubleType) else "<f4"
+
+
 def _blocks(rows: DataFrame, dim: int, size: int) -> DataFrame:
     """Rows of up to ``size`` (vec_id, embedding) rows of dimension ``dim``: ids and vectors as bytes."""
+    kind = _stored(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vecs, held = [], [], 0
@@ -121,33 +137,27 @@ def _blocks(rows: DataFrame, dim: int, size: int) -> DataFrame:
             yield _row(np.concatenate(ids), np.concatenate(vecs))
 
     def _row(i: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([i.astype("<i8").tobytes()], pa.binary()), pa.array([v.astype("<f4").tobytes()], pa.binary())], names=["ids", "vecs"])
+        return pa.record_batch([pa.array([i.astype("<i8").tobytes()], pa.binary()), pa.array([v.astype(kind).tobytes()], pa.binary())], names=["ids", "vecs"])
 
     return rows.mapInArrow(run, "ids binary, vecs binary")
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, np.ndarray]:
-    """Index rows (ids, vecs, codes, norms, own), written to the shared folder, and the centre.
-
-    Null ids, and vectors that are null, zero, not finite, or not of the sample's commonest
-    dimension, are left out.  The centre only shapes the codes; every row is indexed.
-    """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
+def build_index(rows: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
+    """Index rows (ids, vecs, codes, norms, own) of ``usable_vectors`` of dimension ``dim``, written to the
+    shared folder, and the centre.  The centre only shapes the codes; every row is indexed."""
+    kind = _stored(rows)
     sample = [np.array(r[0], dtype=np.float64) for r in rows.select("embedding").limit(SAMPLE_ROWS).collect()]
-    dims = [len(x) for x in sample]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 1
-    centre = np.mean([x for x in sample if len(x) == dim] or [np.zeros(dim)], axis=0)
+    centre = np.mean(sample or [np.zeros(dim)], axis=0)
     turn = rotation(dim)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                bits, norm, own = encode(np.frombuffer(v, "<f4").reshape(-1, dim), centre, turn)
+                bits, norm, own = encode(np.frombuffer(v, kind).reshape(-1, dim), centre, turn)
                 yield pa.record_batch([pa.array([x], pa.binary()) for x in (i, v, bits.tobytes(), norm.tobytes(), own.tobytes())],
                                       names=["ids", "vecs", "codes", "norms", "own"])
 
-    index = _blocks(rows.filter(F.size("embedding") == dim), dim, CHUNK).mapInArrow(
+    index = _blocks(rows, dim, CHUNK).mapInArrow(
         code, "ids binary, vecs binary, codes binary, norms binary, own binary")
     return materialize(index, "codes"), centre
 
@@ -158,25 +168,43 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
 
     ``queries`` selects the query rows; rows with a query's own id are no candidates for it, and a
     candidate id counts once (its nearest row).  Repeated query ids give one list, of the nearest
-    over all their rows.  Unusable vectors take no part; an empty table gives no rows.
+    over all their rows.  Null ids and vectors that are null, zero or not finite take no part; a query meets the
+    candidates of its own dimension; an empty table gives no rows.
     """
-    index, centre = build_index(vectors, id_col, vec_col)
-    dim, turn = len(centre), rotation(len(centre))
-    asked = vectors.filter(queries).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("embedding"))
-    asked = asked.filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")) & (F.size("embedding") == dim)).distinct()
+    rows = usable_vectors(vectors, id_col, vec_col)
+    asked = usable_vectors(vectors.filter(queries), id_col, vec_col)
+    sizes = [r[0] for r in rows.select(F.size("embedding").alias("d")).distinct().limit(MAX_DIMENSIONS + 1).collect()]
+    if len(sizes) > MAX_DIMENSIONS:
+        raise ValueError(f"more than {MAX_DIMENSIONS} dimensions in one table")
+    lists = [_search(rows.filter(F.size("embedding") == d), asked.filter(F.size("embedding") == d), d, k) for d in sorted(sizes)]
+    if not lists:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = lists[0]
+    for more in lists[1:]:
+        found = found.unionByName(more)
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int) -> DataFrame:
+    """``query_id, vec_id, score``: of every index block the k nearest of each query, all of one dimension."""
+    index, centre = build_index(rows, dim)
+    kind, turn = _stored(rows), rotation(dim)
+    asked = asked.distinct()
     n = asked.count()
     parts = max(1, -(-n // QUERY_BLOCK))
     blocks = _blocks(asked.repartition(parts, "vec_id"), dim, QUERY_BLOCK).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    small = n * (dim * 4 + 8) <= BROADCAST_BYTES
+    small = n * (dim * int(kind[2]) + 8) <= BROADCAST_BYTES
     pairs = index.join(F.broadcast(blocks)) if small else index.crossJoin(materialize(blocks, "queries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
         for b in batches:
             for ids, vecs, codes, norms, own, q_ids, q_vecs in zip(*[c.to_pylist() for c in b.columns]):
-                i, v = np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<f4").reshape(-1, dim)
+                i, v = np.frombuffer(ids, "<i8"), np.frombuffer(vecs, kind).reshape(-1, dim)
                 code = (np.frombuffer(codes, "<u8").reshape(len(i), -1), np.frombuffer(norms), np.frombuffer(own))
-                asked_ids, asked_vecs = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_vecs, "<f4").reshape(-1, dim)
+                asked_ids, asked_vecs = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_vecs, kind).reshape(-1, dim)
                 if q_ids not in known:
                     if len(known) >= 64:
                         known.clear()
@@ -189,7 +217,4 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
                     out.append((np.full(len(near), qid), near, far))
                 yield pa.record_batch([np.concatenate([o[c] for o in out]) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("ids", "vecs", "codes", "norms", "own", "q_ids", "q_vecs").mapInArrow(run, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return pairs.select("ids", "vecs", "codes", "norms", "own", "q_ids", "q_vecs").mapInArrow(run, "query_id long, vec_id long, score double")

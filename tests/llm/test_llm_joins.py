@@ -258,3 +258,34 @@ def test_neighbours_of_repeated_rows(spark, copies):
         got = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q)
         assert [g[1] for g in got] == [i for _, i in want]
         assert [g[2] for g in got] == pytest.approx([d for d, _ in want], abs=1e-12)
+
+
+def test_neighbours_of_every_dimension_and_of_doubles(spark):
+    """Each vector meets those of its own dimension, and doubles keep their last digits."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(8 if i % 3 else 5).tolist()) for i in range(320)]
+    vecs = dict(rows)
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    for q in range(0, 320, 20):
+        far = sorted((float(np.sqrt(sum((x - y) ** 2 for x, y in zip(vecs[q], v)))), i) for i, v in rows if i != q and len(v) == len(vecs[q]))[:10]
+        got = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [g[1] for g in got] == [i for _, i in far]
+        assert np.allclose([g[2] for g in got], [d for d, _ in far], rtol=1e-14, atol=0)
+
+
+def test_untried_blocks_keep_every_pair(spark):
+    """Merged or not, every pair of a block's members besides its centre meets in some block, and none is dealt more often."""
+    rng = np.random.default_rng(9)
+    blocks = {k: sorted(rng.choice(60, size=int(rng.integers(2, 40)), replace=False).tolist()) for k in range(40)}
+    blocks |= {100 + k: sorted({59, *range(200 + 10 * k, 206 + 10 * k)}) for k in range(6)}  # a leader may tie what is not alike
+    rows = [(k, u, 50 + u, (50 + m[0], m[0]), len(m)) for k, m in blocks.items() for u in m]
+    df = spark.createDataFrame(rows, "key long, uid long, n long, c struct<n:long,uid:long>, members long")
+    lead = df.groupBy("key").agg(F.min(F.xxhash64("uid")).alias("lead"))
+    got = {}
+    for r in parity_join._untried(df.join(lead, "key")).collect():
+        got.setdefault(r.key, []).append(r.uid)
+    dealt = {(a, b) for m in got.values() for a in m for b in m if a < b}
+    want = [(a, b) for m in blocks.values() for a in m[1:] for b in m[1:] if a < b]
+    assert set(want) <= dealt
+    assert sum(len(m) ** 2 for m in got.values()) <= sum((len(m) - 1) ** 2 for m in blocks.values())
+    assert all(len(m) == len(set(m)) for m in got.values())

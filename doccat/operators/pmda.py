@@ -88,13 +88,15 @@ def pmda_documents(pages: DataFrame, sources: DataFrame, strict: bool = True) ->
     """S9 + W1 + J9 + H9 + P9: documents of every configured source page (URL-deduped, source order kept).
 
     ``pages`` (url, html); ``sources`` (src_ord, url, product_area, allowed_sections, required_parent) is a
-    small configuration table (broadcast after a size check).  With ``strict`` a missing page or a
-    page without in-scope rows raises, as the source does.
+    small configuration table (broadcast after a size check).  Where several pages have one URL, ``pages``
+    also carries the ``src_ord`` of the source that each was landed for, and a source reads its own page
+    alone.  With ``strict`` a missing page or a page without in-scope rows raises, as the source does.
     """
+    own = ["url", "src_ord"] if "src_ord" in pages.columns else ["url"]
     n = sources.count()
     small = n <= 100_000  # broadcast only a configuration of checked size; shuffle join beyond it
     src = F.broadcast(sources) if small else sources
-    pg = pages.join(src, "url").withColumn("page_id", F.col("src_ord"))
+    pg = pages.join(src, own).withColumn("page_id", F.col("src_ord"))
     main = F.regexp_extract(F.col("html"), r"(?is)(<main[\s>].*?</main\s*>)", 1)
     pg = pg.withColumn("html", main)
     el = element_table(pg.select("page_id", "html"))
@@ -128,7 +130,7 @@ def pmda_documents(pages: DataFrame, sources: DataFrame, strict: bool = True) ->
     key = url_or_page_title_key(F.col("document_url"), F.col("source_page_url"), F.col("title"))
     d = keep_first(d.withColumn("ord", F.struct("page_id", "pos")), key).drop("ord")
     if strict:
-        audit = (sources.select("url", "src_ord").join(pages.select("url").distinct().withColumn("_p", F.lit(1)), "url", "left")
+        audit = (sources.select("url", "src_ord").join(pages.select(*own).distinct().withColumn("_p", F.lit(1)), own, "left")
                  .join(d.groupBy(F.col("page_id").alias("src_ord")).agg(F.count(F.lit(1)).alias("_n")), "src_ord", "left"))
         bad = audit.filter(F.col("_p").isNull() | F.col("_n").isNull()).select("url", "_p").collect()  # at most one row per source
         if bad:

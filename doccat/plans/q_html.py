@@ -507,12 +507,12 @@ def _pmda_pages(p):
 
 
 def pmda_inputs(spark, sf_dir):
-    """Landed sectioned pages (url, html) and the sources configured for them."""
+    """Landed sectioned pages (url, html, and the source each was landed for, as URLs may repeat) and the configured sources."""
     p = _pmda_pages(pages(spark, sf_dir))
     src = p.select(F.col("page_id").alias("src_ord"), "url", F.lit("Area").alias("product_area"),
                    F.when(F.col("page_id") % 2 == 1, F.array(F.concat(F.lit("Section "), (F.col("page_id") % 3).cast("string"))))
                    .alias("allowed_sections"), F.lit(None).cast("string").alias("required_parent"))
-    return p.select("url", "html"), src
+    return p.select("url", "html", F.col("page_id").alias("src_ord")), src
 
 
 @register("pmda_page_documents", lambda: f"""SELECT page_id AS src_ord, 'Guidance ' || CAST(page_id AS VARCHAR) AS title,

@@ -81,3 +81,16 @@ def test_lists_match_their_own_closing_tags(spark):
         ("600", dt.date(2019, 5, 9), "Memo A"), ("601", None, None), ("602", dt.date(2020, 6, 1), "Memo B"),
         ("603", dt.date(2021, 7, 2), "Memo C"), ("604", None, None), ("605", dt.date(2021, 7, 2), "Memo C"),
     ]
+
+
+def test_pages_of_one_url_belong_to_their_own_sources(spark):
+    """Two sources of one URL: each reads the page landed for it."""
+    other = OPEN_PAGE.replace("/files/1002003", "/files/9002003").replace("Shelf life", "Second shelf life")
+    landed = spark.createDataFrame([(OPEN_URL, OPEN_PAGE, 0), (OPEN_URL, other, 1)], "url string, html string, src_ord int")
+    configured = spark.createDataFrame([(0, OPEN_URL, "A", None, None), (1, OPEN_URL, "B", ["Stability"], None)],
+                                       "src_ord int, url string, product_area string, allowed_sections array<string>, required_parent string")
+    got = [(r["page_id"], r["reference_number"], r["title"]) for r in pmda_documents(landed, configured).orderBy("page_id", "pos").collect()]
+    assert got == [(0, "100200300", "Shelf life of tablets"), (0, "100200301", "Dose ranging (Early Consideration)"),
+                   (0, "100200302", "Storage of samples"), (1, "900200300", "Second shelf life of tablets")]
+    with pytest.raises(ValueError, match="missing required source page"):
+        pmda_documents(landed.filter("src_ord = 0"), configured)

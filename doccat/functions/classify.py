@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from functools import reduce
 from itertools import groupby
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccat.functions.rules import (
@@ -171,6 +172,9 @@ CASE_RULES = 5_000
 #: Index entries up to which the gram index is broadcast (entries of a gram, a keyword and its rule: some 100 bytes each).
 BROADCAST_GRAMS = 200_000
 GRAM = 3
+#: What parts the words of a text, and the longest word that is looked through by itself.
+BLANK = r"\s"
+LONG_WORD = 200
 
 
 def usable_rules(rules):
@@ -219,25 +223,58 @@ def gram_index(rules):
     return kept.join(rarest, "kw").select(F.col("x.gram").alias("gram"), "kw", "rule")
 
 
+def word_rules(words, index, sizes: list[int], small: bool):
+    """``word, rule``: the first rule of each of the ``words`` (distinct) that holds a keyword of the ``index``."""
+    held = words.select("word", F.explode(F.concat(*[_grams(F.col("word"), n) for n in sizes])).alias("gram"))
+    hits = held.join(F.broadcast(index) if small else index, "gram").filter(F.col("word").contains(F.col("kw")))
+    return hits.groupBy("word").agg(F.min("rule").alias("rule"))
+
+
+def _rules_in_words(texts, index, sizes: list[int], small: bool, broadcast_words: int):
+    """``_rt_row, rule`` by keywords without blanks: each distinct word is looked through once, whatever the texts that hold it."""
+    words = texts.select("_rt_row", F.explode(F.array_distinct(F.split("_rt_text", BLANK + "+"))).alias("word")).filter(
+        F.length("word") <= LONG_WORD)
+    found = word_rules(words.select("word").distinct(), index, sizes, small).checkpoint(eager=True)
+    few = found.limit(broadcast_words + 1).count() <= broadcast_words
+    return words.join(F.broadcast(found) if few else found, "word").groupBy("_rt_row").agg(F.min("rule").alias("rule"))
+
+
+def _rules_in_texts(texts, index, sizes: list[int], small: bool):
+    """``_rt_row, rule`` by keywords of any kind: candidates rejoin their texts one by one."""
+    held = texts.select("_rt_row", F.explode(F.concat(*[_grams(F.col("_rt_text"), n) for n in sizes])).alias("gram"))
+    found = held.join(F.broadcast(index) if small else index, "gram").select("_rt_row", "kw", "rule")
+    hits = texts.select("_rt_row", "_rt_text").join(found, "_rt_row").filter(F.col("_rt_text").contains(F.col("kw")))
+    return hits.groupBy("_rt_row").agg(F.min("rule").alias("rule"))
+
+
 def classify_by_grams(df, rules, text: str | Column, out: str = "topic", default: str = TOPIC_DEFAULT,
                       broadcast_grams: int = BROADCAST_GRAMS):
     """J8 for rule tables of any size: a text can only hold a keyword whose rarest gram it holds, so texts meet keywords
     in an equi-join on that gram; ``contains`` then decides, and the first rule of a row is a minimum.
 
-    The index is broadcast up to ``broadcast_grams`` entries, so that the texts' grams are looked up where they are
-    made; beyond that both sides are shuffled by gram.  Rows are numbered in a checkpointed copy, which the
-    candidates rejoin one by one: neither a text's candidates nor a gram's texts are ever gathered.
+    A keyword without blanks lies within a word, so such keywords meet the distinct words of all texts, and the texts
+    take the rules of their words.  Keywords with blanks, and texts with words of more than ``LONG_WORD`` characters,
+    meet whole texts; neither a text's candidates nor a gram's texts are ever gathered.  The index, and the words
+    with a rule, are broadcast up to ``broadcast_grams`` entries; beyond that both sides are shuffled.  Rows are
+    numbered in a checkpointed copy.
     """
     txt = F.col(text) if isinstance(text, str) else text
     numbered = df.withColumn("_rt_text", F.lower(txt)).withColumn("_rt_row", F.monotonically_increasing_id()).checkpoint(eager=True)
     index = gram_index(rules).checkpoint(eager=True)
-    sizes = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # at most GRAM values
-    if not sizes:
+    kinds = index.groupBy(F.col("kw").rlike(BLANK).alias("blank"), F.length("gram").alias("size")).count().collect()  # at most 2 * GRAM rows
+    if not kinds:
         return numbered.withColumn(out, F.lit(default)).drop("_rt_text", "_rt_row")
-    small = index.limit(broadcast_grams + 1).count() <= broadcast_grams
-    held = numbered.filter("_rt_text IS NOT NULL").select("_rt_row", F.explode(F.concat(*[_grams(F.col("_rt_text"), n) for n in sorted(sizes)])).alias("gram"))
-    found = held.join(F.broadcast(index) if small else index, "gram").select("_rt_row", "kw", "rule")
-    hits = numbered.select("_rt_row", "_rt_text").join(found, "_rt_row").filter(F.col("_rt_text").contains(F.col("kw")))
-    best = hits.groupBy("_rt_row").agg(F.min("rule").alias("_rt_rule"))
+    small = sum(r["count"] for r in kinds) <= broadcast_grams
+    plain, spaced = ([sorted(r["size"] for r in kinds if r["blank"] == b) for b in (False, True)])
+    texts = numbered.filter("_rt_text IS NOT NULL").select("_rt_row", "_rt_text")
+    found = []
+    if plain:
+        words = index.filter(~F.col("kw").rlike(BLANK))
+        found.append(_rules_in_words(texts, words, plain, small, broadcast_grams))
+        long = texts.filter(F.col("_rt_text").rlike(f"[^{BLANK}]{{{LONG_WORD + 1}}}"))
+        found.append(_rules_in_texts(long, words, plain, small))
+    if spaced:
+        found.append(_rules_in_texts(texts, index.filter(F.col("kw").rlike(BLANK)), spaced, small))
+    best = reduce(DataFrame.unionByName, found).groupBy("_rt_row").agg(F.min("rule").alias("_rt_rule"))
     return numbered.join(best, "_rt_row", "left").withColumn(
         out, F.when(F.col("_rt_rule").isNull(), F.lit(default)).otherwise(F.col("_rt_rule.topic"))).drop("_rt_text", "_rt_row", "_rt_rule")

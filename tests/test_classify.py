@@ -97,3 +97,16 @@ def test_large_rule_table_is_joined_on_grams(spark):
     none = classify_by_grams(docs, rule_df.limit(0), "text")
     assert {r.topic for r in none.collect()} == {"other"}
     assert len(classify_with_rules(docs, rule_df, "text")._jdf.queryExecution().toString()) < 100_000
+
+
+def test_each_distinct_word_is_looked_through_once(spark):
+    """Keywords without blanks meet the words of all texts; those with blanks, and words of any length, still meet whole texts."""
+    from doccat.functions.classify import LONG_WORD, classify_by_grams, gram_index, word_rules
+    rules = spark.createDataFrame([(3, "c", "dose"), (2, "b", "dose range"), (1, "a", "stab"), (0, "tab", "x\tyz")], "priority int, topic string, keyword string")
+    texts = ["overdose", "Dose\tRange", "a dose  range", "a DOSE range of", "y" * LONG_WORD + "unstable", "ab\nstab", "ax\tyzb", "do se", None] + ["overdose"] * 50
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = [r.topic for r in classify_by_grams(docs, rules, "text").orderBy("id").collect()]
+    assert got == ["c", "c", "c", "b", "a", "a", "tab", "other", "other"] + ["c"] * 50
+    words = spark.createDataFrame([("overdose",), ("unstable",), ("none",)], "word string")
+    found = word_rules(words, gram_index(rules.filter("priority IN (1, 3)")), [3], True).collect()
+    assert sorted((r.word, r.rule.topic) for r in found) == [("overdose", "c"), ("unstable", "a")]

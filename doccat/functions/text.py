@@ -58,26 +58,32 @@ def _unescape_udf():
     return F.pandas_udf(run, "string")
 
 
+#: What a page is read as: whole tags, references, runs of text without either, and what begins neither.
+PIECE = r"<[^>]*>|&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^<&]+|[<&]"
+
+
 @lru_cache(maxsize=None)
-def _plain_page_udf():
+def _plain_pieces_udf():
+    """References, and tags with references, of each page in ``plain_references`` form; other pieces are null and stay so."""
     def run(pages: pd.Series) -> pd.Series:
         import re
         from html import unescape
 
-        piece = re.compile(r"<[^>]*>|&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
         closed = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z0-9]{1,32});")
         kept = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})
 
-        def decoded(m: re.Match) -> str:
-            char = unescape(m[0])
-            return m[0] if char == m[0] else char.translate(kept)
+        def decoded(reference: str) -> str:
+            char = unescape(reference)
+            return reference if char == reference else char.translate(kept)
 
-        def plain(m: re.Match) -> str:
-            return closed.sub(decoded, m[0]) if m[0][0] == "<" else decoded(m)
+        def plain(piece: str | None) -> str | None:
+            if piece is None:
+                return None
+            return closed.sub(lambda m: decoded(m[0]), piece) if piece[0] == "<" else decoded(piece)
 
-        return pages.map(lambda page: piece.sub(plain, page), na_action="ignore")
+        return pages.map(lambda pieces: [plain(p) for p in pieces], na_action="ignore")
 
-    return F.pandas_udf(run, "string")
+    return F.pandas_udf(run, "array<string>")
 
 
 def unescape_html(c: Column | str) -> Column:
@@ -94,10 +100,13 @@ def unescape_html(c: Column | str) -> Column:
 def plain_references(markup: Column | str) -> Column:
     """Markup in which every reference is decoded but those of ``& < > " '``, written by their common names: what
     remains ``unescape_common`` decodes natively, each reference once.  Inside tags only references with a
-    semicolon count, so the query of a link keeps its ``&copy=1``."""
+    semicolon count, so the query of a link keeps its ``&copy=1``.  Pages are taken apart and put together natively:
+    only the references, and the tags that hold some, go through one Arrow function."""
     c = _c(markup)
-    rare = c.rlike(RARE_REFERENCE)
-    return F.coalesce(_plain_page_udf()(F.when(rare, c)), c)
+    pieces = F.when(c.rlike(RARE_REFERENCE), F.regexp_extract_all(c, F.lit(PIECE), F.lit(0)))
+    held = F.transform(pieces, lambda p: F.when(p.startswith("&") | (p.startswith("<") & p.contains("&")), p))
+    plain = F.zip_with(pieces, _plain_pieces_udf()(held), lambda p, d: F.coalesce(d, p))
+    return F.coalesce(F.array_join(plain, ""), c)
 
 
 def normalize_whitespace(c: Column | str) -> Column:

@@ -34,6 +34,8 @@ ATTRIBUTE = r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[
 VOID = "area base br col embed hr img input link meta source track wbr".split()
 BLOCKS = ("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
           "section table ul").split()
+#: What the stack pass gives each token.
+TREE = ("end", "depth", "parent", "ordinal", "path")
 #: Opening tag: the open elements it ends, and the elements it does not look beyond.
 IMPLIED_ENDS = {
     "li": (["li"], ["ul", "ol"]),
@@ -67,11 +69,15 @@ def tag_code(token: Column) -> Column:
 
 
 @lru_cache(maxsize=None)
-def _tree_udf(paths: bool = False):
-    """Codes of a page's tokens -> per token (end, depth, parent, ordinal, path); made here so that it is sent whole."""
+def _tree_udf(ends_only: bool = False):
+    """``joined_codes`` of a page -> arrays (end, depth, parent, ordinal, path) with one value per token, or the ends alone;
+    made here so that it is sent whole."""
+    import numpy as np
+
     void, implied = frozenset(VOID), {k: (frozenset(a), frozenset(b)) for k, (a, b) in IMPLIED_ENDS.items()}
 
-    def tree(codes) -> list:
+    def tree(joined: str) -> tuple:
+        codes = joined.split(" ")[:-1]
         n, stack, names, end, parent, depth, ordinal, path, children = len(codes), [], [], [], [], [], [], [], [0]
         count: dict[str, int] = {}  # open elements by name
         for i, code in enumerate(codes):
@@ -109,7 +115,7 @@ def _tree_udf(paths: bool = False):
             if code and code != "!":
                 children[-1] += 1
                 ordinal.append(children[-1])
-                path.append((f"{path[stack[-1]]}/" if stack else "") + str(children[-1]) if paths else None)
+                path.append(None if ends_only else (f"{path[stack[-1]]}/" if stack else "") + str(children[-1]))
                 if code not in void:
                     stack.append(i)
                     names.append(code)
@@ -120,12 +126,24 @@ def _tree_udf(paths: bool = False):
                 path.append(None)
         for at in stack:
             end[at] = n - 1
-        return [{"end": e, "depth": d, "parent": p, "ordinal": o, "path": x} for e, d, p, o, x in zip(end, depth, parent, ordinal, path)]
+        return end, depth, parent, ordinal, path
+
+    def ends(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda joined: np.array(tree(joined)[0], "int32"))
+
+    def run(pages: pd.Series) -> pd.DataFrame:
+        found = [tree(joined) for joined in pages]
+        columns = {name: [t[i] if name == "path" else np.array(t[i], "int32") for t in found] for i, name in enumerate(TREE)}
+        return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
+
+    if ends_only:
+        return F.pandas_udf(ends, "array<int>")
+    return F.pandas_udf(run, "struct<end:array<int>,depth:array<int>,parent:array<int>,ordinal:array<int>,path:array<string>>")
 
-    def run(codes: pd.Series) -> pd.Series:
-        return codes.map(tree, na_action="ignore")
 
-    return F.pandas_udf(run, "array<struct<end:int,depth:int,parent:int,ordinal:int,path:string>>")
+def joined_codes(codes: Column) -> Column:
+    """A page's codes as one text, each with a blank behind it."""
+    return F.array_join(F.transform(codes, lambda c: F.concat(c, F.lit(" "))), "")
 
 
 def let(value: Column, body) -> Column:
@@ -171,7 +189,7 @@ def page_summary(html: Column, stripped: bool = False) -> Column:
     ``strip_noise``.  The work is linear in the page's tags.
     """
     toks = tokens(html, stripped)
-    page = F.struct(toks.alias("toks"), F.transform(toks, tag_code).alias("codes"), _tree_udf()(F.transform(toks, tag_code)).alias("tree"))
+    page = F.struct(toks.alias("toks"), F.transform(toks, tag_code).alias("codes"), _tree_udf(ends_only=True)(joined_codes(F.transform(toks, tag_code))).alias("ends"))
 
     def paragraphs_in(p: Column) -> Column:
         stops = positions(p["codes"], lambda c, i: c.isin("p", "/p", "/article"))
@@ -192,7 +210,7 @@ def page_summary(html: Column, stripped: bool = False) -> Column:
     def summary(p: Column) -> Column:
         def pick(ps: Column) -> Column:
             ranked = [let(container(p, tag, holds), lambda at: F.when(at.isNotNull(), first_candidate(
-                p, ps, at, F.get(p["tree"], at)["end"] + 1))) for tag, holds in CONTAINERS]
+                p, ps, at, F.get(p["ends"], at) + 1))) for tag, holds in CONTAINERS]
             # coalesce is lazy: the whole page is only read when no container holds a candidate
             return F.coalesce(*ranked, first_candidate(p, ps, F.lit(0), F.size(p["toks"])), F.lit(""))
         return let(paragraphs_in(p), pick)
@@ -223,9 +241,9 @@ def element_tree(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     An element's descendants are the rows of its page with ``pos < other.pos <= end``.  Null pages have no rows.
     """
     t = pages.select(id_col, tokens(F.col("html")).alias("toks")).select(id_col, "toks", F.transform("toks", tag_code).alias("codes"))
-    t = t.select(id_col, "toks", "codes", _tree_udf(paths=True)("codes").alias("tree"))
-    rows = t.select(id_col, F.posexplode(F.arrays_zip("toks", "codes", "tree")).alias("pos", "x"))
-    up = F.col("x.tree")
+    t = t.select(id_col, "toks", "codes", _tree_udf()(joined_codes(F.col("codes"))).alias("tree"))
+    rows = t.select(id_col, F.posexplode(F.arrays_zip("toks", "codes", *[F.col("tree")[c].alias(c) for c in TREE])).alias("pos", "x"))
+    up = F.col("x")
     rows = rows.select(id_col, F.col("pos").cast("bigint").alias("pos"), F.col("x.toks").alias("tok"), F.col("x.codes").alias("code"),
                        *[up[c].cast("bigint").alias(c) for c in ("end", "depth", "parent", "ordinal")], up["path"].alias("path"))
     code, tok = F.col("code"), F.col("tok")

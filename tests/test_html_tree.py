@@ -108,3 +108,15 @@ def test_plans_stay_small(spark, name):
 
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert len(plan) < 100_000
+
+
+def test_python_sees_references_and_tag_names_only(spark):
+    """Runs of text stay in the JVM (null pieces); the stack pass gets a page's tag names as one text."""
+    import pandas as pd
+
+    from doccat.functions.text import _plain_pieces_udf
+    from doccat.operators import html_tree as T
+    got = _plain_pieces_udf().func(pd.Series([[None, "&copy;", '<a href="?a=1&copy=2&eacute;">', None, "&"], None]))
+    assert got[0] == [None, "©", '<a href="?a=1&copy=2é">', None, "&"] and got[1] is None
+    ends = T._tree_udf(ends_only=True).func(pd.Series(["", "ul li  li  /ul  ", " "]))
+    assert [list(e) for e in ends] == [[], [5, 2, 2, 4, 4, 5, 6], [0]]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from doccat.functions.rules import PROTECTION_PAGE_MARKERS
 from doccat.functions.text import clean_text, fragment_text, plain_references, unescape_common
 from doccat.functions.urls import ANCHOR, HREF_TAG, absolute_url_col, href_value
-from doccat.operators.html_tree import attributes, element_tree, is_summary_candidate, page_summary, strip_noise, tag_code, tokens  # noqa: F401
+from doccat.operators.html_tree import attributes, element_tree, is_summary_candidate, let, page_summary, strip_noise, tag_code, tokens  # noqa: F401
 
 P_OPEN = r"(?i)<p>|<p\s[^>]*>"
 P_END = r"(?is)</(p|article)(\s[^>]*)?>.*$"
@@ -81,24 +81,27 @@ def links(html: Column, base: Column) -> Column:
 
 def first_pdf_link(html: Column, base: Column) -> Column:
     """H6: first link whose href holds '.pdf' and '/documents/' (absolute), else null."""
-    h = strip_noise(html)
-    hrefs = F.transform(F.regexp_extract_all(h, F.lit(HREF_TAG), 1), href_value)
+    hrefs = F.transform(F.regexp_extract_all(strip_noise(html), F.lit(HREF_TAG), 1), href_value)
     hit = F.filter(hrefs, lambda x: F.lower(x).contains(".pdf") & F.lower(x).contains("/documents/"))
-    first = F.try_element_at(hit, F.lit(1))
-    return F.when(first.isNotNull(), absolute_url_col(first, base))
+    return let(F.try_element_at(hit, F.lit(1)), lambda first: F.when(first.isNotNull(), absolute_url_col(first, base)))
 
 
 def first_attachment(html: Column, base: Column) -> Column:
     """H7: first anchor whose href holds 'downloadAtt' -> struct(url, format from url + link text)."""
-    h = strip_noise(html)
-    hrefs = F.transform(F.regexp_extract_all(h, F.lit(ANCHOR), 1), href_value)
-    texts = F.regexp_extract_all(h, F.lit(ANCHOR), 2)
-    z = F.filter(F.arrays_zip(hrefs.alias("h"), texts.alias("t")), lambda x: x["h"].contains("downloadAtt"))
-    first = F.try_element_at(z, F.lit(1))
-    url = absolute_url_col(first["h"], base)
-    probe = F.lower(F.trim(F.concat_ws(" ", url, fragment_text(first["t"]))))
-    fmt = F.when(probe.endswith(".pdf"), F.lit("PDF")).when(probe.endswith(".doc") | probe.endswith(".docx"), F.lit("DOCX"))
-    return F.when(first.isNotNull(), F.struct(url.alias("url"), fmt.alias("format")))
+    def attached(page: Column) -> Column:
+        hrefs = F.transform(F.regexp_extract_all(page, F.lit(ANCHOR), 1), href_value)
+        both = F.arrays_zip(hrefs.alias("h"), F.regexp_extract_all(page, F.lit(ANCHOR), 2).alias("t"))
+        return F.try_element_at(F.filter(both, lambda x: x["h"].contains("downloadAtt")), F.lit(1))
+
+    def described(url: Column, text: Column) -> Column:
+        def document(probe: Column) -> Column:
+            fmt = F.when(probe.endswith(".pdf"), F.lit("PDF")).when(probe.endswith(".doc") | probe.endswith(".docx"), F.lit("DOCX"))
+            return F.struct(url.alias("url"), fmt.alias("format"))
+        return let(F.lower(F.trim(F.concat_ws(" ", url, fragment_text(text)))), document)
+
+    # every page, link and URL is bound once: each is read by many expressions
+    first = let(strip_noise(html), attached)
+    return let(first, lambda x: F.when(x.isNotNull(), let(absolute_url_col(x["h"], base), lambda url: described(url, x["t"]))))
 
 
 def result_count(html: Column) -> Column:

@@ -82,3 +82,12 @@ def test_normalize_dates_counts_formats_in_the_same_pass(spark):
     assert got == {"iso": (2, day), "us_short": (1, day), "eu_long": (1, day), "month_day_year": (1, day), "empty": (2, None), "rejected": (2, None)}
     assert sorted(r["k"] for r in D.quarantined(dated, ["raw"]).collect()) == [6, 7]
     assert seen.get == {"raw_parsed": 5, "raw_rejected": 2}
+
+
+def test_a_filter_on_the_format_does_not_multiply_the_parses(spark):
+    """The filter is pushed below the projections with what it reads: every format stands there once, and once in the output."""
+    from doccat.functions import dates as D
+    df = spark.range(3).selectExpr("id", "concat('2024-0', cast(id as string), '-01') AS raw")
+    left = D.quarantined(D.normalize_dates(df, {"raw": "month_first"}), ["raw"])
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 20
+    assert [r["id"] for r in left.collect()] == [0]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccat.functions.rules import BOILERPLATE_MARKERS, SUMMARY_MIN_CHARS
-from doccat.functions.text import TAG, clean_text, fragment_text, plain_references, unescape_common
+from doccat.functions.text import TAG, clean_text, fragment_text, let, plain_references, unescape_common
 
 NOISE = r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->"
 TOKEN = TAG + r"|[^<]+|<"
@@ -146,11 +146,6 @@ def joined_codes(codes: Column) -> Column:
     return F.array_join(F.transform(codes, lambda c: F.concat(c, F.lit(" "))), "")
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def positions(codes: Column, test) -> Column:
     """Positions, in order, of the tokens for which ``test(code, position)`` holds."""
     return F.filter(F.transform(codes, lambda c, i: F.when(test(c, i), i)), lambda i: i.isNotNull())

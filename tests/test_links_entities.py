@@ -41,3 +41,17 @@ def test_dot_segments(spark):
     want = [urljoin(base, r) for r in refs]
     assert [x[0] for x in df.select(absolute_url(F.col("r"), base)).collect()] == want
     assert [x[0] for x in df.select(absolute_url_col(F.col("r"), F.col("b"))).collect()] == want
+
+
+def test_urls_are_computed_once(spark):
+    """A link is read by every case of its resolution, but computed once."""
+    from pyspark.sql import functions as F
+
+    from doccat.functions.urls import absolute_url, absolute_url_col
+    df = spark.createDataFrame([("mark../b/./c?x", "https://h.example/a/d/e"), ("mark", "https://h.example/a")], "t string, base string")
+    href = F.regexp_extract("t", "mark(.*)", 1)
+    for got, want in ((absolute_url(href, "https://h.example/a/d/e"), ["https://h.example/a/b/c?x", "https://h.example/a/d/e"]),
+                      (absolute_url_col(href, F.col("base")), ["https://h.example/a/b/c?x", "https://h.example/a"])):
+        out = df.repartition(1).select(got.alias("u"))
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("mark(") == 1
+        assert sorted(r["u"] for r in out.collect()) == sorted(want)

@@ -91,3 +91,16 @@ def test_a_filter_on_the_format_does_not_multiply_the_parses(spark):
     left = D.quarantined(D.normalize_dates(df, {"raw": "month_first"}), ["raw"])
     assert left._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 20
     assert [r["id"] for r in left.collect()] == [0]
+
+
+def test_only_odd_whitespace_is_replaced(spark):
+    """Single blanks, most of a text, are no matches; every other run becomes one blank."""
+    import re
+
+    from doccat.functions.text import WS_RUN, clean_text
+    runs = [" ", "  ", "\t", " \t", "\n ", "\u00a0", " \u2003 ", "\x1c\x85", "\u2028", "\x0b\x0c\r\n"]
+    texts = [a + "x" + b + "y" + a for a in ["", *runs] for b in runs] + runs + [""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["c"] for r in df.select("t", clean_text("t").alias("c")).collect()}
+    assert got == {t: " ".join(re.split(r"\s+", t)).strip() for t in texts}
+    assert spark.createDataFrame([("a b c d",)], "t string").filter(F.col("t").rlike(WS_RUN)).count() == 0

@@ -90,3 +90,15 @@ def test_carry_forward_chunked_equals_single_pass(spark):
         else:
             want.append((cid, pos, text, st["system"], st["user"]))
     assert rows(a) == sorted(want, key=repr)
+
+
+def test_attachment_reads_its_page_once(spark):
+    """The page and its first link are bound: the expressions that read them do not repeat the search."""
+    from pyspark.sql import functions as F
+    from doccat.operators import html as H
+    df = spark.createDataFrame([('<a href="/x">n</a><a href="downloadAtt/1">f.docx</a>', "https://h.example/a/"), ("<p>x</p>", "https://h.example/")],
+                               "html string, url string").repartition(1)
+    out = df.select(H.first_attachment(F.col("html"), F.col("url")).alias("a"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("downloadAtt") == 1
+    got = [r["a"] and (r["a"]["url"], r["a"]["format"]) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([("https://h.example/a/downloadAtt/1", "DOCX"), None], key=repr)

@@ -7,7 +7,8 @@ ever read and overwritten, and a writer that dies leaves folders that nothing na
 * ``write_version`` writes a whole table.
 * ``write_buckets`` keeps the table in hash buckets of ``id``: a version names one folder per bucket, and a run
   writes only the buckets it touches; the others stay where earlier versions put them.  It also appends the
-  run's rows to a change log: the table is the last logged row of every id.
+  run's rows to a change log: the table is the last logged row of every id.  A row is written once: the log
+  names the version's data files, in which the run's rows are marked (rows that a bucket only carries over are not).
 
 Commit records are read by the driver alone (a small file each), never by Spark jobs; readers of the current
 version open one.
@@ -22,11 +23,14 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-#: Default number of hash buckets; choose it so that a bucket's file has some hundred MB.
-BUCKETS = 32
+#: Default number of hash buckets; choose it so that a task can sort a bucket's old and new rows in memory.
+BUCKETS = 128
 _BUCKET = "_bucket"
+_LOGGED = "_logged"
+#: Codec of the files kept here; texts take much less room than with the default.
+CODEC = "zstd"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -78,7 +82,7 @@ def write_version(df: DataFrame, root: str, version: int, partition_by: str | No
     """Write ``df`` and commit it as ``version``, with the writer's ``note`` in the commit record."""
     base = root.rstrip("/")
     folder = f"data/{version}-{uuid.uuid4().hex[:12]}"
-    w = df.write.mode("errorifexists")
+    w = df.write.mode("errorifexists").option("compression", CODEC)
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(f"{base}/{folder}")
@@ -97,24 +101,26 @@ def read_buckets(spark: SparkSession, root: str, record: dict, schema: StructTyp
     """The rows of the buckets ``which`` (all by default) of a committed version."""
     base = root.rstrip("/")
     paths = [f"{base}/{folder}/{_BUCKET}={b}" for b, folder in record.get("folders", {}).items() if which is None or int(b) in which]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    if not paths:
+        return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]).filter(F.lit(False))
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def write_buckets(rows: DataFrame, root: str, version: int, before: dict, touched: list[int], buckets: int,
                   is_change: Column, note: dict | None = None) -> str:
     """Commit ``version``: ``rows`` are the whole new content of the ``touched`` buckets, the others keep the folders
-    of ``before`` (a record, {} for none).  The rows for which ``is_change`` holds are appended to the change log."""
+    of ``before`` (a record, {} for none).  The rows for which ``is_change`` holds are appended to the change log.
+    Rows that come with a column ``_bucket`` are already laid out by it."""
     spark, base, attempt = rows.sparkSession, root.rstrip("/"), f"{version}-{uuid.uuid4().hex[:12]}"
     if before and before["buckets"] != buckets:
         raise ValueError(f"the table has {before['buckets']} buckets, not {buckets}")
-    data, log = f"data/{attempt}", f"log/{attempt}"
-    schema = StructType([StructField(f.name, f.dataType) for f in rows.schema.fields])
-    (rows.withColumn(_BUCKET, bucket_of(F.col("id"), buckets)).repartition(max(1, len(touched)), _BUCKET)
-     .write.mode("errorifexists").partitionBy(_BUCKET).parquet(f"{base}/{data}"))
-    written = spark.read.schema(StructType([*schema.fields, StructField(_BUCKET, IntegerType())])).parquet(f"{base}/{data}")
-    written.drop(_BUCKET).filter(is_change).write.mode("errorifexists").parquet(f"{base}/{log}")
+    data = f"data/{attempt}"
+    if _BUCKET not in rows.columns:
+        rows = rows.withColumn(_BUCKET, bucket_of(F.col("id"), buckets)).repartition(max(1, len(touched)), _BUCKET)
+    (rows.withColumn(_LOGGED, F.coalesce(is_change, F.lit(False)))
+     .write.mode("errorifexists").option("compression", CODEC).partitionBy(_BUCKET).parquet(f"{base}/{data}"))
     folders = {**before.get("folders", {}), **{str(b): data for b in touched}}
-    logs = [*before.get("logs", []), log]
+    logs = [*before.get("logs", []), data]
     _commit(spark, root, version, {"buckets": buckets, "folders": folders, "logs": logs, "note": note or {}})
     return f"{base}/{data}"
 
@@ -122,11 +128,14 @@ def write_buckets(rows: DataFrame, root: str, version: int, before: dict, touche
 def change_log(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """The appended rows of every committed version, with ``version``; one scan of all log folders."""
     base, (_, record) = root.rstrip("/"), latest(spark, root)
-    paths = [f"{base}/{folder}" for folder in record.get("logs", [])]
+    paths = [f"{base}/{folder}/{_BUCKET}=*" if folder.startswith("data/") else f"{base}/{folder}" for folder in record.get("logs", [])]
     if not paths:
         return spark.createDataFrame([], StructType([*schema.fields])).withColumn("version", F.lit(0))
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"/log/(\d+)-[0-9a-f]+/", 1).cast("int")
-    return spark.read.schema(schema).parquet(*paths).withColumn("version", number)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:data|log)/(\d+)-[0-9a-f]+/", 1).cast("int")
+    marked = StructType([*schema.fields, StructField(_LOGGED, BooleanType())])
+    rows = spark.read.schema(marked).parquet(*paths).withColumn("version", number)
+    # files of a log folder of its own, as earlier versions of this module wrote them, hold logged rows alone
+    return rows.filter(F.coalesce(F.col(_LOGGED), F.lit(True))).select(*schema.names, "version")
 
 
 def fold_log(log: DataFrame) -> DataFrame:
@@ -144,7 +153,7 @@ def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame | Non
     base = root.rstrip("/")
     if "folders" in record:
         if schema is None:
-            schema = spark.read.parquet(f"{base}/{next(iter(record['folders'].values()))}").drop(_BUCKET).schema
+            schema = spark.read.parquet(f"{base}/{next(iter(record['folders'].values()))}").drop(_BUCKET, _LOGGED).schema
         return read_buckets(spark, root, record, schema)
     r = spark.read
     if schema is not None:

@@ -16,6 +16,8 @@ which Spark's WindowGroupLimit pre-applies map-side, so a hot id never sends
 its whole group through one task.  The merge itself is one full outer join on
 ``id``: both sides shuffle by id once (or not at all when the stored catalog
 is bucketed by id), and the batch side keeps the partitioning of the window.
+``upsert_in_buckets`` merges into a stored, bucketed catalog: both sides are
+shuffled once, by bucket, and the result lies as it is to be written.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from doccat.functions.ids import content_hash, stable_id
 from doccat.functions.rules import CATALOG_EXPORT_COLUMNS, CHANGE_FIELDS
+from doccat.operators.catalog_schema import CATALOG_SCHEMA
 
 CATALOG_COLUMNS = CATALOG_EXPORT_COLUMNS
 STAMP_TYPE = "timestamp_ntz"  # UTC wall clock
@@ -49,6 +53,12 @@ def _changed(a: str, b: str) -> Column:
     return reduce(lambda x, y: x | y, [~F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")) for f in CHANGE_FIELDS])
 
 
+def last_two_per_id(batch: DataFrame) -> DataFrame:
+    """The last two rows of every id by ``ord`` (``_rn`` 1 and 2); a hot id is cut down before the shuffle."""
+    w = Window.partitionBy("id").orderBy(F.col("ord").desc())
+    return batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
+
+
 def last_write_per_id(batch: DataFrame, with_counts: bool = False) -> DataFrame:
     """One row per id (last by ``ord``) plus ``_prev``, the change fields of the previous occurrence.
 
@@ -57,8 +67,7 @@ def last_write_per_id(batch: DataFrame, with_counts: bool = False) -> DataFrame:
     that reuses the window's hash partitioning, so no second exchange.  With
     ``with_counts`` a partially aggregated ``_n`` (occurrences) is joined on.
     """
-    w = Window.partitionBy("id").orderBy(F.col("ord").desc())
-    top2 = batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
+    top2 = last_two_per_id(batch)
     cols = [c for c in batch.columns if c != "id"]
     agg = top2.groupBy("id").agg(
         F.max_by(F.struct(*cols), F.col("ord")).alias("_last"),
@@ -72,9 +81,9 @@ def last_write_per_id(batch: DataFrame, with_counts: bool = False) -> DataFrame:
     return out
 
 
-def upsert(catalog: DataFrame, batch: DataFrame, run_ts: str | Column,
+def upsert(catalog: DataFrame | None, batch: DataFrame, run_ts: str | Column,
            broadcast_ids_limit: int | None = None) -> DataFrame:
-    """Merge one batch into the catalog; returns the full next version (catalog columns).
+    """Merge one batch into the catalog (``None``: there is none yet); returns the full next version (catalog columns).
 
     When the batch holds at most ``broadcast_ids_limit`` distinct ids (counted
     first), the id set is broadcast: catalog rows the batch does not touch pass
@@ -87,7 +96,7 @@ def upsert(catalog: DataFrame, batch: DataFrame, run_ts: str | Column,
     """
     ts = _ts(run_ts)
     b = last_write_per_id(prepare_batch(batch))
-    if broadcast_ids_limit is not None:
+    if broadcast_ids_limit is not None and catalog is not None:
         ids = b.select("id")
         if ids.count() <= broadcast_ids_limit:
             small = F.broadcast(ids)
@@ -97,13 +106,19 @@ def upsert(catalog: DataFrame, batch: DataFrame, run_ts: str | Column,
     return _merge(catalog, b, ts)
 
 
-def _merge(catalog: DataFrame, b: DataFrame, ts: Column) -> DataFrame:
-    """Full outer merge of last-write batch rows ``b`` into ``catalog``."""
+def _merge(catalog: DataFrame | None, b: DataFrame, ts: Column) -> DataFrame:
+    """Full outer merge of last-write batch rows ``b`` into ``catalog``.  Without a catalog nothing
+    is joined, and the rows keep their partitioning by ``id`` for the next merge."""
     b = b.select("id", F.struct(*[c for c in CATALOG_COLUMNS if c in b.columns and c != "id"]).alias("_b"),
                  F.struct(*CHANGE_FIELDS).alias("_bc"), "_prev")
-    c = catalog.select("id", F.struct(*[x for x in CATALOG_COLUMNS if x != "id"]).alias("_c"),
-                       F.struct(*CHANGE_FIELDS).alias("_cc"))
-    j = b.join(c, "id", "full_outer")
+    if catalog is None:
+        none = {n: StructType([f for f in CATALOG_SCHEMA.fields if f.name in names])
+                for n, names in (("_c", [x for x in CATALOG_COLUMNS if x != "id"]), ("_cc", CHANGE_FIELDS))}
+        j = b.select("*", *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
+    else:
+        c = catalog.select("id", F.struct(*[x for x in CATALOG_COLUMNS if x != "id"]).alias("_c"),
+                           F.struct(*CHANGE_FIELDS).alias("_cc"))
+        j = b.join(c, "id", "full_outer")
     in_b = F.col("_b").isNotNull()
     in_c = F.col("_c").isNotNull()
     vs_prev = _changed("_bc", "_prev")
@@ -129,9 +144,33 @@ def _merge(catalog: DataFrame, b: DataFrame, ts: Column) -> DataFrame:
     return j.select(*cols)
 
 
+def upsert_in_buckets(catalog: DataFrame, batch: DataFrame, run_ts: str | Column, bucket: Column, parts: int,
+                      name: str) -> DataFrame:
+    """J5 for a catalog whose ids are unique: ``upsert``, laid out in ``parts`` partitions by ``bucket`` (a column ``name``).
+
+    The old and the new rows of an id, in the order in which they were written, are compared in one window: the
+    last is what stays, and its change type is taken against the one before.  ``batch`` is prepared; an id that
+    comes very often in it should be cut to its last two rows first.
+    """
+    ts = _ts(run_ts)
+    old = catalog.select(*CATALOG_COLUMNS, F.lit(None).cast(batch.schema["ord"].dataType).alias("ord"), F.lit(False).alias("_new"))
+    rows = old.unionByName(batch.select(*CATALOG_COLUMNS, "ord", F.lit(True).alias("_new")))
+    rows = rows.withColumn(name, bucket).repartition(parts, name)
+    w = Window.partitionBy(name, "id").orderBy("_new", "ord")
+    rows = rows.select("*", F.lag(F.struct(*CHANGE_FIELDS)).over(w).alias("_before"), F.lead(F.lit(1)).over(w).alias("_later"),
+                       F.first(F.struct("_new", "first_seen_at")).over(w).alias("_first"), F.struct(*CHANGE_FIELDS).alias("_now"))
+    set_by_run = {
+        "change_type": F.when(F.col("_before").isNull(), F.lit("new")).when(_changed("_now", "_before"), F.lit("updated"))
+        .otherwise(F.lit("unchanged")),
+        "first_seen_at": F.when(F.col("_first._new"), ts).otherwise(F.col("_first.first_seen_at")),
+        "last_seen_at": ts,
+    }
+    cols = [F.when(F.col("_new"), set_by_run[c]).otherwise(F.col(c)).alias(c) if c in set_by_run else F.col(c) for c in CATALOG_COLUMNS]
+    return rows.filter(F.col("_later").isNull()).select(*cols, name)
+
+
 def empty_catalog(spark) -> DataFrame:
     """An empty catalog with the canonical schema."""
-    from doccat.operators.catalog_schema import CATALOG_SCHEMA
     return spark.createDataFrame([], CATALOG_SCHEMA)
 
 

@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from doccat.operators.catalog_schema import CATALOG_SCHEMA
-from doccat.operators.store import BUCKETS, bucket_of, latest, newest_first, read_buckets, write_buckets
-from doccat.operators.upsert import prepare_batch, upsert
+from doccat.operators.store import _BUCKET, BUCKETS, bucket_of, latest, newest_first, read_buckets, write_buckets
+from doccat.operators.upsert import last_two_per_id, prepare_batch, upsert_in_buckets
+
+#: Rows of an id in a run above which the run is first cut to the last two rows of every id.
+HOT_ID = 1_000
 
 
 def stream_id(spark: SparkSession, checkpoint_location: str) -> str:
@@ -58,9 +61,14 @@ def apply_runs(spark: SparkSession, batch: DataFrame, catalog_root: str, stream:
         buckets = record.get("buckets", buckets)
         stamp = F.lit(ts).cast("timestamp_ntz")
         rows = prepare_batch(batch.filter(F.col("run_ts") == stamp).drop("run_ts"))
-        touched = sorted(r[0] for r in rows.select(bucket_of(F.col("id"), buckets)).distinct().collect())  # at most ``buckets``
+        bucket = bucket_of(F.col("id"), buckets)
+        times = rows.groupBy("id").count().groupBy(bucket.alias("b")).agg(F.max("count")).collect()  # at most ``buckets`` rows
+        touched = sorted(r[0] for r in times)
+        if max((r[1] for r in times), default=0) > HOT_ID:
+            rows = last_two_per_id(rows)
         current = read_buckets(spark, catalog_root, record, CATALOG_SCHEMA, touched)
-        write_buckets(upsert(current, rows, stamp), catalog_root, version + 1, record, touched, buckets,
+        merged = upsert_in_buckets(current, rows, stamp, bucket, max(1, len(touched)), _BUCKET)
+        write_buckets(merged, catalog_root, version + 1, record, touched, buckets,
                       F.col("last_seen_at") == stamp, note={"stream": stream, "batch": batch_id, "run": ts})
 
 

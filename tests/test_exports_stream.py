@@ -160,3 +160,57 @@ def test_unfinished_commit_does_not_count(spark):
     os.remove(f"{base}/commits/.2.json.crc") if os.path.exists(f"{base}/commits/.2.json.crc") else None
     store.write_version(spark.range(4).withColumn("agency", F.lit("X")), base, 2)
     assert store.versions(spark, base) == [1, 2] and read_current(spark, base).count() == 4
+
+
+def _catalog_rows(spark, made):
+    """Batch rows (id, ord, summary) with every catalog column."""
+    from doccat.operators.catalog_schema import CATALOG_SCHEMA
+    from doccat.operators.upsert import to_catalog_batch
+    df = spark.createDataFrame(made, "id string, ord long, summary string").withColumns(
+        {"agency": F.lit("FDA"), **{c: F.lit("T") for c in ("title", "jurisdiction", "status_normalized")}})
+    for f in CATALOG_SCHEMA.fields:
+        if f.name not in df.columns and f.name not in ("content_hash", "first_seen_at", "last_seen_at", "change_type"):
+            df = df.withColumn(f.name, F.lit(False if f.name == "needs_manual_review" else None).cast(f.dataType))
+    return to_catalog_batch(df)
+
+
+def test_merge_in_buckets_equals_the_upsert(spark):
+    from doccat.operators import store
+    from doccat.operators.catalog_schema import CATALOG_SCHEMA
+    from doccat.operators.upsert import CATALOG_COLUMNS, empty_catalog, last_two_per_id, prepare_batch, upsert, upsert_in_buckets
+    one = _catalog_rows(spark, [("a", 1, "x"), ("b", 1, None), ("b", 2, "y"), ("c", 1, "z"), ("d", 1, "q")])
+    two = _catalog_rows(spark, [("a", 5, "x"), ("b", 4, "n"), ("b", 3, "y"), ("b", 5, "n"), ("c", 9, "w"), ("e", 1, None), ("f", 1, "1"), ("f", 2, "2")])
+    want, got, bucket = empty_catalog(spark), empty_catalog(spark), store.bucket_of(F.col("id"), 3)
+    for batch, ts in ((one, "2024-01-01 00:00:00"), (two, "2024-01-02 00:00:00")):
+        assert rows(upsert(None, batch, ts)) == rows(upsert(empty_catalog(spark), batch, ts))
+        want = spark.createDataFrame(upsert(want, batch, ts).collect(), CATALOG_SCHEMA)
+        merged = upsert_in_buckets(got, prepare_batch(batch), ts, bucket, 3, "_bucket")
+        cut = upsert_in_buckets(got, last_two_per_id(prepare_batch(batch)), ts, bucket, 3, "_bucket")
+        assert rows(merged, *CATALOG_COLUMNS) == rows(cut, *CATALOG_COLUMNS) == rows(want)
+        got = spark.createDataFrame(merged.select(*CATALOG_COLUMNS).collect(), CATALOG_SCHEMA)
+    assert {r.id: r.change_type for r in want.collect()} == {"a": "unchanged", "b": "unchanged", "c": "updated", "d": "new", "e": "new", "f": "updated"}
+
+
+def test_rows_of_a_run_are_written_and_shuffled_once(spark):
+    import os
+
+    from doccat.operators import store
+    from doccat.operators.catalog_schema import CATALOG_SCHEMA
+    from doccat.operators.upsert import prepare_batch, upsert, upsert_in_buckets
+    from doccat.streaming.upsert_stream import apply_runs
+    root = f"{tempfile.mkdtemp(prefix='doccat-once-')}/c"
+    for n, made in enumerate(([(f"k{i}", 1, "x") for i in range(50)], [("k1", 1, "y"), ("n", 1, "x")])):
+        batch = _catalog_rows(spark, made).withColumn("run_ts", F.lit(f"2024-01-0{n + 1} 00:00:00").cast("timestamp_ntz"))
+        apply_runs(spark, batch, root, "s", n, buckets=2)
+    assert sorted(os.listdir(root)) == ["commits", "data"]  # the log names the data files
+    log = store.change_log(spark, root, CATALOG_SCHEMA)
+    assert rows(log.groupBy("version", "change_type").count()) == [(1, "new", 50), (2, "new", 1), (2, "updated", 1)]
+    assert rows(store.fold_log(log)) == rows(store.read_current(spark, root).select(*CATALOG_SCHEMA.names))
+    current, batch = store.read_current(spark, root, CATALOG_SCHEMA), _catalog_rows(spark, [("k1", 1, "z")])
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    bucket = store.bucket_of(F.col("id"), 2)
+    assert exchanges(upsert_in_buckets(current, prepare_batch(batch), "2024-01-03 00:00:00", bucket, 2, "_bucket")) == 1
+    assert exchanges(upsert(upsert(None, batch, "2024-01-01 00:00:00"), batch, "2024-01-02 00:00:00")) == 2  # one per batch

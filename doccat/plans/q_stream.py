@@ -10,6 +10,7 @@ from doccat.operators.catalog_schema import CATALOG_SCHEMA
 from doccat.operators import store
 from doccat.operators.export import bootstrap_from_snapshot
 from doccat.operators.store import read_current
+from doccat.plans.q_catalog import catalog
 from doccat.plans.q_upsert import change_feed_sql, _sql_two_runs, batch_v1, batch_v2, catalog_after_v2
 from doccat.plans.registry import register
 from doccat.session import scratch_path
@@ -23,7 +24,7 @@ def land_runs(spark, sf_dir, landing, which=(1, 2)):
     for n in which:
         build, ts = runs[n]
         (build(spark, sf_dir).withColumn("run_ts", F.lit(ts).cast("timestamp_ntz"))
-         .write.mode("errorifexists").parquet(f"{landing}/batch={n}"))
+         .write.mode("errorifexists").option("compression", store.CODEC).parquet(f"{landing}/batch={n}"))
 
 
 @register("stream_upsert_final_state", lambda: _sql_two_runs("SELECT * FROM v2"))
@@ -70,7 +71,8 @@ def backup_roundtrip(spark, sf_dir):
 def snapshot_bootstrap(spark, sf_dir):
     """An absent table is restored from its snapshot, and only an absent one."""
     base = scratch_path(spark, f"snapshot-{uuid.uuid4().hex}")
-    catalog_after_v2(spark, sf_dir).write.parquet(f"{base}/snapshot")
+    catalog(spark, sf_dir).write.option("compression", store.CODEC).parquet(f"{base}/rows")  # both runs read it
+    catalog_after_v2(spark, sf_dir, spark.read.parquet(f"{base}/rows")).write.option("compression", store.CODEC).parquet(f"{base}/snapshot")
     if not bootstrap_from_snapshot(spark, f"{base}/db", f"{base}/snapshot") or bootstrap_from_snapshot(spark, f"{base}/db", f"{base}/snapshot"):
         raise ValueError("the table is copied exactly once")
     return spark.read.parquet(f"{base}/db").select(*batch_columns())

@@ -15,7 +15,6 @@ from doccat.functions.rules import CATALOG_EXPORT_COLUMNS, CHANGE_FIELDS
 from doccat.operators.upsert import (
     change_counts,
     delete_by_agency,
-    empty_catalog,
     last_write_per_id,
     prepare_batch,
     stale_rows,
@@ -35,30 +34,31 @@ def _with_id(df):
     return df.withColumn("id", F.lpad(F.hex(F.col("doc_id")), 24, "0")).withColumn("ord", F.col("ord") * 2)
 
 
-def batch_v1(spark, sf_dir):
-    c = catalog(spark, sf_dir).filter(F.col("doc_id") % 9 != 8)
+def batch_v1(spark, sf_dir, rows=None):
+    c = (catalog(spark, sf_dir) if rows is None else rows).filter(F.col("doc_id") % 9 != 8)
     return to_catalog_batch(_with_id(c))
 
 
-def batch_v2(spark, sf_dir):
-    c = catalog(spark, sf_dir).filter(F.col("doc_id") % 9 != 2)
+def batch_v2(spark, sf_dir, rows=None):
+    c = (catalog(spark, sf_dir) if rows is None else rows).filter(F.col("doc_id") % 9 != 2)
     c = c.withColumn("summary", F.when(F.col("doc_id") % 7 == 0, F.concat("summary", F.lit(" (revised)")))
                      .otherwise(F.col("summary")))
     c = c.withColumn("status_normalized", F.when(F.col("doc_id") % 11 == 0, F.lit("withdrawn"))
                      .otherwise(F.col("status_normalized")))
     c = _with_id(c)
-    dups = (c.filter(F.col("doc_id") % 31 == 0)
-            .withColumn("summary", F.concat("summary", F.lit(" (dup)")))
-            .withColumn("ord", F.col("ord") + 1))
-    return to_catalog_batch(c.unionByName(dups))
+    twice = F.when(F.col("doc_id") % 31 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    c = c.withColumn("_dup", F.explode(twice))  # the table is scanned once for the rows and their later duplicates
+    c = c.withColumn("summary", F.when(F.col("_dup") == 1, F.concat("summary", F.lit(" (dup)"))).otherwise(F.col("summary")))
+    return to_catalog_batch(c.withColumn("ord", F.col("ord") + F.col("_dup")).drop("_dup"))
 
 
-def catalog_after_v1(spark, sf_dir):
-    return upsert(empty_catalog(spark), batch_v1(spark, sf_dir), RUN_TS_V1)
+def catalog_after_v1(spark, sf_dir, rows=None):
+    return upsert(None, batch_v1(spark, sf_dir, rows), RUN_TS_V1)
 
 
-def catalog_after_v2(spark, sf_dir):
-    return upsert(catalog_after_v1(spark, sf_dir), batch_v2(spark, sf_dir), RUN_TS_V2)
+def catalog_after_v2(spark, sf_dir, rows=None):
+    """The catalog after both runs; ``rows`` (the adapted rows) when they are written already, so that they are not made twice."""
+    return upsert(catalog_after_v1(spark, sf_dir, rows), batch_v2(spark, sf_dir, rows), RUN_TS_V2)
 
 
 # ---------------------------------------------------------------- DuckDB mirror

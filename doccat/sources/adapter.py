@@ -49,12 +49,13 @@ def jurisdiction(agency: Column) -> Column:
 def catalog_from_documents(documents: DataFrame, as_of: str = AS_OF_DATE) -> DataFrame:
     """Catalog rows, one per document."""
     d = F.col("doc_id")
-    text = F.col("text")
+    text = clean_text("text")  # once: the phrases hold no whitespace runs, so cleaning the title again would change nothing
     base = documents.select(
         d.alias("ord"),
         d,
         pick(AGENCIES, d % 5).alias("agency"),
-        clean_text(F.concat(pick(PHRASES, d % 23), F.lit(" "), F.coalesce(text, F.lit("")))).alias("title"),
+        pick(PHRASES, d % 23).alias("_phrase"),
+        text.alias("_text"),
         pick(RAW_STATUSES, d % 17).alias("status_raw"),
         F.col("source").alias("topic_raw"),
         F.upper(F.col("lang")).alias("language"),
@@ -66,8 +67,10 @@ def catalog_from_documents(documents: DataFrame, as_of: str = AS_OF_DATE) -> Dat
          .when(d % 4 == 2, F.concat(F.lit("https://example.org/files/"), d.cast("string"), F.lit(".docx")))
          .when(d % 4 == 3, F.concat(F.lit("https://example.org/media/"), d.cast("string"), F.lit("/download")))
          ).alias("document_url"),
-        F.coalesce(F.nullif(clean_text(text), F.lit("")), F.lit(NOT_AVAILABLE)).alias("summary"),
-    )
+    ).withColumns({
+        "title": F.coalesce(F.trim(F.concat("_phrase", F.lit(" "), "_text")), F.lit("")),
+        "summary": F.when(F.col("_text") != "", F.col("_text")).otherwise(F.lit(NOT_AVAILABLE)),
+    })
     staged = with_status(base, "title", "status_raw", "agency", "comment_end_date", as_of, pmda=True)
     staged = with_topic(staged, "title", "topic_raw", "summary")
     return staged.select(

@@ -31,6 +31,35 @@ def test_tree_walk_finds_guidelines_at_every_depth(spark):
     assert got["M77"]["updated_date"] == dt.date(2022, 10, 5) and got["M77"]["summary"] == "About Vaccine data standards."
 
 
+def test_tree_walk_goes_down_many_levels_in_one_step(spark):
+    """A payload is written once per step of many levels, not once per level pair."""
+    import os
+    deep = {"code": "Z1", "fileGroups": [], "none": None, "empty": {}, "list": [[], [{"a": 1}], "x"]}
+    for i in range(10):
+        deep = {"items": [deep]} if i % 2 else {"inner": deep, "k": i}
+    pages = spark.createDataFrame([(1, json.dumps(deep), "p"), (None, "[[7, {}]]", "q")], "id long, j string, tag string").select(
+        "id", F.parse_json("j").alias("page"), "tag")
+
+    def reference(v, path=()):
+        """Every object in Python: path and number of its keys."""
+        found = [("/".join(path), len(v))] if isinstance(v, dict) else []
+        kids = [(f"k:{k}", x) for k, x in v.items()] if isinstance(v, dict) else [(f"i:{i:010d}", x) for i, x in enumerate(v)] if isinstance(v, list) else []
+        return found + [o for k, x in kids for o in reference(x, (*path, k))]
+
+    size = F.size(F.map_keys(F.variant_get("obj", "$", "map<string,variant>")))
+    base = lambda: {x for d, names, _ in os.walk(spark.sparkContext.getCheckpointDir().removeprefix("file:")) for x in names if x.startswith("rdd-")}
+    before = base()
+    objs = FD.walk_objects(pages, "id", "page", carry=["tag"])
+    assert len(base() - before) == 1
+    got = [(r[0], r[1], r[2], r[3]) for r in objs.select("id", "tag", F.array_join("path", "/"), size).collect()]
+    want = [(1, "p", *o) for o in reference(deep)] + [(None, "q", "i:0000000000/i:0000000001", 0)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    few = FD.walk_objects(pages, "id", "page", carry=["tag"], levels=3)  # the rest is left to further steps
+    assert rows(few.select("id", "tag", F.array_join("path", "/"), size)) == sorted(want, key=repr)
+    kept = FD.walk_objects(pages, "id", "page", keep=FD.is_guideline).select(F.variant_get("obj", "$.code", "string"))
+    assert [r[0] for r in kept.collect()] == ["Z1"]
+
+
 def test_fda_list_and_object_rows(spark):
     short = ['<a class="t" href="/guidance/blood-donor-screening"><i>Blood</i> donor &amp; tissue screening</a>', "no file", "1/7/2019", "CBER / OTAT", "",
              "Draft for comment", "y"]

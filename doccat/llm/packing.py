@@ -186,7 +186,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "byte", win
             out.append(piece)
             if len(out) >= 4096:
                 yield emit()
-        enc.forget()
         if out:
             yield emit()
 

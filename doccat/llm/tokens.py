@@ -11,7 +11,8 @@ A new chunk that is one word of Latin letters goes to the library's model direct
 characters; a stop or comma behind it is a pre-token, and chunk, of its own.  Other chunks of printable
 ASCII are cut by the vocabulary's own pre-token pattern, whose pieces are short and mostly known; they are
 kept for their batch only, as such strings seldom return.  Any other chunk goes through the whole tokenizer.
-The cache is bounded and dropped at the end of a task (``forget``); it never changes results.
+The cache is bounded and lives as long as its Python worker, so tasks learn from those before them: of two generations
+the older one is dropped when the younger is full, and chunks that return move to the younger.  It never changes results.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks kept per Python worker and encoder, characters encoded at a time, chunks per library call.
-CACHE_ENTRIES = 200_000
+#: Chunks of a generation of the cache (some 150 bytes each; two per Python worker and encoder), characters encoded at a
+#: time, chunks per library call.
+CACHE_ENTRIES = 500_000
 BATCH_CHARS = 2_000_000
 CALL = 2000
 _MARK = "\x1f"
@@ -73,8 +75,10 @@ class ChunkEncoder:
         self.pieces = re.compile(self._word_pieces(path) if self.lower else _BYTE_PIECES).findall
         self.chunks = CHUNKERS[kind]
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = "H" if self.dtype is np.uint16 else "I"
+        size = np.dtype(self.dtype).itemsize
+        self.id_bytes = [i.to_bytes(size, sys.byteorder) for i in range(self.tokenizer.get_vocab_size())]
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _word_pieces(path: str) -> str:
@@ -84,20 +88,37 @@ class ChunkEncoder:
         return cutter["pattern"]["Regex"].replace("\\p{L}", "a-z").replace("\\p{N}", "0-9")
 
     def forget(self) -> None:
-        self.cache = {"": b""}
+        self.cache, self.older = {"": b""}, {}
+
+    def _age(self) -> None:
+        """A full generation becomes the older one, whose chunks are dropped unless they return."""
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache, self.older = {"": b""}, self.cache
+
+    def _taken_over(self, missing: list[str]) -> list[str]:
+        """Chunks of the older generation move to the younger; returns those in neither."""
+        if not self.older:
+            return missing
+        known = list(map(self.older.get, missing))
+        self.cache.update((c, x) for c, x in zip(missing, known) if x is not None)
+        return [c for c, x in zip(missing, known) if x is None]
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token of Latin letters, with or without a space before it."""
         text = word.lower() if self.lower else word
         text = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARS)
-        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+        return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(text)])
 
     def _learn(self, missing: list[str]) -> list[str]:
         """Add the chunks to the cache; returns those to drop after the batch."""
-        cache, word, ascii_, others, brief = self.cache, _WORD.fullmatch, _ASCII.fullmatch, [], []
+        cache, older, word, ascii_, others, brief = self.cache, self.older, _WORD.fullmatch, _ASCII.fullmatch, [], []
         for chunk in missing:
             if word(chunk):
-                parts = [chunk[:-1], chunk[-1]] if chunk[-1] in ".," else [chunk]
+                if chunk[-1] not in ".,":
+                    if chunk not in cache:  # it may have been the part of another
+                        cache[chunk] = self._word(chunk)
+                    continue
+                parts = [chunk[:-1], chunk[-1]]
             elif ascii_(chunk):
                 parts = self.pieces(chunk.lower() if self.lower else chunk)
                 brief.append(chunk)
@@ -106,7 +127,7 @@ class ChunkEncoder:
                 continue
             for part in parts:
                 if part not in cache:
-                    cache[part] = self._word(part)
+                    cache[part] = older.get(part) or self._word(part)
             if chunk not in cache:
                 cache[chunk] = b"".join([cache[part] for part in parts])
         for lo in range(0, len(others), CALL):
@@ -135,16 +156,17 @@ class ChunkEncoder:
             return []
         chunks, bounds = self._cut(texts)
         coded = chunks.dictionary_encode()
-        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.cache) > CACHE_ENTRIES:
-            self.forget()
-        brief = self._learn([c for c in distinct if c not in self.cache])
-        found = list(map(self.cache.__getitem__, distinct))
-        flat = np.frombuffer(b"".join(found), dtype=self.dtype)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // flat.itemsize
-        starts, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])]
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._age()
+        found, brief = list(map(self.cache.get, distinct)), []
+        missing = [c for c, x in zip(distinct, found) if x is None]
+        if missing:
+            brief, cache = self._learn(self._taken_over(missing)), self.cache
+            found = [cache[c] if x is None else x for c, x in zip(distinct, found)]
+        # a chunk's ids are bytes, so Arrow gathers them
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())]) // np.dtype(self.dtype).itemsize
+        ids = np.frombuffer(ids.buffers()[2] or b"", self.dtype, count=ends[-1])
         for chunk in brief:
             self.cache.pop(chunk, None)
         self.cache[""] = b""

@@ -25,6 +25,39 @@ def test_chunked_ids_equal_whole_text_ids(name, kind):
     assert [list(x) for x in got] == [e.ids for e in whole.encode_batch(ODD, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_returning_chunks_are_not_learnt_again(name, kind, monkeypatch):
+    """A full cache keeps what returns: one generation is dropped at a time, and only if none of its chunks came back."""
+    path = public_tokenizers.path(name)
+    whole, enc, learnt = Tokenizer.from_file(path), tokens.ChunkEncoder(path, kind), []
+    whole.encode_special_tokens = True
+    plain = tokens.ChunkEncoder._word
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 8)
+    monkeypatch.setattr(tokens.ChunkEncoder, "_word", lambda self, w: learnt.append(w.strip()) or plain(self, w))
+    for i in range(12):  # new words every time, and two that return
+        texts = [" ".join(["always", *(f"w{'abcdefghijkl'[i]}{c}" for c in "qrstu"), "again."]), *ODD[:3]]
+        got = enc.encode(texts)
+        assert [list(x) for x in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert len(enc.cache) <= 8 + 20 and len(enc.older) <= 8 + 20
+    assert learnt.count("always") == 1 and learnt.count("again") == 1 and learnt.count("waq") == 1
+
+
+def test_an_encoder_outlives_its_task(spark):
+    """The second of two tasks of one worker finds the chunks of the first."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "alpha beta gamma")], "doc_id long, text string")
+
+    def known(batches):
+        enc = tokens.encoder(path, "byte")
+        list(batches)
+        import pyarrow as pa
+        yield pa.record_batch([pa.array([len(enc.cache)], pa.int64())], names=["n"])
+
+    packing.pack_documents(docs.coalesce(1), path).collect()
+    found = [r[0] for r in spark.range(64).repartition(16).mapInArrow(known, "n long").collect()]
+    assert max(found) > 1
+
+
 def test_best_fill_is_exhaustive_optimum():
     rng = np.random.default_rng(5)
     for _ in range(60):

@@ -6,7 +6,7 @@ search for select give access, counting and occurrence lookup without the ids th
 
 File format, all integers little-endian: 8 bytes magic, u32 header length, header JSON (ids, planes,
 documents, zeros per plane, section lengths), then zstandard frames: document ends (u64), and per
-plane its packed bits.  Rank blocks are rebuilt on reading from the bits.
+plane its packed bits.  Rank blocks are rebuilt from the bits when first asked for.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,13 @@ class Plane:
 
     def __init__(self, packed: np.ndarray, n: int):
         self.packed, self.n = packed, n
-        pad = np.zeros(-len(packed) % (BLOCK // 8), dtype=np.uint8)
-        per_block = np.bitwise_count(np.concatenate([packed, pad])).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
-        self.blocks = np.concatenate([[0], np.cumsum(per_block)])
+
+    @cached_property
+    def blocks(self) -> np.ndarray:
+        """Ones before each block; writing and decoding a whole shard need none."""
+        pad = np.zeros(-len(self.packed) % (BLOCK // 8), dtype=np.uint8)
+        per_block = np.bitwise_count(np.concatenate([self.packed, pad])).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
+        return np.concatenate([[0], np.cumsum(per_block)])
 
     def bit(self, i: int) -> int:
         return int(self.packed[i >> 3] >> (7 - (i & 7)) & 1)
@@ -69,9 +74,11 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             one = (ids >> b & 1).astype(bool)
             planes.append(Plane(np.packbits(one), len(ids)))
-            low = ids.take(np.flatnonzero(~one))
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids.take(np.flatnonzero(one))])
+            zeros.append(len(ids) - int(np.count_nonzero(one)))
+            placed = np.empty_like(ids)
+            np.compress(~one, ids, out=placed[:zeros[-1]])
+            np.compress(one, ids, out=placed[zeros[-1]:])
+            ids = placed
         return cls(planes, zeros, len(ids), np.asarray(ends, dtype="<u8"))
 
     def access(self, i: int) -> int:
@@ -195,7 +202,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, kind: str =
                     held += len(ids[-1])
                     if held >= shard_ids:
                         yield close()
-        enc.forget()
         if ids:
             yield close()
 

@@ -166,12 +166,15 @@ def heading_events(elements: DataFrame, id_col: str, levels: list[str], target:
                       F.struct(F.col("pos").alias("p"), F.col("kind").alias("k")))
     e = elements.withColumn("_b", F.last(boundary, ignorenulls=True).over(w))
     inside = (F.col("kind") == "text") & (F.col("_b.k") == "open")
-    texts = (e.filter(inside).groupBy(id_col, F.col("_b.p").alias("pos"))
-             .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_t"))
-             .select(id_col, "pos", clean_text(F.array_join(F.transform("_t", lambda x: x["text"]), " ")).alias("text")))
-    heads = e.filter((F.col("kind") == "open") & (F.col("tag").isin(levels) | (F.col("tag") == target)))
-    return (heads.select(id_col, "pos", "tag", "href").join(texts, [id_col, "pos"], "left")
-            .select(id_col, "pos", "tag", F.coalesce("text", F.lit("")).alias("text"), "href"))
+    wanted = (F.col("kind") == "open") & (F.col("tag").isin(levels) | (F.col("tag") == target))
+    # a stretch between two boundaries has its texts and its events in one group, so elements are made once
+    parts = (e.filter(inside | wanted).groupBy(id_col, F.col("_b.p").alias("_p"))
+             .agg(F.sort_array(F.collect_list(F.when(inside, F.struct("pos", "text")))).alias("_t"),
+                  F.collect_list(F.when(wanted, F.struct("pos", "tag", "href"))).alias("_e")))
+    text = clean_text(F.array_join(F.transform("_t", lambda x: x["text"]), " "))
+    return (parts.select(id_col, "_p", text.alias("_text"), F.explode("_e").alias("_e"))
+            .select(id_col, "_e.pos", "_e.tag", F.when(F.col(id_col).isNotNull() & (F.col("_e.pos") == F.col("_p")), F.col("_text"))
+                    .otherwise(F.lit("")).alias("text"), "_e.href"))
 
 
 def carry_forward(events: DataFrame, id_col: str, levels: list[str], target: str,

@@ -18,6 +18,7 @@ from doccat.plans import sql as S
 from doccat.plans import sql_html as SH
 from doccat.plans.q_catalog import catalog
 from doccat.plans.registry import register
+from doccat.session import ensure_checkpoint_dir
 from doccat.sources.adapter import AS_OF_DATE
 from doccat.sources.tables import table
 
@@ -249,7 +250,9 @@ WHERE e.kind = 'open' AND (e.tag IN ({lv}) OR e.tag = {S.q(target)}))"""
 
 def section_links(spark, sf_dir):
     el = H.element_table(_section_pages(pages(spark, sf_dir)))
-    ev = H.heading_events(el, "page_id", _LEVELS, "a")
+    ensure_checkpoint_dir(spark)
+    # read twice below (rows and summaries of chunks): pages are taken apart once
+    ev = H.heading_events(el, "page_id", _LEVELS, "a").checkpoint(eager=True)
     return H.carry_forward(ev, "page_id", _LEVELS, "a")
 
 

@@ -102,3 +102,16 @@ def test_attachment_reads_its_page_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("downloadAtt") == 1
     got = [r["a"] and (r["a"]["url"], r["a"]["format"]) for r in out.collect()]
     assert sorted(got, key=repr) == sorted([("https://h.example/a/downloadAtt/1", "DOCX"), None], key=repr)
+
+
+def test_heading_events_make_elements_once(spark):
+    """Texts and events come from one pass over the elements: no join, and the page's tokens stand in the plan once."""
+    page = "<a href='/0'>before</a><h2>One <b>two</b> <a href='/1'>three</a></h2><p>body</p><h3></h3><a href='/2'>x</a><h2>open<h3>Last"
+    df = spark.createDataFrame([(7, page), (None, "<h2>none</h2>"), (8, "text only"), (9, None)], "page_id long, html string")
+    ev = H.heading_events(H.element_table(df), "page_id", ["h2", "h3"], "a")
+    plan = ev._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    got = sorted(map(tuple, ev.filter("page_id = 7").select("pos", "tag", "text", "href").collect()))
+    assert [g[1:] for g in got] == [("a", "", "/0"), ("h2", "One two three", ""), ("a", "", "/1"), ("h3", "", ""), ("a", "", "/2"),
+                                    ("h2", "open", ""), ("h3", "Last", "")]
+    assert [tuple(r) for r in ev.filter("page_id IS NULL OR page_id > 7").collect()] == [(None, 0, "h2", "", "")]

@@ -36,6 +36,8 @@ _MARK = "\x1f"
 _RUN = re.compile(r"\s\s")
 #: The same and the mark itself, for Arrow: all of Python's white space.
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|\x1f"
+#: An upper-case letter before a mark, which may compose with the lower-case letter alone.
+_MARKED = r"[A-Z]\p{M}"
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?")
 _ASCII = re.compile(r" ?[!-;=-~]+")  # no '<', which may begin a special token
@@ -140,7 +142,9 @@ class ChunkEncoder:
         """All chunks of the texts in order, and where each text's chunks begin and end among them."""
         arr = pa.array(texts, pa.large_string())
         if self.lower:
-            arr = pc.replace_substring_regex(arr, "[\n\t]", " ")
+            arr = pc.replace_substring(pc.replace_substring(arr, "\n", " "), "\t", " ")
+            if not pc.any(pc.match_substring_regex(arr, _MARKED)).as_py():
+                arr = pc.ascii_lower(arr)  # fewer distinct chunks
             cut = pc.split_pattern(arr, " ")
         elif pc.any(pc.match_substring_regex(arr, _ODD)).as_py():
             cut = pa.array([self.chunks(t) for t in texts], pa.large_list(pa.large_string()))

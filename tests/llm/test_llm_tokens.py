@@ -42,6 +42,18 @@ def test_returning_chunks_are_not_learnt_again(name, kind, monkeypatch):
     assert learnt.count("always") == 1 and learnt.count("again") == 1 and learnt.count("waq") == 1
 
 
+def test_letters_are_lowered_before_words_are_told_apart(monkeypatch):
+    """Words that differ in case alone are learnt once; a letter with a mark composes as the library has it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, enc, learnt = Tokenizer.from_file(path), tokens.ChunkEncoder(path, "word"), []
+    whole.encode_special_tokens = True
+    plain = tokens.ChunkEncoder._word
+    monkeypatch.setattr(tokens.ChunkEncoder, "_word", lambda self, w: learnt.append(w) or plain(self, w))
+    for texts in (["Trial TRIAL trial tRIAL"], ["H\u0331 h\u0331 A\u030angstrom I\u0307 K\u0327\u0301 DON'T"], ["\u0130X <|STARTOFTEXT|> \u212a \u00c5B"]):
+        assert [list(x) for x in enc.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [w.lower() for w in learnt].count("trial") == 1
+
+
 def test_an_encoder_outlives_its_task(spark):
     """The second of two tasks of one worker finds the chunks of the first."""
     path = public_tokenizers.path("byte_bpe_50k.json")

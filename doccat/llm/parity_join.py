@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doccat.llm.common import materialize, text_or_empty
+from doccat.llm.common import arrow_batches, materialize, text_or_empty
 from doccat.llm.components import connected_components
 
 SHINGLE = 5
@@ -50,6 +50,8 @@ TILE, TILE_BYTES = 1536, 8 << 20
 FOREST_PASSES = 3
 #: Classes to verify up to which their ids are broadcast to the texts (16 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of the Arrow batches that tasks hand to Python: a pair or a member may carry whole sets of any length.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -406,6 +408,14 @@ def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(known.union(joined.join(roots, "node", "left_anti")), "roots")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """``key, c, members, lead`` of the blocks that several classes share: a smallest set (``c.n, c.uid``), the
+    member count, the smallest hash of a member.  The buffers are longs alone, so that hashing does it without a sort."""
+    found = keyed.groupBy("key").agg(F.min("n").alias("low"), F.min_by("uid", "n").alias("centre"), F.count(F.lit(1)).alias("members"),
+                                     F.min(F.xxhash64("uid")).alias("lead")).filter("members > 1")
+    return found.select("key", F.struct(F.col("low").alias("n"), F.col("centre").alias("uid")).alias("c"), "members", "lead")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_shingles`` and ``component_id``, the smallest id reachable by links.
 
@@ -413,6 +423,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one shingle.  Rows with equal sets are one class, whatever their number.  Null ids sort last: a
     component with any other id is named by that.  An empty table gives no rows.
     """
+    with arrow_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
+        return _components(docs, id_col, text_col)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``near_duplicates``; every table that Python makes is written before it returns."""
     sig = materialize(signatures(docs, id_col, text_col), "signatures")
     named = sig.filter("cls IS NOT NULL")
     reps = named.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
@@ -421,9 +437,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(single.join(reps, "cls").withColumn("uid", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("uid", "n", F.explode("keys").alias("key"))
     # Blocks that several classes share; most blocks have one class and go no further.
-    shared = keyed.groupBy("key").agg(F.min(F.struct("n", "uid")).alias("c"), F.count(F.lit(1)).alias("members"),
-                                      F.min(F.xxhash64("uid")).alias("lead")).filter("members > 1")
-    rows = materialize(keyed.join(shared, "key"), "blocks")
+    rows = materialize(keyed.join(_shared(keyed), "key"), "blocks")
     first = rows.filter("c.uid <> uid AND 4 * c.n >= 3 * n").select(F.least("uid", "c.uid").alias("a"), F.greatest("uid", "c.uid").alias("b"))
     links = _links(first, classes, docs, id_col, text_col)
     tried = first.distinct()

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,47 @@ def test_untried_blocks_keep_every_pair(spark):
     assert set(want) <= dealt
     assert sum(len(m) ** 2 for m in got.values()) <= sum((len(m) - 1) ** 2 for m in blocks.values())
     assert all(len(m) == len(set(m)) for m in got.values())
+
+
+def test_shared_blocks_are_hashed_not_sorted(spark):
+    """Centre, size, members and leader of every block of two members or more, ties and repeated sizes included."""
+    rng = np.random.default_rng(11)
+    rows = [(int(k), u, int(rng.integers(5, 9))) for u in range(60) for k in rng.choice(50, size=4, replace=False)]
+    rows.append((99, 7, 5))
+    sizes = {(k, u): n for k, u, n in rows}
+    found = parity_join._shared(spark.createDataFrame(rows, "key long, uid long, n long"))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    hashes = {r.uid: r.h for r in spark.range(60).select(F.col("id").alias("uid"), F.xxhash64("id").alias("h")).collect()}
+    members = {}
+    for k, u, _ in rows:
+        members.setdefault(k, []).append(u)
+    got = {r.key: r for r in found.collect()}
+    assert set(got) == {k for k, m in members.items() if len(m) > 1} and 99 not in got
+    for k, r in got.items():
+        low = min(sizes[k, u] for u in members[k])
+        assert (r.members, r.c.n, r.lead) == (len(members[k]), low, min(hashes[u] for u in members[k]))
+        assert r.c.uid in members[k] and sizes[k, r.c.uid] == low
+
+
+def test_join_hands_python_small_batches(spark, monkeypatch):
+    """Sets of any length reach Python in batches bounded in rows and bytes, and the session's settings come back."""
+    monkeypatch.setattr(parity_join, "BATCH_ROWS", 50)
+    monkeypatch.setattr(parity_join, "BATCH_BYTES", 100_000)
+    sizes = {}
+    real = parity_join.materialize
+
+    def noted(df, name):
+        seen = df.sparkSession.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("t")).mapInArrow(
+            lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+        sizes[name] = [r.n for r in seen.collect()]
+        return real(df, name)
+
+    monkeypatch.setattr(parity_join, "materialize", noted)
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k, None) for k in names]
+    rows = [(i, " ".join(f"w{i % 20}x{j}" for j in range(30 + i % 3))) for i in range(60)]
+    got = parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 20 for i, _ in rows}
+    assert {"signatures", "close", "sets", "links"} <= set(sizes)
+    assert all(sum(n) == 400 and max(n) <= 30 for n in sizes.values())
+    assert [spark.conf.get(k, None) for k in names] == before
